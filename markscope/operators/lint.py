@@ -7,8 +7,8 @@ or a hot key is collapsed before the shuffle); a narrow step turns the counts in
 messages.  Rules that compare two sets inside a page (ids against references,
 map names against usemaps, start against end tags) meet in the same group.
 
-Output: ``page_id, is_html5, ok, rule, kind, message_id, message, n`` where ``n`` is
-the number of occurrences of that message on the page.
+Output: ``page_id, (page keys), rule, kind, message_id, message, n`` where ``n``
+is the number of occurrences of that message on the page.
 """
 
 from __future__ import annotations
@@ -69,11 +69,8 @@ def _event(ns: Column | str, key: Column, sub: Column | str = "") -> Column:
     return F.struct(ns_c.alias("ns"), key.cast("string").alias("key"), sub_c.alias("sub"))
 
 
-def _start_tag_events(raw: Column) -> Column:
-    """array<event> for one start tag (computed inside a lambda over the page's tokens)."""
-    tag = M.tag_name(raw)
-    toks = M.attr_tokens(raw)
-    names = F.transform(toks, M.attr_name)
+def _start_tag_events(tag: Column, toks: Column, names: Column) -> Column:
+    """array<event> for one start tag, from its (materialised) name, tokens and names."""
 
     def val(name: str) -> Column:
         return M.value_in(toks, names, name)
@@ -116,22 +113,42 @@ def _reference_events(value: Column, attr: str) -> Column:
     return F.transform(ids, lambda x: _event("id", x, attr))
 
 
-def _page_events(parsed: DataFrame) -> Column:
-    """array<event> for the whole page: tokens + page-level findings."""
+def page_tokens(parsed: DataFrame, page_keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row per token of a page: ``t`` = 's' start tag, 'e' end tag, else a page finding.
+
+    Exploding first lets the per-token work below run as generated code with common
+    subexpressions computed once (a tag name is extracted once, not once per rule).
+    """
     page_level = F.array(
         F.when(F.col("declared_charset").isNull(),
-               _event("charset", render("charset", FALLBACK_CHARSET))),
+               F.struct(F.lit("charset").alias("t"), render("charset", FALLBACK_CHARSET).alias("v"))),
         F.when(F.col("doctype") == P.NO_DOCTYPE,
-               _event("doctype", render("doctype", EXPECTED_DOCTYPE))),
+               F.struct(F.lit("doctype").alias("t"), render("doctype", EXPECTED_DOCTYPE).alias("v"))),
     )
-    starts = F.flatten(F.transform("start_tags", _start_tag_events))
-    ends = F.transform("end_tags", lambda e: _event("tag", e, "end"))
-    return F.filter(F.concat(starts, ends, page_level), lambda e: e.isNotNull())
+    tokens = F.concat(
+        F.transform("start_tags", lambda x: F.struct(F.lit("s").alias("t"), x.alias("v"))),
+        F.transform("end_tags", lambda x: F.struct(F.lit("e").alias("t"), x.alias("v"))),
+        F.filter(page_level, lambda x: x.isNotNull()))
+    return (parsed.select("page_id", *page_keys, F.explode(tokens).alias("x"))
+            .select("page_id", *page_keys, F.col("x.t").alias("t"), F.col("x.v").alias("v")))
+
+
+def lint_events(parsed: DataFrame, page_keys: tuple[str, ...] = ()) -> DataFrame:
+    tok = page_tokens(parsed, page_keys)
+    t, v = F.col("t"), F.col("v")
+    staged = (tok.withColumn("_tag", F.when(t == "s", M.tag_name(v)).otherwise(v))
+              .withColumn("_toks", F.when(t == "s", M.attr_tokens(v))))
+    staged = staged.withColumn("_names", F.transform("_toks", M.attr_name))
+    events = (F.when(t == "s", _start_tag_events(F.col("_tag"), F.col("_toks"), F.col("_names")))
+              .when(t == "e", F.array(_event("tag", v, "end")))
+              .otherwise(F.array(_event(t, v))))
+    return staged.select("page_id", *page_keys,
+                         F.explode(F.filter(events, lambda e: e.isNotNull())).alias("e"))
 
 
 def lint_counts(parsed: DataFrame, page_keys: tuple[str, ...] = ()) -> DataFrame:
     """Events aggregated per ``(page_id, ns, key)`` (+ page keys carried as group keys)."""
-    ev = parsed.select("page_id", *page_keys, F.explode(_page_events(parsed)).alias("e"))
+    ev = lint_events(parsed, page_keys)
     sub = F.col("e.sub")
     aggs = [F.count(F.lit(1)).alias("n"),
             F.count_if(sub == "start").alias("n_start"),
@@ -144,40 +161,50 @@ def lint_counts(parsed: DataFrame, page_keys: tuple[str, ...] = ()) -> DataFrame
             .agg(*aggs))
 
 
-def _message(rule: str, text: Column, n: Column) -> Column:
-    return F.struct(F.lit(rule).alias("rule"), text.alias("message"), n.cast("bigint").alias("n"))
-
-
 def lint_messages(parsed: DataFrame, page_keys: tuple[str, ...] = ()) -> DataFrame:
-    """Messages of all lint rules: ``page_id, *page_keys, rule, kind, message_id, message, n``."""
+    """Messages of all lint rules: ``page_id, *page_keys, rule, kind, message_id, message, n``.
+
+    Each aggregated group yields at most a few ``(rule, n, arg)`` candidates; the
+    message text is rendered once, after the explode, by one CASE over the rule.
+    """
     c = lint_counts(parsed, page_keys)
     ns, key, n = F.col("ns"), F.col("key"), F.col("n")
     diff = F.col("n_start") - F.col("n_end")
     no_unclosed = P.VOID_ELEMENTS + P.OPTIONAL_END_ELEMENTS + P.RAW_TEXT_ELEMENTS
     no_stray = P.VOID_ELEMENTS + P.RAW_TEXT_ELEMENTS
-    direct = [r for r, _, _ in LINT_RULES
-              if r not in ("duplicate_id", "unclosed", "stray_end", "dangling_ref", "usemap")]
+    grouped = ("duplicate_id", "unclosed", "stray_end", "dangling_ref", "usemap")
+    direct = [r for r, _, _ in LINT_RULES if r not in grouped]
+
+    def cand(rule: Column | str, count: Column, arg: Column | str = "") -> Column:
+        r = F.lit(rule) if isinstance(rule, str) else rule
+        a = F.lit(arg) if isinstance(arg, str) else arg
+        return F.struct(r.alias("rule"), count.cast("bigint").alias("n"), a.alias("arg"))
+
     candidates = [
-        F.when(ns.isin(*direct), F.struct(ns.alias("rule"), key.alias("message"), n.alias("n"))),
-        F.when((ns == "tag") & (diff > 0) & ~key.isin(*no_unclosed),
-               _message("unclosed", render("unclosed", key), diff)),
-        F.when((ns == "tag") & (diff < 0) & ~key.isin(*no_stray),
-               _message("stray_end", render("stray_end", key), -diff)),
-        F.when((ns == "id") & (F.col("n_id") > 1),
-               _message("duplicate_id", render("duplicate_id", key), F.col("n_id") - 1)),
+        F.when(ns.isin(*direct), cand(ns, n)),
+        F.when((ns == "tag") & (diff > 0) & ~key.isin(*no_unclosed), cand("unclosed", diff)),
+        F.when((ns == "tag") & (diff < 0) & ~key.isin(*no_stray), cand("stray_end", -diff)),
+        F.when((ns == "id") & (F.col("n_id") > 1), cand("duplicate_id", F.col("n_id") - 1)),
         F.when((ns == "map") & (F.col("n_name") == 0) & (F.col("n_usemap") > 0),
-               _message("usemap", render("usemap", key), F.col("n_usemap"))),
+               cand("usemap", F.col("n_usemap"))),
     ]
     for i, a in enumerate(P.ID_REFERENCE_ATTRIBUTES):
         refs = F.col(f"ref_{i}")
         candidates.append(F.when((ns == "id") & (F.col("n_id") == 0) & (refs > 0),
-                                 _message("dangling_ref", render("dangling_ref", a, key), refs)))
-    msgs = c.select("page_id", *page_keys,
+                                 cand("dangling_ref", refs, a)))
+    msgs = c.select("page_id", *page_keys, "key",
                     F.explode(F.filter(F.array(*candidates), lambda m: m.isNotNull())).alias("m"))
+    rule, arg = F.col("m.rule"), F.col("m.arg")
+    text = (F.when(rule == "unclosed", render("unclosed", key))
+            .when(rule == "stray_end", render("stray_end", key))
+            .when(rule == "duplicate_id", render("duplicate_id", key))
+            .when(rule == "usemap", render("usemap", key))
+            .when(rule == "dangling_ref", render("dangling_ref", arg, key))
+            .otherwise(key))
     kind = F.create_map(*[x for r, k, _ in LINT_RULES for x in (F.lit(r), F.lit(k))])
     return msgs.select("page_id", *page_keys,
-                       F.col("m.rule").alias("rule"),
-                       kind[F.col("m.rule")].alias("kind"),
+                       rule.alias("rule"),
+                       kind[rule].alias("kind"),
                        F.lit("html5").alias("message_id"),
-                       F.col("m.message").alias("message"),
+                       text.alias("message"),
                        F.col("m.n").alias("n"))

@@ -107,19 +107,23 @@ def catalog_frame(spark: SparkSession, entries: list[CatalogEntry]) -> DataFrame
                                   for e in entries], schema)
 
 
-def _first_match(lm: Column, entries: list[CatalogEntry]) -> tuple[Column, Column, Column]:
-    """(matched?, canonical, variables) for one catalogue family."""
+def _first_match_index(lm: Column, entries: list[CatalogEntry]) -> Column:
+    """Index of the first live pattern found in ``lm`` (null if none)."""
     live = [e for e in entries if e.n_groups > 0]
     if not live:
-        return F.lit(False), F.lit(None).cast("string"), F.lit(None).cast("string")
-    idx = F.coalesce(*[F.when(lm.rlike(e.pattern), F.lit(e.idx)) for e in live])
+        return F.lit(None).cast("int")
+    return F.coalesce(*[F.when(lm.rlike(e.pattern), F.lit(e.idx)) for e in live])
+
+
+def _canonical_and_variables(lm: Column, idx: Column, entries: list[CatalogEntry]):
+    """(canonical, variables) of the entry ``idx``; ``idx`` must be a materialised column."""
     canon = F.lit(None).cast("string")
     var = F.lit(None).cast("string")
-    for e in reversed(live):
+    for e in reversed([e for e in entries if e.n_groups > 0]):
         groups = [M.scrub(F.regexp_extract(lm, e.pattern, g)) for g in range(1, e.n_groups + 1)]
         canon = F.when(idx == e.idx, F.lit(e.message)).otherwise(canon)
         var = F.when(idx == e.idx, F.lower(F.concat_ws(" | ", *groups))).otherwise(var)
-    return idx.isNotNull(), canon, var
+    return canon, var
 
 
 def classify(messages: DataFrame, catalogs: dict[str, list[CatalogEntry]]) -> DataFrame:
@@ -128,12 +132,21 @@ def classify(messages: DataFrame, catalogs: dict[str, list[CatalogEntry]]) -> Da
     ``message_id = 'html5'`` uses the html5 family, any other id the general one.
     Labels: ``html5 error - c``, ``error - <id> - c``, ``warning html5 - c``,
     ``warning - <id> - c``; an unmatched message keeps its own (scrubbed) text.
+    The first-match index is computed once into a column, then the label and the
+    variables are read off that index (the pattern tests are not repeated).
     """
+    cols = messages.columns
     lm = F.lower(F.col("message"))
-    h_hit, h_canon, h_var = _first_match(lm, catalogs.get(HTML5_FAMILY, []))
-    g_hit, g_canon, g_var = _first_match(lm, catalogs.get(GENERAL_FAMILY, []))
+    h_entries = catalogs.get(HTML5_FAMILY, [])
+    g_entries = catalogs.get(GENERAL_FAMILY, [])
     is_h5 = F.col("message_id") == HTML5_FAMILY
-    hit = F.when(is_h5, h_hit).otherwise(g_hit)
+    staged = messages.withColumn(
+        "_idx", F.when(is_h5, _first_match_index(lm, h_entries))
+                 .otherwise(_first_match_index(lm, g_entries)))
+    idx = F.col("_idx")
+    h_canon, h_var = _canonical_and_variables(lm, idx, h_entries)
+    g_canon, g_var = _canonical_and_variables(lm, idx, g_entries)
+    hit = idx.isNotNull()
     body = F.when(hit, F.when(is_h5, h_canon).otherwise(g_canon)).otherwise(M.scrub(F.col("message")))
     variables = F.when(hit, F.when(is_h5, h_var).otherwise(g_var))
     kind = F.col("kind")
@@ -141,7 +154,7 @@ def classify(messages: DataFrame, catalogs: dict[str, list[CatalogEntry]]) -> Da
              .when(kind == "error", F.concat(F.lit("error - "), F.col("message_id"), F.lit(" - "), body))
              .when(is_h5, F.concat(F.lit("warning html5 - "), body))
              .otherwise(F.concat(F.lit("warning - "), F.col("message_id"), F.lit(" - "), body)))
-    return messages.withColumn("canonical", label).withColumn("variables", variables)
+    return staged.select(*cols, label.alias("canonical"), variables.alias("variables"))
 
 
 # --- validator results (S8, W7) -------------------------------------------

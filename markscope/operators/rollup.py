@@ -25,13 +25,10 @@ def _ev(metric: str, key: Column, subkey: Column | None = None) -> Column:
                     (subkey if subkey is not None else F.lit("")).alias("subkey"))
 
 
-def _tag_events(raw: Column, scheme: Column) -> Column:
-    tag = M.tag_name(raw)
-    toks = M.attr_tokens(raw)
-    names = F.array_distinct(F.transform(toks, M.attr_name))
-    attrs = F.transform(names, lambda a: _ev("attributes", tag, a))
-    href = F.coalesce(M.value_in(toks, F.transform(toks, M.attr_name), "href"), F.lit(""))
-    src = M.value_in(toks, F.transform(toks, M.attr_name), "src")
+def _tag_events(tag: Column, toks: Column, names: Column, scheme: Column) -> Column:
+    attrs = F.transform(F.array_distinct(names), lambda a: _ev("attributes", tag, a))
+    href = F.coalesce(M.value_in(toks, names, "href"), F.lit(""))
+    src = M.value_in(toks, names, "src")
     single = F.array(
         _ev("elements", tag),
         F.when(tag.isin("a", "area"), _ev("protocols", M.link_protocol(href, scheme))),
@@ -41,22 +38,35 @@ def _tag_events(raw: Column, scheme: Column) -> Column:
 
 
 def markup_events(ok_pages: DataFrame) -> DataFrame:
-    """One row per (page, metric, key, subkey) occurrence for the markup metrics."""
-    events = F.flatten(F.transform("start_tags", lambda t: _tag_events(t, F.col("scheme"))))
-    return ok_pages.select("page_id", "is_html5", F.explode(events).alias("e")).select(
+    """One row per (page, metric, key, subkey) occurrence for the markup metrics.
+
+    Start tags are exploded first; tag name, attribute tokens and names are then
+    computed once per tag in generated code, and the events of a tag exploded.
+    """
+    tags = (ok_pages.select("page_id", "is_html5", "scheme", F.explode("start_tags").alias("raw"))
+            .withColumn("_tag", M.tag_name("raw"))
+            .withColumn("_toks", M.attr_tokens("raw")))
+    tags = tags.withColumn("_names", F.transform("_toks", M.attr_name))
+    events = _tag_events(F.col("_tag"), F.col("_toks"), F.col("_names"), F.col("scheme"))
+    return tags.select("page_id", "is_html5", F.explode(events).alias("e")).select(
         "page_id", "is_html5", "e.metric", "e.key", "e.subkey", F.lit(1).cast("bigint").alias("n"))
 
 
 def message_events(classified: DataFrame) -> DataFrame:
-    """Errors / warnings by class and by (class, variables); ``classified`` has page keys."""
-    flat = classified.select("page_id", "is_html5",
-                             F.concat(F.col("kind"), F.lit("s")).alias("metric"),
-                             F.col("canonical").alias("key"), F.lit("").alias("subkey"), "n")
-    nested = (classified.filter(F.col("variables").isNotNull() & (F.col("variables") != ""))
-              .select("page_id", "is_html5",
-                      F.concat(F.col("kind"), F.lit("_variables")).alias("metric"),
-                      F.col("canonical").alias("key"), F.col("variables").alias("subkey"), "n"))
-    return flat.unionByName(nested)
+    """Errors / warnings by class, and by (class, variables) when there are variables.
+
+    Both metrics come out of one explode, so the messages are computed once.
+    """
+    kind, canon, var = F.col("kind"), F.col("canonical"), F.col("variables")
+    both = F.array(
+        F.struct(F.concat(kind, F.lit("s")).alias("metric"), canon.alias("key"),
+                 F.lit("").alias("subkey")),
+        F.when(var.isNotNull() & (var != ""),
+               F.struct(F.concat(kind, F.lit("_variables")).alias("metric"), canon.alias("key"),
+                        var.alias("subkey"))))
+    return (classified.select("page_id", "is_html5", "n",
+                              F.explode(F.filter(both, lambda e: e.isNotNull())).alias("e"))
+            .select("page_id", "is_html5", "e.metric", "e.key", "e.subkey", "n"))
 
 
 def page_counts(events: DataFrame) -> DataFrame:

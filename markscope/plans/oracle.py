@@ -416,3 +416,90 @@ _LINT_SUBSETS = {
 for _name, _rules in _LINT_SUBSETS.items():
     ORACLE[_name] = with_ctes(True, f"SELECT page_id, rule, kind, message_id, message, n FROM lint "
                                     f"WHERE rule IN {in_list(_rules)}", lint=True)
+
+
+# --- WARC text built from pages, parsed back -----------------------------------
+
+def _warc_text(url: str, html: str, location: str | None = None) -> str:
+    head = lit("WARC/1.0\nWARC-Type: warcinfo\n\nWARC/1.0\nWARC-Type: response\nWARC-Target-URI: ")
+    mid = lit("\nContent-Type: application/http; msgtype=response\n\n")
+    if location is None:
+        return (f"{head} || {url} || {mid} || "
+                f"{lit(chr(10).join(['HTTP/1.1 200 OK', 'Server: nginx', 'Content-Type: text/html', '', '']))}"
+                f" || {html} || {lit(chr(10))}")
+    return (f"{head} || {url} || {mid} || {lit('HTTP/1.1 301 Moved Permanently' + chr(10) + 'Location: ')}"
+            f" || {location} || {lit(chr(10) * 2)}")
+
+
+def _last(lines: str, prefix: str) -> str:
+    hits = f"list_filter({lines}, lambda x: starts_with(x, {lit(prefix)}))"
+    return f"(CASE WHEN len({hits}) > 0 THEN substring({hits}[-1], {len(prefix) + 1}) END)"
+
+
+WARC_CTES = f"""
+files AS (
+  SELECT 'page-' || lpad(CAST(page_id AS VARCHAR), 10, '0') AS warc_name,
+         {_warc_text('url', 'html')} AS value FROM pages
+  UNION ALL
+  SELECT 'redir-' || lpad(CAST(a.page_id AS VARCHAR), 10, '0'),
+         {_warc_text('a.url', "''", "CASE WHEN a.page_id % 20 = 0 THEN b.url ELSE '/Moved//' || CAST(a.page_id AS VARCHAR) END")}
+  FROM pages a LEFT JOIN pages b ON b.page_id = a.page_id + 1
+  WHERE a.page_id % 10 = 0 AND (a.page_id % 20 <> 0 OR b.url IS NOT NULL)),
+wlines AS (
+  SELECT warc_name,
+         string_split(coalesce(string_split_regex(chr(10) || regexp_replace(value, '\r\n?', chr(10), 'g'),
+                                                  {lit(r"\nWARC/1\.0[^\n]*")})[3], ''), chr(10)) AS lines
+  FROM files),
+wpos AS (
+  SELECT *, list_position(list_transform(lines, lambda x: starts_with(x, '<')), true) AS first_lt FROM wlines),
+wparts AS (
+  SELECT *, CASE WHEN first_lt IS NOT NULL THEN lines[1:first_lt - 1] ELSE lines END AS pre,
+         list_filter(CASE WHEN first_lt IS NOT NULL THEN lines[first_lt:] ELSE [] END,
+                     lambda x: NOT (starts_with(x, 'WARC-Type: ') OR starts_with(x, 'WARC-Target-URI: '))) AS body
+  FROM wpos),
+wbody AS (
+  SELECT *, CASE WHEN body[-1] = '' THEN body[1:len(body) - 1] ELSE body END AS body2 FROM wparts),
+records AS (
+  SELECT warc_name AS warc, {_last('lines', 'WARC-Target-URI: ')} AS url,
+         CASE WHEN len(body2) > 0 THEN array_to_string(body2, chr(10)) || chr(10) ELSE '' END AS html,
+         {_last('lines', 'WARC-Type: ')} AS resource_type,
+         list_filter(pre, lambda x: starts_with(x, 'HTTP/'))[-1] AS http_code,
+         list_transform(list_filter(pre, lambda x: starts_with(x, 'Content-Type: ')), lambda x: substring(x, 15))[-1]
+           AS content_type,
+         {_last('pre', 'Server: ')} AS server,
+         list_has_any(list_transform(list_filter(pre, lambda x: starts_with(x, 'Content-Type: ')),
+                                     lambda x: substring(x, 15)), {('[' + ', '.join(lit(t) for t in P.NON_HTML_CONTENT_TYPES) + ']')})
+           AS not_html,
+         substring(list_filter(lines, lambda x: starts_with(x, 'Location: '))[1], 11) AS location
+  FROM wbody),
+rmap AS (
+  SELECT target, arg_max(origin, warc) AS origin FROM (
+    SELECT warc, url AS origin,
+           CASE WHEN starts_with(location, 'h') THEN location
+                ELSE lower(CASE WHEN ends_with(url, '/') AND starts_with(regexp_replace(location, '/{{2,}}', '/', 'g'), '/')
+                                THEN url || substring(regexp_replace(location, '/{{2,}}', '/', 'g'), 2)
+                                ELSE url || regexp_replace(location, '/{{2,}}', '/', 'g') END) END AS target
+    FROM records WHERE url IS NOT NULL AND location IS NOT NULL) GROUP BY target),
+wpages AS (SELECT * FROM records WHERE location IS NULL OR url IS NULL),
+joined AS (
+  SELECT p.warc, p.url, coalesce(r.origin, 'N.D.') AS original_url
+  FROM wpages p
+  LEFT JOIN (SELECT url, min(warc) AS warc FROM wpages WHERE url IS NOT NULL GROUP BY url) f
+    ON p.url = f.url AND p.warc = f.warc
+  LEFT JOIN rmap r ON f.url = r.target)"""
+
+
+def _warc(select: str) -> str:
+    return f"WITH {WARC_CTES}\n{select}"
+
+
+ORACLE.update({
+    "warc_records": _warc("SELECT warc, url, html, location FROM records"),
+    "warc_headers": _warc("SELECT warc, resource_type, url, http_code, content_type, server, not_html FROM records"),
+    "warc_body": _warc("SELECT warc, CAST(strlen(html) AS BIGINT) AS body_bytes, "
+                       "CAST(len(string_split(html, chr(10))) AS BIGINT) AS body_lines FROM records"),
+    "redirect_map": _warc("SELECT target, origin FROM rmap"),
+    "redirect_filter": _warc("SELECT warc, url FROM wpages"),
+    "redirect_join": _warc("SELECT warc, url, original_url FROM joined"),
+    "resume_batch": _warc("SELECT warc, url FROM records WHERE warc > 'page-0000000099'"),
+})

@@ -237,6 +237,66 @@ def q_catalog(spark, sf_dir):
         "family", "idx", "pattern", "message", "n_groups", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+# --- S / J / W on WARC text built from the page table ---------------------------
+
+RESUME_AFTER = "page-0000000099"
+
+
+def warc_records(spark, sf_dir):
+    from markscope.sources.warc import parse_warc, warc_files_from_pages
+    return parse_warc(warc_files_from_pages(read_pages(spark, sf_dir)))
+
+
+def q_warc_records(spark, sf_dir):
+    return warc_records(spark, sf_dir).select("warc", "url", "html", "location")
+
+
+def q_warc_headers(spark, sf_dir):
+    return warc_records(spark, sf_dir).select("warc", "resource_type", "url", "http_code",
+                                              "content_type", "server", "not_html")
+
+
+def q_warc_body(spark, sf_dir):
+    return warc_records(spark, sf_dir).select(
+        "warc", F.octet_length("html").cast("bigint").alias("body_bytes"),
+        F.size(F.split("html", "\n")).cast("bigint").alias("body_lines"))
+
+
+def q_redirect_map(spark, sf_dir):
+    from markscope.operators.redirects import redirect_map
+    return redirect_map(warc_records(spark, sf_dir))
+
+
+def q_redirect_filter(spark, sf_dir):
+    from markscope.operators.redirects import drop_redirect_records
+    return drop_redirect_records(warc_records(spark, sf_dir)).select("warc", "url")
+
+
+def q_redirect_join(spark, sf_dir):
+    from markscope.operators.redirects import attach_original_url, drop_redirect_records, redirect_map
+    recs = warc_records(spark, sf_dir)
+    pages = drop_redirect_records(recs).withColumn("original_url", F.lit(None).cast("string"))
+    return attach_original_url(pages, redirect_map(recs)).select(
+        "warc", "url", F.coalesce("original_url", F.lit("N.D.")).alias("original_url"))
+
+
+def q_resume_batch(spark, sf_dir):
+    from markscope.operators.redirects import resume_after
+    return resume_after(warc_records(spark, sf_dir), RESUME_AFTER).select("warc", "url")
+
+
+def q_warc_page_results(spark, sf_dir):
+    """P16 on the WARC path: header columns and original URLs filled from the records."""
+    from markscope.operators.redirects import pages_from_warc
+    from markscope.sources.warc import warc_files_from_pages
+    pages = pages_from_warc(warc_files_from_pages(read_pages(spark, sf_dir)))
+    parsed = facts.parse_pages(pages)
+    st = measures.with_status(parsed).filter(F.col("status") == "ok")
+    msgs = messages.classify(lint.lint_messages(st, ("is_html5",)),
+                             {messages.HTML5_FAMILY: messages.lint_catalog()})
+    return measures.page_results(measures.page_measures(parsed), message_totals(msgs))
+
+
 QUERIES: dict[str, Query] = {
     "elements": q_elements,
     "element_total": q_element_total,
@@ -285,4 +345,12 @@ QUERIES: dict[str, Query] = {
     "merge_counts": q_merge_counts,
     "dedupe_urls": q_dedupe_urls,
     "catalog": q_catalog,
+    "warc_records": q_warc_records,
+    "warc_headers": q_warc_headers,
+    "warc_body": q_warc_body,
+    "redirect_map": q_redirect_map,
+    "redirect_filter": q_redirect_filter,
+    "redirect_join": q_redirect_join,
+    "resume_batch": q_resume_batch,
+    "warc_page_results": q_warc_page_results,
 }

@@ -10,6 +10,19 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small input at least one partition per core.
+
+    A corpus of many files already has many more splits than cores and is left as
+    it is (no shuffle); a single small file (one row group, one task) is hashed on
+    ``page_id`` over the cores, which costs a shuffle of a few MB only.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, "page_id")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
@@ -41,7 +54,7 @@ def normalize_pages(df: DataFrame) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize_pages(read_table(spark, sf_dir, "pages"))
+    return normalize_pages(spread(read_table(spark, sf_dir, "pages")))
 
 
 # Markup variations applied to a page table so that rules without hits on plain
@@ -77,4 +90,4 @@ def vary_markup(pages: DataFrame) -> DataFrame:
 
 
 def read_varied_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize_pages(vary_markup(read_table(spark, sf_dir, "pages")))
+    return normalize_pages(vary_markup(spread(read_table(spark, sf_dir, "pages"))))
