@@ -503,3 +503,13 @@ ORACLE.update({
     "redirect_join": _warc("SELECT warc, url, original_url FROM joined"),
     "resume_batch": _warc("SELECT warc, url FROM records WHERE warc > 'page-0000000099'"),
 })
+
+# Streams over the plain page table: final state equals the batch answer.
+_MARKUP = "('elements', 'attributes', 'protocols', 'images')"
+ORACLE.update({
+    "stream_counts": with_ctes(False, "SELECT page_id, is_html5, metric, key, subkey, CAST(sum(n) AS BIGINT) AS n "
+                                      f"FROM events WHERE metric IN {_MARKUP} GROUP BY ALL", classified=True),
+    "stream_totals": with_ctes(False, "SELECT scope, metric, key, subkey, n FROM totals "
+                                      f"WHERE metric IN {_MARKUP}", classified=True),
+    "stream_dedupe": "SELECT DISTINCT url FROM pages",
+})

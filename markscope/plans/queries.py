@@ -297,6 +297,29 @@ def q_warc_page_results(spark, sf_dir):
     return measures.page_results(measures.page_measures(parsed), message_totals(msgs))
 
 
+# --- T: streaming ----------------------------------------------------------------
+
+def _stream(spark, sf_dir, starter, name):
+    from markscope.streaming import streams
+    src = streams.page_stream(spark, sf_dir, glob="pages.parquet")
+    return spark.read.parquet(streams.run_to_end(spark, starter, src, name))
+
+
+def q_stream_counts(spark, sf_dir):
+    from markscope.streaming import streams
+    return _stream(spark, sf_dir, streams.append_page_counts, "stream-counts").drop("batch_id")
+
+
+def q_stream_totals(spark, sf_dir):
+    from markscope.streaming import streams
+    return _stream(spark, sf_dir, streams.running_totals, "stream-totals")
+
+
+def q_stream_dedupe(spark, sf_dir):
+    from markscope.streaming import streams
+    return _stream(spark, sf_dir, streams.dedupe_urls, "stream-dedupe").select("url")
+
+
 QUERIES: dict[str, Query] = {
     "elements": q_elements,
     "element_total": q_element_total,
@@ -353,4 +376,7 @@ QUERIES: dict[str, Query] = {
     "redirect_join": q_redirect_join,
     "resume_batch": q_resume_batch,
     "warc_page_results": q_warc_page_results,
+    "stream_counts": q_stream_counts,
+    "stream_totals": q_stream_totals,
+    "stream_dedupe": q_stream_dedupe,
 }
