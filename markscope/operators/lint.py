@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from markscope.functions import markup as M
 from markscope.functions import patterns as P
+from markscope.session import cached_expr
 
 # Message templates of the lint rules, in the wording of the HTML validator.
 # {0}, {1} are the variable parts.  Fixed values: the catalogue of our lint.
@@ -139,11 +140,14 @@ def lint_events(parsed: DataFrame, page_keys: tuple[str, ...] = ()) -> DataFrame
     staged = (tok.withColumn("_tag", F.when(t == "s", M.tag_name(v)).otherwise(v))
               .withColumn("_toks", F.when(t == "s", M.attr_tokens(v))))
     staged = staged.withColumn("_names", F.transform("_toks", M.attr_name))
-    events = (F.when(t == "s", _start_tag_events(F.col("_tag"), F.col("_toks"), F.col("_names")))
-              .when(t == "e", F.array(_event("tag", v, "end")))
-              .otherwise(F.array(_event(t, v))))
-    return staged.select("page_id", *page_keys,
-                         F.explode(F.filter(events, lambda e: e.isNotNull())).alias("e"))
+
+    def build():
+        events = (F.when(t == "s", _start_tag_events(F.col("_tag"), F.col("_toks"), F.col("_names")))
+                  .when(t == "e", F.array(_event("tag", v, "end")))
+                  .otherwise(F.array(_event(t, v))))
+        return F.explode(F.filter(events, lambda e: e.isNotNull())).alias("e")
+
+    return staged.select("page_id", *page_keys, cached_expr("lint_events", build))
 
 
 def lint_counts(parsed: DataFrame, page_keys: tuple[str, ...] = ()) -> DataFrame:
@@ -192,8 +196,9 @@ def lint_messages(parsed: DataFrame, page_keys: tuple[str, ...] = ()) -> DataFra
         refs = F.col(f"ref_{i}")
         candidates.append(F.when((ns == "id") & (F.col("n_id") == 0) & (refs > 0),
                                  cand("dangling_ref", refs, a)))
-    msgs = c.select("page_id", *page_keys, "key",
-                    F.explode(F.filter(F.array(*candidates), lambda m: m.isNotNull())).alias("m"))
+    msgs = c.select("page_id", *page_keys, "key", cached_expr(
+        "lint_candidates",
+        lambda: F.explode(F.filter(F.array(*candidates), lambda m: m.isNotNull())).alias("m")))
     rule, arg = F.col("m.rule"), F.col("m.arg")
     text = (F.when(rule == "unclosed", render("unclosed", key))
             .when(rule == "stray_end", render("stray_end", key))

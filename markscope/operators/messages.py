@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from markscope.functions import markup as M
+from markscope.session import cached_expr
 
 MAX_CATALOG = 2000
 HTML5_FAMILY = "html5"
@@ -136,13 +137,25 @@ def classify(messages: DataFrame, catalogs: dict[str, list[CatalogEntry]]) -> Da
     variables are read off that index (the pattern tests are not repeated).
     """
     cols = messages.columns
-    lm = F.lower(F.col("message"))
     h_entries = catalogs.get(HTML5_FAMILY, [])
     g_entries = catalogs.get(GENERAL_FAMILY, [])
+    key = (tuple(h_entries), tuple(g_entries))
+    first = cached_expr(("classify_idx", key), lambda: _index_column(h_entries, g_entries))
+    label, variables = cached_expr(("classify_out", key), lambda: _label_columns(h_entries, g_entries))
+    return messages.withColumn("_idx", first).select(*cols, label.alias("canonical"),
+                                                     variables.alias("variables"))
+
+
+def _index_column(h_entries, g_entries) -> Column:
+    lm = F.lower(F.col("message"))
+    is_h5 = F.col("message_id") == HTML5_FAMILY
+    return (F.when(is_h5, _first_match_index(lm, h_entries))
+            .otherwise(_first_match_index(lm, g_entries)))
+
+
+def _label_columns(h_entries, g_entries):
+    lm = F.lower(F.col("message"))
     is_h5 = F.col("message_id") == HTML5_FAMILY
-    staged = messages.withColumn(
-        "_idx", F.when(is_h5, _first_match_index(lm, h_entries))
-                 .otherwise(_first_match_index(lm, g_entries)))
     idx = F.col("_idx")
     h_canon, h_var = _canonical_and_variables(lm, idx, h_entries)
     g_canon, g_var = _canonical_and_variables(lm, idx, g_entries)
@@ -154,7 +167,7 @@ def classify(messages: DataFrame, catalogs: dict[str, list[CatalogEntry]]) -> Da
              .when(kind == "error", F.concat(F.lit("error - "), F.col("message_id"), F.lit(" - "), body))
              .when(is_h5, F.concat(F.lit("warning html5 - "), body))
              .otherwise(F.concat(F.lit("warning - "), F.col("message_id"), F.lit(" - "), body)))
-    return staged.select(*cols, label.alias("canonical"), variables.alias("variables"))
+    return label, variables
 
 
 # --- validator results (S8, W7) -------------------------------------------

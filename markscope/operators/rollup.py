@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markscope.functions import markup as M
+from markscope.session import cached_expr
 
 FLAT_METRICS = ["elements", "protocols", "images", "errors", "warnings"]
 NESTED_METRICS = ["attributes", "error_variables", "warning_variables"]
@@ -47,8 +48,9 @@ def markup_events(ok_pages: DataFrame) -> DataFrame:
             .withColumn("_tag", M.tag_name("raw"))
             .withColumn("_toks", M.attr_tokens("raw")))
     tags = tags.withColumn("_names", F.transform("_toks", M.attr_name))
-    events = _tag_events(F.col("_tag"), F.col("_toks"), F.col("_names"), F.col("scheme"))
-    return tags.select("page_id", "is_html5", F.explode(events).alias("e")).select(
+    events = cached_expr("markup_events", lambda: F.explode(
+        _tag_events(F.col("_tag"), F.col("_toks"), F.col("_names"), F.col("scheme"))).alias("e"))
+    return tags.select("page_id", "is_html5", events).select(
         "page_id", "is_html5", "e.metric", "e.key", "e.subkey", F.lit(1).cast("bigint").alias("n"))
 
 

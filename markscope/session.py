@@ -60,9 +60,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_EXPR_CACHE: dict = {}
+
+
+def cached_expr(key, build):
+    """Build a Column expression once per SparkContext and reuse it.
+
+    Large rule expressions cost thousands of Py4J calls to assemble; the result is
+    a plain expression tree that any DataFrame of the same context can reuse.
+    """
+    from pyspark import SparkContext
+    k = (id(SparkContext._active_spark_context), key)
+    if k not in _EXPR_CACHE:
+        _EXPR_CACHE[k] = build()
+    return _EXPR_CACHE[k]
+
+
 def local_path(path: str) -> str:
     """Strip a ``file:`` scheme for Python-side checks in tests."""
     return path[5:] if path.startswith("file:") else path
 
 
-__all__ = ["build_session", "checkpoint_root", "scratch_path", "local_path"]
+__all__ = ["build_session", "checkpoint_root", "scratch_path", "local_path", "cached_expr"]
