@@ -82,3 +82,27 @@ def test_validator_results_json(spark, tmp_path):
     assert [(m.kind, m.message) for m in msgs] == [("error", "Duplicate ID a."), ("warning", "Consider x.")]
     assert messages.validator_charsets(res).first().encoding == "utf-8"
     assert messages.validator_messages(res).filter(F.col("last_line") == 1).count() == 1
+
+
+def test_validator_join_sets_status_and_charset(spark, pages_df):
+    from markscope.operators import measures
+    parsed = facts.parse_pages(pages_df([(1, "http://a/", "<p>x</p>"), (2, "http://a/", "<p>y</p>"),
+                                         (3, "http://a/", "<p>z</p>")]))
+    v = spark.createDataFrame([(1, "UTF-8"), (3, "koi8-r")], "page_id bigint, encoding string")
+    got = {r.page_id: (r.status, r.charset) for r in measures.with_status(parsed, v).collect()}
+    assert got == {1: ("ok", "utf-8"), 2: ("failed_validation", None), 3: ("failed_validation", "koi8-r")}
+
+
+def test_catalog_from_files(spark, tmp_path):
+    pats = os.path.join(str(tmp_path), "p.txt")
+    msgs = os.path.join(str(tmp_path), "m.txt")
+    with open(pats, "w") as f:
+        f.write("Bad value (.*)? for attribute (.*)?.\nno group here\n")
+    with open(msgs, "w") as f:
+        f.write("Bad value X for attribute Y.\nNo group here\n")
+    cat = messages.read_catalog_files("general", pats, msgs)
+    assert [(e.idx, e.n_groups) for e in cat] == [(0, 2), (1, 0)]
+    frame = messages.catalog_frame(spark, cat)
+    assert frame.count() == 2
+    got = _classify(spark, [("warning", "42", "Bad value FOO for attribute href.")], {"general": cat})
+    assert got == [("warning - 42 - bad value x for attribute y.", "foo | href")]
