@@ -17,8 +17,12 @@ def spread(df: DataFrame) -> DataFrame:
     it is (no shuffle); a single small file (one row group, one task) is hashed on
     ``page_id`` over the cores, which costs a shuffle of a few MB only.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. Spark Connect): leave the input as it is
+        return df
+    if parts >= cores:
         return df
     return df.repartition(cores, "page_id")
 
