@@ -102,14 +102,14 @@ def varied_html() -> str:
     return f"CASE page_id % 10 {' '.join(cases)} ELSE {out} END"
 
 
-def base_ctes(varied: bool) -> str:
+def base_ctes(varied: bool, source: str = "pages") -> str:
     html = varied_html() if varied else "html"
     known = in_list(P.UTF8_CHARSETS + P.SINGLE_BYTE_CHARSETS)
     doc_found = f"regexp_extract(markup, {lit(P.DOCTYPE)}, 0)"
     text = (f"array_to_string(list_filter(list_transform(regexp_split_to_array(markup, {lit(P.MARKUP_RE2)}), "
             f"lambda x: trim(regexp_replace({decode('x')}, {lit(P.BLANKS)}, ' ', 'g'))), lambda x: x <> ''), '')")
     return f"""
-src AS (SELECT page_id, url, coalesce({html}, '') AS html FROM pages),
+src AS (SELECT page_id, url, coalesce({html}, '') AS html FROM {source}),
 staged AS (
   SELECT page_id, url, html,
          regexp_replace(regexp_replace(html, {lit(P.COMMENT)}, '', 'g'),
@@ -513,3 +513,20 @@ ORACLE.update({
                                       f"WHERE metric IN {_MARKUP}", classified=True),
     "stream_dedupe": "SELECT DISTINCT url FROM pages",
 })
+
+# P16 on the WARC path: the records (redirect records dropped) are the pages, keyed by file name.
+ORACLE["warc_page_results"] = (
+    "WITH " + WARC_CTES + ",\nwsrc AS (SELECT warc AS page_id, url, html FROM wpages),"
+    + base_ctes(False, "wsrc") + lint_cte() + classify_cte() + f"""
+SELECT r.page_id AS warc, r.url, j.original_url, num_elements, doctype, num_links, num_internal_links,
+       num_bookmarks, num_external_links, num_images, num_comments, file_size, text_size, elements_size,
+       comments_size, text_to_elements, elements_to_size, text_to_size, comments_to_size,
+       CAST(coalesce(num_errors, 0) AS BIGINT) AS num_errors,
+       CAST(coalesce(num_warnings, 0) AS BIGINT) AS num_warnings,
+       coalesce(w.resource_type, 'NA') AS type, coalesce(w.http_code, 'NA') AS http_code,
+       coalesce(w.content_type, 'NA') AS content_type, coalesce(w.server, 'NA') AS server, r.charset
+FROM ratios r
+JOIN wpages w ON w.warc = r.page_id
+JOIN joined j ON j.warc = r.page_id
+LEFT JOIN msg_totals m ON r.page_id = m.page_id
+WHERE r.status = 'ok' AND NOT coalesce(w.not_html, false)""")
