@@ -1,7 +1,7 @@
 """Benchmark the headline queries; prints ONE JSON line.
 
 Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_RUNS (timed runs per query after one warm-up, default 3; the median is kept).
+BENCH_RUNS (timed runs per query after one warm-up, default 5; the median is kept).
 Each query is executed in full with the ``noop`` sink (no collect to the driver).
 """
 
@@ -23,7 +23,7 @@ HEADLINE = ["element_counts", "page_results", "message_classes", "totals_flat",
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "5"))
     from markscope.session import build_session
     from markscope.plans.queries import QUERIES
 

@@ -29,6 +29,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         # one parquet split per 64 MB keeps a task's html within executor memory
         "spark.sql.files.maxPartitionBytes": str(64 * 1024 * 1024),
     }
+    if master and master.startswith("local"):
+        # local mode runs every task in the driver JVM; its default 1 GB heap thrashes
+        conf["spark.driver.memory"] = "8g"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     for key, value in conf.items():
