@@ -114,7 +114,8 @@ def _reference_events(value: Column, attr: str) -> Column:
     return F.transform(ids, lambda x: _event("id", x, attr))
 
 
-def page_tokens(parsed: DataFrame, page_keys: tuple[str, ...] = ()) -> DataFrame:
+def page_tokens(parsed: DataFrame, page_keys: tuple[str, ...] = (),
+                carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per token of a page: ``t`` = 's' start tag, 'e' end tag, else a page finding.
 
     Exploding first lets the per-token work below run as generated code with common
@@ -130,30 +131,51 @@ def page_tokens(parsed: DataFrame, page_keys: tuple[str, ...] = ()) -> DataFrame
         F.transform("start_tags", lambda x: F.struct(F.lit("s").alias("t"), x.alias("v"))),
         F.transform("end_tags", lambda x: F.struct(F.lit("e").alias("t"), x.alias("v"))),
         F.filter(page_level, lambda x: x.isNotNull()))
-    return (parsed.select("page_id", *page_keys, F.explode(tokens).alias("x"))
-            .select("page_id", *page_keys, F.col("x.t").alias("t"), F.col("x.v").alias("v")))
+    return (parsed.select("page_id", *page_keys, *carry, F.explode(tokens).alias("x"))
+            .select("page_id", *page_keys, *carry, F.col("x.t").alias("t"), F.col("x.v").alias("v")))
 
 
-def lint_events(parsed: DataFrame, page_keys: tuple[str, ...] = ()) -> DataFrame:
-    tok = page_tokens(parsed, page_keys)
+def token_events(parsed: DataFrame, page_keys: tuple[str, ...] = (),
+                 with_markup: bool = False) -> DataFrame:
+    """Lint events of every token; with ``with_markup`` also the count events of each start tag
+    (elements, attributes, protocols, images; ``ns`` = metric, ``sub`` = subkey)."""
+    from markscope.operators.rollup import tag_metric_events
+    carry = ("scheme",) if with_markup else ()
+    tok = page_tokens(parsed, page_keys, carry)
     t, v = F.col("t"), F.col("v")
-    staged = (tok.withColumn("_tag", F.when(t == "s", M.tag_name(v)).otherwise(v))
-              .withColumn("_toks", F.when(t == "s", M.attr_tokens(v))))
+    staged = tok.select("page_id", *page_keys, *carry, "t", "v",
+                        F.when(t == "s", M.tag_name(v)).otherwise(v).alias("_tag"),
+                        F.when(t == "s", M.attr_tokens(v)).alias("_toks"))
     staged = staged.withColumn("_names", F.transform("_toks", M.attr_name))
 
     def build():
-        events = (F.when(t == "s", _start_tag_events(F.col("_tag"), F.col("_toks"), F.col("_names")))
+        tag, toks, names = F.col("_tag"), F.col("_toks"), F.col("_names")
+        start = _start_tag_events(tag, toks, names)
+        if with_markup:
+            metric = F.transform(tag_metric_events(tag, toks, names, F.col("scheme")),
+                                 lambda m: _event(m["metric"], m["key"], m["subkey"]))
+            start = F.concat(start, metric)
+        events = (F.when(t == "s", start)
                   .when(t == "e", F.array(_event("tag", v, "end")))
                   .otherwise(F.array(_event(t, v))))
         return F.explode(F.filter(events, lambda e: e.isNotNull())).alias("e")
 
-    return staged.select("page_id", *page_keys, cached_expr("lint_events", build))
+    return staged.select("page_id", *page_keys, cached_expr(("token_events", with_markup), build))
 
 
-def lint_counts(parsed: DataFrame, page_keys: tuple[str, ...] = ()) -> DataFrame:
-    """Events aggregated per ``(page_id, ns, key)`` (+ page keys carried as group keys)."""
-    ev = lint_events(parsed, page_keys)
-    sub = F.col("e.sub")
+MARKUP_METRICS = ["elements", "attributes", "protocols", "images"]
+
+
+def event_counts(parsed: DataFrame, page_keys: tuple[str, ...] = (),
+                 with_markup: bool = False) -> DataFrame:
+    """Events aggregated per ``(page_id, ns, key, gsub)`` (+ page keys carried as group keys).
+
+    ``gsub`` is the subkey of a markup metric and empty for lint events, whose
+    ``sub`` values become fixed-width conditional counts instead.
+    """
+    ev = token_events(parsed, page_keys, with_markup)
+    ns, sub = F.col("e.ns"), F.col("e.sub")
+    gsub = F.when(ns.isin(*MARKUP_METRICS), sub).otherwise(F.lit("")) if with_markup else F.lit("")
     aggs = [F.count(F.lit(1)).alias("n"),
             F.count_if(sub == "start").alias("n_start"),
             F.count_if(sub == "end").alias("n_end"),
@@ -161,17 +183,34 @@ def lint_counts(parsed: DataFrame, page_keys: tuple[str, ...] = ()) -> DataFrame
             F.count_if(sub == "usemap").alias("n_usemap"),
             F.count_if(sub == "name").alias("n_name")]
     aggs += [F.count_if(sub == a).alias(f"ref_{i}") for i, a in enumerate(P.ID_REFERENCE_ATTRIBUTES)]
-    return (ev.groupBy("page_id", *page_keys, F.col("e.ns").alias("ns"), F.col("e.key").alias("key"))
+    return (ev.groupBy("page_id", *page_keys, ns.alias("ns"), F.col("e.key").alias("key"),
+                       gsub.alias("gsub"))
             .agg(*aggs))
 
 
+def lint_events(parsed: DataFrame, page_keys: tuple[str, ...] = ()) -> DataFrame:
+    return token_events(parsed, page_keys, with_markup=False)
+
+
+def lint_counts(parsed: DataFrame, page_keys: tuple[str, ...] = ()) -> DataFrame:
+    """Lint events aggregated per ``(page_id, ns, key)`` (+ page keys carried as group keys)."""
+    return event_counts(parsed, page_keys, with_markup=False)
+
+
 def lint_messages(parsed: DataFrame, page_keys: tuple[str, ...] = ()) -> DataFrame:
-    """Messages of all lint rules: ``page_id, *page_keys, rule, kind, message_id, message, n``.
+    """Messages of all lint rules: ``page_id, *page_keys, rule, kind, message_id, message, n``."""
+    return messages_from_counts(lint_counts(parsed, page_keys), page_keys)
+
+
+def messages_from_counts(c: DataFrame, page_keys: tuple[str, ...] = (),
+                         keep_markup: bool = False) -> DataFrame:
+    """Lint messages from aggregated events.
 
     Each aggregated group yields at most a few ``(rule, n, arg)`` candidates; the
     message text is rendered once, after the explode, by one CASE over the rule.
+    Markup metric rows yield nothing, or with ``keep_markup`` one row with
+    ``rule = 'markup'`` and ``metric, key, subkey`` set (message columns null).
     """
-    c = lint_counts(parsed, page_keys)
     ns, key, n = F.col("ns"), F.col("key"), F.col("n")
     diff = F.col("n_start") - F.col("n_end")
     no_unclosed = P.VOID_ELEMENTS + P.OPTIONAL_END_ELEMENTS + P.RAW_TEXT_ELEMENTS
@@ -196,8 +235,10 @@ def lint_messages(parsed: DataFrame, page_keys: tuple[str, ...] = ()) -> DataFra
         refs = F.col(f"ref_{i}")
         candidates.append(F.when((ns == "id") & (F.col("n_id") == 0) & (refs > 0),
                                  cand("dangling_ref", refs, a)))
-    msgs = c.select("page_id", *page_keys, "key", cached_expr(
-        "lint_candidates",
+    if keep_markup:
+        candidates.append(F.when(ns.isin(*MARKUP_METRICS), cand("markup", n, F.col("gsub"))))
+    msgs = c.select("page_id", *page_keys, "key", "ns", cached_expr(
+        ("lint_candidates", keep_markup),
         lambda: F.explode(F.filter(F.array(*candidates), lambda m: m.isNotNull())).alias("m")))
     rule, arg = F.col("m.rule"), F.col("m.arg")
     text = (F.when(rule == "unclosed", render("unclosed", key))
@@ -207,9 +248,13 @@ def lint_messages(parsed: DataFrame, page_keys: tuple[str, ...] = ()) -> DataFra
             .when(rule == "dangling_ref", render("dangling_ref", arg, key))
             .otherwise(key))
     kind = F.create_map(*[x for r, k, _ in LINT_RULES for x in (F.lit(r), F.lit(k))])
-    return msgs.select("page_id", *page_keys,
-                       rule.alias("rule"),
-                       kind[rule].alias("kind"),
-                       F.lit("html5").alias("message_id"),
-                       text.alias("message"),
-                       F.col("m.n").alias("n"))
+    is_msg = rule != "markup"
+    cols = [rule.alias("rule"),
+            F.when(is_msg, kind[rule]).alias("kind"),
+            F.when(is_msg, F.lit("html5")).alias("message_id"),
+            F.when(is_msg, text).alias("message"),
+            F.col("m.n").alias("n")]
+    if keep_markup:
+        cols += [F.when(~is_msg, F.col("ns")).alias("metric"), F.when(~is_msg, key).alias("mkey"),
+                 F.when(~is_msg, arg).alias("msubkey")]
+    return msgs.select("page_id", *page_keys, *cols)

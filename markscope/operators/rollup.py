@@ -26,7 +26,8 @@ def _ev(metric: str, key: Column, subkey: Column | None = None) -> Column:
                     (subkey if subkey is not None else F.lit("")).alias("subkey"))
 
 
-def _tag_events(tag: Column, toks: Column, names: Column, scheme: Column) -> Column:
+def tag_metric_events(tag: Column, toks: Column, names: Column, scheme: Column) -> Column:
+    """array<struct<metric, key, subkey>> of one start tag for the markup metrics."""
     attrs = F.transform(F.array_distinct(names), lambda a: _ev("attributes", tag, a))
     href = F.coalesce(M.value_in(toks, names, "href"), F.lit(""))
     src = M.value_in(toks, names, "src")
@@ -49,11 +50,39 @@ def markup_events(ok_pages: DataFrame) -> DataFrame:
             .withColumn("_toks", M.attr_tokens("raw")))
     tags = tags.withColumn("_names", F.transform("_toks", M.attr_name))
     events = cached_expr("markup_events", lambda: F.explode(
-        _tag_events(F.col("_tag"), F.col("_toks"), F.col("_names"), F.col("scheme"))).alias("e"))
+        tag_metric_events(F.col("_tag"), F.col("_toks"), F.col("_names"), F.col("scheme"))).alias("e"))
     return tags.select("page_id", "is_html5", events).select(
         "page_id", "is_html5", "e.metric", "e.key", "e.subkey", F.lit(1).cast("bigint").alias("n"))
 
 
+def markup_from_counts(counts: DataFrame) -> DataFrame:
+    """Per-page markup counts out of the shared event aggregation (``lint.event_counts``)."""
+    from markscope.operators.lint import MARKUP_METRICS
+    return (counts.filter(F.col("ns").isin(*MARKUP_METRICS))
+            .select("page_id", "is_html5", F.col("ns").alias("metric"), "key",
+                    F.col("gsub").alias("subkey"), F.col("n").cast("bigint").alias("n")))
+
+
+def events_from_rows(rows: DataFrame) -> DataFrame:
+    """Count events from classified rows of ``lint.messages_from_counts(..., keep_markup=True)``.
+
+    One narrow explode: a markup row gives its own count; a message gives its class
+    and, with variables, its (class, variables) pair.
+    """
+    kind, canon, var = F.col("kind"), F.col("canonical"), F.col("variables")
+    is_markup = F.col("rule") == "markup"
+    ev = F.array(
+        F.when(is_markup, F.struct(F.col("metric"), F.col("mkey").alias("key"),
+                                   F.col("msubkey").alias("subkey"))),
+        F.when(~is_markup, F.struct(F.concat(kind, F.lit("s")).alias("metric"), canon.alias("key"),
+                                    F.lit("").alias("subkey"))),
+        F.when(~is_markup & var.isNotNull() & (var != ""),
+               F.struct(F.concat(kind, F.lit("_variables")).alias("metric"), canon.alias("key"),
+                        var.alias("subkey"))))
+    return (rows.select("page_id", "is_html5", "n", F.explode(F.filter(ev, lambda e: e.isNotNull())).alias("e"))
+            .select("page_id", "is_html5", "e.metric", "e.key", "e.subkey", "n"))
+
+
 def message_events(classified: DataFrame) -> DataFrame:
     """Errors / warnings by class, and by (class, variables) when there are variables.
 
