@@ -47,7 +47,11 @@ def with_status(parsed: DataFrame, validator_charset: DataFrame | None = None) -
 
 def page_measures(parsed: DataFrame, validator_charset: DataFrame | None = None) -> DataFrame:
     """Parsed pages -> status, counters, sizes and ratios; one row per page."""
-    df = with_status(parsed, validator_charset)
+    return page_measures_of_status(with_status(parsed, validator_charset))
+
+
+def page_measures_of_status(df: DataFrame) -> DataFrame:
+    """Counters, sizes and ratios of parsed pages that already carry ``charset`` and ``status``."""
     tags = F.col("start_tags")
     link_tags = F.filter(tags, _is_tag(["a", "area"]))
     hrefs = F.transform(link_tags, lambda t: F.coalesce(M.attr_lookup(t, "href"), F.lit("")))

@@ -33,6 +33,11 @@ def write_counts(counts: DataFrame, path: str, mode: str = "overwrite") -> None:
     counts.write.mode(mode).partitionBy("metric", "is_html5").parquet(path)
 
 
+def read_counts(spark, path: str) -> DataFrame:
+    """Read a count table back; partition values come back as strings, so types are restored."""
+    return spark.read.parquet(path).withColumn("is_html5", F.col("is_html5").cast("boolean"))
+
+
 def write_totals(totals: DataFrame, path: str, mode: str = "overwrite") -> None:
     """K4/K5: corpus totals; rows of one key kept together by a range partitioning.
 
