@@ -107,7 +107,7 @@ def base_ctes(varied: bool, source: str = "pages") -> str:
     known = in_list(P.UTF8_CHARSETS + P.SINGLE_BYTE_CHARSETS)
     doc_found = f"regexp_extract(markup, {lit(P.DOCTYPE)}, 0)"
     text = (f"array_to_string(list_filter(list_transform(regexp_split_to_array(markup, {lit(P.MARKUP_RE2)}), "
-            f"lambda x: trim(regexp_replace({decode('x')}, {lit(P.BLANKS)}, ' ', 'g'))), lambda x: x <> ''), '')")
+            f"lambda x: trim(regexp_replace({decode('x')}, {lit(P.BLANKS)}, ' ', 'g'), ' ')), lambda x: x <> ''), '')")
     return f"""
 src AS (SELECT page_id, url, coalesce({html}, '') AS html FROM {source}),
 staged AS (
@@ -224,9 +224,9 @@ def lint_cte() -> str:
             WHERE list_contains(el.names, r.a) GROUP BY ALL""",
         f"""SELECT page_id, 'redundant_role', {msg('redundant_role', 'r.role', 'r.t')}, count(*)
             FROM el JOIN (VALUES {roles}) r(t, role) ON el.tag = r.t
-            WHERE lower(trim({value_in('toks', 'names', 'role')})) = r.role GROUP BY ALL""",
+            WHERE lower(trim({value_in('toks', 'names', 'role')}, ' ')) = r.role GROUP BY ALL""",
         f"""SELECT page_id, 'script_type', {msg('script_type')}, count(*)
-            FROM el WHERE tag = 'script' AND lower(trim({value_in('toks', 'names', 'type')})) IN {in_list(JS_TYPES)}
+            FROM el WHERE tag = 'script' AND lower(trim({value_in('toks', 'names', 'type')}, ' ')) IN {in_list(JS_TYPES)}
             GROUP BY ALL""",
         f"""SELECT page_id, CASE WHEN d > 0 THEN 'unclosed' ELSE 'stray_end' END,
                    CASE WHEN d > 0 THEN {msg('unclosed', 'tag')} ELSE {msg('stray_end', 'tag')} END, abs(d)
