@@ -116,15 +116,25 @@ def url_scheme(url: Column | str) -> Column:
 
 
 def byte_size(text: Column, charset: Column) -> Column:
-    """Bytes of ``text`` in ``charset``; null for a charset we cannot size."""
+    """Bytes of ``text`` encoded in ``charset``; null for a charset we cannot size.
+
+    UTF-16 counts code units (code points plus one per supplementary character);
+    plain "UTF-16" adds the byte order mark Java writes for a non-empty text.
+    """
     cs = F.lower(charset)
+    n = F.length(text)
+    units = n + F.length(F.regexp_replace(text, P.SUPPLEMENTARY, ""))
     return (F.when(cs.isin(*P.UTF8_CHARSETS), F.octet_length(text))
-            .when(cs.isin(*P.SINGLE_BYTE_CHARSETS), F.length(text))
+            .when(cs.isin(*P.SINGLE_BYTE_CHARSETS), n)
+            .when(cs.isin(*P.UTF16_CHARSETS), units * 2)
+            .when(cs.isin(*P.UTF16_BOM_CHARSETS), F.when(n > 0, units * 2 + 2).otherwise(0))
+            .when(cs.isin(*P.UTF32_CHARSETS), n * 4)
             .cast("bigint"))
 
 
 def known_charset(charset: Column) -> Column:
-    return F.lower(charset).isin(*(P.UTF8_CHARSETS + P.SINGLE_BYTE_CHARSETS))
+    return F.lower(charset).isin(*(P.UTF8_CHARSETS + P.SINGLE_BYTE_CHARSETS + P.UTF16_CHARSETS
+                                   + P.UTF16_BOM_CHARSETS + P.UTF32_CHARSETS))
 
 
 def ratio(num: Column, den: Column) -> Column:

@@ -96,6 +96,10 @@ ENTITIES = [
 # Charsets whose byte size we can compute alike in Spark and DuckDB.
 UTF8_CHARSETS = ["utf-8", "utf8"]
 SINGLE_BYTE_CHARSETS = ["iso-8859-1", "latin1", "us-ascii", "ascii", "windows-1252"]
+UTF16_CHARSETS = ["utf-16le", "utf-16be"]          # 2 bytes per UTF-16 code unit
+UTF16_BOM_CHARSETS = ["utf-16"]                    # the same plus a 2-byte byte order mark
+UTF32_CHARSETS = ["utf-32", "utf-32le", "utf-32be"]  # 4 bytes per code point, no mark
+SUPPLEMENTARY = r"[^\x{10000}-\x{10FFFF}]"       # removing these leaves the non-BMP characters
 DEFAULT_CHARSET = "utf-8"
 
 # HTML elements without end tag, with optional end tag, and with raw text.

@@ -83,8 +83,13 @@ def image_format(src: str) -> str:
 
 
 def byte_size(text: str, cs: str) -> str:
+    units = f"(length({text}) + length(regexp_replace({text}, {lit(P.SUPPLEMENTARY)}, '', 'g')))"
     return (f"CAST(CASE WHEN lower({cs}) IN {in_list(P.UTF8_CHARSETS)} THEN strlen({text}) "
-            f"WHEN lower({cs}) IN {in_list(P.SINGLE_BYTE_CHARSETS)} THEN length({text}) END AS BIGINT)")
+            f"WHEN lower({cs}) IN {in_list(P.SINGLE_BYTE_CHARSETS)} THEN length({text}) "
+            f"WHEN lower({cs}) IN {in_list(P.UTF16_CHARSETS)} THEN {units} * 2 "
+            f"WHEN lower({cs}) IN {in_list(P.UTF16_BOM_CHARSETS)} THEN "
+            f"CASE WHEN length({text}) > 0 THEN {units} * 2 + 2 ELSE 0 END "
+            f"WHEN lower({cs}) IN {in_list(P.UTF32_CHARSETS)} THEN length({text}) * 4 END AS BIGINT)")
 
 
 def ratio(a: str, b: str) -> str:
@@ -104,7 +109,8 @@ def varied_html() -> str:
 
 def base_ctes(varied: bool, source: str = "pages") -> str:
     html = varied_html() if varied else "html"
-    known = in_list(P.UTF8_CHARSETS + P.SINGLE_BYTE_CHARSETS)
+    known = in_list(P.UTF8_CHARSETS + P.SINGLE_BYTE_CHARSETS + P.UTF16_CHARSETS + P.UTF16_BOM_CHARSETS
+                    + P.UTF32_CHARSETS)
     doc_found = f"regexp_extract(markup, {lit(P.DOCTYPE)}, 0)"
     text = (f"array_to_string(list_filter(list_transform(regexp_split_to_array(markup, {lit(P.MARKUP_RE2)}), "
             f"lambda x: trim(regexp_replace({decode('x')}, {lit(P.BLANKS)}, ' ', 'g'), ' ')), lambda x: x <> ''), '')")

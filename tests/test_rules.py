@@ -56,9 +56,13 @@ def test_sizes_and_charsets(spark, pages_df):
     parsed = facts.parse_pages(pages_df([(1, "http://a.example/", html)]))
     row = parsed.select("file_size", "text", "comments").first()
     assert row.file_size == 19 and row.text == "é" and row.comments == [" c "]
-    got = _eval(spark, [M.byte_size(F.col("t"), F.col("c"))], [("é", "UTF-8"), ("é", "ISO-8859-1"), ("é", "koi8-r")],
-                "t string, c string")
-    assert [g[0] for g in got] == [2, 1, None]
+    cases = [("é", "UTF-8"), ("é", "ISO-8859-1"), ("é", "koi8-r"), ("é\U0001F600", "UTF-16LE"),
+             ("é\U0001F600", "UTF-16"), ("", "UTF-16"), ("é\U0001F600", "UTF-32")]
+    got = _eval(spark, [M.byte_size(F.col("t"), F.col("c"))], cases, "t string, c string")
+    # ground truth: the JVM's own encoder, through Spark's encode()
+    java = [spark.sql(f"SELECT octet_length(encode('{t}', '{c}'))").first()[0] if c != "koi8-r" else None
+            for t, c in cases]
+    assert [g[0] for g in got] == java == [2, 1, None, 6, 8, 0, 8]
 
 
 def test_status_order(spark, pages_df):
