@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from markscope.functions import markup as M
 from markscope.functions import patterns as P
+from markscope.session import cached_expr
 
 # Columns of the normalised page input (sources produce these).
 PAGE_INPUT_COLUMNS = ["page_id", "warc", "url", "html", "original_url", "resource_type",
@@ -26,20 +27,26 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     is_html5, declared_charset, file_size, start_tags, end_tags, comments, text``.
     """
     carry = [c for c in pages.columns if c != "html"]
+    stage1, stage2 = cached_expr("parse_pages", _parse_columns)
+    return pages.select(*carry, *stage1).select(*carry, *stage2)
+
+
+def _parse_columns():
     html = F.coalesce(F.col("html"), F.lit(""))
-    staged = pages.select(*carry, html.alias("_html"), M.markup_only(html).alias("_markup"))
-    parsed = staged.select(
-        *carry,
+    stage1 = [html.alias("_html"), M.markup_only(html).alias("_markup")]
+    doctype = M.doctype("_markup")
+    stage2 = [
         M.url_scheme("url").alias("scheme"),
-        M.doctype("_markup").alias("doctype"),
+        doctype.alias("doctype"),
         M.declared_charset("_markup").alias("declared_charset"),
         F.octet_length("_html").cast("bigint").alias("file_size"),
         M.start_tags("_markup").alias("start_tags"),
         M.end_tag_names("_markup").alias("end_tags"),
         M.comment_texts("_html").alias("comments"),
         M.page_text("_markup").alias("text"),
-    )
-    return parsed.withColumn("is_html5", M.is_html5(F.col("doctype")))
+        M.is_html5(doctype).alias("is_html5"),
+    ]
+    return stage1, stage2
 
 
 def element_rows(parsed: DataFrame, context: tuple[str, ...] = ()) -> DataFrame:

@@ -121,17 +121,20 @@ def page_tokens(parsed: DataFrame, page_keys: tuple[str, ...] = (),
     Exploding first lets the per-token work below run as generated code with common
     subexpressions computed once (a tag name is extracted once, not once per rule).
     """
-    page_level = F.array(
-        F.when(F.col("declared_charset").isNull(),
-               F.struct(F.lit("charset").alias("t"), render("charset", FALLBACK_CHARSET).alias("v"))),
-        F.when(F.col("doctype") == P.NO_DOCTYPE,
-               F.struct(F.lit("doctype").alias("t"), render("doctype", EXPECTED_DOCTYPE).alias("v"))),
-    )
-    tokens = F.concat(
-        F.transform("start_tags", lambda x: F.struct(F.lit("s").alias("t"), x.alias("v"))),
-        F.transform("end_tags", lambda x: F.struct(F.lit("e").alias("t"), x.alias("v"))),
-        F.filter(page_level, lambda x: x.isNotNull()))
-    return (parsed.select("page_id", *page_keys, *carry, F.explode(tokens).alias("x"))
+    def build():
+        page_level = F.array(
+            F.when(F.col("declared_charset").isNull(),
+                   F.struct(F.lit("charset").alias("t"), render("charset", FALLBACK_CHARSET).alias("v"))),
+            F.when(F.col("doctype") == P.NO_DOCTYPE,
+                   F.struct(F.lit("doctype").alias("t"), render("doctype", EXPECTED_DOCTYPE).alias("v"))),
+        )
+        tokens = F.concat(
+            F.transform("start_tags", lambda x: F.struct(F.lit("s").alias("t"), x.alias("v"))),
+            F.transform("end_tags", lambda x: F.struct(F.lit("e").alias("t"), x.alias("v"))),
+            F.filter(page_level, lambda x: x.isNotNull()))
+        return F.explode(tokens).alias("x")
+
+    return (parsed.select("page_id", *page_keys, *carry, cached_expr("page_tokens", build))
             .select("page_id", *page_keys, *carry, F.col("x.t").alias("t"), F.col("x.v").alias("v")))
 
 
@@ -174,18 +177,21 @@ def event_counts(parsed: DataFrame, page_keys: tuple[str, ...] = (),
     ``sub`` values become fixed-width conditional counts instead.
     """
     ev = token_events(parsed, page_keys, with_markup)
-    ns, sub = F.col("e.ns"), F.col("e.sub")
-    gsub = F.when(ns.isin(*MARKUP_METRICS), sub).otherwise(F.lit("")) if with_markup else F.lit("")
-    aggs = [F.count(F.lit(1)).alias("n"),
-            F.count_if(sub == "start").alias("n_start"),
-            F.count_if(sub == "end").alias("n_end"),
-            F.count_if(sub == "id").alias("n_id"),
-            F.count_if(sub == "usemap").alias("n_usemap"),
-            F.count_if(sub == "name").alias("n_name")]
-    aggs += [F.count_if(sub == a).alias(f"ref_{i}") for i, a in enumerate(P.ID_REFERENCE_ATTRIBUTES)]
-    return (ev.groupBy("page_id", *page_keys, ns.alias("ns"), F.col("e.key").alias("key"),
-                       gsub.alias("gsub"))
-            .agg(*aggs))
+
+    def build():
+        ns, sub = F.col("e.ns"), F.col("e.sub")
+        gsub = F.when(ns.isin(*MARKUP_METRICS), sub).otherwise(F.lit("")) if with_markup else F.lit("")
+        aggs = [F.count(F.lit(1)).alias("n"),
+                F.count_if(sub == "start").alias("n_start"),
+                F.count_if(sub == "end").alias("n_end"),
+                F.count_if(sub == "id").alias("n_id"),
+                F.count_if(sub == "usemap").alias("n_usemap"),
+                F.count_if(sub == "name").alias("n_name")]
+        aggs += [F.count_if(sub == a).alias(f"ref_{i}") for i, a in enumerate(P.ID_REFERENCE_ATTRIBUTES)]
+        return [ns.alias("ns"), F.col("e.key").alias("key"), gsub.alias("gsub")], aggs
+
+    keys, aggs = cached_expr(("event_counts", with_markup), build)
+    return ev.groupBy("page_id", *page_keys, *keys).agg(*aggs)
 
 
 def lint_events(parsed: DataFrame, page_keys: tuple[str, ...] = ()) -> DataFrame:
@@ -211,6 +217,13 @@ def messages_from_counts(c: DataFrame, page_keys: tuple[str, ...] = (),
     Markup metric rows yield nothing, or with ``keep_markup`` one row with
     ``rule = 'markup'`` and ``metric, key, subkey`` set (message columns null).
     """
+    explode, cols = cached_expr(("lint_messages", keep_markup), lambda: _message_columns(keep_markup))
+    msgs = c.select("page_id", *page_keys, "key", "ns", explode)
+    return msgs.select("page_id", *page_keys, *cols)
+
+
+def _message_columns(keep_markup: bool):
+    """(explode of the candidates, output columns) of ``messages_from_counts``."""
     ns, key, n = F.col("ns"), F.col("key"), F.col("n")
     diff = F.col("n_start") - F.col("n_end")
     no_unclosed = P.VOID_ELEMENTS + P.OPTIONAL_END_ELEMENTS + P.RAW_TEXT_ELEMENTS
@@ -237,9 +250,7 @@ def messages_from_counts(c: DataFrame, page_keys: tuple[str, ...] = (),
                                  cand("dangling_ref", refs, a)))
     if keep_markup:
         candidates.append(F.when(ns.isin(*MARKUP_METRICS), cand("markup", n, F.col("gsub"))))
-    msgs = c.select("page_id", *page_keys, "key", "ns", cached_expr(
-        ("lint_candidates", keep_markup),
-        lambda: F.explode(F.filter(F.array(*candidates), lambda m: m.isNotNull())).alias("m")))
+    explode = F.explode(F.filter(F.array(*candidates), lambda m: m.isNotNull())).alias("m")
     rule, arg = F.col("m.rule"), F.col("m.arg")
     text = (F.when(rule == "unclosed", render("unclosed", key))
             .when(rule == "stray_end", render("stray_end", key))
@@ -257,4 +268,4 @@ def messages_from_counts(c: DataFrame, page_keys: tuple[str, ...] = (),
     if keep_markup:
         cols += [F.when(~is_msg, F.col("ns")).alias("metric"), F.when(~is_msg, key).alias("mkey"),
                  F.when(~is_msg, arg).alias("msubkey")]
-    return msgs.select("page_id", *page_keys, *cols)
+    return explode, cols

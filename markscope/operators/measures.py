@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from markscope.functions import markup as M
 from markscope.functions import patterns as P
+from markscope.session import cached_expr
 
 STATUS_ORDER = ["failed_not_html", "failed_no_bytes", "failed_parsing", "failed_validation", "ok"]
 
@@ -32,6 +33,13 @@ def with_status(parsed: DataFrame, validator_charset: DataFrame | None = None) -
         df = df.join(validator_charset.select("page_id", F.col("encoding").alias("_v_enc"),
                                               F.lit(True).alias("_validated")),
                      "page_id", "left")
+    cols = cached_expr(("status", validator_charset is not None),
+                       lambda: _status_columns(validator_charset is not None))
+    return df.select(*parsed.columns, *cols)
+
+
+def _status_columns(with_validator: bool):
+    if with_validator:
         charset = F.lower(F.col("_v_enc"))
         validated = F.coalesce(F.col("_validated"), F.lit(False))
     else:
@@ -42,7 +50,7 @@ def with_status(parsed: DataFrame, validator_charset: DataFrame | None = None) -
               .when(F.col("scheme").isNull() | (F.size("start_tags") == 0), F.lit("failed_parsing"))
               .when(~validated | ~M.known_charset(charset), F.lit("failed_validation"))
               .otherwise(F.lit("ok")))
-    return df.select(*parsed.columns, charset.alias("charset"), status.alias("status"))
+    return [charset.alias("charset"), status.alias("status")]
 
 
 def page_measures(parsed: DataFrame, validator_charset: DataFrame | None = None) -> DataFrame:
@@ -52,12 +60,23 @@ def page_measures(parsed: DataFrame, validator_charset: DataFrame | None = None)
 
 def page_measures_of_status(df: DataFrame) -> DataFrame:
     """Counters, sizes and ratios of parsed pages that already carry ``charset`` and ``status``."""
+    keep = [c for c in df.columns if c not in ("start_tags", "end_tags", "comments", "text")]
+    stage1, stage2, stage3 = cached_expr("page_measures", _measure_columns)
+    out = df.select(*keep, *stage1)
+    out = out.select(*keep, *[c for c in _STAGE1_NAMES if c not in ("text", "_comment_text")], *stage2)
+    return out.select(*out.columns, *stage3)
+
+
+_STAGE1_NAMES = ["num_elements", "num_links", "num_internal_links", "num_bookmarks", "num_images",
+                 "num_comments", "text", "_comment_text"]
+
+
+def _measure_columns():
     tags = F.col("start_tags")
     link_tags = F.filter(tags, _is_tag(["a", "area"]))
     hrefs = F.transform(link_tags, lambda t: F.coalesce(M.attr_lookup(t, "href"), F.lit("")))
     scheme = F.col("scheme")
-    out = df.select(
-        *[c for c in df.columns if c not in ("start_tags", "end_tags", "comments", "text")],
+    stage1 = [
         F.size(tags).cast("bigint").alias("num_elements"),
         F.size(hrefs).cast("bigint").alias("num_links"),
         F.size(F.filter(hrefs, lambda h: M.link_is_internal(h, scheme))).cast("bigint")
@@ -67,18 +86,22 @@ def page_measures_of_status(df: DataFrame) -> DataFrame:
         F.size("comments").cast("bigint").alias("num_comments"),
         F.col("text"),
         F.array_join("comments", "").alias("_comment_text"),
-    )
+    ]
     cs = F.col("charset")
-    out = (out
-           .withColumn("num_external_links", F.col("num_links") - F.col("num_internal_links"))
-           .withColumn("text_size", M.byte_size(F.col("text"), cs))
-           .withColumn("comments_size", M.byte_size(F.col("_comment_text"), cs))
-           .withColumn("elements_size", F.col("file_size") - F.col("text_size"))
-           .withColumn("text_to_elements", M.ratio(F.col("text_size"), F.col("elements_size")))
-           .withColumn("elements_to_size", M.ratio(F.col("elements_size"), F.col("file_size")))
-           .withColumn("text_to_size", M.ratio(F.col("text_size"), F.col("file_size")))
-           .withColumn("comments_to_size", M.ratio(F.col("comments_size"), F.col("file_size"))))
-    return out.drop("_comment_text", "text")
+    stage2 = [
+        (F.col("num_links") - F.col("num_internal_links")).alias("num_external_links"),
+        M.byte_size(F.col("text"), cs).alias("text_size"),
+        M.byte_size(F.col("_comment_text"), cs).alias("comments_size"),
+    ]
+    elements_size = F.col("file_size") - F.col("text_size")
+    stage3 = [
+        elements_size.alias("elements_size"),
+        M.ratio(F.col("text_size"), elements_size).alias("text_to_elements"),
+        M.ratio(elements_size, F.col("file_size")).alias("elements_to_size"),
+        M.ratio(F.col("text_size"), F.col("file_size")).alias("text_to_size"),
+        M.ratio(F.col("comments_size"), F.col("file_size")).alias("comments_to_size"),
+    ]
+    return stage1, stage2, stage3
 
 
 RESULT_COLUMNS = [

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from markscope.session import cached_expr
+
 
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
@@ -82,15 +84,18 @@ VARIANTS = [
 
 def vary_markup(pages: DataFrame) -> DataFrame:
     """The same pages with one deterministic markup variation each (see VARIANTS)."""
-    variant = F.pmod(F.col("page_id"), F.lit(10))
-    html = F.col("html")
-    out = html
-    for v, edits in reversed(VARIANTS):
-        edited = html
-        for find, repl in edits:
-            edited = F.replace(edited, F.lit(find), F.lit(repl))
-        out = F.when(variant == v, edited).otherwise(out)
-    return pages.withColumn("html", out)
+    def build():
+        variant = F.pmod(F.col("page_id"), F.lit(10))
+        html = F.col("html")
+        out = html
+        for v, edits in reversed(VARIANTS):
+            edited = html
+            for find, repl in edits:
+                edited = F.replace(edited, F.lit(find), F.lit(repl))
+            out = F.when(variant == v, edited).otherwise(out)
+        return out
+
+    return pages.withColumn("html", cached_expr("vary_markup", build))
 
 
 def read_varied_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
