@@ -28,7 +28,13 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     """
     carry = [c for c in pages.columns if c != "html"]
     stage1, stage2 = cached_expr("parse_pages", _parse_columns)
-    return pages.select(*carry, *stage1).select(*carry, *stage2)
+    # The parse results leave through a one-row generator.  A later filter on a
+    # derived column (status, doctype) then stays above it: pushed into the
+    # projection instead, Catalyst would inline the tokeniser into the filter and
+    # run every regex over the page twice.
+    staged = pages.select(*carry, *stage1)
+    one = F.explode(F.array(F.struct(*stage2))).alias("_p")
+    return staged.select(*carry, one).select(*carry, "_p.*")
 
 
 def _parse_columns():
