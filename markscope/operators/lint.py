@@ -115,38 +115,57 @@ def _reference_events(value: Column, attr: str) -> Column:
 
 
 def page_tokens(parsed: DataFrame, page_keys: tuple[str, ...] = (),
-                carry: tuple[str, ...] = ()) -> DataFrame:
+                carry: tuple[str, ...] = (), payload: str | None = None) -> DataFrame:
     """One row per token of a page: ``t`` = 's' start tag, 'e' end tag, else a page finding.
 
     Exploding first lets the per-token work below run as generated code with common
     subexpressions computed once (a tag name is extracted once, not once per rule).
+    With ``payload`` (a struct column), one extra token ``t = 'p'`` per page carries
+    it in field ``m``; the field is null on every other token, so nothing page-sized
+    is copied per token.
     """
+    ptype = parsed.schema[payload].dataType if payload else None
+
     def build():
-        page_level = F.array(
-            F.when(F.col("declared_charset").isNull(),
-                   F.struct(F.lit("charset").alias("t"), render("charset", FALLBACK_CHARSET).alias("v"))),
-            F.when(F.col("doctype") == P.NO_DOCTYPE,
-                   F.struct(F.lit("doctype").alias("t"), render("doctype", EXPECTED_DOCTYPE).alias("v"))),
-        )
+        null_m = F.lit(None).cast(ptype) if ptype is not None else None
+
+        def tok(t, v, m=None):
+            fields = [F.lit(t).alias("t") if isinstance(t, str) else t.alias("t"), v.alias("v")]
+            if ptype is not None:
+                fields.append((m if m is not None else null_m).alias("m"))
+            return F.struct(*fields)
+
+        page_level = [
+            F.when(F.col("declared_charset").isNull(), tok("charset", render("charset", FALLBACK_CHARSET))),
+            F.when(F.col("doctype") == P.NO_DOCTYPE, tok("doctype", render("doctype", EXPECTED_DOCTYPE))),
+        ]
+        if ptype is not None:
+            page_level.append(tok("p", F.lit(""), F.col(payload)))
         tokens = F.concat(
-            F.transform("start_tags", lambda x: F.struct(F.lit("s").alias("t"), x.alias("v"))),
-            F.transform("end_tags", lambda x: F.struct(F.lit("e").alias("t"), x.alias("v"))),
-            F.filter(page_level, lambda x: x.isNotNull()))
+            F.transform("start_tags", lambda x: tok("s", x)),
+            F.transform("end_tags", lambda x: tok("e", x)),
+            F.filter(F.array(*page_level), lambda x: x.isNotNull()))
         return F.explode(tokens).alias("x")
 
-    return (parsed.select("page_id", *page_keys, *carry, cached_expr("page_tokens", build))
-            .select("page_id", *page_keys, *carry, F.col("x.t").alias("t"), F.col("x.v").alias("v")))
+    cols = [F.col("x.t").alias("t"), F.col("x.v").alias("v")]
+    if ptype is not None:
+        cols.append(F.col("x.m").alias("m"))
+    key = ("page_tokens", ptype.simpleString() if ptype is not None else None)
+    return (parsed.select("page_id", *page_keys, *carry, cached_expr(key, build))
+            .select("page_id", *page_keys, *carry, *cols))
 
 
 def token_events(parsed: DataFrame, page_keys: tuple[str, ...] = (),
-                 with_markup: bool = False) -> DataFrame:
+                 with_markup: bool = False, payload: str | None = None) -> DataFrame:
     """Lint events of every token; with ``with_markup`` also the count events of each start tag
-    (elements, attributes, protocols, images; ``ns`` = metric, ``sub`` = subkey)."""
+    (elements, attributes, protocols, images; ``ns`` = metric, ``sub`` = subkey).  With
+    ``payload``, the page token yields one ``page`` event and column ``_payload``."""
     from markscope.operators.rollup import tag_metric_events
     carry = ("scheme",) if with_markup else ()
-    tok = page_tokens(parsed, page_keys, carry)
+    tok = page_tokens(parsed, page_keys, carry, payload)
     t, v = F.col("t"), F.col("v")
-    staged = tok.select("page_id", *page_keys, *carry, "t", "v",
+    extra = ["m"] if payload else []
+    staged = tok.select("page_id", *page_keys, *carry, "t", "v", *extra,
                         F.when(t == "s", M.tag_name(v)).otherwise(v).alias("_tag"),
                         F.when(t == "s", M.attr_tokens(v)).alias("_toks"))
     staged = staged.withColumn("_names", F.transform("_toks", M.attr_name))
@@ -160,23 +179,25 @@ def token_events(parsed: DataFrame, page_keys: tuple[str, ...] = (),
             start = F.concat(start, metric)
         events = (F.when(t == "s", start)
                   .when(t == "e", F.array(_event("tag", v, "end")))
+                  .when(t == "p", F.array(_event("page", F.lit(""))))
                   .otherwise(F.array(_event(t, v))))
         return F.explode(F.filter(events, lambda e: e.isNotNull())).alias("e")
 
-    return staged.select("page_id", *page_keys, cached_expr(("token_events", with_markup), build))
+    out = [F.col("m").alias("_payload")] if payload else []
+    return staged.select("page_id", *page_keys, *out, cached_expr(("token_events", with_markup), build))
 
 
 MARKUP_METRICS = ["elements", "attributes", "protocols", "images"]
 
 
 def event_counts(parsed: DataFrame, page_keys: tuple[str, ...] = (),
-                 with_markup: bool = False) -> DataFrame:
+                 with_markup: bool = False, payload: str | None = None) -> DataFrame:
     """Events aggregated per ``(page_id, ns, key, gsub)`` (+ page keys carried as group keys).
 
     ``gsub`` is the subkey of a markup metric and empty for lint events, whose
     ``sub`` values become fixed-width conditional counts instead.
     """
-    ev = token_events(parsed, page_keys, with_markup)
+    ev = token_events(parsed, page_keys, with_markup, payload)
 
     def build():
         ns, sub = F.col("e.ns"), F.col("e.sub")
@@ -191,6 +212,10 @@ def event_counts(parsed: DataFrame, page_keys: tuple[str, ...] = (),
         return [ns.alias("ns"), F.col("e.key").alias("key"), gsub.alias("gsub")], aggs
 
     keys, aggs = cached_expr(("event_counts", with_markup), build)
+    if payload:
+        # a grouping key, not a max(): struct aggregation buffers would force a
+        # sort-based aggregate; the key is null on every event but the page's own
+        keys = keys + [F.col("_payload").alias("payload")]
     return ev.groupBy("page_id", *page_keys, *keys).agg(*aggs)
 
 
@@ -209,7 +234,7 @@ def lint_messages(parsed: DataFrame, page_keys: tuple[str, ...] = ()) -> DataFra
 
 
 def messages_from_counts(c: DataFrame, page_keys: tuple[str, ...] = (),
-                         keep_markup: bool = False) -> DataFrame:
+                         keep_markup: bool = False, keep_page: bool = False) -> DataFrame:
     """Lint messages from aggregated events.
 
     Each aggregated group yields at most a few ``(rule, n, arg)`` candidates; the
@@ -217,12 +242,16 @@ def messages_from_counts(c: DataFrame, page_keys: tuple[str, ...] = (),
     Markup metric rows yield nothing, or with ``keep_markup`` one row with
     ``rule = 'markup'`` and ``metric, key, subkey`` set (message columns null).
     """
-    explode, cols = cached_expr(("lint_messages", keep_markup), lambda: _message_columns(keep_markup))
-    msgs = c.select("page_id", *page_keys, "key", "ns", explode)
+    explode, cols = cached_expr(("lint_messages", keep_markup, keep_page),
+                                lambda: _message_columns(keep_markup, keep_page))
+    extra = ["payload"] if keep_page else []
+    msgs = c.select("page_id", *page_keys, "key", "ns", *extra, explode)
+    if keep_page:
+        cols = cols + [F.when(F.col("m.rule") == "page", F.col("payload")).alias("payload")]
     return msgs.select("page_id", *page_keys, *cols)
 
 
-def _message_columns(keep_markup: bool):
+def _message_columns(keep_markup: bool, keep_page: bool = False):
     """(explode of the candidates, output columns) of ``messages_from_counts``."""
     ns, key, n = F.col("ns"), F.col("key"), F.col("n")
     diff = F.col("n_start") - F.col("n_end")
@@ -250,6 +279,8 @@ def _message_columns(keep_markup: bool):
                                  cand("dangling_ref", refs, a)))
     if keep_markup:
         candidates.append(F.when(ns.isin(*MARKUP_METRICS), cand("markup", n, F.col("gsub"))))
+    if keep_page:
+        candidates.append(F.when(ns == "page", cand("page", F.lit(0))))
     explode = F.explode(F.filter(F.array(*candidates), lambda m: m.isNotNull())).alias("m")
     rule, arg = F.col("m.rule"), F.col("m.arg")
     text = (F.when(rule == "unclosed", render("unclosed", key))
@@ -259,7 +290,7 @@ def _message_columns(keep_markup: bool):
             .when(rule == "dangling_ref", render("dangling_ref", arg, key))
             .otherwise(key))
     kind = F.create_map(*[x for r, k, _ in LINT_RULES for x in (F.lit(r), F.lit(k))])
-    is_msg = rule != "markup"
+    is_msg = ~rule.isin("markup", "page")
     cols = [rule.alias("rule"),
             F.when(is_msg, kind[rule]).alias("kind"),
             F.when(is_msg, F.lit("html5")).alias("message_id"),

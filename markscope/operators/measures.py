@@ -58,9 +58,13 @@ def page_measures(parsed: DataFrame, validator_charset: DataFrame | None = None)
     return page_measures_of_status(with_status(parsed, validator_charset))
 
 
-def page_measures_of_status(df: DataFrame) -> DataFrame:
-    """Counters, sizes and ratios of parsed pages that already carry ``charset`` and ``status``."""
-    keep = [c for c in df.columns if c not in ("start_tags", "end_tags", "comments", "text")]
+def page_measures_of_status(df: DataFrame, keep_arrays: bool = False) -> DataFrame:
+    """Counters, sizes and ratios of parsed pages that already carry ``charset`` and ``status``.
+
+    ``keep_arrays`` keeps ``start_tags`` and ``end_tags`` for a later token pass.
+    """
+    dropped = ("comments", "text") if keep_arrays else ("start_tags", "end_tags", "comments", "text")
+    keep = [c for c in df.columns if c not in dropped]
     stage1, stage2, stage3 = cached_expr("page_measures", _measure_columns)
     out = df.select(*keep, *stage1)
     out = out.select(*keep, *[c for c in _STAGE1_NAMES if c not in ("text", "_comment_text")], *stage2)
@@ -139,3 +143,39 @@ def page_results(measures: DataFrame, message_totals: DataFrame, keep_keys: bool
     if keep_keys:
         cols = ["page_id", "is_html5"] + cols
     return joined.select(*cols)
+
+
+def page_results_one_pass(status_df: DataFrame) -> DataFrame:
+    """P16 with lint as the validator, parsing each page once.
+
+    The page's measures ride as one struct on a single ``page`` token through the
+    lint event aggregation (null on all other tokens); the message counts and that
+    struct then meet in one per-page aggregation.  No second parse, and no join of
+    the page table with its message totals.
+    """
+    from markscope.operators import lint
+    ok = status_df.filter(F.col("status") == "ok")
+    m = page_measures_of_status(ok, keep_arrays=True)
+    payload_cols = [c for c in RESULT_COLUMNS if c not in ("num_errors", "num_warnings")]
+    staged = m.select("page_id", "start_tags", "end_tags", "declared_charset", "doctype",
+                      _result_struct(payload_cols).alias("_res"))
+    rows = lint.messages_from_counts(lint.event_counts(staged, payload="_res"), keep_page=True)
+    per_page = rows.groupBy("page_id").agg(
+        F.max("payload").alias("r"),
+        F.sum(F.when(F.col("kind") == "error", F.col("n")).otherwise(0)).cast("bigint").alias("num_errors"),
+        F.sum(F.when(F.col("kind") == "warning", F.col("n")).otherwise(0)).cast("bigint").alias("num_warnings"))
+    return per_page.select(*[F.col(f"r.{c}").alias(c) if c in payload_cols else F.col(c)
+                             for c in RESULT_COLUMNS])
+
+
+def _result_struct(names: list[str]):
+    na = F.lit(P.NOT_AVAILABLE)
+    src = {
+        "original_url": F.coalesce(F.col("original_url"), F.lit(P.NO_ORIGINAL_URL)),
+        "type": F.coalesce(F.col("resource_type"), na),
+        "http_code": F.coalesce(F.col("http_code"), na),
+        "content_type": F.coalesce(F.col("content_type"), na),
+        "server": F.coalesce(F.col("server"), na),
+        "charset": F.coalesce(F.col("charset"), na),
+    }
+    return F.struct(*[src.get(n, F.col(n)).alias(n) for n in names])

@@ -229,9 +229,7 @@ def q_message_classes(spark, sf_dir):
 
 
 def q_page_results(spark, sf_dir):
-    parsed = parsed_pages(spark, sf_dir, varied=True)
-    m = measures.page_measures(parsed)
-    return measures.page_results(m, message_totals(classified_messages(spark, sf_dir)))
+    return measures.page_results_one_pass(status_pages(spark, sf_dir))
 
 
 def q_catalog(spark, sf_dir):
