@@ -44,16 +44,8 @@ def message_totals(classified: DataFrame) -> DataFrame:
 
 
 def all_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markup and message count events of the ok pages: one scan, one event aggregation.
-
-    The plan is linear (no branch that would parse the pages twice): aggregated
-    events -> lint candidates and markup rows -> classification -> count events.
-    """
-    ok = status_pages(spark, sf_dir).filter(F.col("status") == "ok")
-    counts = lint.event_counts(ok, ("is_html5",), with_markup=True)
-    rows = messages.classify(lint.messages_from_counts(counts, ("is_html5",), keep_markup=True),
-                             {messages.HTML5_FAMILY: messages.lint_catalog()})
-    return rollup.events_from_rows(rows)
+    """Markup and message count events of the ok pages (one scan, see ``rollup.count_events``)."""
+    return rollup.count_events(status_pages(spark, sf_dir))
 
 
 # --- P: projections ---------------------------------------------------------

@@ -8,8 +8,10 @@ bounded batches and stops; the next run resumes after the last committed file.
 * T2 ``append_page_counts``: per-page counts of each batch appended to a Parquet
   table, partitioned by batch id and written with dynamic partition overwrite,
   so a replayed batch replaces its own partition (idempotent).
-* T3 ``running_totals``: streaming aggregation by (scope, metric, key, subkey);
-  its state holds one row per distinct key, not per page.
+* T3 ``running_totals``: streaming aggregation of the markup metrics by
+  (scope, metric, key, subkey); its state holds one row per distinct key, not per
+  page.  Message totals need a per-page lint aggregation, so they come from the
+  appended per-batch counts of T2 (a batch query over that table).
 * T4 ``dedupe_urls``: ``dropDuplicates(["url"])``.  Pages carry no event time,
   so the seen-URL state is unbounded, as in the reference; with a crawl time
   column use ``dropDuplicatesWithinWatermark``.
@@ -39,14 +41,20 @@ def page_stream(spark: SparkSession, directory: str, glob: str = "*.parquet",
 
 
 def _ok_events(pages: DataFrame) -> DataFrame:
+    """Markup count events of ok pages: stateless per record, usable inside a stream."""
     st = measures.with_status(facts.parse_pages(pages))
     return rollup.markup_events(st.filter(F.col("status") == "ok"))
 
 
 def append_page_counts(pages_stream: DataFrame, out_path: str, checkpoint: str):
-    """Per-page counts of every batch, appended (idempotently) to ``out_path``."""
+    """Per-page counts (markup and messages) of every batch, appended idempotently.
+
+    A page lies inside one batch, so the per-page lint aggregation runs as a plain
+    batch job on each micro-batch: no streaming state is kept for it.
+    """
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        counts = rollup.page_counts(_ok_events(batch)).withColumn("batch_id", F.lit(batch_id))
+        events = rollup.count_events(measures.with_status(facts.parse_pages(batch)))
+        counts = rollup.page_counts(events).withColumn("batch_id", F.lit(batch_id))
         (counts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id").parquet(out_path))
 
