@@ -207,7 +207,7 @@ def lint_cte() -> str:
     obs = ", ".join(f"({lit(t)}, {lit(r) if r else 'NULL'})" for t, r in P.OBSOLETE_ELEMENTS)
     oattr = ", ".join(f"({lit(t)}, {lit(a)})" for t, a in P.OBSOLETE_ATTRIBUTES)
     roles = ", ".join(f"({lit(t)}, {lit(r)})" for t, r in P.IMPLICIT_ROLES)
-    refattrs = ", ".join(f"({lit(a)})" for a in P.ID_REFERENCE_ATTRIBUTES)
+    refattr_list = "[" + ", ".join(lit(a) for a in P.ID_REFERENCE_ATTRIBUTES) + "]"
     no_unclosed = in_list(P.VOID_ELEMENTS + P.OPTIONAL_END_ELEMENTS + P.RAW_TEXT_ELEMENTS)
     no_stray = in_list(P.VOID_ELEMENTS + P.RAW_TEXT_ELEMENTS)
     ids = (f"SELECT DISTINCT page_id, {value_in('toks', 'names', 'id')} AS v FROM el "
@@ -249,7 +249,7 @@ def lint_cte() -> str:
                   FROM (SELECT el.page_id, r.a,
                                CASE WHEN list_position(el.names, r.a) IS NOT NULL
                                     THEN {attr_value('el.toks[list_position(el.names, r.a)]')} END AS val
-                        FROM el CROSS JOIN (VALUES {refattrs}) r(a))) refs
+                        FROM el, unnest({refattr_list}) AS r(a))) refs
             WHERE NOT EXISTS (SELECT 1 FROM ({ids}) i WHERE i.page_id = refs.page_id AND i.v = refs.v)
             GROUP BY ALL""",
         f"""SELECT page_id, 'usemap', {msg('usemap', 'v')}, count(*)
@@ -536,3 +536,17 @@ JOIN wpages w ON w.warc = r.page_id
 JOIN joined j ON j.warc = r.page_id
 LEFT JOIN msg_totals m ON r.page_id = m.page_id
 WHERE r.status = 'ok' AND NOT coalesce(w.not_html, false)""")
+
+
+def _catalog_sql() -> str:
+    rows = ", ".join(f"({lit(e.family)}, {e.idx}, {lit(e.pattern)}, {lit(e.message)}, {e.n_groups})"
+                     for e in lint_catalog())
+    return with_ctes(True, f"""
+SELECT c.family, CAST(c.idx AS INTEGER) AS idx, c.pattern, c.message, CAST(c.n_groups AS INTEGER) AS n_groups,
+       CAST(coalesce(h.n, 0) AS BIGINT) AS n
+FROM (VALUES {rows}) c(family, idx, pattern, message, n_groups)
+LEFT JOIN (SELECT regexp_replace(canonical, '^(html5 error|warning html5) - ', '') AS message, sum(n) AS n
+           FROM classified GROUP BY 1) h ON c.message = h.message""", classified=True)
+
+
+ORACLE["catalog"] = _catalog_sql()
