@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from markscope.functions import markup as M
-from markscope.functions import patterns as P
 from markscope.session import cached_expr
 
 # Columns of the normalised page input (sources produce these).
@@ -132,4 +131,4 @@ def end_tag_rows(parsed: DataFrame, context: tuple[str, ...] = ()) -> DataFrame:
 
 __all__ = ["parse_pages", "element_rows", "elements", "attribute_rows", "attributes",
            "link_rows", "links", "image_rows", "images", "comments", "end_tag_rows",
-           "PAGE_INPUT_COLUMNS", "P"]
+           "PAGE_INPUT_COLUMNS"]

@@ -70,42 +70,62 @@ def _event(ns: Column | str, key: Column, sub: Column | str = "") -> Column:
     return F.struct(ns_c.alias("ns"), key.cast("string").alias("key"), sub_c.alias("sub"))
 
 
+def _tag_rule_maps():
+    """Literal maps from tag name to its tag-specific rules (one lookup per tag)."""
+    def by_tag(pairs):
+        out: dict[str, list[str]] = {}
+        for tag, val in pairs:
+            out.setdefault(tag, []).append(val)
+        return out
+
+    def str_map(d):
+        return F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.lit(v))])
+
+    def list_map(d):
+        return F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.array(*[F.lit(a) for a in v]))])
+
+    obsolete = {t: (("obsolete_element_css", TEMPLATE["obsolete_element_css"].format(t)) if r is None
+                    else ("obsolete_element", TEMPLATE["obsolete_element"].format(t, r)))
+                for t, r in P.OBSOLETE_ELEMENTS}
+    return (list_map(by_tag(P.REQUIRED_ATTRIBUTES)),
+            str_map({t: ns for t, (ns, _) in obsolete.items()}),
+            str_map({t: msg for t, (_, msg) in obsolete.items()}),
+            list_map(by_tag(P.OBSOLETE_ATTRIBUTES)),
+            str_map(dict(P.IMPLICIT_ROLES)))
+
+
 def _start_tag_events(tag: Column, toks: Column, names: Column) -> Column:
     """array<event> for one start tag, from its (materialised) name, tokens and names."""
 
     def val(name: str) -> Column:
         return M.value_in(toks, names, name)
 
-    single: list[Column] = [_event("tag", tag, "start")]
-    for rtag, rattr in P.REQUIRED_ATTRIBUTES:
-        single.append(F.when((tag == rtag) & ~F.array_contains(names, rattr),
-                             _event("required_attr", render("required_attr", rtag, rattr))))
-    for otag, repl in P.OBSOLETE_ELEMENTS:
-        ev = (_event("obsolete_element_css", render("obsolete_element_css", otag)) if repl is None
-              else _event("obsolete_element", render("obsolete_element", otag, repl)))
-        single.append(F.when(tag == otag, ev))
-    for otag, oattr in P.OBSOLETE_ATTRIBUTES:
-        single.append(F.when((tag == otag) & F.array_contains(names, oattr),
-                             _event("obsolete_attr", render("obsolete_attr", oattr, otag))))
+    required, obs_ns, obs_msg, obs_attrs, implicit_role = _tag_rule_maps()
+    empty = F.array().cast("array<string>")
+    missing = F.filter(F.coalesce(required[tag], empty), lambda a: ~F.array_contains(names, a))
+    present = F.filter(F.coalesce(obs_attrs[tag], empty), lambda a: F.array_contains(names, a))
     role = F.lower(F.trim(val("role")))
-    for rtag, rrole in P.IMPLICIT_ROLES:
-        single.append(F.when((tag == rtag) & (role == rrole),
-                             _event("redundant_role", render("redundant_role", rrole, rtag))))
     stype = F.lower(F.trim(val("type")))
-    single.append(F.when((tag == "script") & stype.isin(*JS_TYPES),
-                         _event("script_type", render("script_type"))))
     id_val = val("id")
-    single.append(F.when(id_val.isNotNull() & (id_val != ""), _event("id", id_val, "id")))
     usemap = val("usemap")
-    single.append(F.when(usemap.startswith("#"), _event("map", F.substring(usemap, 2, 1 << 30), "usemap")))
     map_name = val("name")
-    single.append(F.when((tag == "map") & map_name.isNotNull(), _event("map", map_name, "name")))
-
+    single = F.array(
+        _event("tag", tag, "start"),
+        F.when(obs_ns[tag].isNotNull(), _event(obs_ns[tag], obs_msg[tag])),
+        F.when(implicit_role[tag] == role,
+               _event("redundant_role", render("redundant_role", role, tag))),
+        F.when((tag == "script") & stype.isin(*JS_TYPES), _event("script_type", render("script_type"))),
+        F.when(id_val.isNotNull() & (id_val != ""), _event("id", id_val, "id")),
+        F.when(usemap.startswith("#"), _event("map", F.substring(usemap, 2, 1 << 30), "usemap")),
+        F.when((tag == "map") & map_name.isNotNull(), _event("map", map_name, "name")),
+    )
+    req = F.transform(missing, lambda a: _event("required_attr", render("required_attr", tag, a)))
+    obs = F.transform(present, lambda a: _event("obsolete_attr", render("obsolete_attr", a, tag)))
     dups = F.transform(names, lambda n, i: F.when(
         F.array_position(names, n) < i + 1,
         _event("duplicate_attr", render("duplicate_attr", n))))
     refs = [_reference_events(val(a), a) for a in P.ID_REFERENCE_ATTRIBUTES]
-    return F.concat(F.array(*single), dups, *refs)
+    return F.concat(single, req, obs, dups, *refs)
 
 
 def _reference_events(value: Column, attr: str) -> Column:
@@ -174,17 +194,19 @@ def token_events(parsed: DataFrame, page_keys: tuple[str, ...] = (),
         tag, toks, names = F.col("_tag"), F.col("_toks"), F.col("_names")
         start = _start_tag_events(tag, toks, names)
         if with_markup:
-            metric = F.transform(tag_metric_events(tag, toks, names, F.col("scheme")),
-                                 lambda m: _event(m["metric"], m["key"], m["subkey"]))
-            start = F.concat(start, metric)
+            start = F.concat(start, tag_metric_events(tag, toks, names, F.col("scheme"),
+                                                      ("ns", "key", "sub")))
         events = (F.when(t == "s", start)
                   .when(t == "e", F.array(_event("tag", v, "end")))
                   .when(t == "p", F.array(_event("page", F.lit(""))))
                   .otherwise(F.array(_event(t, v))))
-        return F.explode(F.filter(events, lambda e: e.isNotNull())).alias("e")
+        # nulls (rules that do not apply) are dropped after the explode by a plain
+        # filter: a higher-order filter would take the whole array out of codegen
+        return F.explode(events).alias("e")
 
     out = [F.col("m").alias("_payload")] if payload else []
-    return staged.select("page_id", *page_keys, *out, cached_expr(("token_events", with_markup), build))
+    return (staged.select("page_id", *page_keys, *out, cached_expr(("token_events", with_markup), build))
+            .filter(F.col("e").isNotNull()))
 
 
 MARKUP_METRICS = ["elements", "attributes", "protocols", "images"]
@@ -245,7 +267,7 @@ def messages_from_counts(c: DataFrame, page_keys: tuple[str, ...] = (),
     explode, cols = cached_expr(("lint_messages", keep_markup, keep_page),
                                 lambda: _message_columns(keep_markup, keep_page))
     extra = ["payload"] if keep_page else []
-    msgs = c.select("page_id", *page_keys, "key", "ns", *extra, explode)
+    msgs = c.select("page_id", *page_keys, "key", "ns", *extra, explode).filter(F.col("m").isNotNull())
     if keep_page:
         cols = cols + [F.when(F.col("m.rule") == "page", F.col("payload")).alias("payload")]
     return msgs.select("page_id", *page_keys, *cols)
@@ -281,7 +303,7 @@ def _message_columns(keep_markup: bool, keep_page: bool = False):
         candidates.append(F.when(ns.isin(*MARKUP_METRICS), cand("markup", n, F.col("gsub"))))
     if keep_page:
         candidates.append(F.when(ns == "page", cand("page", F.lit(0))))
-    explode = F.explode(F.filter(F.array(*candidates), lambda m: m.isNotNull())).alias("m")
+    explode = F.explode(F.array(*candidates)).alias("m")
     rule, arg = F.col("m.rule"), F.col("m.arg")
     text = (F.when(rule == "unclosed", render("unclosed", key))
             .when(rule == "stray_end", render("stray_end", key))

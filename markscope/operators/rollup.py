@@ -21,22 +21,31 @@ FLAT_METRICS = ["elements", "protocols", "images", "errors", "warnings"]
 NESTED_METRICS = ["attributes", "error_variables", "warning_variables"]
 
 
-def _ev(metric: str, key: Column, subkey: Column | None = None) -> Column:
-    return F.struct(F.lit(metric).alias("metric"), key.alias("key"),
-                    (subkey if subkey is not None else F.lit("")).alias("subkey"))
+EVENT_FIELDS = ("metric", "key", "subkey")
 
 
-def tag_metric_events(tag: Column, toks: Column, names: Column, scheme: Column) -> Column:
-    """array<struct<metric, key, subkey>> of one start tag for the markup metrics."""
-    attrs = F.transform(F.array_distinct(names), lambda a: _ev("attributes", tag, a))
+def _ev(metric: str, key: Column, subkey: Column | None = None, fields=EVENT_FIELDS) -> Column:
+    return F.struct(F.lit(metric).alias(fields[0]), key.alias(fields[1]),
+                    (subkey if subkey is not None else F.lit("")).alias(fields[2]))
+
+
+def tag_metric_events(tag: Column, toks: Column, names: Column, scheme: Column,
+                      fields=EVENT_FIELDS) -> Column:
+    """array<struct<metric, key, subkey>> of one start tag for the markup metrics.
+
+    Entries of rules that do not apply are null; callers drop them after the explode
+    with a plain filter (a higher-order filter here would push the whole array
+    expression out of generated code).
+    """
+    attrs = F.transform(F.array_distinct(names), lambda a: _ev("attributes", tag, a, fields))
     href = F.coalesce(M.value_in(toks, names, "href"), F.lit(""))
     src = M.value_in(toks, names, "src")
     single = F.array(
-        _ev("elements", tag),
-        F.when(tag.isin("a", "area"), _ev("protocols", M.link_protocol(href, scheme))),
-        F.when(tag == "img", _ev("images", M.image_format(src))),
+        _ev("elements", tag, None, fields),
+        F.when(tag.isin("a", "area"), _ev("protocols", M.link_protocol(href, scheme), None, fields)),
+        F.when(tag == "img", _ev("images", M.image_format(src), None, fields)),
     )
-    return F.concat(F.filter(single, lambda e: e.isNotNull()), attrs)
+    return F.concat(single, attrs)
 
 
 def markup_events(ok_pages: DataFrame) -> DataFrame:
@@ -51,7 +60,7 @@ def markup_events(ok_pages: DataFrame) -> DataFrame:
     tags = tags.withColumn("_names", F.transform("_toks", M.attr_name))
     events = cached_expr("markup_events", lambda: F.explode(
         tag_metric_events(F.col("_tag"), F.col("_toks"), F.col("_names"), F.col("scheme"))).alias("e"))
-    return tags.select("page_id", "is_html5", events).select(
+    return tags.select("page_id", "is_html5", events).filter(F.col("e").isNotNull()).select(
         "page_id", "is_html5", "e.metric", "e.key", "e.subkey", F.lit(1).cast("bigint").alias("n"))
 
 
@@ -79,7 +88,8 @@ def events_from_rows(rows: DataFrame) -> DataFrame:
         F.when(~is_markup & var.isNotNull() & (var != ""),
                F.struct(F.concat(kind, F.lit("_variables")).alias("metric"), canon.alias("key"),
                         var.alias("subkey"))))
-    return (rows.select("page_id", "is_html5", "n", F.explode(F.filter(ev, lambda e: e.isNotNull())).alias("e"))
+    return (rows.select("page_id", "is_html5", "n", F.explode(ev).alias("e"))
+            .filter(F.col("e").isNotNull())
             .select("page_id", "is_html5", "e.metric", "e.key", "e.subkey", "n"))
 
 
@@ -95,8 +105,8 @@ def message_events(classified: DataFrame) -> DataFrame:
         F.when(var.isNotNull() & (var != ""),
                F.struct(F.concat(kind, F.lit("_variables")).alias("metric"), canon.alias("key"),
                         var.alias("subkey"))))
-    return (classified.select("page_id", "is_html5", "n",
-                              F.explode(F.filter(both, lambda e: e.isNotNull())).alias("e"))
+    return (classified.select("page_id", "is_html5", "n", F.explode(both).alias("e"))
+            .filter(F.col("e").isNotNull())
             .select("page_id", "is_html5", "e.metric", "e.key", "e.subkey", "n"))
 
 
@@ -108,9 +118,9 @@ def page_counts(events: DataFrame) -> DataFrame:
 
 def totals(events_or_counts: DataFrame) -> DataFrame:
     """``scope, metric, key, subkey, n`` for scope 'all' and the 'html5' subset."""
-    scopes = F.filter(F.array(F.lit("all"), F.when(F.col("is_html5"), F.lit("html5"))),
-                      lambda s: s.isNotNull())
+    scopes = F.array(F.lit("all"), F.when(F.col("is_html5"), F.lit("html5")))
     return (events_or_counts.select(F.explode(scopes).alias("scope"), "metric", "key", "subkey", "n")
+            .filter(F.col("scope").isNotNull())
             .groupBy("scope", "metric", "key", "subkey")
             .agg(F.sum("n").cast("bigint").alias("n")))
 
