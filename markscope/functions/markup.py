@@ -67,10 +67,11 @@ def attr_name(token: Column) -> Column:
 
 
 def decode_entities(c: Column) -> Column:
+    """Decode the fixed entity list; text without '&' is returned untouched."""
     out = c
     for entity, char in P.ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+    return F.when(F.instr(c, "&") > 0, out).otherwise(c)
 
 
 def attr_value(token: Column) -> Column:
