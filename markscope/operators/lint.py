@@ -124,14 +124,28 @@ def _start_tag_events(tag: Column, toks: Column, names: Column) -> Column:
     dups = F.transform(names, lambda n, i: F.when(
         F.array_position(names, n) < i + 1,
         _event("duplicate_attr", render("duplicate_attr", n))))
-    refs = [_reference_events(val(a), a) for a in P.ID_REFERENCE_ATTRIBUTES]
-    return F.concat(single, req, obs, dups, *refs)
+    return F.concat(single, req, obs, dups, _reference_events(toks, names))
 
 
-def _reference_events(value: Column, attr: str) -> Column:
-    """One ``id`` event per space-separated id named by a reference attribute."""
-    ids = F.filter(F.split(F.coalesce(value, F.lit("")), P.BLANKS), lambda x: x != "")
-    return F.transform(ids, lambda x: _event("id", x, attr))
+def _reference_events(toks: Column, names: Column) -> Column:
+    """One ``id`` event per space-separated id named by a reference attribute.
+
+    Only the reference attributes the tag actually has are looked at (usually none).
+    """
+    present = F.filter(F.array_distinct(names), lambda n: n.isin(*P.ID_REFERENCE_ATTRIBUTES))
+
+    def ids_of(a: Column) -> Column:
+        value = attr_value_at(toks, names, a)
+        ids = F.filter(F.split(F.coalesce(value, F.lit("")), P.BLANKS), lambda x: x != "")
+        return F.transform(ids, lambda x: _event("id", x, a))
+
+    return F.flatten(F.transform(present, ids_of))
+
+
+def attr_value_at(toks: Column, names: Column, name: Column) -> Column:
+    """Value of the first attribute called ``name`` (a column) of a start tag."""
+    idx = F.array_position(names, name).cast("int")
+    return F.when(idx > 0, M.attr_value(F.get(toks, idx - 1)))
 
 
 def page_tokens(parsed: DataFrame, page_keys: tuple[str, ...] = (),

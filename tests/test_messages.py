@@ -106,3 +106,10 @@ def test_catalog_from_files(spark, tmp_path):
     assert frame.count() == 2
     got = _classify(spark, [("warning", "42", "Bad value FOO for attribute href.")], {"general": cat})
     assert got == [("warning - 42 - bad value x for attribute y.", "foo | href")]
+
+
+def test_multi_valued_references(spark, pages_df):
+    base = '<!DOCTYPE html><meta charset="utf-8">'
+    got = _lint(pages_df, base + '<th id="h1">a</th><td headers="h1  h2" aria-describedby="h1">x</td>')
+    assert got == [("The headers attribute referenced h2, but there is no element with an id attribute "
+                    "with that value.", 1)]
