@@ -53,9 +53,12 @@ def write_run_stats(stats: DataFrame, path: str, mode: str = "overwrite") -> Non
     stats.coalesce(1).write.mode(mode).option("header", True).csv(path)
 
 
-def write_redirects(redirects: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K8: the redirect map ``target, origin``."""
-    redirects.write.mode(mode).parquet(path)
+def write_redirects(redirects: DataFrame, path: str, mode: str = "overwrite", fmt: str = "parquet") -> None:
+    """K8: the redirect map ``target, origin`` (Parquet, or text lines ``target£££origin``)."""
+    if fmt == "text":
+        redirects.select(F.concat_ws("£££", "target", "origin").alias("value")).write.mode(mode).text(path)
+    else:
+        redirects.write.mode(mode).parquet(path)
 
 
 def materialize(df: DataFrame, path: str) -> DataFrame:

@@ -101,3 +101,14 @@ def warc_files_from_pages(pages: DataFrame) -> DataFrame:
     redirects = red.select(warc_name("redir", F.col("page_id")).alias("warc_name"),
                            page_record_text(F.col("url"), F.lit(""), F.col("location")).alias("value"))
     return records.unionByName(redirects)
+
+
+REDIRECT_SEP = "£££"
+
+
+def read_redirect_file(spark: SparkSession, path: str) -> DataFrame:
+    """A redirect map kept as text lines ``target£££origin``; other lines are skipped."""
+    parts = F.split(F.col("value"), REDIRECT_SEP, -1)
+    return (spark.read.text(path).select(parts.alias("p"))
+            .filter(F.size("p") == 2)
+            .select(F.col("p")[0].alias("target"), F.col("p")[1].alias("origin")))

@@ -96,3 +96,54 @@ def test_analyze_corpus_from_warc(spark, tmp_path):
     res = spark.read.option("sep", "£").option("header", True).csv(out["results"]).collect()
     assert [(r.warc, r.original_url, r.type, r.server) for r in res] == \
         [("page-1", "http://old.example/", "response", "nginx")]
+
+
+def test_redirect_text_file_round_trip(spark, tmp_path):
+    red = spark.createDataFrame([("http://t/", "http://o/"), ("http://u/", "http://p/")], "target string, origin string")
+    out = str(tmp_path / "red")
+    sinks.write_redirects(red, out, fmt="text")
+    extra = str(tmp_path / "red" / "junk.txt")
+    with open(extra, "w") as f:
+        f.write("no separator here\na£££b£££c\n")
+    back = sorted(tuple(r) for r in warc.read_redirect_file(spark, out).collect())
+    assert back == [("http://t/", "http://o/"), ("http://u/", "http://p/")]
+
+
+def test_merge_count_maps(spark):
+    from markscope.operators import rollup
+    df = spark.createDataFrame([({"p": 2, "a": 1}, {"p": 3, "b": 4})], "x map<string,bigint>, y map<string,bigint>")
+    got = df.select(rollup.merge_count_maps(F.col("x"), F.col("y")).alias("m")).first().m
+    assert got == {"p": 5, "a": 1, "b": 4}
+
+
+def test_analyze_corpus_with_validator_results(spark, tmp_path):
+    import json
+    from markscope.operators import messages
+    from markscope.plans.batch import analyze_corpus
+    pages = spark.createDataFrame([(1, "http://a/", "<p>x</p>"), (2, "http://b/", "<p>y</p>"),
+                                   (3, "http://c/", "<p>z</p>")], "page_id bigint, url string, html string")
+    vpath = str(tmp_path / "v.json")
+    recs = [{"page_id": 1, "url": "http://a/", "source": {"encoding": "utf-8"},
+             "messages": [{"message": "Stray end tag P.", "messageid": "html5", "type": "error"},
+                          {"message": "Stray end tag Q.", "messageid": "html5", "type": "error"},
+                          {"message": "Bad value 1 for x.", "messageid": "77", "type": "info",
+                           "subtype": "warning"}]},
+            {"page_id": 2, "url": "http://b/", "source": {"encoding": "utf-8"}, "messages": []}]
+    with open(vpath, "w") as f:
+        f.write("\n".join(json.dumps(r) for r in recs) + "\n")
+    cats = {"html5": messages.entries_from_lines("html5", ["Stray end tag (.*)?."], ["Stray end tag X."]),
+            "general": messages.entries_from_lines("general", ["bad value (.*) for (.*)\\."],
+                                                   ["Bad value X for Y."])}
+    out = analyze_corpus(spark, str(tmp_path / "out"), pages=pages,
+                         validator=messages.read_validator_results(spark, vpath), catalogs=cats)
+    res = {r.warc: (r.num_errors, r.num_warnings) for r in
+           spark.read.option("sep", "£").option("header", True).csv(out["results"]).collect()}
+    assert res == {"1": ("2", "1"), "2": ("0", "0")}          # page 3 has no validator result
+    stats = dict(spark.read.option("header", True).csv(out["stats"]).collect())
+    assert stats["excluded_validation"] == "1" and stats["successful"] == "2"
+    tot = {(r.metric, r.key, r.subkey): r.n for r in spark.read.parquet(out["totals"])
+           .filter("scope = 'all' AND metric LIKE '%error%' OR metric LIKE 'warning%'").collect()}
+    assert tot[("errors", "html5 error - stray end tag x.", "")] == 2
+    assert tot[("error_variables", "html5 error - stray end tag x.", "p")] == 1
+    assert tot[("warnings", "warning - 77 - bad value x for y.", "")] == 1
+    assert tot[("warning_variables", "warning - 77 - bad value x for y.", "1 | x")] == 1
