@@ -108,23 +108,53 @@ def catalog_frame(spark: SparkSession, entries: list[CatalogEntry]) -> DataFrame
                                   for e in entries], schema)
 
 
+# Above this many live patterns the first-match scan is not code-generated: the
+# generated class for a few hundred regex branches exhausts the compiler's memory.
+CODEGEN_MAX_PATTERNS = 150
+
+
 def _first_match_index(lm: Column, entries: list[CatalogEntry]) -> Column:
-    """Index of the first live pattern found in ``lm`` (null if none)."""
+    """Index of the first live pattern found in ``lm`` (null if none).
+
+    Patterns are tested in catalogue order and the scan stops at the first hit.
+    For a large catalogue the same scan runs as a lambda applied to the message
+    (evaluated, not compiled); its literal patterns are still compiled once per task.
+    """
     live = [e for e in entries if e.n_groups > 0]
     if not live:
         return F.lit(None).cast("int")
-    return F.coalesce(*[F.when(lm.rlike(e.pattern), F.lit(e.idx)) for e in live])
+
+    def scan(m: Column) -> Column:
+        return F.coalesce(*[F.when(m.rlike(e.pattern), F.lit(e.idx)) for e in live])
+
+    if len(live) <= CODEGEN_MAX_PATTERNS:
+        return scan(lm)
+    return F.element_at(F.transform(F.array(lm), scan), 1)
 
 
 def _canonical_and_variables(lm: Column, idx: Column, entries: list[CatalogEntry]):
-    """(canonical, variables) of the entry ``idx``; ``idx`` must be a materialised column."""
-    canon = F.lit(None).cast("string")
-    var = F.lit(None).cast("string")
-    for e in reversed([e for e in entries if e.n_groups > 0]):
-        groups = [M.scrub(F.regexp_extract(lm, e.pattern, g)) for g in range(1, e.n_groups + 1)]
-        canon = F.when(idx == e.idx, F.lit(e.message)).otherwise(canon)
-        var = F.when(idx == e.idx, F.lower(F.concat_ws(" | ", *groups))).otherwise(var)
-    return canon, var
+    """(canonical, variables) of the entry ``idx``; ``idx`` must be a materialised column.
+
+    The entry's message, pattern and group count are looked up by index in literal
+    arrays, and its groups extracted with the looked-up pattern, so the expression
+    does not grow with the catalogue (a CASE per entry would not compile for
+    hundreds of entries).
+    """
+    live = [e for e in entries if e.n_groups > 0]
+    if not live:
+        return F.lit(None).cast("string"), F.lit(None).cast("string")
+    by_idx = {e.idx: e for e in live}
+    size = max(by_idx) + 1
+    messages_arr = F.array(*[F.lit(by_idx[i].message if i in by_idx else None).cast("string")
+                             for i in range(size)])
+    patterns_arr = F.array(*[F.lit(by_idx[i].pattern if i in by_idx else "") for i in range(size)])
+    groups_arr = F.array(*[F.lit(by_idx[i].n_groups if i in by_idx else 0) for i in range(size)])
+    at = idx + 1
+    pattern = F.element_at(patterns_arr, at)
+    n_groups = F.element_at(groups_arr, at)
+    groups = F.transform(F.sequence(F.lit(1), n_groups),
+                         lambda g: M.scrub(F.call_function("regexp_extract", lm, pattern, g)))
+    return F.element_at(messages_arr, at), F.lower(F.array_join(groups, " | "))
 
 
 def classify(messages: DataFrame, catalogs: dict[str, list[CatalogEntry]]) -> DataFrame:

@@ -113,3 +113,17 @@ def test_multi_valued_references(spark, pages_df):
     got = _lint(pages_df, base + '<th id="h1">a</th><td headers="h1  h2" aria-describedby="h1">x</td>')
     assert got == [("The headers attribute referenced h2, but there is no element with an id attribute "
                     "with that value.", 1)]
+
+
+def test_large_catalogue_first_match(spark):
+    # above CODEGEN_MAX_PATTERNS the scan runs as a lambda; results must not change
+    n = messages.CODEGEN_MAX_PATTERNS + 250
+    pats = [f"rule {i} on (.*) at (.*)\\." for i in range(n)] + ["rule (.*) on (.*)"]
+    msgs = [f"Rule {i} on X at Y." for i in range(n)] + ["Rule X on Y"]
+    cat = messages.entries_from_lines("html5", pats, msgs)
+    got = _classify(spark, [("error", "html5", f"Rule {n - 1} on Foo at Bar."),
+                            ("error", "html5", "Rule 7 on A at B."),
+                            ("warning", "html5", "Rule zz on Q")], {"html5": cat})
+    assert got[0] == (f"html5 error - rule {n - 1} on x at y.", "foo | bar")
+    assert got[1] == ("html5 error - rule 7 on x at y.", "a | b")
+    assert got[2] == ("warning html5 - rule x on y", "zz | q")
