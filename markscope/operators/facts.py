@@ -26,32 +26,38 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     is_html5, declared_charset, file_size, start_tags, end_tags, comments, text``.
     """
     carry = [c for c in pages.columns if c != "html"]
-    stage1, stage2 = cached_expr("parse_pages", _parse_columns)
-    # The parse results leave through a one-row generator.  A later filter on a
-    # derived column (status, doctype) then stays above it: pushed into the
-    # projection instead, Catalyst would inline the tokeniser into the filter and
-    # run every regex over the page twice.
+    stage1, core, rest = cached_expr("parse_pages", _parse_columns)
+    # The fields a status filter reads leave through a one-row generator: a filter on
+    # status then stays above it.  Pushed into the projection instead, Catalyst
+    # would inline the tokeniser into the filter and run every regex twice.  The
+    # other fields stay plain columns, so queries that do not use them prune them.
     staged = pages.select(*carry, *stage1)
-    one = F.explode(F.array(F.struct(*stage2))).alias("_p")
-    return staged.select(*carry, one).select(*carry, "_p.*")
+    one = F.explode(F.array(F.struct(*core))).alias("_p")
+    rest_names = ["end_tags", "comments", "text"]
+    out = staged.select(*carry, *rest, one)
+    return out.select(*carry, *[F.col(f"_p.{n}").alias(n) for n in _CORE_NAMES], *rest_names,
+                      M.is_html5(F.col("_p.doctype")).alias("is_html5"))
+
+
+_CORE_NAMES = ["scheme", "doctype", "declared_charset", "file_size", "start_tags"]
 
 
 def _parse_columns():
     html = F.coalesce(F.col("html"), F.lit(""))
     stage1 = [html.alias("_html"), M.markup_only(html).alias("_markup")]
-    doctype = M.doctype("_markup")
-    stage2 = [
+    core = [
         M.url_scheme("url").alias("scheme"),
-        doctype.alias("doctype"),
+        M.doctype("_markup").alias("doctype"),
         M.declared_charset("_markup").alias("declared_charset"),
         F.octet_length("_html").cast("bigint").alias("file_size"),
         M.start_tags("_markup").alias("start_tags"),
+    ]
+    rest = [
         M.end_tag_names("_markup").alias("end_tags"),
         M.comment_texts("_html").alias("comments"),
         M.page_text("_markup").alias("text"),
-        M.is_html5(doctype).alias("is_html5"),
     ]
-    return stage1, stage2
+    return stage1, core, rest
 
 
 def element_rows(parsed: DataFrame, context: tuple[str, ...] = ()) -> DataFrame:
