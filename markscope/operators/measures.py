@@ -1,8 +1,10 @@
 """Per-page measures, status and the 26-column page results.
 
 Page-level counters are computed from the page's own token arrays with
-higher-order functions, so the page table never has to be re-grouped: the only
-join is the small per-page message total.
+higher-order functions, so the page table never has to be re-grouped.
+``page_results_one_pass`` (the registered query) carries those measures through
+the lint aggregation on one page token and needs no join at all;
+``page_results`` joins precomputed message totals (the batch job and WARC path).
 """
 
 from __future__ import annotations

@@ -4,8 +4,9 @@ The long count table ``(page_id, is_html5, metric, key, subkey, n)`` replaces th
 reference's ``name£keyxN`` text cells.  Markup metrics come from one pass over
 the start tags: each tag emits its (metric, key, subkey) events, which are counted
 with a partial (map-side) aggregation, so a page's thousands of ``p`` tags become
-one row before the shuffle.  Totals aggregate the same events again by
-``(scope, metric, key, subkey)``; their shuffle carries one row per distinct key
+one row before the shuffle.  ``count_events`` runs them in the same per-page
+aggregation as the lint events, so one scan yields every metric.  Totals aggregate
+by ``(scope, metric, key, subkey)``; their shuffle carries one row per distinct key
 and map task, whatever the corpus size.
 """
 
