@@ -190,12 +190,13 @@ def page_tokens(parsed: DataFrame, page_keys: tuple[str, ...] = (),
 
 
 def token_events(parsed: DataFrame, page_keys: tuple[str, ...] = (),
-                 with_markup: bool = False, payload: str | None = None) -> DataFrame:
+                 with_markup: bool = False, payload: str | None = None,
+                 with_links: bool = False) -> DataFrame:
     """Lint events of every token; with ``with_markup`` also the count events of each start tag
     (elements, attributes, protocols, images; ``ns`` = metric, ``sub`` = subkey).  With
     ``payload``, the page token yields one ``page`` event and column ``_payload``."""
     from markscope.operators.rollup import tag_metric_events
-    carry = ("scheme",) if with_markup else ()
+    carry = ("scheme",) if (with_markup or with_links) else ()
     tok = page_tokens(parsed, page_keys, carry, payload)
     t, v = F.col("t"), F.col("v")
     extra = ["m"] if payload else []
@@ -210,6 +211,8 @@ def token_events(parsed: DataFrame, page_keys: tuple[str, ...] = (),
         if with_markup:
             start = F.concat(start, tag_metric_events(tag, toks, names, F.col("scheme"),
                                                       ("ns", "key", "sub")))
+        if with_links:
+            start = F.concat(start, _link_events(tag, toks, names, F.col("scheme")))
         events = (F.when(t == "s", start)
                   .when(t == "e", F.array(_event("tag", v, "end")))
                   .when(t == "p", F.array(_event("page", F.lit(""))))
@@ -219,21 +222,34 @@ def token_events(parsed: DataFrame, page_keys: tuple[str, ...] = (),
         return F.explode(events).alias("e")
 
     out = [F.col("m").alias("_payload")] if payload else []
-    return (staged.select("page_id", *page_keys, *out, cached_expr(("token_events", with_markup), build))
+    return (staged.select("page_id", *page_keys, *out,
+                          cached_expr(("token_events", with_markup, with_links), build))
             .filter(F.col("e").isNotNull()))
 
 
+def _link_events(tag: Column, toks: Column, names: Column, scheme: Column) -> Column:
+    """Page counters as events: 'int'/'ext' per a/area link, 'book' per bookmark, one per img."""
+    href = F.coalesce(M.value_in(toks, names, "href"), F.lit(""))
+    is_link = tag.isin("a", "area")
+    return F.array(
+        F.when(is_link, _event("lnk", F.lit(""),
+                               F.when(M.link_is_internal(href, scheme), "int").otherwise("ext"))),
+        F.when(is_link & href.startswith("#"), _event("lnk", F.lit(""), "book")),
+        F.when(tag == "img", _event("img", F.lit(""))))
+
+
 MARKUP_METRICS = ["elements", "attributes", "protocols", "images"]
 
 
 def event_counts(parsed: DataFrame, page_keys: tuple[str, ...] = (),
-                 with_markup: bool = False, payload: str | None = None) -> DataFrame:
+                 with_markup: bool = False, payload: str | None = None,
+                 with_links: bool = False) -> DataFrame:
     """Events aggregated per ``(page_id, ns, key, gsub)`` (+ page keys carried as group keys).
 
     ``gsub`` is the subkey of a markup metric and empty for lint events, whose
     ``sub`` values become fixed-width conditional counts instead.
     """
-    ev = token_events(parsed, page_keys, with_markup, payload)
+    ev = token_events(parsed, page_keys, with_markup, payload, with_links)
 
     def build():
         ns, sub = F.col("e.ns"), F.col("e.sub")
@@ -245,9 +261,11 @@ def event_counts(parsed: DataFrame, page_keys: tuple[str, ...] = (),
                 F.count_if(sub == "usemap").alias("n_usemap"),
                 F.count_if(sub == "name").alias("n_name")]
         aggs += [F.count_if(sub == a).alias(f"ref_{i}") for i, a in enumerate(P.ID_REFERENCE_ATTRIBUTES)]
+        if with_links:
+            aggs += [F.count_if(sub == x).alias(f"n_{x}") for x in ("int", "ext", "book")]
         return [ns.alias("ns"), F.col("e.key").alias("key"), gsub.alias("gsub")], aggs
 
-    keys, aggs = cached_expr(("event_counts", with_markup), build)
+    keys, aggs = cached_expr(("event_counts", with_markup, with_links), build)
     if payload:
         # a grouping key, not a max(): struct aggregation buffers would force a
         # sort-based aggregate; the key is null on every event but the page's own
@@ -278,8 +296,9 @@ def messages_from_counts(c: DataFrame, page_keys: tuple[str, ...] = (),
     Markup metric rows yield nothing, or with ``keep_markup`` one row with
     ``rule = 'markup'`` and ``metric, key, subkey`` set (message columns null).
     """
-    explode, cols = cached_expr(("lint_messages", keep_markup, keep_page),
-                                lambda: _message_columns(keep_markup, keep_page))
+    links = keep_page and "n_int" in c.columns
+    explode, cols = cached_expr(("lint_messages", keep_markup, keep_page, links),
+                                lambda: _message_columns(keep_markup, keep_page, links))
     extra = ["payload"] if keep_page else []
     msgs = c.select("page_id", *page_keys, "key", "ns", *extra, explode).filter(F.col("m").isNotNull())
     if keep_page:
@@ -287,7 +306,7 @@ def messages_from_counts(c: DataFrame, page_keys: tuple[str, ...] = (),
     return msgs.select("page_id", *page_keys, *cols)
 
 
-def _message_columns(keep_markup: bool, keep_page: bool = False):
+def _message_columns(keep_markup: bool, keep_page: bool = False, links: bool = False):
     """(explode of the candidates, output columns) of ``messages_from_counts``."""
     ns, key, n = F.col("ns"), F.col("key"), F.col("n")
     diff = F.col("n_start") - F.col("n_end")
@@ -317,6 +336,9 @@ def _message_columns(keep_markup: bool, keep_page: bool = False):
         candidates.append(F.when(ns.isin(*MARKUP_METRICS), cand("markup", n, F.col("gsub"))))
     if keep_page:
         candidates.append(F.when(ns == "page", cand("page", F.lit(0))))
+    if links:
+        candidates += [F.when(ns == "lnk", cand(f"lnk_{x}", F.col(f"n_{x}"))) for x in ("int", "ext", "book")]
+        candidates.append(F.when(ns == "img", cand("img", n)))
     explode = F.explode(F.array(*candidates)).alias("m")
     rule, arg = F.col("m.rule"), F.col("m.arg")
     text = (F.when(rule == "unclosed", render("unclosed", key))
@@ -326,7 +348,7 @@ def _message_columns(keep_markup: bool, keep_page: bool = False):
             .when(rule == "dangling_ref", render("dangling_ref", arg, key))
             .otherwise(key))
     kind = F.create_map(*[x for r, k, _ in LINT_RULES for x in (F.lit(r), F.lit(k))])
-    is_msg = ~rule.isin("markup", "page")
+    is_msg = ~rule.isin("markup", "page", "lnk_int", "lnk_ext", "lnk_book", "img")
     cols = [rule.alias("rule"),
             F.when(is_msg, kind[rule]).alias("kind"),
             F.when(is_msg, F.lit("html5")).alias("message_id"),

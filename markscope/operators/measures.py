@@ -158,14 +158,27 @@ def page_results_one_pass(status_df: DataFrame) -> DataFrame:
     from markscope.operators import lint
     ok = status_df.filter(F.col("status") == "ok")
     m = page_measures_of_status(ok, keep_arrays=True)
-    payload_cols = [c for c in RESULT_COLUMNS if c not in ("num_errors", "num_warnings")]
-    staged = m.select("page_id", "start_tags", "end_tags", "declared_charset", "doctype",
+    from_events = ["num_links", "num_internal_links", "num_bookmarks", "num_external_links",
+                   "num_images", "num_errors", "num_warnings"]
+    payload_cols = [c for c in RESULT_COLUMNS if c not in from_events]
+    staged = m.select("page_id", "scheme", "start_tags", "end_tags", "declared_charset", "doctype",
                       _result_struct(payload_cols).alias("_res"))
-    rows = lint.messages_from_counts(lint.event_counts(staged, payload="_res"), keep_page=True)
+    counts = lint.event_counts(staged, payload="_res", with_links=True)
+    rows = lint.messages_from_counts(counts, keep_page=True)
+
+    def total(cond):
+        return F.sum(F.when(cond, F.col("n")).otherwise(0)).cast("bigint")
+
+    rule, kind = F.col("rule"), F.col("kind")
     per_page = rows.groupBy("page_id").agg(
         F.max("payload").alias("r"),
-        F.sum(F.when(F.col("kind") == "error", F.col("n")).otherwise(0)).cast("bigint").alias("num_errors"),
-        F.sum(F.when(F.col("kind") == "warning", F.col("n")).otherwise(0)).cast("bigint").alias("num_warnings"))
+        total(kind == "error").alias("num_errors"),
+        total(kind == "warning").alias("num_warnings"),
+        total(rule == "lnk_int").alias("num_internal_links"),
+        total(rule == "lnk_ext").alias("num_external_links"),
+        total(rule == "lnk_book").alias("num_bookmarks"),
+        total(rule == "img").alias("num_images"))
+    per_page = per_page.withColumn("num_links", F.col("num_internal_links") + F.col("num_external_links"))
     return per_page.select(*[F.col(f"r.{c}").alias(c) if c in payload_cols else F.col(c)
                              for c in RESULT_COLUMNS])
 
