@@ -56,3 +56,17 @@ def test_stream_totals_equal_batch(spark):
 def test_each_message_in_one_class(spark):
     c = E.queries()["message_classes"](spark, SF)
     assert c.filter(F.col("canonical").isNull()).count() == 0
+
+
+def test_every_query_has_an_oracle():
+    assert set(E.queries()) == set(E.oracle_sql())
+
+
+@pytest.mark.parametrize("sf,pages", [("sf0.001", 50), ("sf0.01", 250), ("sf0.1", 2500)])
+def test_scale_invariants(spark, sf, pages):
+    d = f"/root/testdata/{sf}"
+    q = E.queries()
+    assert q["element_total"](spark, d).count() == pages
+    assert q["page_results"](spark, d).count() == pages
+    funnel = dict((r.stat, r.value) for r in q["run_funnel"](spark, d).collect())
+    assert funnel["records_seen"] == pages and funnel["successful"] == pages
