@@ -70,3 +70,14 @@ def test_scale_invariants(spark, sf, pages):
     assert q["page_results"](spark, d).count() == pages
     funnel = dict((r.stat, r.value) for r in q["run_funnel"](spark, d).collect())
     assert funnel["records_seen"] == pages and funnel["successful"] == pages
+
+
+@pytest.mark.parametrize("name", ["lint_messages", "message_classes", "totals_flat", "page_counts",
+                                  "page_results", "element_counts"])
+def test_tokeniser_runs_once_per_page(spark, name):
+    """A filter on status must not be pushed into the parse (the tokeniser would run twice)."""
+    from markscope.functions import patterns as P
+    plan = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    # the text splitter's pattern starts with the start-tag pattern: count it apart
+    assert plan.count(P.START_TAG_JVM) - plan.count(P.MARKUP_JVM) == 1
+    assert plan.count(P.RAW_TEXT) == 1
