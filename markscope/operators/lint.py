@@ -209,8 +209,9 @@ def token_events(parsed: DataFrame, page_keys: tuple[str, ...] = (),
         tag, toks, names = F.col("_tag"), F.col("_toks"), F.col("_names")
         start = _start_tag_events(tag, toks, names)
         if with_markup:
+            # no "elements" event: the lint's own (tag, start) events count the same thing
             start = F.concat(start, tag_metric_events(tag, toks, names, F.col("scheme"),
-                                                      ("ns", "key", "sub")))
+                                                      ("ns", "key", "sub"), with_elements=False))
         if with_links:
             start = F.concat(start, _link_events(tag, toks, names, F.col("scheme")))
         events = (F.when(t == "s", start)
@@ -334,6 +335,8 @@ def _message_columns(keep_markup: bool, keep_page: bool = False, links: bool = F
                                  cand("dangling_ref", refs, a)))
     if keep_markup:
         candidates.append(F.when(ns.isin(*MARKUP_METRICS), cand("markup", n, F.col("gsub"))))
+        candidates.append(F.when((ns == "tag") & (F.col("n_start") > 0),
+                                 cand("markup", F.col("n_start"), F.col("gsub"))))
     if keep_page:
         candidates.append(F.when(ns == "page", cand("page", F.lit(0))))
     if links:
@@ -355,6 +358,7 @@ def _message_columns(keep_markup: bool, keep_page: bool = False, links: bool = F
             F.when(is_msg, text).alias("message"),
             F.col("m.n").alias("n")]
     if keep_markup:
-        cols += [F.when(~is_msg, F.col("ns")).alias("metric"), F.when(~is_msg, key).alias("mkey"),
+        metric = F.when(F.col("ns") == "tag", F.lit("elements")).otherwise(F.col("ns"))
+        cols += [F.when(~is_msg, metric).alias("metric"), F.when(~is_msg, key).alias("mkey"),
                  F.when(~is_msg, arg).alias("msubkey")]
     return explode, cols

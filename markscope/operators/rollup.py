@@ -31,7 +31,7 @@ def _ev(metric: str, key: Column, subkey: Column | None = None, fields=EVENT_FIE
 
 
 def tag_metric_events(tag: Column, toks: Column, names: Column, scheme: Column,
-                      fields=EVENT_FIELDS) -> Column:
+                      fields=EVENT_FIELDS, with_elements: bool = True) -> Column:
     """array<struct<metric, key, subkey>> of one start tag for the markup metrics.
 
     Entries of rules that do not apply are null; callers drop them after the explode
@@ -41,12 +41,13 @@ def tag_metric_events(tag: Column, toks: Column, names: Column, scheme: Column,
     attrs = F.transform(F.array_distinct(names), lambda a: _ev("attributes", tag, a, fields))
     href = F.coalesce(M.value_in(toks, names, "href"), F.lit(""))
     src = M.value_in(toks, names, "src")
-    single = F.array(
-        _ev("elements", tag, None, fields),
+    per_tag = [
         F.when(tag.isin("a", "area"), _ev("protocols", M.link_protocol(href, scheme), None, fields)),
         F.when(tag == "img", _ev("images", M.image_format(src), None, fields)),
-    )
-    return F.concat(single, attrs)
+    ]
+    if with_elements:
+        per_tag.insert(0, _ev("elements", tag, None, fields))
+    return F.concat(F.array(*per_tag), attrs)
 
 
 def markup_events(ok_pages: DataFrame) -> DataFrame:
