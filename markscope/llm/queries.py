@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from markscope.llm.decontaminate import OP1_SQL, op1_decontaminate_winnowing
 from markscope.llm.simhash_dedup import op4_simhash_pivot_dedup
 
 QUERIES = {
+    "op1_decontaminate_winnowing": op1_decontaminate_winnowing,
     "op4_simhash_pivot_dedup": op4_simhash_pivot_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_decontaminate_winnowing": OP1_SQL,
+}
