@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from markscope.llm.decontaminate import OP1_SQL, op1_decontaminate_winnowing
+from markscope.llm.exact_dedup import OP9_SQL, op9_exact_dedup_stream
 from markscope.llm.simhash_dedup import op4_simhash_pivot_dedup
 
 QUERIES = {
     "op1_decontaminate_winnowing": op1_decontaminate_winnowing,
     "op4_simhash_pivot_dedup": op4_simhash_pivot_dedup,
+    "op9_exact_dedup_stream": op9_exact_dedup_stream,
 }
 
 ORACLE: dict[str, str] = {
     "op1_decontaminate_winnowing": OP1_SQL,
+    "op9_exact_dedup_stream": OP9_SQL,
 }
