@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from markscope.llm.bpe import op7_byte_bpe_transducer
 from markscope.llm.decontaminate import OP1_SQL, op1_decontaminate_winnowing
 from markscope.llm.exact_dedup import OP9_SQL, op9_exact_dedup_stream
 from markscope.llm.simhash_dedup import op4_simhash_pivot_dedup
@@ -9,6 +10,7 @@ from markscope.llm.simhash_dedup import op4_simhash_pivot_dedup
 QUERIES = {
     "op1_decontaminate_winnowing": op1_decontaminate_winnowing,
     "op4_simhash_pivot_dedup": op4_simhash_pivot_dedup,
+    "op7_byte_bpe_transducer": op7_byte_bpe_transducer,
     "op9_exact_dedup_stream": op9_exact_dedup_stream,
 }
 
