@@ -5,10 +5,12 @@ from __future__ import annotations
 from markscope.llm.bpe import op7_byte_bpe_transducer
 from markscope.llm.decontaminate import OP1_SQL, op1_decontaminate_winnowing
 from markscope.llm.exact_dedup import OP9_SQL, op9_exact_dedup_stream
+from markscope.llm.quality import op3_quality_ftrl
 from markscope.llm.simhash_dedup import op4_simhash_pivot_dedup
 
 QUERIES = {
     "op1_decontaminate_winnowing": op1_decontaminate_winnowing,
+    "op3_quality_ftrl": op3_quality_ftrl,
     "op4_simhash_pivot_dedup": op4_simhash_pivot_dedup,
     "op7_byte_bpe_transducer": op7_byte_bpe_transducer,
     "op9_exact_dedup_stream": op9_exact_dedup_stream,

@@ -25,6 +25,12 @@ ALNUM_WORD[0x41:0x5B] = True
 ALNUM_WORD[0x61:0x7B] = True
 ALNUM_WORD[0x80:] = True
 
+#: 0: white space and control bytes, 1: letters, digits and all of a non-ASCII character, 2: other visible bytes.
+TOKEN_KIND = np.full(256, 2, dtype=np.uint8)
+TOKEN_KIND[:0x21] = 0
+TOKEN_KIND[0x7F] = 0
+TOKEN_KIND[ALNUM_WORD] = 1
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
@@ -39,6 +45,8 @@ def _mix_int(x: int) -> int:
 
 #: A random 64-bit value for each byte, A-Z as a-z (from a rule, so that all workers agree).
 BYTE_VALUE = np.array([_mix_int(int(LOWER[i]) + 1) for i in range(256)], dtype=U64)
+#: The same without folding case.
+CASE_VALUE = np.array([_mix_int(i + 1001) for i in range(256)], dtype=U64)
 BASE = _mix_int(977) | 1
 BASE_INV = pow(BASE, -1, 1 << 64)
 
@@ -89,24 +97,26 @@ def slices(off: np.ndarray, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int,
         a = b
 
 
-def word_bounds(data: np.ndarray, off: np.ndarray, is_word: np.ndarray):
+def word_bounds(data: np.ndarray, off: np.ndarray, kinds: np.ndarray):
     """Starts and ends of the words, and each row's first word (``len(off)`` entries).
 
+    ``kinds`` maps a byte to its kind, 0 (or False) outside words; a word is a run of one kind.
     ``off`` starts at 0.  A word never crosses rows.
     """
     n = len(data)
     if n == 0:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(off), np.int64)
-    m = is_word[data]
-    first = m.copy()
-    first[1:] &= ~m[:-1]
-    last = m.copy()
-    last[:-1] &= ~m[1:]
-    full = off[:-1][off[1:] > off[:-1]]
-    first[full] = m[full]
-    tail = off[1:][off[1:] > off[:-1]] - 1
-    last[tail] = m[tail]
+    k = kinds[data]
+    inside = k != 0
+    change = k[1:] != k[:-1]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= change
+    last[:-1] &= change
+    full = off[1:] > off[:-1]
+    head, tail = off[:-1][full], off[1:][full] - 1
+    first[head] = inside[head]
+    last[tail] = inside[tail]
     starts = np.flatnonzero(first)
     ends = np.flatnonzero(last) + 1
     return starts, ends, np.searchsorted(starts, off)
