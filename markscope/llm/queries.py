@@ -7,6 +7,7 @@ from markscope.llm.decontaminate import OP1_SQL, op1_decontaminate_winnowing
 from markscope.llm.exact_dedup import OP9_SQL, op9_exact_dedup_stream
 from markscope.llm.quality import op3_quality_ftrl
 from markscope.llm.simhash_dedup import op4_simhash_pivot_dedup
+from markscope.llm.warc_revisit import OP10_SQL, op10_warc_revisits
 
 QUERIES = {
     "op1_decontaminate_winnowing": op1_decontaminate_winnowing,
@@ -14,9 +15,11 @@ QUERIES = {
     "op4_simhash_pivot_dedup": op4_simhash_pivot_dedup,
     "op7_byte_bpe_transducer": op7_byte_bpe_transducer,
     "op9_exact_dedup_stream": op9_exact_dedup_stream,
+    "op10_warc_revisits": op10_warc_revisits,
 }
 
 ORACLE: dict[str, str] = {
     "op1_decontaminate_winnowing": OP1_SQL,
     "op9_exact_dedup_stream": OP9_SQL,
+    "op10_warc_revisits": OP10_SQL,
 }
