@@ -48,7 +48,9 @@ def update_state(spark: SparkSession, path: str, checkpoint: str, id_col: str =
                  digest: Callable[[Column], Column] = sha256, batch_bytes: int = BATCH_BYTES) -> None:
     """Take all files below ``path`` that the checkpoint has not seen into the state."""
     schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(path)
+    path = path.rstrip("/")
+    # as a pattern the path may be one file, which a stream does not take by its plain name
+    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(f"{path[:-1]}[{path[-1]}]")
     held = (_located(stream, id_col, text_col, digest, False).groupBy("digest")
             .agg(F.max(F.struct("id", "file", "row")).alias("keep"), F.count(F.lit(1)).alias("n")))
     before = {k: spark.conf.get(k, None) for k in _STATE_CONF}

@@ -34,6 +34,16 @@ def test_state_goes_on(spark, tmp_path):
     assert sorted((r["keep_id"], r["n"]) for r in E.read_state(spark, ckpt).collect()) == [(2, 1), (3, 2)]
 
 
+def test_single_file_table(spark):
+    """sf0.01 keeps a table in one file, not in a folder."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {tuple(r) for r in E.op9_exact_dedup_stream(spark, sf).collect()}
+    g = docs.groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
+    want = {tuple(r) for r in docs.join(g, "text").select("doc_id", "keep_id", "n", F.expr("doc_id = keep_id"), F.sha2(F.col("text").cast("binary"), 256)).collect()}
+    assert got == want
+
+
 def test_empty_and_keep_one(spark, tmp_path):
     empty = spark.createDataFrame([], "doc_id long, text string")
     empty.write.parquet(str(tmp_path / "e"))
