@@ -63,10 +63,5 @@ def crc_mod(id_col: str | Column, m: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % m
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Size of a table as the optimizer knows it (file sizes for a Parquet scan)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from markscope.llm.bpe import op7_byte_bpe_transducer
 from markscope.llm.decontaminate import OP1_SQL, op1_decontaminate_winnowing
 from markscope.llm.exact_dedup import OP9_SQL, op9_exact_dedup_stream
+from markscope.llm.kn_lm import op5_kneser_ney_lm
 from markscope.llm.langid import op6_langid_kneser_ney
 from markscope.llm.quality import op3_quality_ftrl
 from markscope.llm.simhash_dedup import op4_simhash_pivot_dedup
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_decontaminate_winnowing": op1_decontaminate_winnowing,
     "op3_quality_ftrl": op3_quality_ftrl,
     "op4_simhash_pivot_dedup": op4_simhash_pivot_dedup,
+    "op5_kneser_ney_lm": op5_kneser_ney_lm,
     "op6_langid_kneser_ney": op6_langid_kneser_ney,
     "op7_byte_bpe_transducer": op7_byte_bpe_transducer,
     "op9_exact_dedup_stream": op9_exact_dedup_stream,
