@@ -16,6 +16,7 @@ shuffle, and the join that compares bytes can be split by AQE.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,9 +31,23 @@ _STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # many small stores: no disk set aside ahead of use
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
+@contextmanager
+def _state_conf(spark: SparkSession):
+    before = {k: spark.conf.get(k, None) for k in _STATE_CONF}
+    for k, v in _STATE_CONF.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def sha256(text: Column) -> Column:
     """Lowercase hex SHA-256 of the UTF-8 bytes; null counts as empty."""
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
@@ -53,16 +68,9 @@ def update_state(spark: SparkSession, path: str, checkpoint: str, id_col: str =
     stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(f"{path[:-1]}[{path[-1]}]")
     held = (_located(stream, id_col, text_col, digest, False).groupBy("digest")
             .agg(F.max(F.struct("id", "file", "row")).alias("keep"), F.count(F.lit(1)).alias("n")))
-    before = {k: spark.conf.get(k, None) for k in _STATE_CONF}
-    for k, v in _STATE_CONF.items():
-        spark.conf.set(k, v)
-    try:
-        query = (held.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint)
-                 .trigger(availableNow=True).start())
-        query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    with _state_conf(spark):
+        (held.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start().awaitTermination())
 
 
 def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
@@ -88,7 +96,8 @@ def deduplicate(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
         return _located(docs, id_col, text_col, digest, False).selectExpr(
             "*", "id as keep_id", "0L as group_size", "true as kept")
     update_state(spark, path, checkpoint, id_col, text_col, digest)
-    state = written(read_state(spark, checkpoint), "dedup-digests")
+    with _state_conf(spark):
+        state = written(read_state(spark, checkpoint), "dedup-digests")
     hits = state.filter("n > 1").select(F.col("digest").alias("d"), F.col("file").alias("f"), F.col("row").alias("r"))
     # full bytes of the rows whose digest was hit, with those at the locator
     held = written(_located(docs, id_col, text_col, digest, True).join(hits, F.col("digest") == F.col("d"))
