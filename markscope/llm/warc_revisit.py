@@ -9,6 +9,7 @@ they refer to.  Archives are bounded by a number of records that makes about ``A
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 from datetime import datetime, timezone
@@ -58,7 +59,7 @@ def _line(name: str, value: Column) -> Column:
 
 
 def write_archive(marked: DataFrame, path: str, date: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Write one record per row of ``mark_revisits``'s result, as plain archives below ``path``."""
+    """Write one record per row of ``mark_revisits``'s result, as gzip archives below ``path``."""
     date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     size = marked.agg(F.avg("n_bytes")).first()[0] or 0
     again = F.col("original").isNotNull()
@@ -74,7 +75,7 @@ def write_archive(marked: DataFrame, path: str, date: str | None = None, archive
         _line("WARC-Page-ID", F.col("id")), _line("WARC-Refers-To-Page-ID", F.col("original")),
         _line("Content-Type", F.lit("application/http; msgtype=response")),
         _line("Content-Length", F.octet_length(http) + F.octet_length(body)), F.lit("\r\n"), http, body)
-    (marked.select(record.alias("value")).write.option("lineSep", BETWEEN)
+    (marked.select(record.alias("value")).write.option("lineSep", BETWEEN).option("compression", "gzip")
      .option("maxRecordsPerFile", max(1, int(archive_bytes // (size + 600)))).text(path))
 
 
@@ -103,6 +104,8 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = False) -> Data
         for b in batches:
             for k in range(b.num_rows):
                 data, out, text = b.column(0)[k].as_py(), [], []
+                if data[:2] == b"\x1f\x8b":
+                    data = gzip.decompress(data)
                 for h, i, j in records(data):
                     part = data[i:j]
                     out.append((h["warc-type"], h["warc-record-id"], h.get("warc-page-id"), h.get("warc-target-uri"), h.get("warc-refers-to"),
@@ -123,8 +126,11 @@ def resolve(archive: DataFrame) -> DataFrame:
     """``(page_id, record_type, digest, n_bytes, refers_to)``: each revisit with the payload of its original response."""
     full = (archive.filter("record_type = 'response'").select(F.col("record_id").alias("r"), F.col("digest").alias("rd"), F.col("n_bytes").alias("rn"))
             .dropDuplicates(["r"]))
-    return archive.join(full, F.col("refers_to_record") == F.col("r"), "left").select(
+    # responses refer to nothing: they stay out of the join, where null keys would meet in one task
+    own = archive.filter("refers_to_record is null").select("page_id", "record_type", "digest", "n_bytes", "refers_to")
+    again = archive.filter("refers_to_record is not null").join(full, F.col("refers_to_record") == F.col("r"), "left").select(
         "page_id", "record_type", F.coalesce("rd", "digest").alias("digest"), F.coalesce("rn", "n_bytes").alias("n_bytes"), "refers_to")
+    return own.union(again)
 
 
 def deduplicate_archive(spark: SparkSession, source: str, target: str, min_bytes: int = MIN_BYTES, date: str | None = None) -> None:

@@ -32,6 +32,7 @@ def test_rewriting_archives(spark, tmp_path):
     assert {r["record_type"] for r in raw} == {"response"} and all(r["digest"] == r["header_digest"] for r in raw)
     W.deduplicate_archive(spark, a, b, date="2001-01-01T00:00:00Z")
     assert sorted(r["page_id"] for r in W.read_archive(spark, b).filter("record_type = 'revisit'").collect()) == ["13", "5", "8", "9"]
+    assert all(p.endswith(".gz") for p in spark.read.format("binaryFile").load(b).select("path").toPandas()["path"])
     text = spark.read.text(b, wholetext=True).collect()
     assert all("2000-01-01" not in t["value"] for t in text)
     assert any("WARC-Refers-To-Target-URI: http://a/2" in t["value"] for t in text)
