@@ -7,12 +7,14 @@ from markscope.llm.decontaminate import OP1_SQL, op1_decontaminate_winnowing
 from markscope.llm.exact_dedup import OP9_SQL, op9_exact_dedup_stream
 from markscope.llm.kn_lm import op5_kneser_ney_lm
 from markscope.llm.langid import op6_langid_kneser_ney
+from markscope.llm.pii import op2_pii_bootstrap
 from markscope.llm.quality import op3_quality_ftrl
 from markscope.llm.simhash_dedup import op4_simhash_pivot_dedup
 from markscope.llm.warc_revisit import OP10_SQL, op10_warc_revisits
 
 QUERIES = {
     "op1_decontaminate_winnowing": op1_decontaminate_winnowing,
+    "op2_pii_bootstrap": op2_pii_bootstrap,
     "op3_quality_ftrl": op3_quality_ftrl,
     "op4_simhash_pivot_dedup": op4_simhash_pivot_dedup,
     "op5_kneser_ney_lm": op5_kneser_ney_lm,
