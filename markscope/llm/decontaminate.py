@@ -149,7 +149,7 @@ def _item_hashes(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _pass(rows: DataFrame, block) -> DataFrame:
     """Add one block's hits to ``(id, t, n_words, spans, items, n_hit)``."""
-    kind = rows.schema["id"].dataType.simpleString()
+    schema = rows.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = block.value
@@ -186,7 +186,7 @@ def _pass(rows: DataFrame, block) -> DataFrame:
                     [part.column(0), part.column(1), pa.array(np.diff(ptr)), old_spans, old_items, n_hit],
                     ["id", "t", "n_words", "spans", "items", "n_hit"])
 
-    return rows.mapInArrow(run, f"id {kind}, t string, n_words long, spans array<int>, items array<string>, n_hit long")
+    return rows.mapInArrow(run, schema)
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int = BLOCK_WORDS,
@@ -223,6 +223,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return rows if keep_text else rows.drop("t")
 
 
+def clean_rows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without any hit, all columns as they are."""
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"))
+    return decontaminate(whole, benchmark, "row", "text").filter("n_hit = 0").select("id.*")
+
+
 def op1_decontaminate_winnowing(spark, sf_dir: str) -> DataFrame:
     """Registered query: hit words and items of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

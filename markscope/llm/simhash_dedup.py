@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from markscope.llm import textkit as K
-from markscope.llm.common import ship, shuffle_partitions, written
+from markscope.llm.common import shared_path, ship, shuffle_partitions, written
 from markscope.llm.components import connected_components
 
 U64 = np.uint64
@@ -80,19 +80,21 @@ def simhash(data: np.ndarray, off: np.ndarray, width: int = 3) -> np.ndarray:
     return _majority(h, np.cumsum(n_sh) - n_sh, n_sh)
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int = 3) -> DataFrame:
-    """``(id, fp)`` for every row; null text counts as empty, a text without words has fingerprint 0."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int = 3, extra: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, fp)`` and ``extra`` columns for every row; null text counts as empty, a text without words has fingerprint 0."""
     ship(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), *extra)
+    kinds = {f.name: f.dataType.simpleString() for f in src.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = K.string_buffers(b.column(1))
             for i, j in K.slices(off):
                 fp = simhash(data[off[i]:off[j]], off[i:j + 1] - off[i], width)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(fp.view(np.int64))], ["id", "fp"])
+                kept = [b.column(k).slice(i, j - i) for k in (0, *range(2, 2 + len(extra)))]
+                yield pa.RecordBatch.from_arrays([kept[0], pa.array(fp.view(np.int64)), *kept[1:]], ["id", "fp", *extra])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, fp long")
+    return src.mapInArrow(run, f"id {kinds['id']}, fp long" + "".join(f", {x} {kinds[x]}" for x in extra))
 
 
 def _thresholds(classes: DataFrame, levels: list[int]) -> list[int]:
@@ -208,9 +210,9 @@ def _links(cells: DataFrame, r: int) -> DataFrame:
 
 
 def pivot_links(classes: DataFrame, r: int = 2, cell_rows: int = CELL_ROWS, large: int = LARGE_CELL) -> DataFrame:
-    """Stars ``(u, v)`` of ids whose fingerprints ``classes(fp, rep)`` are within ``r`` bits.
+    """Stars ``(u, v)`` of the ``rep`` whose fingerprints ``classes(fp, rep)`` are within ``r`` bits.
 
-    ``classes`` holds each fingerprint once, with a non-null long id.
+    ``classes`` holds each fingerprint once, with a long of its own.
     """
     spark = classes.sparkSession
     n = classes.count()
@@ -245,21 +247,41 @@ def pivot_links(classes: DataFrame, r: int = 2, cell_rows: int = CELL_ROWS, larg
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3,
-                    max_bits: int = 2) -> DataFrame:
-    """``(id, fp, component)`` for every row of ``docs``.
+                    max_bits: int = 2, extra: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, fp, component, group)`` and ``extra`` columns for every row of ``docs``; group: the component's smallest fingerprint.
 
     component: the smallest id reachable over links of at most ``max_bits`` differing bits, itself
     included.  Ids are whole numbers.  Null text is empty; texts without words share fingerprint 0
     and are linked like any others; rows with equal ids or texts stay separate rows; a row with a
-    null id has its group's smallest id (null if the whole group has none).  Extra columns are ignored.
+    null id has its group's smallest id (null if the whole group has none); groups don't meet over equal ids.  Extra columns are ignored.
     """
-    fps = written(fingerprints(docs, id_col, text_col, width), "simhash-fp")
+    fps = written(fingerprints(docs, id_col, text_col, width, extra), "simhash-fp")
     classes = written(fps.groupBy("fp").agg(F.min("id").cast("long").alias("rep")), "simhash-classes")
-    links = pivot_links(classes.filter("rep is not null"), max_bits)
+    # nodes are the fingerprints themselves: ids may repeat or be null
+    links = pivot_links(classes.select("fp", F.col("fp").alias("rep")), max_bits)
     comp = connected_components(links, "simhash-components")
-    named = (classes.join(comp, F.col("rep") == F.col("node"), "left")
-             .select(F.col("fp").alias("f"), F.coalesce("component", "rep").alias("component")))
-    return fps.join(named, F.col("fp") == F.col("f"), "left").select("id", "fp", "component")
+    linked = classes.join(comp, F.col("fp") == F.col("node")).select(F.col("fp").alias("lf"), F.col("component").alias("root"), "rep")
+    smallest = linked.groupBy(F.col("root").alias("r")).agg(F.min("rep").alias("low"))
+    named = (classes.join(linked.drop("rep").join(smallest, F.col("root") == F.col("r")), F.col("fp") == F.col("lf"), "left")
+             .select(F.col("fp").alias("f"), F.when(F.col("lf").isNull(), F.col("rep")).otherwise(F.col("low")).alias("component"),
+                     F.coalesce("root", "fp").alias("group")))
+    return fps.join(named, F.col("fp") == F.col("f"), "left").select("id", "fp", "component", "group", *extra)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 2) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns as they are: of each group the row with the smallest id.
+
+    Exactly one row of a group stays, also if ids repeat; a null id stays only where its whole group has none.
+    """
+    spark = docs.sparkSession
+    path = shared_path(spark, "simhash-input")
+    docs.write.parquet(path)
+    copy = spark.read.schema(docs.schema).parquet(path)
+    placed = copy.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    groups = written(near_duplicates(placed, "id", "t", width, max_bits, ("file", "row")), "simhash-groups")
+    stays = (groups.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "file", "row")).alias("k"))
+             .select(F.col("k.file").alias("__file"), F.col("k.row").alias("__row")))
+    return copy.join(stays, (copy["_metadata.file_path"] == stays["__file"]) & (copy["_metadata.row_index"] == stays["__row"]), "left_semi")
 
 
 def op4_simhash_pivot_dedup(spark, sf_dir: str) -> DataFrame:
