@@ -5,6 +5,7 @@ from __future__ import annotations
 from markscope.llm.bpe import op7_byte_bpe_transducer
 from markscope.llm.decontaminate import OP1_SQL, op1_decontaminate_winnowing
 from markscope.llm.exact_dedup import OP9_SQL, op9_exact_dedup_stream
+from markscope.llm.fuzzy_lines import op8_fuzzy_line_dedup
 from markscope.llm.kn_lm import op5_kneser_ney_lm
 from markscope.llm.langid import op6_langid_kneser_ney
 from markscope.llm.pii import op2_pii_bootstrap
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_kneser_ney_lm": op5_kneser_ney_lm,
     "op6_langid_kneser_ney": op6_langid_kneser_ney,
     "op7_byte_bpe_transducer": op7_byte_bpe_transducer,
+    "op8_fuzzy_line_dedup": op8_fuzzy_line_dedup,
     "op9_exact_dedup_stream": op9_exact_dedup_stream,
     "op10_warc_revisits": op10_warc_revisits,
 }
