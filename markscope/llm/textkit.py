@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 #: ASCII white space of ``[\x20\x09-\x0D]``; every other byte belongs to a word.
 SPACE_WORD = np.ones(256, dtype=bool)
