@@ -7,10 +7,11 @@ JVM.  They work on one page row at a time and need no shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from markscope.functions import patterns as P
+from markscope.session import allow_java_charsets, cached_expr, java_charsets
 
 
 def _col(c: Column | str) -> Column:
@@ -22,33 +23,33 @@ def scrub(c: Column | str) -> Column:
     return F.translate(_col(c), P.LINE_BREAK_CHARS, "")
 
 
-def strip_comments(html: Column | str) -> Column:
-    return F.regexp_replace(_col(html), P.COMMENT, "")
-
+def markup_only(html: Column | str) -> Column:
+    """HTML in one left-to-right scan: without comments and without the bodies (and end tags) of
+    elements that hold plain text, so what looks like markup in there, or in an attribute, never counts."""
+    return F.regexp_replace(_col(html), P.SCAN_MARKUP_JVM, P.MARKUP_REPL_JVM)
 
-def strip_raw_text(html: Column | str) -> Column:
-    """Cut script/style bodies, keep their start tags."""
-    return F.regexp_replace(_col(html), P.RAW_TEXT, P.RAW_TEXT_REPL_JVM)
 
+def tags(markup: Column | str) -> Column:
+    """array<string>: start and end tags in document order."""
+    return F.regexp_extract_all(_col(markup), F.lit(P.TAG_JVM), 0)
 
-def markup_only(html: Column | str) -> Column:
-    """HTML without comments and without script/style bodies: the tokeniser input."""
-    return strip_raw_text(strip_comments(html))
 
-
-def start_tags(stripped: Column | str) -> Column:
+def start_tags(tags_col: Column | str) -> Column:
     """array<string>: the whole start tags in document order."""
-    return F.regexp_extract_all(_col(stripped), F.lit(P.START_TAG_JVM), 0)
+    return F.filter(_col(tags_col), lambda t: ~t.startswith("</"))
 
 
-def end_tag_names(stripped: Column | str) -> Column:
+def end_tag_names(tags_col: Column | str) -> Column:
     """array<string>: lower-cased names of the end tags."""
-    return F.transform(F.regexp_extract_all(_col(stripped), F.lit(P.END_TAG), 1), F.lower)
+    ends = F.filter(_col(tags_col), lambda t: t.startswith("</"))
+    return F.transform(ends, lambda t: F.lower(F.regexp_extract(t, P.END_TAG_NAME, 1)))
 
 
 def comment_texts(html: Column | str) -> Column:
     """array<string>: the content of every comment."""
-    return F.regexp_extract_all(_col(html), F.lit(P.COMMENT), 1)
+    found = F.filter(F.regexp_extract_all(_col(html), F.lit(P.SCAN_JVM), 0), lambda t: t.startswith("<!--"))
+    texts = F.transform(found, lambda t: F.regexp_replace(F.substring(t, 5, 1 << 30), P.COMMENT_END, ""))
+    return F.when(F.instr(_col(html), "<!--") > 0, texts).otherwise(F.array().cast("array<string>"))
 
 
 def tag_name(raw: Column | str) -> Column:
@@ -66,12 +67,31 @@ def attr_name(token: Column) -> Column:
     return scrub(F.lower(F.regexp_extract(token, P.ATTR_NAME, 1)))
 
 
+def _entity_map() -> Column:
+    """Name to characters as one literal (a map built entry by entry would weigh on every plan)."""
+    pairs = "\x02".join(f"{k}\x03{v}" for k, v in P.ENTITIES.items())
+    return F.call_function("str_to_map", F.lit(pairs), F.lit("\x02"), F.lit("\x03"))
+
+
 def decode_entities(c: Column) -> Column:
-    """Decode the fixed entity list; text without '&' is returned untouched."""
-    out = c
-    for entity, char in P.ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.when(F.instr(c, "&") > 0, out).otherwise(c)
+    """Decode named and numeric entities once, left to right; text without '&' is returned untouched."""
+    named = cached_expr("entities", _entity_map)
+
+    def decoded(x: Column, found: Column) -> Column:
+        number = F.when(found.rlike("^#[0-9]"), F.substring(found, 2, 20).cast("bigint")) \
+            .when(found.startswith("#"), F.conv(F.substring(found, 3, 20), 16, 10).cast("bigint"))
+        char = F.element_at(F.transform(F.array(number), lambda n: (
+            F.when(n.isNull(), F.try_element_at(named, found))
+            .when((n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+            .otherwise(F.lit(P.REPLACEMENT_CHAR)))), 1)
+        return F.coalesce(F.concat(char, F.substring(x, F.length(found) + 2, 1 << 30)), F.concat(F.lit("&"), x))
+
+    def piece(x: Column, i: Column) -> Column:
+        # the one-entry arrays bind a value once: lambdas have no common subexpressions
+        rest = F.element_at(F.transform(F.array(F.regexp_extract(x, P.ENTITY, 1)), lambda found: decoded(x, found)), 1)
+        return F.when(i == 0, x).otherwise(rest)
+
+    return F.when(F.instr(c, "&") > 0, F.array_join(F.transform(F.split(c, "&", -1), piece), "")).otherwise(c)
 
 
 def attr_value(token: Column) -> Column:
@@ -90,9 +110,9 @@ def attr_lookup(raw: Column, name: str) -> Column:
     return F.when(idx > 0, attr_value(F.get(tokens, idx - 1)))
 
 
-def page_text(stripped: Column | str) -> Column:
-    """Own text of all elements, script/style excluded, blanks collapsed, pieces joined."""
-    pieces = F.split(_col(stripped), P.MARKUP_JVM)
+def page_text(html: Column | str) -> Column:
+    """Text of all elements, script/style excluded, blanks collapsed, pieces joined."""
+    pieces = F.split(F.regexp_replace(_col(html), P.SCAN_TEXT_JVM, P.TEXT_REPL_JVM), P.BREAK, -1)
     cleaned = F.transform(
         pieces, lambda x: F.trim(F.regexp_replace(decode_entities(x), P.BLANKS, " ")))
     return F.array_join(F.filter(cleaned, lambda x: x != ""), "")
@@ -117,25 +137,20 @@ def url_scheme(url: Column | str) -> Column:
 
 
 def byte_size(text: Column, charset: Column) -> Column:
-    """Bytes of ``text`` encoded in ``charset``; null for a charset we cannot size.
+    """Bytes of ``text`` encoded in ``charset``, any that the JVM can encode; null for others.
 
-    UTF-16 counts code units (code points plus one per supplementary character);
-    plain "UTF-16" adds the byte order mark Java writes for a non-empty text.
+    Characters that the charset lacks count as its replacement.
     """
+    allow_java_charsets(SparkSession.active())
     cs = F.lower(charset)
-    n = F.length(text)
-    units = n + F.length(F.regexp_replace(text, P.SUPPLEMENTARY, ""))
     return (F.when(cs.isin(*P.UTF8_CHARSETS), F.octet_length(text))
-            .when(cs.isin(*P.SINGLE_BYTE_CHARSETS), n)
-            .when(cs.isin(*P.UTF16_CHARSETS), units * 2)
-            .when(cs.isin(*P.UTF16_BOM_CHARSETS), F.when(n > 0, units * 2 + 2).otherwise(0))
-            .when(cs.isin(*P.UTF32_CHARSETS), n * 4)
+            .when(known_charset(charset), F.octet_length(F.call_function("encode", text, cs)))
             .cast("bigint"))
 
 
 def known_charset(charset: Column) -> Column:
-    return F.lower(charset).isin(*(P.UTF8_CHARSETS + P.SINGLE_BYTE_CHARSETS + P.UTF16_CHARSETS
-                                   + P.UTF16_BOM_CHARSETS + P.UTF32_CHARSETS))
+    """Whether the JVM can encode text in a charset of that name (any case)."""
+    return F.lower(charset).isin(*java_charsets())
 
 
 def ratio(num: Column, den: Column) -> Column:

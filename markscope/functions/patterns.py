@@ -14,19 +14,64 @@ Whitespace is spelled ``[ \\t\\n\\f\\r]`` because ``\\s`` differs between the tw
 engines (Java also takes vertical tab).
 """
 
+from html.entities import html5 as _html5_entities
+
 WS = r"[ \t\n\f\r]"
 
 # --- tokens ---------------------------------------------------------------
-COMMENT = r"(?s)<!--(.*?)-->"
-# script/style bodies are cut out, their start tag is kept: <script a=1>...</script> -> <script a=1>
-RAW_TEXT = r"(?is)<(script|style)([ \t\n\f\r/][^>]*|)>.*?</(?:script|style)[ \t\n\f\r]*>"
-RAW_TEXT_REPL_JVM = "<$1$2>"
-RAW_TEXT_REPL_RE2 = r"<\1\2>"
+# A tag name runs to a blank, "/" or ">"; attributes follow a blank or "/".
+NAME = r"[a-zA-Z][^ \t\n\f\r/>]*"
+TAG_REST_JVM = r"""(?:[ \t\n\f\r/](?:[^>"']++|"[^"]*+"|'[^']*+')*+)?+>"""
+TAG_REST_RE2 = r"""(?:[ \t\n\f\r/](?:[^>"']|"[^"]*"|'[^']*')*)?>"""
+START_TAG_JVM = "<" + NAME + "+" + TAG_REST_JVM
+START_TAG_RE2 = "<" + NAME + TAG_REST_RE2
+END_TAG = r"</[a-zA-Z][^>]*>"
+END_TAG_NAME = "^</(" + NAME + ")"
+TAG_NAME = "^<(" + NAME + ")"
+DECLARATION = r"<![^>]*>|<\?[^>]*>"
+# A comment that is never closed runs to the end of the page; so does the body of an element below.
+COMMENT = r"(?s:<!--.*?(?:-->|\z))"
+COMMENT_END = r"-->\z"
+# Elements whose body is text up to their end tag, markup or not: script and style hold data,
+# the others hold page text.
+DATA_ELEMENTS = ["script", "style"]
+PLAIN_TEXT_ELEMENTS = ["title", "textarea", "xmp", "iframe", "noframes"]
+
+
+def _raw_element(name: str, rest: str, keep: str) -> str:
+    """An element with a plain body; ``keep`` says whether its start tag or its body is a group."""
+    start, body = f"<(?i:{name}){rest}", "(?s:.*?)"
+    start = f"({start})" if keep == "start" else start
+    body = f"({body})" if keep == "body" else body
+    return rf"{start}{body}(?:</(?i:{name})(?:[ \t\n\f\r/][^>]*)?>|\z)"
+
 
-START_TAG_JVM = r"""<[a-zA-Z][a-zA-Z0-9]*+(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
-START_TAG_RE2 = r"""<[a-zA-Z][a-zA-Z0-9]*(?:[^>"']|"[^"]*"|'[^']*')*>"""
-END_TAG = r"</([a-zA-Z][a-zA-Z0-9]*)"
-TAG_NAME = r"^<([a-zA-Z][a-zA-Z0-9]*)"
+def _scan(start_tag: str, rest: str, keep: str) -> str:
+    """One left-to-right scan over everything that is not text.
+
+    keep = "start": groups are the start tags of plain-body elements, then any other token.
+    keep = "body": groups are the bodies of the plain-text elements.
+    keep = "": no groups.
+    """
+    raw = [_raw_element(n, rest, "" if keep == "body" else keep) for n in DATA_ELEMENTS]
+    raw += [_raw_element(n, rest, keep) for n in PLAIN_TEXT_ELEMENTS]
+    other = f"{start_tag}|{END_TAG}|{DECLARATION}"
+    return "|".join([COMMENT, *raw, f"({other})" if keep == "start" else other])
+
+
+SCAN_MARKUP_JVM = _scan(START_TAG_JVM, TAG_REST_JVM, "start")
+SCAN_MARKUP_RE2 = _scan(START_TAG_RE2, TAG_REST_RE2, "start")
+SCAN_TEXT_JVM = _scan(START_TAG_JVM, TAG_REST_JVM, "body")
+SCAN_TEXT_RE2 = _scan(START_TAG_RE2, TAG_REST_RE2, "body")
+SCAN_JVM = _scan(START_TAG_JVM, TAG_REST_JVM, "")
+SCAN_RE2 = _scan(START_TAG_RE2, TAG_REST_RE2, "")
+_N_MARKUP = len(DATA_ELEMENTS) + len(PLAIN_TEXT_ELEMENTS) + 1
+MARKUP_REPL_JVM = "".join(f"${k}" for k in range(1, _N_MARKUP + 1))
+MARKUP_REPL_RE2 = "".join(rf"\{k}" for k in range(1, _N_MARKUP + 1))
+# stands between two runs of text; no page text holds it
+BREAK = "\x01"
+TEXT_REPL_JVM = BREAK + "".join(f"${k}{BREAK}" for k in range(1, len(PLAIN_TEXT_ELEMENTS) + 1))
+TEXT_REPL_RE2 = BREAK + "".join(rf"\{k}{BREAK}" for k in range(1, len(PLAIN_TEXT_ELEMENTS) + 1))
 
 # attribute token inside a start tag, after its "<name" prefix: name[=value]
 ATTR_JVM = (r"""[^ \t\n\f\r"'>/=]++(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+"""
@@ -40,9 +85,9 @@ ATTR_BARE = r"""=[ \t\n\f\r]*(.*)$"""
 ATTR_HAS_DQ = r'''^[^=]*=[ \t\n\f\r]*"'''
 ATTR_HAS_SQ = r"""^[^=]*=[ \t\n\f\r]*'"""
 
-# every markup token that is not text: start tag, end tag, <!...>, <?...>
-MARKUP_JVM = START_TAG_JVM + r"|</[a-zA-Z][^>]*+>|<![^>]*+>|<\?[^>]*+>"
-MARKUP_RE2 = START_TAG_RE2 + r"|</[a-zA-Z][^>]*>|<![^>]*>|<\?[^>]*>"
+# start and end tags of the scanned markup, in order
+TAG_JVM = START_TAG_JVM + "|" + END_TAG
+TAG_RE2 = START_TAG_RE2 + "|" + END_TAG
 
 DOCTYPE = r"(?i)<!doctype[^>]*>"
 META_CHARSET = r"""(?i)<meta[^>]*charset[ \t\n\f\r]*=[ \t\n\f\r]*["']?([a-zA-Z0-9_:.-]+)"""
@@ -77,25 +122,18 @@ NO_ORIGINAL_URL = "N.D."
 NOT_AVAILABLE = "NA"
 
 # --- fixed values of our own ----------------------------------------------
-# Named entities decoded in page text; "&amp;" stays last so "&amp;lt;" gives "&lt;".
-ENTITIES = [
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&apos;", "'"),
-    ("&nbsp;", "\u00a0"),
-    ("&copy;", "©"),
-    ("&reg;", "®"),
-    ("&middot;", "·"),
-    ("&ndash;", "–"),
-    ("&mdash;", "—"),
-    ("&hellip;", "…"),
-    ("&amp;", "&"),
-]
+# Named entities decoded in page text and attribute values: all that end in ";".
+ENTITIES = {k[:-1]: v for k, v in sorted(_html5_entities.items()) if k.endswith(";")}
+# an entity after its "&": decimal, hexadecimal or named
+ENTITY = r"^(#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,7}|[a-zA-Z][a-zA-Z0-9]*);"
+REPLACEMENT_CHAR = "\ufffd"
 
-# Charsets whose byte size we can compute alike in Spark and DuckDB.
+# Charset families by name: the first is sized without encoding; the oracle sizes all of them by arithmetic.
+# Spark itself sizes any charset that the JVM can encode (``markup.byte_size``).
 UTF8_CHARSETS = ["utf-8", "utf8"]
-SINGLE_BYTE_CHARSETS = ["iso-8859-1", "latin1", "us-ascii", "ascii", "windows-1252"]
+SINGLE_BYTE_CHARSETS = (["iso-8859-1", "latin1", "us-ascii", "ascii", "koi8-r", "koi8-u"]
+                        + [f"iso-8859-{k}" for k in (2, 3, 4, 5, 6, 7, 8, 9, 13, 15)]
+                        + [f"windows-{k}" for k in range(1250, 1259)])
 UTF16_CHARSETS = ["utf-16le", "utf-16be"]          # 2 bytes per UTF-16 code unit
 UTF16_BOM_CHARSETS = ["utf-16"]                    # the same plus a 2-byte byte order mark
 UTF32_CHARSETS = ["utf-32", "utf-32le", "utf-32be"]  # 4 bytes per code point, no mark
@@ -108,7 +146,7 @@ VOID_ELEMENTS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "li
 OPTIONAL_END_ELEMENTS = ["html", "head", "body", "p", "li", "dt", "dd", "option", "optgroup",
                          "tr", "td", "th", "thead", "tbody", "tfoot", "colgroup", "caption",
                          "rb", "rt", "rtc", "rp"]
-RAW_TEXT_ELEMENTS = ["script", "style"]
+RAW_TEXT_ELEMENTS = DATA_ELEMENTS + PLAIN_TEXT_ELEMENTS
 
 # Obsolete elements: (element, replacement element or None for "Use CSS instead.").
 OBSOLETE_ELEMENTS = [

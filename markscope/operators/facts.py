@@ -44,18 +44,19 @@ _CORE_NAMES = ["scheme", "doctype", "declared_charset", "file_size", "start_tags
 
 def _parse_columns():
     html = F.coalesce(F.col("html"), F.lit(""))
-    stage1 = [html.alias("_html"), M.markup_only(html).alias("_markup")]
+    markup = M.markup_only(html)
+    stage1 = [html.alias("_html"), markup.alias("_markup"), M.tags(markup).alias("_tags")]
     core = [
         M.url_scheme("url").alias("scheme"),
         M.doctype("_markup").alias("doctype"),
         M.declared_charset("_markup").alias("declared_charset"),
         F.octet_length("_html").cast("bigint").alias("file_size"),
-        M.start_tags("_markup").alias("start_tags"),
+        M.start_tags("_tags").alias("start_tags"),
     ]
     rest = [
-        M.end_tag_names("_markup").alias("end_tags"),
+        M.end_tag_names("_tags").alias("end_tags"),
         M.comment_texts("_html").alias("comments"),
-        M.page_text("_markup").alias("text"),
+        M.page_text("_html").alias("text"),
     ]
     return stage1, core, rest
 
@@ -131,10 +132,6 @@ def comments(parsed: DataFrame) -> DataFrame:
             .withColumn("pos", F.col("pos").cast("bigint")))
 
 
-def end_tag_rows(parsed: DataFrame, context: tuple[str, ...] = ()) -> DataFrame:
-    return parsed.select("page_id", *context, F.posexplode("end_tags").alias("pos", "tag"))
-
-
 __all__ = ["parse_pages", "element_rows", "elements", "attribute_rows", "attributes",
-           "link_rows", "links", "image_rows", "images", "comments", "end_tag_rows",
+           "link_rows", "links", "image_rows", "images", "comments",
            "PAGE_INPUT_COLUMNS"]

@@ -64,6 +64,9 @@ def render(rule: str, *parts: Column | str) -> Column:
     return F.concat(*out)
 
 
+EVENT_ARRAY = "array<struct<ns:string,key:string,sub:string>>"
+
+
 def _event(ns: Column | str, key: Column, sub: Column | str = "") -> Column:
     ns_c = F.lit(ns) if isinstance(ns, str) else ns
     sub_c = F.lit(sub) if isinstance(sub, str) else sub
@@ -94,8 +97,15 @@ def _tag_rule_maps():
             str_map(dict(P.IMPLICIT_ROLES)))
 
 
-def _start_tag_events(tag: Column, toks: Column, names: Column) -> Column:
-    """array<event> for one start tag, from its (materialised) name, tokens and names."""
+def _wants(rules: tuple[str, ...] | None, *of: str) -> bool:
+    return rules is None or bool(set(rules) & set(of))
+
+
+def _start_tag_events(tag: Column, toks: Column, names: Column, rules: tuple[str, ...] | None = None) -> Column:
+    """array<event> for one start tag, from its (materialised) name, tokens and names.
+
+    With ``rules``, only the events that these rules need.
+    """
 
     def val(name: str) -> Column:
         return M.value_in(toks, names, name)
@@ -109,22 +119,25 @@ def _start_tag_events(tag: Column, toks: Column, names: Column) -> Column:
     id_val = val("id")
     usemap = val("usemap")
     map_name = val("name")
-    single = F.array(
-        _event("tag", tag, "start"),
-        F.when(obs_ns[tag].isNotNull(), _event(obs_ns[tag], obs_msg[tag])),
-        F.when(implicit_role[tag] == role,
-               _event("redundant_role", render("redundant_role", role, tag))),
-        F.when((tag == "script") & stype.isin(*JS_TYPES), _event("script_type", render("script_type"))),
-        F.when(id_val.isNotNull() & (id_val != ""), _event("id", id_val, "id")),
-        F.when(usemap.startswith("#"), _event("map", F.substring(usemap, 2, 1 << 30), "usemap")),
-        F.when((tag == "map") & map_name.isNotNull(), _event("map", map_name, "name")),
-    )
+    single = [e for e, of in (
+        (_event("tag", tag, "start"), ("unclosed", "stray_end")),
+        (F.when(obs_ns[tag].isNotNull(), _event(obs_ns[tag], obs_msg[tag])), ("obsolete_element", "obsolete_element_css")),
+        (F.when(implicit_role[tag] == role,
+                _event("redundant_role", render("redundant_role", role, tag))), ("redundant_role",)),
+        (F.when((tag == "script") & stype.isin(*JS_TYPES), _event("script_type", render("script_type"))), ("script_type",)),
+        (F.when(id_val.isNotNull() & (id_val != ""), _event("id", id_val, "id")), ("duplicate_id", "dangling_ref")),
+        (F.when(usemap.startswith("#"), _event("map", F.substring(usemap, 2, 1 << 30), "usemap")), ("usemap",)),
+        (F.when((tag == "map") & map_name.isNotNull(), _event("map", map_name, "name")), ("usemap",)),
+    ) if _wants(rules, *of)]
     req = F.transform(missing, lambda a: _event("required_attr", render("required_attr", tag, a)))
     obs = F.transform(present, lambda a: _event("obsolete_attr", render("obsolete_attr", a, tag)))
     dups = F.transform(names, lambda n, i: F.when(
         F.array_position(names, n) < i + 1,
         _event("duplicate_attr", render("duplicate_attr", n))))
-    return F.concat(single, req, obs, dups, _reference_events(toks, names))
+    lists = [e for e, of in ((req, "required_attr"), (obs, "obsolete_attr"), (dups, "duplicate_attr"),
+                             (_reference_events(toks, names), "dangling_ref")) if _wants(rules, of)]
+    parts = ([F.array(*single)] if single else []) + lists
+    return F.concat(*parts) if parts else F.array().cast(EVENT_ARRAY)
 
 
 def _reference_events(toks: Column, names: Column) -> Column:
@@ -191,8 +204,8 @@ def page_tokens(parsed: DataFrame, page_keys: tuple[str, ...] = (),
 
 def token_events(parsed: DataFrame, page_keys: tuple[str, ...] = (),
                  with_markup: bool = False, payload: str | None = None,
-                 with_links: bool = False) -> DataFrame:
-    """Lint events of every token; with ``with_markup`` also the count events of each start tag
+                 with_links: bool = False, rules: tuple[str, ...] | None = None) -> DataFrame:
+    """Lint events of every token (with ``rules``, what these need); with ``with_markup`` also the count events of each start tag
     (elements, attributes, protocols, images; ``ns`` = metric, ``sub`` = subkey).  With
     ``payload``, the page token yields one ``page`` event and column ``_payload``."""
     from markscope.operators.rollup import tag_metric_events
@@ -207,7 +220,7 @@ def token_events(parsed: DataFrame, page_keys: tuple[str, ...] = (),
 
     def build():
         tag, toks, names = F.col("_tag"), F.col("_toks"), F.col("_names")
-        start = _start_tag_events(tag, toks, names)
+        start = _start_tag_events(tag, toks, names, rules)
         if with_markup:
             # no "elements" event: the lint's own (tag, start) events count the same thing
             start = F.concat(start, tag_metric_events(tag, toks, names, F.col("scheme"),
@@ -224,7 +237,7 @@ def token_events(parsed: DataFrame, page_keys: tuple[str, ...] = (),
 
     out = [F.col("m").alias("_payload")] if payload else []
     return (staged.select("page_id", *page_keys, *out,
-                          cached_expr(("token_events", with_markup, with_links), build))
+                          cached_expr(("token_events", with_markup, with_links, rules), build))
             .filter(F.col("e").isNotNull()))
 
 
@@ -244,13 +257,13 @@ MARKUP_METRICS = ["elements", "attributes", "protocols", "images"]
 
 def event_counts(parsed: DataFrame, page_keys: tuple[str, ...] = (),
                  with_markup: bool = False, payload: str | None = None,
-                 with_links: bool = False) -> DataFrame:
+                 with_links: bool = False, rules: tuple[str, ...] | None = None) -> DataFrame:
     """Events aggregated per ``(page_id, ns, key, gsub)`` (+ page keys carried as group keys).
 
     ``gsub`` is the subkey of a markup metric and empty for lint events, whose
     ``sub`` values become fixed-width conditional counts instead.
     """
-    ev = token_events(parsed, page_keys, with_markup, payload, with_links)
+    ev = token_events(parsed, page_keys, with_markup, payload, with_links, rules)
 
     def build():
         ns, sub = F.col("e.ns"), F.col("e.sub")
@@ -274,18 +287,13 @@ def event_counts(parsed: DataFrame, page_keys: tuple[str, ...] = (),
     return ev.groupBy("page_id", *page_keys, *keys).agg(*aggs)
 
 
-def lint_events(parsed: DataFrame, page_keys: tuple[str, ...] = ()) -> DataFrame:
-    return token_events(parsed, page_keys, with_markup=False)
-
-
-def lint_counts(parsed: DataFrame, page_keys: tuple[str, ...] = ()) -> DataFrame:
-    """Lint events aggregated per ``(page_id, ns, key)`` (+ page keys carried as group keys)."""
-    return event_counts(parsed, page_keys, with_markup=False)
+def lint_messages(parsed: DataFrame, page_keys: tuple[str, ...] = (),
+                  rules: tuple[str, ...] | None = None) -> DataFrame:
+    """Messages of all lint rules: ``page_id, *page_keys, rule, kind, message_id, message, n``.
 
-
-def lint_messages(parsed: DataFrame, page_keys: tuple[str, ...] = ()) -> DataFrame:
-    """Messages of all lint rules: ``page_id, *page_keys, rule, kind, message_id, message, n``."""
-    return messages_from_counts(lint_counts(parsed, page_keys), page_keys)
+    With ``rules``, messages of these are whole (others may be there in part: filter on ``rule``).
+    """
+    return messages_from_counts(event_counts(parsed, page_keys, rules=rules), page_keys)
 
 
 def messages_from_counts(c: DataFrame, page_keys: tuple[str, ...] = (),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from markscope.functions import markup as M
 from markscope.functions import patterns as P
-from markscope.session import cached_expr
+from markscope.session import allow_java_charsets, cached_expr
 
 STATUS_ORDER = ["failed_not_html", "failed_no_bytes", "failed_parsing", "failed_validation", "ok"]
 
@@ -28,8 +28,10 @@ def with_status(parsed: DataFrame, validator_charset: DataFrame | None = None) -
 
     ``validator_charset`` (``page_id, encoding``) comes from validator results; without
     it the lint operators are the validator, and the charset is the declared one
-    (or UTF-8).  A page then fails validation only for a charset we cannot size.
+    (or UTF-8).  A page then fails validation only for a charset that the JVM can't encode.
+    A page without any tag is text, not a failure; one whose URL has no scheme fails parsing.
     """
+    allow_java_charsets(parsed.sparkSession)
     df = parsed
     if validator_charset is not None:
         df = df.join(validator_charset.select("page_id", F.col("encoding").alias("_v_enc"),
@@ -49,8 +51,8 @@ def _status_columns(with_validator: bool):
         validated = F.lit(True)
     status = (F.when(F.col("not_html"), F.lit("failed_not_html"))
               .when(F.col("file_size") == 0, F.lit("failed_no_bytes"))
-              .when(F.col("scheme").isNull() | (F.size("start_tags") == 0), F.lit("failed_parsing"))
-              .when(~validated | ~M.known_charset(charset), F.lit("failed_validation"))
+              .when(F.col("scheme").isNull(), F.lit("failed_parsing"))
+              .when(~validated | ~F.coalesce(M.known_charset(charset), F.lit(False)), F.lit("failed_validation"))
               .otherwise(F.lit("ok")))
     return [charset.alias("charset"), status.alias("status")]
 

@@ -38,21 +38,28 @@ def drop_redirect_records(records: DataFrame) -> DataFrame:
     return records.filter(F.col("location").isNull() | F.col("url").isNull())
 
 
-def attach_original_url(pages: DataFrame, redirects: DataFrame) -> DataFrame:
-    """Set ``original_url`` on the first page (by ``warc``) whose URL is a target.
+def origins(pages: DataFrame, redirects: DataFrame) -> DataFrame:
+    """``url, warc, origin`` for the first page (by ``warc``) of each URL that is a target.
 
-    The first page per URL comes from a partial ``min`` aggregate (no window over
-    a possibly hot URL); its ``(url, warc)`` pair is unique, so the final join on
-    it has no hot key.  The physical join is left to Catalyst/AQE, which turns it
-    into a broadcast only when the measured redirect side is small.
+    The first page per URL comes from a partial ``min`` aggregate (no window over a possibly hot
+    URL).  ``redirects`` may name a target more than once (a map kept over several runs): the
+    largest origin is taken, so a page is never doubled.
     """
     first = pages.filter(F.col("url").isNotNull()).groupBy("url").agg(F.min("warc").alias("warc"))
-    used = first.join(redirects, first["url"] == redirects["target"], "inner") \
-        .select(first["url"], first["warc"], redirects["origin"].alias("_origin"))
-    out = pages.join(used, ["url", "warc"], "left")
-    cols = [F.coalesce(F.col("_origin"), F.col("original_url")).alias("original_url")
-            if c == "original_url" else F.col(c) for c in pages.columns]
-    return out.select(*cols)
+    one = redirects.groupBy("target").agg(F.max("origin").alias("origin"))
+    return first.join(one, first["url"] == one["target"], "inner").select("url", "warc", "origin")
+
+
+def attach_original_url(rows: DataFrame, used: DataFrame) -> DataFrame:
+    """Set ``original_url`` of ``rows`` (one per page, with ``url, warc``) from ``origins``.
+
+    Give it narrow rows (results, not pages): the join shuffles them by ``(url, warc)``, a unique
+    pair, so it has no hot key; AQE broadcasts the small side when its measured size allows.
+    """
+    o = used.select(F.col("url").alias("_url"), F.col("warc").alias("_warc"), F.col("origin").alias("_origin"))
+    out = rows.join(o, (F.col("url") == F.col("_url")) & (F.col("warc") == F.col("_warc")), "left")
+    return out.select(*[F.coalesce(F.col("_origin"), F.col("original_url")).alias("original_url")
+                        if c == "original_url" else F.col(c) for c in rows.columns])
 
 
 def resume_after(records: DataFrame, last_name: str | None) -> DataFrame:
@@ -60,13 +67,7 @@ def resume_after(records: DataFrame, last_name: str | None) -> DataFrame:
     return records if last_name is None else records.filter(F.col("warc") > F.lit(last_name))
 
 
-def pages_from_warc(files: DataFrame) -> DataFrame:
-    """WARC files -> normalised page input with original URLs attached."""
+def page_input(records: DataFrame) -> DataFrame:
+    """WARC records -> normalised page input that still knows each record's ``location``."""
     from markscope.sources.pages import normalize_pages
-    from markscope.sources.warc import parse_warc
-    recs = parse_warc(files)
-    redirects = redirect_map(recs)
-    pages = drop_redirect_records(recs).withColumn("page_id", F.xxhash64("warc")) \
-        .withColumn("original_url", F.lit(None).cast("string"))
-    pages = attach_original_url(pages, redirects)
-    return normalize_pages(pages)
+    return normalize_pages(records.withColumn("page_id", F.xxhash64("warc")))

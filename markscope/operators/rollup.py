@@ -66,14 +66,6 @@ def markup_events(ok_pages: DataFrame) -> DataFrame:
         "page_id", "is_html5", "e.metric", "e.key", "e.subkey", F.lit(1).cast("bigint").alias("n"))
 
 
-def markup_from_counts(counts: DataFrame) -> DataFrame:
-    """Per-page markup counts out of the shared event aggregation (``lint.event_counts``)."""
-    from markscope.operators.lint import MARKUP_METRICS
-    return (counts.filter(F.col("ns").isin(*MARKUP_METRICS))
-            .select("page_id", "is_html5", F.col("ns").alias("metric"), "key",
-                    F.col("gsub").alias("subkey"), F.col("n").cast("bigint").alias("n")))
-
-
 def events_from_rows(rows: DataFrame) -> DataFrame:
     """Count events from classified rows of ``lint.messages_from_counts(..., keep_markup=True)``.
 
@@ -167,14 +159,15 @@ def distinct_stats(totals_df: DataFrame) -> DataFrame:
 
 
 def dedupe_urls(pages: DataFrame, order_col: str = "warc") -> DataFrame:
-    """keep one page per URL, the first by ``order_col``.
+    """keep one page per URL, the first by ``order_col``; pages without a URL share one.
 
     The winner per URL is found with a partially aggregated ``min`` (a URL held by a
     third of all records is collapsed map-side), then pages are semi-joined on the
     winner's own (url, key) pair, which is unique, so the join has no hot key.
     """
-    winners = pages.groupBy("url").agg(F.min(order_col).alias(order_col))
-    return pages.join(winners, ["url", order_col], "left_semi")
+    winners = pages.groupBy(F.col("url").alias("_url")).agg(F.min(order_col).alias("_first"))
+    same = F.col("url").eqNullSafe(F.col("_url")) & (F.col(order_col) == F.col("_first"))
+    return pages.join(winners, same, "left_semi")
 
 
 def count_events(status_df: DataFrame, catalogs: dict | None = None) -> DataFrame:

@@ -8,7 +8,9 @@ from the raw crawl.
 
 Outputs under ``out_dir``: ``page`` (parsed pages), ``results`` (K1, CSV ``£``,
 HTML5 twin as partition), ``counts`` (K2/K3), ``totals`` (K4/K5), ``stats`` (K6),
-and ``redirects`` (K8, WARC input only).
+and ``redirects`` (K8, WARC input only).  ``mode="append"`` adds a batch to the first three and to the
+redirects; totals and statistics are then rebuilt from all batches, so two runs over parts of a
+corpus end in the totals of one run over the whole.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markscope import sinks
+from markscope.functions import patterns as P
 from markscope.operators import facts, lint, measures, messages, redirects, rollup
 from markscope.sources import warc
 from markscope.sources.pages import normalize_pages
@@ -36,14 +39,9 @@ def analyze_corpus(spark: SparkSession, out_dir: str, *, pages: DataFrame | None
     out = {k: f"{out_dir.rstrip('/')}/{k}" for k in ("page", "results", "counts", "totals", "stats")}
     catalogs = catalogs or {messages.HTML5_FAMILY: messages.lint_catalog()}
     if warc_dir is not None:
-        recs = redirects.resume_after(warc.parse_warc(warc.read_warc_dir(spark, warc_dir)), last_file)
-        red = redirects.redirect_map(recs)
+        files = warc.read_warc_dir(spark, warc_dir)
+        page_in = redirects.page_input(redirects.resume_after(warc.parse_warc(files), last_file))
         out["redirects"] = f"{out_dir.rstrip('/')}/redirects"
-        sinks.write_redirects(red, out["redirects"], mode)
-        red = spark.read.parquet(out["redirects"])
-        page_in = redirects.drop_redirect_records(recs).withColumn("page_id", F.xxhash64("warc")) \
-            .withColumn("original_url", F.lit(None).cast("string"))
-        page_in = normalize_pages(redirects.attach_original_url(page_in, red))
     elif pages is not None:
         page_in = normalize_pages(pages)
     else:
@@ -51,7 +49,14 @@ def analyze_corpus(spark: SparkSession, out_dir: str, *, pages: DataFrame | None
 
     v_charset = messages.validator_charsets(validator) if validator is not None else None
     parsed = measures.with_status(facts.parse_pages(page_in), v_charset)
-    page = sinks.materialize(parsed, out["page"])
+    batch = sinks.next_batch(spark, out["page"]) if mode == "append" else 0
+    page = sinks.materialize(parsed, out["page"], mode, batch)
+    used = None
+    if warc_dir is not None:
+        # all from the written table: no HTML is read again or shuffled
+        sinks.write_redirects(redirects.redirect_map(page), out["redirects"], mode, batch=batch)
+        page = redirects.drop_redirect_records(page)
+        used = redirects.origins(page, sinks.read_redirects(spark, out["redirects"]))
 
     ok = page.filter(F.col("status") == "ok")
     if validator is not None:
@@ -63,19 +68,25 @@ def analyze_corpus(spark: SparkSession, out_dir: str, *, pages: DataFrame | None
         rows = messages.classify(lint.messages_from_counts(counts, ("is_html5",), keep_markup=True), catalogs)
         events = rollup.events_from_rows(rows)
 
-    sinks.write_counts(rollup.page_counts(events), out["counts"], mode)
-    counts_tbl = sinks.read_counts(spark, out["counts"])
-    sinks.write_totals(rollup.totals(counts_tbl), out["totals"], mode)
+    sinks.write_counts(rollup.page_counts(events), out["counts"], mode, batch)
+    all_counts = sinks.read_counts(spark, out["counts"])
+    sinks.write_totals(rollup.totals(all_counts), out["totals"])
 
-    totals_tbl = spark.read.parquet(out["totals"])
-    msg_totals = (counts_tbl.filter(F.col("metric").isin("errors", "warnings"))
+    msg_totals = (all_counts.filter((F.col("batch") == batch) & F.col("metric").isin("errors", "warnings"))
                   .groupBy("page_id")
                   .agg(F.sum(F.when(F.col("metric") == "errors", F.col("n")).otherwise(0))
                        .cast("bigint").alias("num_errors"),
                        F.sum(F.when(F.col("metric") == "warnings", F.col("n")).otherwise(0))
                        .cast("bigint").alias("num_warnings")))
     results = measures.page_results(measures.page_measures_of_status(page), msg_totals, keep_keys=True)
-    sinks.write_page_results(results, out["results"], mode)
-    stats = rollup.run_funnel(page).unionByName(rollup.distinct_stats(totals_tbl))
-    sinks.write_run_stats(stats, out["stats"], mode)
+    if used is not None:
+        results = redirects.attach_original_url(results.withColumn(
+            "original_url", F.nullif("original_url", F.lit(P.NO_ORIGINAL_URL))), used)
+        results = results.fillna(P.NO_ORIGINAL_URL, ["original_url"])
+    sinks.write_page_results(results, out["results"], mode, batch=batch)
+    all_pages = sinks.read_batches(parsed, out["page"])
+    if warc_dir is not None:
+        all_pages = redirects.drop_redirect_records(all_pages)
+    stats = rollup.run_funnel(all_pages).unionByName(rollup.distinct_stats(sinks.read_totals(spark, out["totals"])))
+    sinks.write_run_stats(stats, out["stats"])
     return out

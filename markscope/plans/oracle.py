@@ -11,7 +11,8 @@ from __future__ import annotations
 from markscope.functions import patterns as P
 from markscope.operators.lint import EXPECTED_DOCTYPE, FALLBACK_CHARSET, JS_TYPES, LINT_RULES
 from markscope.operators.messages import lint_catalog
-from markscope.sources.pages import VARIANTS
+from markscope.plans.queries import VARIED
+from markscope.sources.pages import N_VARIANTS, VARIANTS
 
 
 def lit(s: str) -> str:
@@ -26,11 +27,20 @@ def scrub(x: str) -> str:
     return f"regexp_replace({x}, '[\\r\\n\\x{{85}}\\x{{2028}}\\x{{2029}}\\x{{0}}]', '', 'g')"
 
 
+ENTITY_MAP = "MAP {" + ", ".join(f"{lit(k)}: {lit(v)}" for k, v in P.ENTITIES.items()) + "}"
+
+
 def decode(x: str) -> str:
-    out = x
-    for ent, ch in P.ENTITIES:
-        out = f"replace({out}, {lit(ent)}, {lit(ch)})"
-    return out
+    """Entities decoded once, left to right, piece by piece after each '&'."""
+    found = f"regexp_extract(p, {lit(P.ENTITY)}, 1)"
+    number = (f"(CASE WHEN regexp_matches({found}, '^#[0-9]') THEN CAST(substring({found}, 2) AS BIGINT) "
+              f"WHEN starts_with({found}, '#') THEN CAST('0x' || substring({found}, 3) AS BIGINT) END)")
+    valid = f"({number} > 0 AND {number} <= 1114111 AND {number} NOT BETWEEN 55296 AND 57343)"
+    char = (f"(CASE WHEN {number} IS NULL THEN {ENTITY_MAP}[{found}] "
+            f"WHEN {valid} THEN chr(CAST({number} AS INTEGER)) ELSE {lit(P.REPLACEMENT_CHAR)} END)")
+    piece = f"coalesce({char} || substring(p, length({found}) + 2), '&' || p)"
+    return (f"(CASE WHEN instr({x}, '&') > 0 THEN string_split({x}, '&')[1] || "
+            f"array_to_string(list_transform(string_split({x}, '&')[2:], lambda p: {piece}), '') ELSE {x} END)")
 
 
 def tag_name(raw: str) -> str:
@@ -52,9 +62,9 @@ def attr_value(t: str) -> str:
         f"WHEN instr({t}, '=') > 0 THEN regexp_extract({t}, {lit(P.ATTR_BARE)}, 1) END)")
 
 
-def value_in(toks: str, names: str, name: str) -> str:
-    pos = f"list_position({names}, {lit(name)})"
-    return f"(CASE WHEN {pos} IS NOT NULL THEN {attr_value(f'{toks}[{pos}]')} END)"
+def value_in(vals: str, names: str, name: str) -> str:
+    """Value of the first attribute of that name, from the tag's decoded values."""
+    return f"{vals}[list_position({names}, {lit(name)})]"
 
 
 def link_internal(h: str, s: str) -> str:
@@ -104,7 +114,7 @@ def varied_html() -> str:
         for find, repl in edits:
             e = f"replace({e}, {lit(find)}, {lit(repl)})"
         cases.append(f"WHEN {v} THEN {e}")
-    return f"CASE page_id % 10 {' '.join(cases)} ELSE {out} END"
+    return f"CASE page_id % {N_VARIANTS} {' '.join(cases)} ELSE {out} END"
 
 
 def base_ctes(varied: bool, source: str = "pages") -> str:
@@ -112,15 +122,16 @@ def base_ctes(varied: bool, source: str = "pages") -> str:
     known = in_list(P.UTF8_CHARSETS + P.SINGLE_BYTE_CHARSETS + P.UTF16_CHARSETS + P.UTF16_BOM_CHARSETS
                     + P.UTF32_CHARSETS)
     doc_found = f"regexp_extract(markup, {lit(P.DOCTYPE)}, 0)"
-    text = (f"array_to_string(list_filter(list_transform(regexp_split_to_array(markup, {lit(P.MARKUP_RE2)}), "
+    text = (f"array_to_string(list_filter(list_transform(string_split(regexp_replace(html, {lit(P.SCAN_TEXT_RE2)}, "
+            f"{lit(P.TEXT_REPL_RE2)}, 'g'), {lit(P.BREAK)}), "
             f"lambda x: trim(regexp_replace({decode('x')}, {lit(P.BLANKS)}, ' ', 'g'), ' ')), lambda x: x <> ''), '')")
     return f"""
 src AS (SELECT page_id, url, coalesce({html}, '') AS html FROM {source}),
 staged AS (
   SELECT page_id, url, html,
-         regexp_replace(regexp_replace(html, {lit(P.COMMENT)}, '', 'g'),
-                        {lit(P.RAW_TEXT)}, {lit(P.RAW_TEXT_REPL_RE2)}, 'g') AS markup
+         regexp_replace(html, {lit(P.SCAN_MARKUP_RE2)}, {lit(P.MARKUP_REPL_RE2)}, 'g') AS markup
   FROM src),
+staged_tags AS (SELECT *, regexp_extract_all(markup, {lit(P.TAG_RE2)}, 0) AS tags FROM staged),
 parsed0 AS (
   SELECT page_id, url, html,
          CASE WHEN regexp_matches(url, {lit(P.URI_WITH_SCHEME)}) THEN regexp_extract(url, {lit(P.URL_SCHEME)}, 1) END AS scheme,
@@ -128,16 +139,18 @@ parsed0 AS (
               ELSE regexp_replace(regexp_replace(lower({doc_found}), {lit(P.BLANKS)}, ' ', 'g'), ' >$', '>') END AS doctype,
          nullif(lower(regexp_extract(markup, {lit(P.META_CHARSET)}, 1)), '') AS declared_charset,
          CAST(strlen(html) AS BIGINT) AS file_size,
-         regexp_extract_all(markup, {lit(P.START_TAG_RE2)}, 0) AS start_tags,
-         list_transform(regexp_extract_all(markup, {lit(P.END_TAG)}, 1), lambda x: lower(x)) AS end_tags,
-         regexp_extract_all(html, {lit(P.COMMENT)}, 1) AS comments,
+         list_filter(tags, lambda x: NOT starts_with(x, '</')) AS start_tags,
+         list_transform(list_filter(tags, lambda x: starts_with(x, '</')),
+                        lambda x: lower(regexp_extract(x, {lit(P.END_TAG_NAME)}, 1))) AS end_tags,
+         list_transform(list_filter(regexp_extract_all(html, {lit(P.SCAN_RE2)}, 0), lambda x: starts_with(x, '<!--')),
+                        lambda x: regexp_replace(substring(x, 5), {lit(P.COMMENT_END)}, '')) AS comments,
          {text} AS text
-  FROM staged),
+  FROM staged_tags),
 parsed AS (
   SELECT *, lower(doctype) = {lit(P.HTML5_DOCTYPE)} AS is_html5,
          coalesce(declared_charset, {lit(P.DEFAULT_CHARSET)}) AS charset,
          CASE WHEN file_size = 0 THEN 'failed_no_bytes'
-              WHEN scheme IS NULL OR len(start_tags) = 0 THEN 'failed_parsing'
+              WHEN scheme IS NULL THEN 'failed_parsing'
               WHEN NOT (lower(coalesce(declared_charset, {lit(P.DEFAULT_CHARSET)})) IN {known}) THEN 'failed_validation'
               ELSE 'ok' END AS status
   FROM parsed0),
@@ -146,10 +159,10 @@ el0 AS (
          unnest(generate_series(0, len(start_tags) - 1)) AS pos
   FROM parsed),
 el1 AS (SELECT *, {tag_name('raw')} AS tag, {attr_tokens('raw')} AS toks FROM el0),
-el AS (SELECT *, list_transform(toks, lambda t: {attr_name('t')}) AS names FROM el1),
-at0 AS (SELECT page_id, is_html5, status, pos, tag, names, unnest(toks) AS token,
+el AS (SELECT *, list_transform(toks, lambda t: {attr_name('t')}) AS names,
+              list_transform(toks, lambda t: {attr_value('t')}) AS vals FROM el1),
+at1 AS (SELECT page_id, is_html5, status, pos, tag, names, unnest(names) AS attr, unnest(vals) AS value,
                unnest(generate_series(0, len(toks) - 1)) AS apos FROM el),
-at1 AS (SELECT *, {attr_name('token')} AS attr, {attr_value('token')} AS value FROM at0),
 attrs AS (SELECT page_id, is_html5, status, pos, tag, apos, attr, value,
                  list_position(names, attr) = apos + 1 AS is_first FROM at1),
 links AS (
@@ -157,11 +170,11 @@ links AS (
          {link_internal('href', 'scheme')} AS is_internal,
          starts_with(href, '#') AS is_bookmark,
          {link_protocol('href', 'scheme')} AS protocol
-  FROM (SELECT *, coalesce({value_in('toks', 'names', 'href')}, '') AS href
+  FROM (SELECT *, coalesce({value_in('vals', 'names', 'href')}, '') AS href
         FROM el WHERE tag IN ('a', 'area'))),
 images AS (
   SELECT page_id, is_html5, status, pos, coalesce(src, '') AS src, {image_format('src')} AS format
-  FROM (SELECT *, {value_in('toks', 'names', 'src')} AS src FROM el WHERE tag = 'img')),
+  FROM (SELECT *, {value_in('vals', 'names', 'src')} AS src FROM el WHERE tag = 'img')),
 measures AS (
   SELECT p.*,
          CAST(len(start_tags) AS BIGINT) AS num_elements,
@@ -210,11 +223,11 @@ def lint_cte() -> str:
     refattr_list = "[" + ", ".join(lit(a) for a in P.ID_REFERENCE_ATTRIBUTES) + "]"
     no_unclosed = in_list(P.VOID_ELEMENTS + P.OPTIONAL_END_ELEMENTS + P.RAW_TEXT_ELEMENTS)
     no_stray = in_list(P.VOID_ELEMENTS + P.RAW_TEXT_ELEMENTS)
-    ids = (f"SELECT DISTINCT page_id, {value_in('toks', 'names', 'id')} AS v FROM el "
-           f"WHERE {value_in('toks', 'names', 'id')} <> ''")
+    ids = (f"SELECT DISTINCT page_id, {value_in('vals', 'names', 'id')} AS v FROM el "
+           f"WHERE {value_in('vals', 'names', 'id')} <> ''")
     parts = [
         f"""SELECT page_id, 'duplicate_id' AS rule, {msg('duplicate_id', 'v')} AS message, count(*) - 1 AS n
-            FROM (SELECT page_id, {value_in('toks', 'names', 'id')} AS v FROM el)
+            FROM (SELECT page_id, {value_in('vals', 'names', 'id')} AS v FROM el)
             WHERE v <> '' GROUP BY page_id, v HAVING count(*) > 1""",
         f"""SELECT page_id, 'duplicate_attr', {msg('duplicate_attr', 'attr')}, count(*)
             FROM attrs WHERE NOT is_first GROUP BY ALL""",
@@ -230,9 +243,9 @@ def lint_cte() -> str:
             WHERE list_contains(el.names, r.a) GROUP BY ALL""",
         f"""SELECT page_id, 'redundant_role', {msg('redundant_role', 'r.role', 'r.t')}, count(*)
             FROM el JOIN (VALUES {roles}) r(t, role) ON el.tag = r.t
-            WHERE lower(trim({value_in('toks', 'names', 'role')}, ' ')) = r.role GROUP BY ALL""",
+            WHERE lower(trim({value_in('vals', 'names', 'role')}, ' ')) = r.role GROUP BY ALL""",
         f"""SELECT page_id, 'script_type', {msg('script_type')}, count(*)
-            FROM el WHERE tag = 'script' AND lower(trim({value_in('toks', 'names', 'type')}, ' ')) IN {in_list(JS_TYPES)}
+            FROM el WHERE tag = 'script' AND lower(trim({value_in('vals', 'names', 'type')}, ' ')) IN {in_list(JS_TYPES)}
             GROUP BY ALL""",
         f"""SELECT page_id, CASE WHEN d > 0 THEN 'unclosed' ELSE 'stray_end' END,
                    CASE WHEN d > 0 THEN {msg('unclosed', 'tag')} ELSE {msg('stray_end', 'tag')} END, abs(d)
@@ -247,17 +260,16 @@ def lint_cte() -> str:
             FROM (SELECT page_id, a, unnest(list_filter(regexp_split_to_array(coalesce(val, ''), {lit(P.BLANKS)}),
                                                    lambda x: x <> '')) AS v
                   FROM (SELECT el.page_id, r.a,
-                               CASE WHEN list_position(el.names, r.a) IS NOT NULL
-                                    THEN {attr_value('el.toks[list_position(el.names, r.a)]')} END AS val
+                               el.vals[list_position(el.names, r.a)] AS val
                         FROM el, unnest({refattr_list}) AS r(a))) refs
             WHERE NOT EXISTS (SELECT 1 FROM ({ids}) i WHERE i.page_id = refs.page_id AND i.v = refs.v)
             GROUP BY ALL""",
         f"""SELECT page_id, 'usemap', {msg('usemap', 'v')}, count(*)
             FROM (SELECT page_id, substring(um, 2) AS v
-                  FROM (SELECT page_id, {value_in('toks', 'names', 'usemap')} AS um FROM el)
+                  FROM (SELECT page_id, {value_in('vals', 'names', 'usemap')} AS um FROM el)
                   WHERE starts_with(um, '#')) u
             WHERE NOT EXISTS (SELECT 1 FROM el m WHERE m.tag = 'map' AND m.page_id = u.page_id
-                              AND {value_in('m.toks', 'm.names', 'name')} = u.v)
+                              AND {value_in('m.vals', 'm.names', 'name')} = u.v)
             GROUP BY ALL""",
         f"""SELECT page_id, 'charset', {msg('charset', lit(FALLBACK_CHARSET))}, 1
             FROM parsed WHERE declared_charset IS NULL""",
@@ -331,6 +343,22 @@ def with_ctes(varied: bool, select: str, lint: bool = False, classified: bool =
     return f"WITH {ctes}\n{select}"
 
 
+# A page table has no HTTP headers and no validator's word: nothing is not HTML, nothing is forced.
+_FUNNEL = """
+        SELECT stat, CAST(value AS BIGINT) AS value FROM (
+          SELECT 'records_seen' AS stat, count(*) AS value FROM parsed
+          UNION ALL SELECT 'excluded_not_html', 0
+          UNION ALL SELECT 'excluded_no_bytes', count(*) FILTER (WHERE status = 'failed_no_bytes') FROM parsed
+          UNION ALL SELECT 'excluded_validation', count(*) FILTER (WHERE status = 'failed_validation') FROM parsed
+          UNION ALL SELECT 'excluded_parsing', count(*) FILTER (WHERE status = 'failed_parsing') FROM parsed
+          UNION ALL SELECT 'successful', count(*) FILTER (WHERE status = 'ok') FROM parsed
+          UNION ALL SELECT 'forced', 0)"""
+_DISTINCT = """
+        SELECT 'different_' || m.metric AS stat, CAST(count(t.key) AS BIGINT) AS value
+        FROM (SELECT 'errors' AS metric UNION ALL SELECT 'warnings' UNION ALL SELECT 'elements') m
+        LEFT JOIN (SELECT metric, key FROM totals WHERE scope = 'all') t ON m.metric = t.metric
+        GROUP BY m.metric"""
+
 ORACLE: dict[str, str] = {
     "elements": with_ctes(False, "SELECT page_id, pos, tag FROM el"),
     "element_total": with_ctes(False, "SELECT page_id, CAST(len(start_tags) AS BIGINT) AS num_elements FROM parsed"),
@@ -384,20 +412,8 @@ ORACLE: dict[str, str] = {
                                      "('attributes', 'error_variables', 'warning_variables')", classified=True),
     "totals_html5": with_ctes(True, "SELECT scope, metric, key, subkey, n FROM totals WHERE scope = 'html5'",
                               classified=True),
-    "run_funnel": with_ctes(True, """
-        SELECT stat, CAST(value AS BIGINT) AS value FROM (
-          SELECT 'records_seen' AS stat, count(*) AS value FROM parsed
-          UNION ALL SELECT 'excluded_not_html', 0
-          UNION ALL SELECT 'excluded_no_bytes', count(*) FILTER (WHERE status = 'failed_no_bytes') FROM parsed
-          UNION ALL SELECT 'excluded_validation', count(*) FILTER (WHERE status = 'failed_validation') FROM parsed
-          UNION ALL SELECT 'excluded_parsing', count(*) FILTER (WHERE status = 'failed_parsing') FROM parsed
-          UNION ALL SELECT 'successful', count(*) FILTER (WHERE status = 'ok') FROM parsed
-          UNION ALL SELECT 'forced', 0)"""),
-    "distinct_stats": with_ctes(True, """
-        SELECT 'different_' || m.metric AS stat, CAST(count(t.key) AS BIGINT) AS value
-        FROM (SELECT 'errors' AS metric UNION ALL SELECT 'warnings' UNION ALL SELECT 'elements') m
-        LEFT JOIN (SELECT metric, key FROM totals WHERE scope = 'all') t ON m.metric = t.metric
-        GROUP BY m.metric""", classified=True),
+    "run_funnel": with_ctes(True, _FUNNEL),
+    "distinct_stats": with_ctes(True, _DISTINCT, classified=True),
     "merge_counts": with_ctes(True, "SELECT key, CAST(sum(n) AS BIGINT) AS n FROM events "
                                     "WHERE metric = 'elements' GROUP BY key", classified=True),
     "dedupe_urls": """
@@ -511,12 +527,10 @@ ORACLE.update({
 })
 
 # Streams over the plain page table: final state equals the batch answer.
-_MARKUP = "('elements', 'attributes', 'protocols', 'images')"
 ORACLE.update({
     "stream_counts": with_ctes(False, "SELECT page_id, is_html5, metric, key, subkey, CAST(sum(n) AS BIGINT) AS n "
                                       "FROM events GROUP BY ALL", classified=True),
-    "stream_totals": with_ctes(False, "SELECT scope, metric, key, subkey, n FROM totals "
-                                      f"WHERE metric IN {_MARKUP}", classified=True),
+    "stream_totals": with_ctes(False, "SELECT scope, metric, key, subkey, n FROM totals", classified=True),
     "stream_dedupe": "SELECT DISTINCT url FROM pages",
 })
 
@@ -550,3 +564,22 @@ LEFT JOIN (SELECT regexp_replace(canonical, '^(html5 error|warning html5) - ', '
 
 
 ORACLE["catalog"] = _catalog_sql()
+
+# Files written and read back hold what the queries return.
+ORACLE.update({
+    "redirect_file": ORACLE["redirect_map"],
+    "validator_messages": with_ctes(True, "SELECT page_id, kind, message_id, message, n FROM lint", lint=True),
+    "validator_status": with_ctes(True, """
+        SELECT page_id, CASE WHEN status = 'ok' AND declared_charset IS NULL THEN 'failed_validation' ELSE status END AS status,
+               declared_charset AS charset FROM parsed"""),
+    "sink_results": ORACLE["page_results"].replace(varied_html(), "html"),
+    "sink_counts": ORACLE["page_counts"].replace(varied_html(), "html"),
+    "sink_totals": with_ctes(False, "SELECT scope, metric, key, subkey, n FROM totals", classified=True),
+    "append_totals": with_ctes(False, "SELECT scope, metric, key, subkey, n FROM totals", classified=True),
+    "sink_stats": with_ctes(False, f"SELECT * FROM ({_FUNNEL}) UNION ALL SELECT * FROM ({_DISTINCT})", classified=True),
+})
+
+# A varied query answers twice: for the pages as they are, and for their variations.
+for _name in VARIED:
+    ORACLE[f"{_name}_fixtures"] = ORACLE[_name]
+    ORACLE[_name] = ORACLE[_name].replace(varied_html(), "html")

@@ -1,13 +1,14 @@
 """Registered queries: ``name -> (spark, sf_dir) -> DataFrame``.
 
-Each query reads the driver's tables (``pages``) in full, or the same pages with
-one markup variation each (``read_varied_pages``: every page kept, the variation
-exercises rules that plain pages never hit).  Column names equal those of the
-DuckDB oracle in ``markscope.plans.oracle``.
+Each query reads the driver's tables (``pages``) in full.  The names ending in ``_fixtures`` read
+the same pages with one markup variation each (``read_varied_pages``: every page kept, the
+variation exercises rules that plain pages never hit).  Column names equal those of the DuckDB oracle
+in ``markscope.plans.oracle``.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from markscope.functions import markup as M
 from markscope.operators import facts, lint, measures, messages, rollup
-from markscope.sources.pages import read_pages, read_varied_pages
+from markscope.sources.pages import read_pages, read_table, read_varied_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,13 +26,13 @@ def parsed_pages(spark: SparkSession, sf_dir: str, varied: bool = False) -> Data
     return facts.parse_pages(pages)
 
 
-def status_pages(spark: SparkSession, sf_dir: str, varied: bool = True) -> DataFrame:
+def status_pages(spark: SparkSession, sf_dir: str, varied: bool = False) -> DataFrame:
     return measures.with_status(parsed_pages(spark, sf_dir, varied))
 
 
-def classified_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def classified_messages(spark: SparkSession, sf_dir: str, varied: bool = False) -> DataFrame:
     """Lint messages of pages with status ok, classified with the lint catalogue."""
-    ok = status_pages(spark, sf_dir).filter(F.col("status") == "ok")
+    ok = status_pages(spark, sf_dir, varied).filter(F.col("status") == "ok")
     msgs = lint.lint_messages(ok, ("is_html5",))
     return messages.classify(msgs, {messages.HTML5_FAMILY: messages.lint_catalog()})
 
@@ -43,9 +44,9 @@ def message_totals(classified: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("kind") == "warning", F.col("n")).otherwise(0)).cast("bigint").alias("num_warnings"))
 
 
-def all_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def all_events(spark: SparkSession, sf_dir: str, varied: bool = False) -> DataFrame:
     """Markup and message count events of the ok pages (one scan, see ``rollup.count_events``)."""
-    return rollup.count_events(status_pages(spark, sf_dir))
+    return rollup.count_events(status_pages(spark, sf_dir, varied))
 
 
 # --- P: projections ---------------------------------------------------------
@@ -58,8 +59,8 @@ def q_doctype(spark, sf_dir):
     return parsed_pages(spark, sf_dir).select("page_id", "doctype", "is_html5")
 
 
-def q_html5_pages(spark, sf_dir):
-    return parsed_pages(spark, sf_dir, varied=True).filter("is_html5").select("page_id", "url")
+def q_html5_pages(spark, sf_dir, varied=False):
+    return parsed_pages(spark, sf_dir, varied=varied).filter("is_html5").select("page_id", "url")
 
 
 def q_page_text(spark, sf_dir):
@@ -87,17 +88,17 @@ def q_scrubbed_keys(spark, sf_dir):
                     (F.length("html") - F.length(scrubbed)).cast("bigint").alias("removed_chars"))
 
 
-def q_attributes(spark, sf_dir):
-    return facts.attributes(parsed_pages(spark, sf_dir, varied=True))
+def q_attributes(spark, sf_dir, varied=False):
+    return facts.attributes(parsed_pages(spark, sf_dir, varied=varied))
 
 
-def q_links(spark, sf_dir):
-    return facts.links(parsed_pages(spark, sf_dir, varied=True)).select(
+def q_links(spark, sf_dir, varied=False):
+    return facts.links(parsed_pages(spark, sf_dir, varied=varied)).select(
         "page_id", "pos", "tag", "href", "is_internal", "is_bookmark", "protocol")
 
 
-def q_images(spark, sf_dir):
-    return facts.images(parsed_pages(spark, sf_dir, varied=True))
+def q_images(spark, sf_dir, varied=False):
+    return facts.images(parsed_pages(spark, sf_dir, varied=varied))
 
 
 # --- F: aggregations ---------------------------------------------------------
@@ -112,23 +113,23 @@ def q_element_counts(spark, sf_dir):
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def q_attribute_counts(spark, sf_dir):
-    return (facts.attributes(parsed_pages(spark, sf_dir, varied=True))
+def q_attribute_counts(spark, sf_dir, varied=False):
+    return (facts.attributes(parsed_pages(spark, sf_dir, varied=varied))
             .groupBy("page_id", "tag", "attr").agg(F.count(F.lit(1)).alias("n")))
 
 
-def q_link_counters(spark, sf_dir):
-    return measures.page_measures(parsed_pages(spark, sf_dir, varied=True)).select(
+def q_link_counters(spark, sf_dir, varied=False):
+    return measures.page_measures(parsed_pages(spark, sf_dir, varied=varied)).select(
         "page_id", "num_links", "num_internal_links", "num_bookmarks", "num_external_links")
 
 
-def q_protocol_counts(spark, sf_dir):
-    return (facts.links(parsed_pages(spark, sf_dir, varied=True))
+def q_protocol_counts(spark, sf_dir, varied=False):
+    return (facts.links(parsed_pages(spark, sf_dir, varied=varied))
             .groupBy("page_id", "protocol").agg(F.count(F.lit(1)).alias("n")))
 
 
-def q_image_counts(spark, sf_dir):
-    return (facts.images(parsed_pages(spark, sf_dir, varied=True))
+def q_image_counts(spark, sf_dir, varied=False):
+    return (facts.images(parsed_pages(spark, sf_dir, varied=varied))
             .groupBy("page_id", "format").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -137,51 +138,51 @@ def q_comment_stats(spark, sf_dir):
         "page_id", "num_comments", "comments_size")
 
 
-def q_message_totals(spark, sf_dir):
-    return message_totals(classified_messages(spark, sf_dir))
+def q_message_totals(spark, sf_dir, varied=False):
+    return message_totals(classified_messages(spark, sf_dir, varied))
 
 
-def q_message_counts(spark, sf_dir):
-    return (classified_messages(spark, sf_dir).groupBy("page_id", "kind", "canonical")
+def q_message_counts(spark, sf_dir, varied=False):
+    return (classified_messages(spark, sf_dir, varied).groupBy("page_id", "kind", "canonical")
             .agg(F.sum("n").cast("bigint").alias("n")))
 
 
-def q_variable_counts(spark, sf_dir):
-    c = classified_messages(spark, sf_dir).filter(F.col("variables") != "")
+def q_variable_counts(spark, sf_dir, varied=False):
+    c = classified_messages(spark, sf_dir, varied).filter(F.col("variables") != "")
     return c.groupBy("page_id", "kind", "canonical", "variables").agg(F.sum("n").cast("bigint").alias("n"))
 
 
-def q_totals_flat(spark, sf_dir):
-    t = rollup.totals(all_events(spark, sf_dir))
+def q_totals_flat(spark, sf_dir, varied=False):
+    t = rollup.totals(all_events(spark, sf_dir, varied))
     return t.filter((F.col("scope") == "all") & F.col("metric").isin(*rollup.FLAT_METRICS)) \
             .select("metric", "key", "n")
 
 
-def q_totals_nested(spark, sf_dir):
-    t = rollup.totals(all_events(spark, sf_dir))
+def q_totals_nested(spark, sf_dir, varied=False):
+    t = rollup.totals(all_events(spark, sf_dir, varied))
     return t.filter((F.col("scope") == "all") & F.col("metric").isin(*rollup.NESTED_METRICS)) \
             .select("metric", "key", "subkey", "n")
 
 
-def q_totals_html5(spark, sf_dir):
-    return rollup.totals(all_events(spark, sf_dir)).filter(F.col("scope") == "html5")
+def q_totals_html5(spark, sf_dir, varied=False):
+    return rollup.totals(all_events(spark, sf_dir, varied)).filter(F.col("scope") == "html5")
 
 
-def q_page_counts(spark, sf_dir):
-    return rollup.page_counts(all_events(spark, sf_dir))
+def q_page_counts(spark, sf_dir, varied=False):
+    return rollup.page_counts(all_events(spark, sf_dir, varied))
 
 
-def q_run_funnel(spark, sf_dir):
-    return rollup.run_funnel(status_pages(spark, sf_dir))
+def q_run_funnel(spark, sf_dir, varied=False):
+    return rollup.run_funnel(status_pages(spark, sf_dir, varied))
 
 
-def q_distinct_stats(spark, sf_dir):
-    return rollup.distinct_stats(rollup.totals(all_events(spark, sf_dir)))
+def q_distinct_stats(spark, sf_dir, varied=False):
+    return rollup.distinct_stats(rollup.totals(all_events(spark, sf_dir, varied)))
 
 
-def q_merge_counts(spark, sf_dir):
+def q_merge_counts(spark, sf_dir, varied=False):
     """F16: element totals of the even and the odd page ids, merged."""
-    ev = rollup.markup_events(status_pages(spark, sf_dir).filter(F.col("status") == "ok")) \
+    ev = rollup.markup_events(status_pages(spark, sf_dir, varied).filter(F.col("status") == "ok")) \
         .filter(F.col("metric") == "elements")
     half = F.pmod(F.col("page_id"), F.lit(2))
     a = ev.filter(half == 0).groupBy("key").agg(F.sum("n").alias("n"))
@@ -195,39 +196,41 @@ def q_dedupe_urls(spark, sf_dir):
 
 # --- W / J / L / P16 ----------------------------------------------------------
 
-def q_page_status(spark, sf_dir):
-    return status_pages(spark, sf_dir).select("page_id", "status", "charset")
+def q_page_status(spark, sf_dir, varied=False):
+    return status_pages(spark, sf_dir, varied).select("page_id", "status", "charset")
 
 
-def q_lint_messages(spark, sf_dir):
-    return lint.lint_messages(parsed_pages(spark, sf_dir, varied=True)).select(
+def q_lint_messages(spark, sf_dir, varied=False):
+    return lint.lint_messages(parsed_pages(spark, sf_dir, varied=varied)).select(
         "page_id", "rule", "kind", "message_id", "message", "n")
 
 
 def _lint_rule(*rules: str) -> Query:
-    def q(spark, sf_dir):
-        return q_lint_messages(spark, sf_dir).filter(F.col("rule").isin(*rules))
+    """One rule: only its own events are made."""
+    def q(spark, sf_dir, varied=False):
+        found = lint.lint_messages(parsed_pages(spark, sf_dir, varied=varied), rules=rules)
+        return found.filter(F.col("rule").isin(*rules)).select("page_id", "rule", "kind", "message_id", "message", "n")
     return q
 
 
-def q_message_kind(spark, sf_dir):
-    c = classified_messages(spark, sf_dir)
+def q_message_kind(spark, sf_dir, varied=False):
+    c = classified_messages(spark, sf_dir, varied)
     return c.groupBy("kind").agg(F.sum("n").cast("bigint").alias("n"))
 
 
-def q_message_classes(spark, sf_dir):
-    return classified_messages(spark, sf_dir).select(
+def q_message_classes(spark, sf_dir, varied=False):
+    return classified_messages(spark, sf_dir, varied).select(
         "page_id", "kind", "message", "canonical", "variables", "n")
 
 
-def q_page_results(spark, sf_dir):
-    return measures.page_results_one_pass(status_pages(spark, sf_dir))
+def q_page_results(spark, sf_dir, varied=False):
+    return measures.page_results_one_pass(status_pages(spark, sf_dir, varied))
 
 
-def q_catalog(spark, sf_dir):
+def q_catalog(spark, sf_dir, varied=False):
     """The lint catalogue as a table, with how many messages of the corpus each entry classifies."""
     cat = messages.catalog_frame(spark, messages.lint_catalog())
-    hits = (classified_messages(spark, sf_dir)
+    hits = (classified_messages(spark, sf_dir, varied)
             .groupBy(F.regexp_replace("canonical", "^(html5 error|warning html5) - ", "").alias("message"))
             .agg(F.sum("n").cast("bigint").alias("n")))
     return cat.join(hits, "message", "left").select(
@@ -270,10 +273,10 @@ def q_redirect_filter(spark, sf_dir):
 
 
 def q_redirect_join(spark, sf_dir):
-    from markscope.operators.redirects import attach_original_url, drop_redirect_records, redirect_map
-    recs = warc_records(spark, sf_dir)
-    pages = drop_redirect_records(recs).withColumn("original_url", F.lit(None).cast("string"))
-    return attach_original_url(pages, redirect_map(recs)).select(
+    from markscope.operators.redirects import attach_original_url, drop_redirect_records, origins, redirect_map
+    recs = warc_records(spark, sf_dir).select("warc", "url", "location")  # no body below any join
+    pages = drop_redirect_records(recs).select("warc", "url", F.lit(None).cast("string").alias("original_url"))
+    return attach_original_url(pages, origins(pages, redirect_map(recs))).select(
         "warc", "url", F.coalesce("original_url", F.lit("N.D.")).alias("original_url"))
 
 
@@ -284,22 +287,30 @@ def q_resume_batch(spark, sf_dir):
 
 def q_warc_page_results(spark, sf_dir):
     """P16 on the WARC path: header columns and original URLs filled from the records."""
-    from markscope.operators.redirects import pages_from_warc
-    from markscope.sources.warc import warc_files_from_pages
-    pages = pages_from_warc(warc_files_from_pages(read_pages(spark, sf_dir)))
-    parsed = facts.parse_pages(pages)
-    st = measures.with_status(parsed).filter(F.col("status") == "ok")
-    msgs = messages.classify(lint.lint_messages(st, ("is_html5",)),
-                             {messages.HTML5_FAMILY: messages.lint_catalog()})
-    return measures.page_results(measures.page_measures(parsed), message_totals(msgs))
+    from markscope import sinks
+    from markscope.operators import redirects as R
+    from markscope.session import scratch_path
+    # parsed once into a written table; everything else is derived from it, on narrow rows
+    parsed = measures.with_status(facts.parse_pages(R.page_input(warc_records(spark, sf_dir))))
+    every = sinks.materialize(parsed, scratch_path(spark, "warc-pages"))
+    page = R.drop_redirect_records(every)
+    used = R.origins(page, R.redirect_map(every))
+    results = measures.page_results_one_pass(page).withColumn(
+        "original_url", F.nullif("original_url", F.lit("N.D.")))
+    return R.attach_original_url(results, used).fillna("N.D.", ["original_url"])
 
 
 # --- T: streaming ----------------------------------------------------------------
 
-def _stream(spark, sf_dir, starter, name):
+def _stream(spark, sf_dir, starter, name, read=None):
+    """Run a stream over the page table, dealt over several files, and read what it wrote."""
+    from markscope.session import scratch_path
     from markscope.streaming import streams
-    src = streams.page_stream(spark, sf_dir, glob="pages.parquet")
-    return spark.read.parquet(streams.run_to_end(spark, starter, src, name))
+    files = scratch_path(spark, f"{name}-in")
+    read_table(spark, sf_dir, "pages").repartition(4, "page_id").write.parquet(files)
+    src = streams.page_stream(spark, files, max_files=2)
+    path = streams.run_to_end(spark, starter, src, name)
+    return read(spark, path) if read else spark.read.parquet(path)
 
 
 def q_stream_counts(spark, sf_dir):
@@ -309,7 +320,7 @@ def q_stream_counts(spark, sf_dir):
 
 def q_stream_totals(spark, sf_dir):
     from markscope.streaming import streams
-    return _stream(spark, sf_dir, streams.running_totals, "stream-totals")
+    return _stream(spark, sf_dir, streams.running_totals, "stream-totals", streams.read_totals)
 
 
 def q_stream_dedupe(spark, sf_dir):
@@ -317,7 +328,99 @@ def q_stream_dedupe(spark, sf_dir):
     return _stream(spark, sf_dir, streams.dedupe_urls, "stream-dedupe").select("url")
 
 
+# --- K / S7 / S8 / J4: files that Spark writes, read back ---------------------------
+
+def q_redirect_file(spark, sf_dir):
+    """The redirect map kept as text lines, read back."""
+    from markscope import sinks
+    from markscope.session import scratch_path
+    from markscope.sources.warc import read_redirect_file
+    path = scratch_path(spark, "redirect-file")
+    sinks.write_redirects(q_redirect_map(spark, sf_dir), path, fmt="text")
+    return read_redirect_file(spark, path)
+
+
+def validator_files(spark, sf_dir, varied):
+    """A validator's JSON results for every page, made from the lint messages (one object per page)."""
+    from markscope.session import scratch_path
+    parsed = parsed_pages(spark, sf_dir, varied)
+    one = F.struct(F.col("message"), F.col("message_id").alias("messageid"),
+                   F.when(F.col("kind") == "error", "error").otherwise("info").alias("type"),
+                   F.when(F.col("kind") == "warning", "warning").alias("subtype"))
+    found = (lint.lint_messages(parsed).select("page_id", F.array_repeat(one, F.col("n").cast("int")).alias("m"))
+             .groupBy("page_id").agg(F.flatten(F.collect_list("m")).alias("messages")))  # one page's messages
+    whole = parsed.select("page_id", "url", "declared_charset").join(found, "page_id", "left").select(
+        F.to_json(F.struct("page_id", "url", "messages", F.struct(F.col("declared_charset").alias("encoding")).alias("source"))).alias("value"))
+    path = scratch_path(spark, "validator")
+    whole.write.text(path)
+    return messages.read_validator_results(spark, path)
+
+
+def q_validator_messages(spark, sf_dir, varied=False):
+    """Messages of validator results, counted per page."""
+    m = messages.validator_messages(validator_files(spark, sf_dir, varied))
+    return m.groupBy("page_id", "kind", "message_id", "message").agg(F.sum("n").cast("bigint").alias("n"))
+
+
+def q_validator_status(spark, sf_dir, varied=False):
+    """Status with the validator's charset (none: the page fails validation)."""
+    results = validator_files(spark, sf_dir, varied)
+    return measures.with_status(parsed_pages(spark, sf_dir, varied), messages.validator_charsets(results)).select(
+        "page_id", "status", "charset")
+
+
+def batch_run(spark, sf_dir, runs=1):
+    """The whole analysis of the page table into files, in one run or in appended ones."""
+    from markscope.plans.batch import analyze_corpus
+    from markscope.session import scratch_path
+    path = scratch_path(spark, "batch-run")
+    pages = read_table(spark, sf_dir, "pages")
+    for k in range(runs):  # the runs' parts add up to the table
+        part = pages.filter(F.pmod(F.xxhash64("page_id"), F.lit(runs)) == k) if runs > 1 else pages
+        out = analyze_corpus(spark, path, pages=part, mode="append" if k else "overwrite")
+    return out
+
+
+def q_sink_results(spark, sf_dir):
+    """K1: the results file, read back."""
+    from markscope.operators.measures import RESULT_COLUMNS
+    rows = spark.read.option("sep", "£").option("header", True).csv(batch_run(spark, sf_dir)["results"])
+    return rows.select(*[F.col(c).cast("double") if "_to_" in c
+                         else F.col(c).cast("bigint") if c.startswith("num_") or c.endswith("_size")
+                         else F.col(c) for c in RESULT_COLUMNS])
+
+
+def q_sink_counts(spark, sf_dir):
+    """K2, K3: the count table, read back."""
+    from markscope import sinks
+    return sinks.read_counts(spark, batch_run(spark, sf_dir)["counts"]).select("page_id", "is_html5", "metric", "key", "subkey", "n")
+
+
+def q_sink_totals(spark, sf_dir):
+    """K4, K5: the totals, read back."""
+    return spark.read.parquet(batch_run(spark, sf_dir)["totals"]).select("scope", "metric", "key", "subkey", "n")
+
+
+def q_append_totals(spark, sf_dir):
+    """K7: the totals of two appended runs over the two parts of the table."""
+    return spark.read.parquet(batch_run(spark, sf_dir, runs=2)["totals"]).select("scope", "metric", "key", "subkey", "n")
+
+
+def q_sink_stats(spark, sf_dir):
+    """K6, K7: the statistics file after two appended runs."""
+    rows = spark.read.option("header", True).csv(batch_run(spark, sf_dir, runs=2)["stats"])
+    return rows.select("stat", F.col("value").cast("bigint").alias("value"))
+
+
 QUERIES: dict[str, Query] = {
+    "redirect_file": q_redirect_file,
+    "validator_messages": q_validator_messages,
+    "validator_status": q_validator_status,
+    "sink_results": q_sink_results,
+    "sink_counts": q_sink_counts,
+    "sink_totals": q_sink_totals,
+    "append_totals": q_append_totals,
+    "sink_stats": q_sink_stats,
     "elements": q_elements,
     "element_total": q_element_total,
     "element_counts": q_element_counts,
@@ -377,3 +480,47 @@ QUERIES: dict[str, Query] = {
     "stream_totals": q_stream_totals,
     "stream_dedupe": q_stream_dedupe,
 }
+
+#: Rules that plain pages hardly hit answer a second time for the pages with markup variations
+#: (``sources.pages.VARIANTS``), under the name with ``_fixtures``.
+VARIED = [
+    "validator_messages",
+    "validator_status",
+    "attribute_counts",
+    "attributes",
+    "catalog",
+    "distinct_stats",
+    "html5_pages",
+    "image_counts",
+    "images",
+    "link_counters",
+    "links",
+    "lint_charset",
+    "lint_dangling_ref",
+    "lint_doctype",
+    "lint_duplicate_attr",
+    "lint_duplicate_id",
+    "lint_messages",
+    "lint_obsolete_attr",
+    "lint_obsolete_element",
+    "lint_redundant_role",
+    "lint_required_attr",
+    "lint_stray_end",
+    "lint_unclosed",
+    "lint_usemap",
+    "merge_counts",
+    "message_classes",
+    "message_counts",
+    "message_kind",
+    "message_totals",
+    "page_counts",
+    "page_results",
+    "page_status",
+    "protocol_counts",
+    "run_funnel",
+    "totals_flat",
+    "totals_html5",
+    "totals_nested",
+    "variable_counts",
+]
+QUERIES.update({f"{name}_fixtures": functools.partial(QUERIES[name], varied=True) for name in VARIED})

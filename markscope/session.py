@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -44,11 +45,31 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+def allow_java_charsets(spark: SparkSession) -> None:
+    """Let ``encode`` take every charset of the JVM and replace what a charset lacks."""
+    for key in ("spark.sql.legacy.javaCharsets", "spark.sql.legacy.codingErrorAction"):
+        if spark.conf.get(key, "false") != "true":
+            spark.conf.set(key, "true")
+
+
+@functools.cache
+def java_charsets() -> tuple[str, ...]:
+    """Lower-case names and aliases of the charsets that the JVM can encode."""
+    from pyspark import SparkContext
+    jvm = SparkContext._active_spark_context._jvm
+    names = set()
+    for cs in jvm.java.nio.charset.Charset.availableCharsets().values():
+        if cs.canEncode():
+            names.add(cs.name().lower())
+            names.update(a.lower() for a in cs.aliases())
+    return tuple(sorted(names))
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    Read from ``spark.checkpoint.dir`` (the cluster names it); only when it is
-    unset, as in local tests, a scratch folder is created and registered.
+    Read from ``spark.checkpoint.dir`` (the cluster names it).  Only with a local master, as in
+    tests, may it be unset: then a scratch folder is created and registered.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     sc = None
@@ -59,6 +80,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not path and sc is not None:
         path = sc.getCheckpointDir()
     if not path:
+        if sc is None or not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="markscope-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
         if sc is not None:
@@ -73,6 +96,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 _EXPR_CACHE: dict = {}
+_EXPR_APP: list = [None]
 
 
 def cached_expr(key, build):
@@ -82,15 +106,13 @@ def cached_expr(key, build):
     a plain expression tree that any DataFrame of the same context can reuse.
     """
     from pyspark import SparkContext
-    k = (id(SparkContext._active_spark_context), key)
-    if k not in _EXPR_CACHE:
-        _EXPR_CACHE[k] = build()
-    return _EXPR_CACHE[k]
-
-
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for Python-side checks in tests."""
-    return path[5:] if path.startswith("file:") else path
+    app = SparkContext._active_spark_context.applicationId
+    if _EXPR_APP[0] != app:  # handles of a stopped context are dead
+        _EXPR_CACHE.clear()
+        _EXPR_APP[0] = app
+    if key not in _EXPR_CACHE:
+        _EXPR_CACHE[key] = build()
+    return _EXPR_CACHE[key]
 
 
-__all__ = ["build_session", "checkpoint_root", "scratch_path", "local_path", "cached_expr"]
+__all__ = ["allow_java_charsets", "build_session", "cached_expr", "checkpoint_root", "java_charsets", "scratch_path"]

@@ -12,23 +12,6 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small input at least one partition per core.
-
-    A corpus of many files already has many more splits than cores and is left as
-    it is (no shuffle); a single small file (one row group, one task) is hashed on
-    ``page_id`` over the cores, which costs a shuffle of a few MB only.
-    """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view (e.g. Spark Connect): leave the input as it is
-        return df
-    if parts >= cores:
-        return df
-    return df.repartition(cores, "page_id")
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
@@ -45,7 +28,9 @@ def normalize_pages(df: DataFrame) -> DataFrame:
     def opt(name: str, dtype: str = "string"):
         return F.col(name) if name in cols else F.lit(None).cast(dtype)
 
+    extra = [F.col("location")] if "location" in cols else []
     return df.select(
+        *extra,
         F.col("page_id").cast("bigint").alias("page_id"),
         (F.col("warc") if "warc" in cols else F.col("page_id").cast("string")).alias("warc"),
         F.col("url"),
@@ -60,12 +45,12 @@ def normalize_pages(df: DataFrame) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize_pages(spread(read_table(spark, sf_dir, "pages")))
+    return normalize_pages(read_table(spark, sf_dir, "pages"))
 
 
 # Markup variations applied to a page table so that rules without hits on plain
-# pages (images, ids, external links, obsolete markup...) get input.  Every page
-# is kept; page_id mod 10 only picks which one variation a page receives.
+# pages (images, ids, external links, obsolete markup, charsets...) get input.  Every page
+# is kept; page_id mod N_VARIANTS only picks which one variation a page receives.
 # Each entry: (variant, [(find, replace), ...]) applied in order with replace().
 VARIANTS = [
     (1, [('href="/', 'href="https://x.example/')]),
@@ -79,13 +64,22 @@ VARIANTS = [
     (9, [('href="/', 'href="mailto:'),
          ("</nav>", '<a>x</a><a href="#top">y</a></nav>'),
          ("<nav>", '<nav role="navigation">')]),
+    (10, [('<meta charset="utf-8">', '<meta charset="windows-1251">')]),
+    (11, [('<meta charset="utf-8">', '<meta charset="no-such-charset">')]),
+    (12, [("<!DOCTYPE html>", "")]),
+    (13, [("<article>", '<article><my-widget data-x="1">x</my-widget><o:p>y</o:p><font-face>'),
+          ("</article>", '<script>var s="<!-- <b>";</script><textarea><i></textarea></article>')]),
+    (14, [("<p>", '<p title="</i><!-- no --> &eacute; &#8217;">caf&eacute; &#x27;&amp;lt; '),
+          ("</nav>", "<!-- a <b> --></nav>")]),
+    (15, [('<meta charset="utf-8">', '<meta charset="UTF-16">')]),
 ]
+N_VARIANTS = 16
 
 
 def vary_markup(pages: DataFrame) -> DataFrame:
     """The same pages with one deterministic markup variation each (see VARIANTS)."""
     def build():
-        variant = F.pmod(F.col("page_id"), F.lit(10))
+        variant = F.pmod(F.col("page_id"), F.lit(N_VARIANTS))
         html = F.col("html")
         out = html
         for v, edits in reversed(VARIANTS):
@@ -99,4 +93,4 @@ def vary_markup(pages: DataFrame) -> DataFrame:
 
 
 def read_varied_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize_pages(vary_markup(spread(read_table(spark, sf_dir, "pages"))))
+    return normalize_pages(vary_markup(read_table(spark, sf_dir, "pages")))

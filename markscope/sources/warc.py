@@ -16,8 +16,8 @@ from markscope.functions import patterns as P
 WARC_LINE = r"\nWARC/1\.0[^\n]*"
 
 
-def read_warc_dir(spark: SparkSession, path: str, glob: str = "*.warc") -> DataFrame:
-    """``warc_name, value`` with the file name minus its last 5 characters."""
+def read_warc_dir(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """``warc_name, value`` of all files of a folder; the file name minus its last 5 characters."""
     df = (spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
           .select(F.col("_metadata.file_name").alias("_file"), "value"))
     return df.select(F.expr("substr(_file, 1, length(_file) - 5)").alias("warc_name"), "value")

@@ -8,10 +8,8 @@ bounded batches and stops; the next run resumes after the last committed file.
 * T2 ``append_page_counts``: per-page counts of each batch appended to a Parquet
   table, partitioned by batch id and written with dynamic partition overwrite,
   so a replayed batch replaces its own partition (idempotent).
-* T3 ``running_totals``: streaming aggregation of the markup metrics by
-  (scope, metric, key, subkey); its state holds one row per distinct key, not per
-  page.  Message totals need a per-page lint aggregation, so they come from the
-  appended per-batch counts of T2 (a batch query over that table).
+* T3 ``running_totals``: every batch appends its totals of all metrics by (scope, metric, key,
+  subkey), one row per distinct key, in its own partition; reading merges them.
 * T4 ``dedupe_urls``: ``dropDuplicates(["url"])``.  Pages carry no event time,
   so the seen-URL state is unbounded, as in the reference; with a crawl time
   column use ``dropDuplicatesWithinWatermark``.
@@ -30,20 +28,12 @@ from markscope.sources.pages import normalize_pages
 
 
 def page_stream(spark: SparkSession, directory: str, glob: str = "*.parquet",
-                max_files: int = 1) -> DataFrame:
-    """A stream of page tables (``page_id, url, html``) from a directory."""
+                max_files: int | None = None, max_bytes: int = 8 << 30) -> DataFrame:
+    """A stream of page tables (``page_id, url, html``) from a directory, in batches of bounded size."""
     schema = spark.read.option("pathGlobFilter", glob).parquet(directory).schema
-    raw = (spark.readStream.schema(schema)
-           .option("pathGlobFilter", glob)
-           .option("maxFilesPerTrigger", max_files)
-           .parquet(directory))
-    return normalize_pages(raw)
-
-
-def _ok_events(pages: DataFrame) -> DataFrame:
-    """Markup count events of ok pages: stateless per record, usable inside a stream."""
-    st = measures.with_status(facts.parse_pages(pages))
-    return rollup.markup_events(st.filter(F.col("status") == "ok"))
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    reader = reader.option("maxFilesPerTrigger", max_files) if max_files else reader.option("maxBytesPerTrigger", max_bytes)
+    return normalize_pages(reader.parquet(directory))
 
 
 def append_page_counts(pages_stream: DataFrame, out_path: str, checkpoint: str):
@@ -64,17 +54,27 @@ def append_page_counts(pages_stream: DataFrame, out_path: str, checkpoint: str):
 
 
 def running_totals(pages_stream: DataFrame, out_path: str, checkpoint: str):
-    """Totals over all batches so far, rewritten after each batch."""
-    totals = rollup.totals(_ok_events(pages_stream))
+    """Each batch's totals of all metrics, in a partition of its own; ``read_totals`` adds them up.
 
+    A batch that is run again replaces its partition, and nothing written before is touched, so a
+    crash at any point neither loses nor doubles a count.
+    """
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+        events = rollup.count_events(measures.with_status(facts.parse_pages(batch)))
+        (rollup.totals(events).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out_path))
 
-    return (totals.writeStream.outputMode("complete").foreachBatch(write_batch)
+    return (pages_stream.writeStream.foreachBatch(write_batch)
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
+def read_totals(spark: SparkSession, out_path: str) -> DataFrame:
+    """The totals so far: the batches' totals merged (F16)."""
+    return (spark.read.parquet(out_path).groupBy("scope", "metric", "key", "subkey")
+            .agg(F.sum("n").cast("bigint").alias("n")))
+
+
 def dedupe_urls(pages_stream: DataFrame, out_path: str, checkpoint: str):
     """T4: first record of each URL, appended to a Parquet table."""
     return (pages_stream.dropDuplicates(["url"]).select("page_id", "url")

@@ -15,7 +15,7 @@ from markscope.operators import facts
 from markscope.plans import oracle
 
 PIECES = ["<", ">", "</", "<!--", "-->", '"', "'", "=", "/", " ", "\n", "\t", "a", "p", "b", "img",
-          "script", "style", "SCRIPT", "!DOCTYPE html", "<!doctype  html >", "href", "src", "x", "é",
+          "script", "style", "SCRIPT", "<title>", "</title>", "<textarea", "o:p", "my-tag", "&#", "&#x41;", "&#8217;", "&eacute;", "<!", "?", "!DOCTYPE html", "<!doctype  html >", "href", "src", "x", "é",
           "&amp;", "&lt;", "&nbsp;", "id", "<?xml?>", "<br/>", "<a href=x>", "<p class='c'>",
           '<img src="a.png" alt="">', "</p>", "</script>", "</style >", " ", "\r"]
 

@@ -58,15 +58,20 @@ def test_stream_resumes_after_seen_files(spark, tmp_path):
     _write_pages(src, os.path.join(d, "pages-0.parquet"), 0, 20)
     _write_pages(src, os.path.join(d, "pages-1.parquet"), 20, 35)
     out, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
-    stream = streams.page_stream(spark, d, glob="pages-*.parquet")
+    stream = streams.page_stream(spark, d, glob="pages-*.parquet", max_files=1)
     streams.append_page_counts(stream, out, ckpt).awaitTermination()
     first = spark.read.parquet(out)
     assert sorted(r.batch_id for r in first.select("batch_id").distinct().collect()) == [0, 1]
     assert first.select("page_id").distinct().count() == 35
     _write_pages(src, os.path.join(d, "pages-2.parquet"), 35, 1000)
-    stream = streams.page_stream(spark, d, glob="pages-*.parquet")
+    stream = streams.page_stream(spark, d, glob="pages-*.parquet", max_files=1)
     streams.append_page_counts(stream, out, ckpt).awaitTermination()
     after = spark.read.parquet(out)
     assert sorted(r.batch_id for r in after.select("batch_id").distinct().collect()) == [0, 1, 2]
     assert after.filter("batch_id = 2").select("page_id").distinct().count() == 15
     assert after.select("page_id").distinct().count() == 50
+
+
+def test_null_urls_share_one_page(spark, pages_df):
+    rows = [(1, None, "<p>"), (2, None, "<p>"), (3, "http://x/", "<p>")]
+    assert sorted(r.page_id for r in rollup.dedupe_urls(pages_df(rows)).collect()) == [1, 3]

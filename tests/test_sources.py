@@ -44,7 +44,7 @@ def test_redirect_last_wins_and_used_once(spark):
     m = redirects.redirect_map(recs).collect()
     assert [(r.target, r.origin) for r in m] == [("http://t/", "http://o2/")]
     pages = redirects.drop_redirect_records(recs).withColumn("original_url", F.lit(None).cast("string"))
-    got = dict(redirects.attach_original_url(pages, redirects.redirect_map(recs))
+    got = dict(redirects.attach_original_url(pages, redirects.origins(pages, redirects.redirect_map(recs)))
                .select("warc", "original_url").collect())
     assert got == {"p1": "http://o2/", "p2": None}
     assert [r.warc for r in redirects.resume_after(recs, "p2").collect()] == ["r1", "r2"]
@@ -53,7 +53,7 @@ def test_redirect_last_wins_and_used_once(spark):
 def test_sinks_round_trip(spark, tmp_path):
     from markscope.plans import queries as Q
     sf = "/root/testdata/sf0.001"
-    res = Q.measures.page_results(Q.measures.page_measures(Q.parsed_pages(spark, sf, True)),
+    res = Q.measures.page_results(Q.measures.page_measures(Q.parsed_pages(spark, sf)),
                                   Q.message_totals(Q.classified_messages(spark, sf)), keep_keys=True)
     out = os.path.join(str(tmp_path), "results")
     sinks.write_page_results(res, out)
@@ -147,3 +147,48 @@ def test_analyze_corpus_with_validator_results(spark, tmp_path):
     assert tot[("error_variables", "html5 error - stray end tag x.", "p")] == 1
     assert tot[("warnings", "warning - 77 - bad value x for y.", "")] == 1
     assert tot[("warning_variables", "warning - 77 - bad value x for y.", "1 | x")] == 1
+
+
+def test_append_run_equals_one_run(spark, tmp_path):
+    """Batches {1, 2} then {3}: one row per key in the totals, one funnel, all pages kept; a rerun adds nothing."""
+    from markscope.plans.batch import analyze_corpus
+    rows = [(1, "http://a/", "<p>x</p>"), (2, "http://b/", "<p>y</p><b>z</b>"), (3, "http://c/", "<p id=a><i id=a>z</i></p>")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    two, one = str(tmp_path / "two"), str(tmp_path / "one")
+    analyze_corpus(spark, two, pages=df.filter("page_id < 3"))
+    out = analyze_corpus(spark, two, pages=df.filter("page_id = 3"), mode="append")
+    want = analyze_corpus(spark, one, pages=df)
+    cols = ["scope", "metric", "key", "subkey", "n"]
+    read = lambda o: sorted(tuple(r) for r in spark.read.parquet(o["totals"]).select(cols).collect())
+    assert read(out) == read(want) and ("all", "elements", "p", "", 3) in read(out)
+    stats = lambda o: sorted(tuple(r) for r in spark.read.option("header", True).csv(o["stats"]).collect())
+    assert stats(out) == stats(want)
+    assert spark.read.parquet(out["page"]).count() == 3
+    assert spark.read.option("sep", "£").option("header", True).csv(out["results"]).count() == 3
+
+
+def test_resumed_warc_run_keeps_redirects(spark, tmp_path):
+    """The redirect is in the first run's files, its target in the second's; a later one for the same target wins."""
+    from markscope.plans.batch import analyze_corpus
+    d = str(tmp_path / "warc")
+    os.makedirs(d)
+
+    def put(name, text):
+        with open(os.path.join(d, name), "w", newline="") as f:
+            f.write(text)
+    head = WARC_TEXT.split("HTTP/1.1")[0]
+    put("a-redir.warc", head.replace("http://a.example/", "http://old.example/") + "HTTP/1.1 301 Moved\r\nLocation: http://a.example/\r\n\r\n")
+    out = analyze_corpus(spark, str(tmp_path / "out"), warc_dir=d)
+    put("b-page.data", WARC_TEXT)
+    put("c-redir.warc", head.replace("http://a.example/", "http://new.example/") + "HTTP/1.1 301 Moved\r\nLocation: http://a.example/\r\n\r\n")
+    out = analyze_corpus(spark, str(tmp_path / "out"), warc_dir=d, last_file="a-redir", mode="append")
+    res = spark.read.option("sep", "£").option("header", True).csv(out["results"]).collect()
+    assert [(r.warc, r.original_url) for r in res] == [("b-page", "http://new.example/")]
+
+
+def test_no_html_in_any_exchange(spark):
+    """Joins and groups of the WARC path shuffle narrow rows only."""
+    from markscope.plans import queries as Q
+    for name in ("redirect_join", "warc_page_results"):
+        plan = Q.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "html#" not in "".join(x for x in plan.splitlines() if "SortMergeJoin" in x)
