@@ -3,8 +3,9 @@
 The scan finds the base spans of each whole text and, outside them, candidates: number-like or address-like strings that no
 base pattern takes.  Both come with the words around them.  Spark then scores a graph of lexical patterns (the words
 before, the two words before, the words on both sides) and instances (normalised values): base
-spans are the seeds; a pattern's confidence for a kind is the share of its distinct instances that are of that kind and
-trusted, given enough of them; an instance of the same kind is trusted if its patterns together (noisy or) make it likely.  Instances that become
+spans are the seeds; a pattern's confidence for a kind is the share of trusted instances of that kind among these
+and what speaks against it, given enough of them: seeds of other kinds and values of no kind.  Values that may be of the kind but
+are not trusted yet speak neither way, however many they are; an instance of the same kind is trusted if its patterns together (noisy or) make it likely.  Instances that become
 trusted support patterns in the next round.  Trusted candidates become added spans; base spans stay as they are.
 
 Only pattern-instance pairs are shuffled, folded to distinct ones first; a frequent pattern is summed
@@ -166,13 +167,17 @@ def trusted_instances(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``(v, kind, score)`` of the instances that are no seeds and come to be trusted, from ``(v, kind, seed, p)`` mentions."""
     edges = written(found.select("v", "kind", F.explode("p").alias("p")).distinct(), "pii-edges")
     seeds = written(found.groupBy("v", "kind").agg(F.max("seed").alias("seed")), "pii-instances")
-    width = edges.groupBy("p").agg(F.count(F.lit(1)).alias("n")).select(F.col("p").alias("wp"), "n")
+    # what speaks against a pattern's kind: all known instances without that kind's seeds
+    known = edges.join(seeds.filter(F.col("seed") | (F.col("kind") == OTHER)).select(F.col("v").alias("sv"), F.col("kind").alias("sk")), F.expr("v = sv and kind = sk"))
+    against = written(known.groupBy("p").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("kind") == k).alias(f"n{k}") for k in range(OTHER)))
+                      .select(F.col("p").alias("wp"), F.array(*(F.col("n") - F.col(f"n{k}") for k in range(OTHER))).alias("against")), "pii-known")
     trusted = seeds.filter("seed").select(F.col("v").alias("tv"), F.col("kind").alias("tk"), F.lit(1.0).alias("w"))
     new = None
     for _ in range(rounds):
         sums = (edges.join(trusted, F.expr("v = tv and kind = tk")).groupBy("p", "kind").agg(F.sum("w").alias("f"))
                 .filter(F.col("f") >= MIN_SUPPORT))
-        patterns = written(sums.join(width, F.col("p") == F.col("wp")).select(F.col("p").alias("pp"), F.col("kind").alias("pk"), (F.col("f") / F.col("n")).alias("conf"))
+        patterns = written(sums.join(against, F.col("p") == F.col("wp"), "left")
+                           .select(F.col("p").alias("pp"), F.col("kind").alias("pk"), (F.col("f") / (F.col("f") + F.coalesce(F.get("against", F.col("kind")), F.lit(0)))).alias("conf"))
                            .filter(F.col("conf") >= PATTERN_AT_LEAST), "pii-patterns")
         # 1 - product of (1 - confidence); a confidence of one is held just below it
         likely = (edges.join(patterns, F.expr("p = pp and kind = pk")).groupBy("v", "kind")

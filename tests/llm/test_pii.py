@@ -81,3 +81,15 @@ def test_bootstrapping(spark):
     assert sum(r["n_added"] for r in got) >= 5  # the numbers without a country code, the spelled-out address
     assert all(r["n_added"] == 0 for r in got if r["id"] is not None and 26 <= r["id"] < 34)
     assert P.personal_data(df.limit(0)).count() == 0
+
+
+def test_unseen_values_outnumber_the_seeds(spark):
+    texts = [f"please phone: +1 555 010 {1000 + k} any time" for k in range(10)]
+    texts += [f"please phone: 555-{1000 + k} any time" for k in range(40)]
+    # seeds of another kind and plain numbers speak against a context
+    texts += [f"order number +1 555 020 {1000 + k} is open" for k in range(4)] + [f"order number {k} is open" for k in range(30)]
+    texts += [f"order number 777-{1000 + k} is open" for k in range(5)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    added = {r["id"]: r["n_added"] for r in P.personal_data(df).collect()}
+    assert [added[i] for i in range(10, 50)] == [1] * 40
+    assert sum(added.values()) == 40
