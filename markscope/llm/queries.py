@@ -9,8 +9,11 @@ from markscope.llm.fuzzy_lines import op8_fuzzy_line_dedup
 from markscope.llm.kn_lm import op5_kneser_ney_lm
 from markscope.llm.langid import op6_langid_kneser_ney
 from markscope.llm.pii import op2_pii_bootstrap
+from markscope.llm.prefix_trie import OP13_SQL, op13_prefix_trie
 from markscope.llm.quality import op3_quality_ftrl
+from markscope.llm.ranked_search import OP11_SQL, op11_ranked_search
 from markscope.llm.simhash_dedup import op4_simhash_pivot_dedup
+from markscope.llm.toxicity import op12_toxicity_gbt
 from markscope.llm.warc_revisit import OP10_SQL, op10_warc_revisits
 
 QUERIES = {
@@ -24,10 +27,15 @@ QUERIES = {
     "op8_fuzzy_line_dedup": op8_fuzzy_line_dedup,
     "op9_exact_dedup_stream": op9_exact_dedup_stream,
     "op10_warc_revisits": op10_warc_revisits,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_toxicity_gbt": op12_toxicity_gbt,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE: dict[str, str] = {
     "op1_decontaminate_winnowing": OP1_SQL,
     "op9_exact_dedup_stream": OP9_SQL,
     "op10_warc_revisits": OP10_SQL,
+    "op11_ranked_search": OP11_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
