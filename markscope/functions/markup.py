@@ -59,12 +59,34 @@ def tag_name(raw: Column | str) -> Column:
 
 def attr_tokens(raw: Column | str) -> Column:
     """array<string>: ``name[=value]`` tokens of one start tag, in source order."""
-    body = F.regexp_replace(_col(raw), P.TAG_NAME, "")
-    return F.regexp_extract_all(body, F.lit(P.ATTR_JVM), 0)
+    tag = _col(raw)
+    body = F.regexp_replace(tag, P.TAG_NAME, "")
+    # a tag without blank or slash is a name alone: no regex is run for it
+    bare = F.length(F.translate(tag, P.WS_CHARS + "/", "")) == F.length(tag)
+    return F.when(bare, F.array().cast("array<string>")).otherwise(F.regexp_extract_all(body, F.lit(P.ATTR_JVM), 0))
 
 
 def attr_name(token: Column) -> Column:
-    return scrub(F.lower(F.regexp_extract(token, P.ATTR_NAME, 1)))
+    """Lower-cased name of an attribute token (what stands before blanks and ``=``)."""
+    return scrub(F.lower(F.rtrim(F.substring_index(token, "=", 1), F.lit(P.WS_CHARS))))
+
+
+def raw_value(token: Column) -> Column:
+    """Value of an attribute token as written, without quotes; null when it has no ``=``."""
+    after = F.ltrim(F.substring(token, F.instr(token, "=") + 1, F.length(token)), F.lit(P.WS_CHARS))
+    value = F.element_at(F.transform(F.array(after), lambda x: F.when(
+        x.startswith('"') | x.startswith("'"), F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(x)), 1)
+    return F.when(F.instr(token, "=") > 0, value)
+
+
+def attr_values(raw: Column, tokens: Column) -> Column:
+    """array<string>: decoded values of a start tag's tokens; null for those without ``=``.
+
+    Bind this to a column once for each tag and look values up with ``value_in``.  Entities are only looked for in tags that
+    hold an ``&``.
+    """
+    values = F.transform(tokens, raw_value)
+    return F.when(F.instr(raw, "&") > 0, F.transform(values, decode_entities)).otherwise(values)
 
 
 def _entity_map() -> Column:
@@ -94,20 +116,12 @@ def decode_entities(c: Column) -> Column:
     return F.when(F.instr(c, "&") > 0, F.array_join(F.transform(F.split(c, "&", -1), piece), "")).otherwise(c)
 
 
-def attr_value(token: Column) -> Column:
-    """Value of an attribute token; null when the attribute has no ``=``."""
-    raw = (F.when(token.rlike(P.ATTR_HAS_DQ), F.regexp_extract(token, P.ATTR_DQ, 1))
-           .when(token.rlike(P.ATTR_HAS_SQ), F.regexp_extract(token, P.ATTR_SQ, 1))
-           .when(F.instr(token, "=") > 0, F.regexp_extract(token, P.ATTR_BARE, 1)))
-    return decode_entities(raw)
-
-
 def attr_lookup(raw: Column, name: str) -> Column:
     """Value of the first attribute called ``name`` of a start tag; null if absent."""
     tokens = attr_tokens(raw)
-    names = F.transform(tokens, attr_name)
-    idx = F.array_position(names, F.lit(name)).cast("int")
-    return F.when(idx > 0, attr_value(F.get(tokens, idx - 1)))
+    found = F.filter(tokens, lambda t: attr_name(t) == name)
+    values = F.transform(F.slice(found, 1, 1), raw_value)
+    return F.get(F.transform(values, decode_entities), F.lit(0))
 
 
 def page_text(html: Column | str) -> Column:
@@ -197,7 +211,18 @@ def is_html5(doctype_col: Column) -> Column:
     return F.lower(doctype_col) == P.HTML5_DOCTYPE
 
 
-def value_in(tokens: Column, names: Column, name: str) -> Column:
-    """Value of the first attribute ``name`` given the token and name arrays of a tag."""
-    idx = F.array_position(names, F.lit(name)).cast("int")
-    return F.when(idx > 0, attr_value(F.get(tokens, idx - 1)))
+def value_in(values: Column, names: Column, name: str | Column) -> Column:
+    """Value of the first attribute ``name``, given a tag's value and name arrays; null if it has none."""
+    wanted = F.lit(name) if isinstance(name, str) else name
+    return F.get(values, F.array_position(names, wanted).cast("int") - 1)
+
+
+def count_runs(sorted_col: str) -> Column:
+    """array<struct<item, n>>: how often each item of a sorted array column occurs, in one pass over the array."""
+    items = F.col(sorted_col)
+    size = F.size(items)
+    at = F.filter(F.transform(items, lambda x, i: F.when((i == 0) | ~x.eqNullSafe(F.get(items, i - 1)), i)), lambda i: i.isNotNull())
+    # the next run's start ends a run: pair each start with the one after it
+    pairs = F.arrays_zip(at.alias("a"), F.concat(F.slice(at, 2, 1 << 30), F.array(size)).alias("b"))
+    pairs = F.slice(pairs, F.lit(1), F.size(at))    # an empty array has no run
+    return F.transform(pairs, lambda p: F.struct(F.get(items, p["a"]).alias("item"), (p["b"] - p["a"]).cast("bigint").alias("n")))

@@ -17,6 +17,7 @@ engines (Java also takes vertical tab).
 from html.entities import html5 as _html5_entities
 
 WS = r"[ \t\n\f\r]"
+WS_CHARS = " \t\n\f\r"
 
 # --- tokens ---------------------------------------------------------------
 # A tag name runs to a blank, "/" or ">"; attributes follow a blank or "/".

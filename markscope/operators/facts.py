@@ -8,7 +8,7 @@ row of a page stays in the partition that read the page.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markscope.functions import markup as M
@@ -79,16 +79,13 @@ def attribute_rows(element_df: DataFrame) -> DataFrame:
     ``page_id, pos, tag, apos, attr, value, is_first`` (+ context columns carried).
     """
     carry = [c for c in element_df.columns if c not in ("raw",)]
-    with_tokens = element_df.select(*carry, M.attr_tokens("raw").alias("_tokens"))
-    with_names = with_tokens.withColumn("_names", F.transform("_tokens", M.attr_name))
-    exploded = with_names.select(*carry, "_names",
-                                 F.posexplode("_tokens").alias("apos", "_token"))
+    with_tokens = element_df.select(*carry, "raw", M.attr_tokens("raw").alias("_tokens"))
+    bound = with_tokens.select(*carry, F.transform("_tokens", M.attr_name).alias("_names"),
+                               M.attr_values(F.col("raw"), F.col("_tokens")).alias("_values"))
+    exploded = bound.select(*carry, "_names", "_values", F.posexplode("_names").alias("apos", "attr"))
     return exploded.select(
-        *carry, "apos",
-        M.attr_name(F.col("_token")).alias("attr"),
-        M.attr_value(F.col("_token")).alias("value"),
-        (F.array_position("_names", M.attr_name(F.col("_token"))) == F.col("apos") + 1)
-        .alias("is_first"))
+        *carry, "apos", "attr", F.get("_values", F.col("apos")).alias("value"),
+        (F.array_position("_names", F.col("attr")) == F.col("apos") + 1).alias("is_first"))
 
 
 def attributes(parsed: DataFrame) -> DataFrame:
@@ -132,6 +129,43 @@ def comments(parsed: DataFrame) -> DataFrame:
             .withColumn("pos", F.col("pos").cast("bigint")))
 
 
-__all__ = ["parse_pages", "element_rows", "elements", "attribute_rows", "attributes",
+def _runs(parsed: DataFrame, items: Column, fields: list[str]) -> DataFrame:
+    """Per page, how often each item occurs: sorted inside the row and counted by run lengths, so nothing is shuffled."""
+    counted = (parsed.select("page_id", items.alias("_items")).withColumn("_items", F.array_sort("_items"))
+               .select("page_id", F.explode(M.count_runs("_items")).alias("c")))
+    item = [F.col("c.item").alias(fields[0])] if len(fields) == 1 else [F.col(f"c.item.{f}").alias(f) for f in fields]
+    return counted.select("page_id", *item, F.col("c.n").alias("n"))
+
+
+def element_counts(parsed: DataFrame) -> DataFrame:
+    """``page_id, tag, n`` from the page's own token array.  A row of the page table is a page."""
+    return _runs(parsed, F.transform("start_tags", M.tag_name), ["tag"])
+
+
+def attribute_counts(parsed: DataFrame) -> DataFrame:
+    """``page_id, tag, attr, n``; an attribute that a tag repeats counts once."""
+    def of_tag(raw):
+        names = F.array_distinct(F.transform(M.attr_tokens(raw), M.attr_name))
+        return F.element_at(F.transform(F.array(M.tag_name(raw)), lambda tag: F.transform(
+            names, lambda a: F.struct(tag.alias("tag"), a.alias("attr")))), 1)
+    return _runs(parsed, F.flatten(F.transform("start_tags", of_tag)), ["tag", "attr"])
+
+
+def protocol_counts(parsed: DataFrame) -> DataFrame:
+    """``page_id, protocol, n`` of the page's links."""
+    links = F.filter("start_tags", lambda t: M.tag_name(t).isin("a", "area"))
+    hrefs = F.transform(links, lambda t: F.coalesce(M.attr_lookup(t, "href"), F.lit("")))
+    staged = parsed.select("page_id", "scheme", hrefs.alias("_hrefs"))
+    return _runs(staged, F.transform("_hrefs", lambda h: M.link_protocol(h, F.col("scheme"))), ["protocol"])
+
+
+def image_counts(parsed: DataFrame) -> DataFrame:
+    """``page_id, format, n`` of the page's images."""
+    images = F.filter("start_tags", lambda t: M.tag_name(t) == "img")
+    staged = parsed.select("page_id", F.transform(images, lambda t: M.attr_lookup(t, "src")).alias("_src"))
+    return _runs(staged, F.transform("_src", M.image_format), ["format"])
+
+
+__all__ = ["parse_pages", "element_counts", "attribute_counts", "protocol_counts", "image_counts", "element_rows", "elements", "attribute_rows", "attributes",
            "link_rows", "links", "image_rows", "images", "comments",
            "PAGE_INPUT_COLUMNS"]

@@ -20,8 +20,8 @@ from markscope.functions import markup as M
 from markscope.functions import patterns as P
 from markscope.session import cached_expr
 
-# Message templates of the lint rules, in the wording of the HTML validator.
-# {0}, {1} are the variable parts.  Fixed values: the catalogue of our lint.
+# Fixed values (must equal the reference for equal results): message templates of the lint rules, in the
+# wording of the HTML validator.  {0}, {1} are the variable parts.
 LINT_RULES = [
     # (rule, kind, template)
     ("duplicate_id", "error", "Duplicate ID {0}."),
@@ -101,14 +101,14 @@ def _wants(rules: tuple[str, ...] | None, *of: str) -> bool:
     return rules is None or bool(set(rules) & set(of))
 
 
-def _start_tag_events(tag: Column, toks: Column, names: Column, rules: tuple[str, ...] | None = None) -> Column:
-    """array<event> for one start tag, from its (materialised) name, tokens and names.
+def _start_tag_events(tag: Column, vals: Column, names: Column, rules: tuple[str, ...] | None = None) -> Column:
+    """array<event> for one start tag, from its (materialised) name, attribute values and names.
 
     With ``rules``, only the events that these rules need.
     """
 
     def val(name: str) -> Column:
-        return M.value_in(toks, names, name)
+        return M.value_in(vals, names, name)
 
     required, obs_ns, obs_msg, obs_attrs, implicit_role = _tag_rule_maps()
     empty = F.array().cast("array<string>")
@@ -135,12 +135,12 @@ def _start_tag_events(tag: Column, toks: Column, names: Column, rules: tuple[str
         F.array_position(names, n) < i + 1,
         _event("duplicate_attr", render("duplicate_attr", n))))
     lists = [e for e, of in ((req, "required_attr"), (obs, "obsolete_attr"), (dups, "duplicate_attr"),
-                             (_reference_events(toks, names), "dangling_ref")) if _wants(rules, of)]
+                             (_reference_events(vals, names), "dangling_ref")) if _wants(rules, of)]
     parts = ([F.array(*single)] if single else []) + lists
     return F.concat(*parts) if parts else F.array().cast(EVENT_ARRAY)
 
 
-def _reference_events(toks: Column, names: Column) -> Column:
+def _reference_events(vals: Column, names: Column) -> Column:
     """One ``id`` event per space-separated id named by a reference attribute.
 
     Only the reference attributes the tag actually has are looked at (usually none).
@@ -148,19 +148,13 @@ def _reference_events(toks: Column, names: Column) -> Column:
     present = F.filter(F.array_distinct(names), lambda n: n.isin(*P.ID_REFERENCE_ATTRIBUTES))
 
     def ids_of(a: Column) -> Column:
-        value = attr_value_at(toks, names, a)
+        value = M.value_in(vals, names, a)
         ids = F.filter(F.split(F.coalesce(value, F.lit("")), P.BLANKS), lambda x: x != "")
         return F.transform(ids, lambda x: _event("id", x, a))
 
     return F.flatten(F.transform(present, ids_of))
 
 
-def attr_value_at(toks: Column, names: Column, name: Column) -> Column:
-    """Value of the first attribute called ``name`` (a column) of a start tag."""
-    idx = F.array_position(names, name).cast("int")
-    return F.when(idx > 0, M.attr_value(F.get(toks, idx - 1)))
-
-
 def page_tokens(parsed: DataFrame, page_keys: tuple[str, ...] = (),
                 carry: tuple[str, ...] = (), payload: str | None = None) -> DataFrame:
     """One row per token of a page: ``t`` = 's' start tag, 'e' end tag, else a page finding.
@@ -216,17 +210,18 @@ def token_events(parsed: DataFrame, page_keys: tuple[str, ...] = (),
     staged = tok.select("page_id", *page_keys, *carry, "t", "v", *extra,
                         F.when(t == "s", M.tag_name(v)).otherwise(v).alias("_tag"),
                         F.when(t == "s", M.attr_tokens(v)).alias("_toks"))
-    staged = staged.withColumn("_names", F.transform("_toks", M.attr_name))
+    # bound once for each tag: names and decoded values of its attributes
+    staged = staged.withColumn("_names", F.transform("_toks", M.attr_name)).withColumn("_vals", M.attr_values(v, F.col("_toks")))
 
     def build():
-        tag, toks, names = F.col("_tag"), F.col("_toks"), F.col("_names")
-        start = _start_tag_events(tag, toks, names, rules)
+        tag, vals, names = F.col("_tag"), F.col("_vals"), F.col("_names")
+        start = _start_tag_events(tag, vals, names, rules)
         if with_markup:
             # no "elements" event: the lint's own (tag, start) events count the same thing
-            start = F.concat(start, tag_metric_events(tag, toks, names, F.col("scheme"),
+            start = F.concat(start, tag_metric_events(tag, vals, names, F.col("scheme"),
                                                       ("ns", "key", "sub"), with_elements=False))
         if with_links:
-            start = F.concat(start, _link_events(tag, toks, names, F.col("scheme")))
+            start = F.concat(start, _link_events(tag, vals, names, F.col("scheme")))
         events = (F.when(t == "s", start)
                   .when(t == "e", F.array(_event("tag", v, "end")))
                   .when(t == "p", F.array(_event("page", F.lit(""))))
@@ -241,9 +236,9 @@ def token_events(parsed: DataFrame, page_keys: tuple[str, ...] = (),
             .filter(F.col("e").isNotNull()))
 
 
-def _link_events(tag: Column, toks: Column, names: Column, scheme: Column) -> Column:
+def _link_events(tag: Column, vals: Column, names: Column, scheme: Column) -> Column:
     """Page counters as events: 'int'/'ext' per a/area link, 'book' per bookmark, one per img."""
-    href = F.coalesce(M.value_in(toks, names, "href"), F.lit(""))
+    href = F.coalesce(M.value_in(vals, names, "href"), F.lit(""))
     is_link = tag.isin("a", "area")
     return F.array(
         F.when(is_link, _event("lnk", F.lit(""),

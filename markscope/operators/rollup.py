@@ -30,7 +30,7 @@ def _ev(metric: str, key: Column, subkey: Column | None = None, fields=EVENT_FIE
                     (subkey if subkey is not None else F.lit("")).alias(fields[2]))
 
 
-def tag_metric_events(tag: Column, toks: Column, names: Column, scheme: Column,
+def tag_metric_events(tag: Column, vals: Column, names: Column, scheme: Column,
                       fields=EVENT_FIELDS, with_elements: bool = True) -> Column:
     """array<struct<metric, key, subkey>> of one start tag for the markup metrics.
 
@@ -39,8 +39,8 @@ def tag_metric_events(tag: Column, toks: Column, names: Column, scheme: Column,
     expression out of generated code).
     """
     attrs = F.transform(F.array_distinct(names), lambda a: _ev("attributes", tag, a, fields))
-    href = F.coalesce(M.value_in(toks, names, "href"), F.lit(""))
-    src = M.value_in(toks, names, "src")
+    href = F.coalesce(M.value_in(vals, names, "href"), F.lit(""))
+    src = M.value_in(vals, names, "src")
     per_tag = [
         F.when(tag.isin("a", "area"), _ev("protocols", M.link_protocol(href, scheme), None, fields)),
         F.when(tag == "img", _ev("images", M.image_format(src), None, fields)),
@@ -59,9 +59,9 @@ def markup_events(ok_pages: DataFrame) -> DataFrame:
     tags = (ok_pages.select("page_id", "is_html5", "scheme", F.explode("start_tags").alias("raw"))
             .withColumn("_tag", M.tag_name("raw"))
             .withColumn("_toks", M.attr_tokens("raw")))
-    tags = tags.withColumn("_names", F.transform("_toks", M.attr_name))
+    tags = tags.withColumn("_names", F.transform("_toks", M.attr_name)).withColumn("_vals", M.attr_values(F.col("raw"), F.col("_toks")))
     events = cached_expr("markup_events", lambda: F.explode(
-        tag_metric_events(F.col("_tag"), F.col("_toks"), F.col("_names"), F.col("scheme"))).alias("e"))
+        tag_metric_events(F.col("_tag"), F.col("_vals"), F.col("_names"), F.col("scheme"))).alias("e"))
     return tags.select("page_id", "is_html5", events).filter(F.col("e").isNotNull()).select(
         "page_id", "is_html5", "e.metric", "e.key", "e.subkey", F.lit(1).cast("bigint").alias("n"))
 

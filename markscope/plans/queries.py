@@ -109,13 +109,11 @@ def q_element_total(spark, sf_dir):
 
 
 def q_element_counts(spark, sf_dir):
-    return (facts.elements(parsed_pages(spark, sf_dir)).groupBy("page_id", "tag")
-            .agg(F.count(F.lit(1)).alias("n")))
+    return facts.element_counts(parsed_pages(spark, sf_dir))
 
 
 def q_attribute_counts(spark, sf_dir, varied=False):
-    return (facts.attributes(parsed_pages(spark, sf_dir, varied=varied))
-            .groupBy("page_id", "tag", "attr").agg(F.count(F.lit(1)).alias("n")))
+    return facts.attribute_counts(parsed_pages(spark, sf_dir, varied=varied))
 
 
 def q_link_counters(spark, sf_dir, varied=False):
@@ -124,13 +122,11 @@ def q_link_counters(spark, sf_dir, varied=False):
 
 
 def q_protocol_counts(spark, sf_dir, varied=False):
-    return (facts.links(parsed_pages(spark, sf_dir, varied=varied))
-            .groupBy("page_id", "protocol").agg(F.count(F.lit(1)).alias("n")))
+    return facts.protocol_counts(parsed_pages(spark, sf_dir, varied=varied))
 
 
 def q_image_counts(spark, sf_dir, varied=False):
-    return (facts.images(parsed_pages(spark, sf_dir, varied=varied))
-            .groupBy("page_id", "format").agg(F.count(F.lit(1)).alias("n")))
+    return facts.image_counts(parsed_pages(spark, sf_dir, varied=varied))
 
 
 def q_comment_stats(spark, sf_dir):

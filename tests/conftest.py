@@ -10,14 +10,9 @@ sys.path.insert(0, ROOT)
 
 @pytest.fixture(scope="session")
 def spark():
-    from pyspark.sql import SparkSession
-    ckpt = tempfile.mkdtemp(prefix="markscope-test-")
-    s = (SparkSession.builder.master("local[*]")
-         .config("spark.sql.shuffle.partitions", "8")
-         .config("spark.ui.enabled", "false")
-         .config("spark.sql.session.timeZone", "UTC")
-         .config("spark.checkpoint.dir", ckpt)
-         .getOrCreate())
+    from markscope.session import build_session
+    s = build_session("local[*]", 8)    # the library's own settings, its driver memory among them
+    s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="markscope-test-"))
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

@@ -51,7 +51,7 @@ def test_stream_totals_equal_batch(spark):
     from markscope.operators import rollup
     from markscope.plans import queries as Q
     ok = Q.status_pages(spark, SF, varied=False).filter(F.col("status") == "ok")
-    batch = {(r.scope, r.metric, r.key, r.subkey): r.n for r in rollup.totals(rollup.markup_events(ok)).collect()}
+    batch = {(r.scope, r.metric, r.key, r.subkey): r.n for r in rollup.totals(rollup.count_events(ok)).collect()}
     assert stream == batch
 
 
@@ -60,6 +60,12 @@ def test_each_message_in_one_class(spark):
     assert c.filter(F.col("canonical").isNull()).count() == 0
 
 
+@pytest.mark.parametrize("name", ["element_counts", "attribute_counts", "protocol_counts", "image_counts"])
+def test_page_counts_need_no_exchange(spark, name):
+    plan = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
 
