@@ -1,15 +1,18 @@
 """Message classification (S6, W7, J3) and per-page message aggregates.
 
-A catalogue is an ordered list of ``(pattern, canonical message)``; a message is
+A catalogue is an ordered table of ``(family, idx, pattern, message, n_groups)``; a message is
 put in the class of the first pattern (lowest index) that is *found* in its
 lower-cased text and has at least one group; the groups, joined by `` | ``,
 are its variables.  Patterns without a group never match.
 
-The catalogue is small and bounded (checked: at most ``MAX_CATALOG`` entries),
-so it is compiled on the driver into one column expression with literal
-patterns: ``coalesce(when(m rlike p0, 0), when(m rlike p1, 1), ...)``.  Literal
-patterns are compiled once per task, the expression is evaluated map-side next
-to the message, and no join or shuffle is needed to classify.
+``classify`` is one plan for any number of patterns.  Every pattern has a *required literal*, a run of
+characters that stands in each text it is found in; one short piece of that run, the rarest in the
+catalogue, is the pattern's index key.  Distinct messages are cut into pieces of the same lengths and joined
+with the patterns on the piece (an equi-join); only these candidates are tested by regex, the smallest index wins, and
+the class goes back to the message rows.
+
+``classify_lint`` sorts the messages of our own lint rules, whose templates are fixed in the code: the few
+patterns are literals of one expression next to the message, with no join and no second use of the rows.
 """
 
 from __future__ import annotations
@@ -24,7 +27,6 @@ from pyspark.sql import types as T
 from markscope.functions import markup as M
 from markscope.session import cached_expr
 
-MAX_CATALOG = 2000
 HTML5_FAMILY = "html5"
 GENERAL_FAMILY = "general"
 
@@ -51,8 +53,6 @@ def _escape(text: str) -> str:
 
 def entries_from_lines(family: str, patterns: list[str], messages: list[str]) -> list[CatalogEntry]:
     """Pair line i of the patterns with line i of the messages; both lower-cased."""
-    if len(patterns) > MAX_CATALOG:
-        raise ValueError(f"catalogue of {len(patterns)} entries exceeds {MAX_CATALOG}")
     out = []
     for i, (p, m) in enumerate(zip(patterns, messages)):
         p, m = p.lower(), m.lower()
@@ -60,17 +60,120 @@ def entries_from_lines(family: str, patterns: list[str], messages: list[str]) ->
     return out
 
 
-def read_catalog_files(family: str, patterns_path: str, messages_path: str) -> list[CatalogEntry]:
-    """A catalogue kept as two text files (one pattern / message per line)."""
-    with open(patterns_path, encoding="utf-8") as fp:
-        pats = fp.read().split("\n")
-    with open(messages_path, encoding="utf-8") as fm:
-        msgs = fm.read().split("\n")
-    if pats and pats[-1] == "":
-        pats = pats[:-1]
-    if msgs and msgs[-1] == "":
-        msgs = msgs[:-1]
-    return entries_from_lines(family, pats, msgs)
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(idx, line)`` of a text file, lower-cased; the empty piece after the last line end is no line."""
+    whole = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n", -1).alias("l"))
+    lines = F.when(F.element_at("l", -1) == "", F.slice("l", F.lit(1), F.size("l") - 1)).otherwise(F.col("l"))
+    return whole.select(F.posexplode(lines).alias("idx", "line")).withColumn("line", F.lower("line"))
+
+
+def read_catalog_files(spark: SparkSession, family: str, patterns_path: str, messages_path: str) -> DataFrame:
+    """A catalogue kept as two text files, line i of the patterns paired with line i of the messages.
+
+    Both are lower-cased, as the messages are before they are tested.  Lines without a partner are left out.
+    """
+    pats = _lines(spark, patterns_path).withColumnRenamed("line", "pattern")
+    msgs = _lines(spark, messages_path).withColumnRenamed("line", "message")
+    return pats.join(msgs, "idx").select(F.lit(family).alias("family"), "idx", "pattern", "message", n_groups(F.col("pattern")).alias("n_groups"))
+
+
+# an escaped character or a quoted run, then a character class: neither opens a group
+_ESCAPED = r"\\Q.*?\\E|\\."
+_CLASS = r"\[\^?\]?[^\]]*\]"
+_GROUP = r"\((?!\?)|\(\?<[a-zA-Z]"
+GAP = "\x01"
+
+
+def n_groups(pattern: Column) -> Column:
+    """Capturing groups of a pattern by the rules of java.util.regex."""
+    plain = F.regexp_replace(F.regexp_replace(pattern, _ESCAPED, "x"), _CLASS, "x")
+    return F.size(F.regexp_extract_all(plain, F.lit(_GROUP), F.lit(0)))
+
+
+def required_literal(pattern: Column) -> Column:
+    """The longest run of characters that stands in every text in which the pattern is found; '' if none is sure.
+
+    Groups, classes, escapes and quantified characters become gaps; a pattern with alternatives, with flags or escapes that
+    change what its characters mean, with nested classes, or with parentheses left over has no sure run.
+    """
+    x = F.regexp_replace(pattern, _ESCAPED, GAP)
+    nested = x.rlike(r"\[[^\]]*\[")
+    x = F.regexp_replace(x, _CLASS, GAP)
+    unsure = (F.instr(x, "|") > 0) | x.rlike(r"\(\?[a-zA-Z]") | pattern.rlike(r"\\[xupPkcN0-9]") | nested
+    for _ in range(6):      # innermost groups first
+        x = F.regexp_replace(x, r"\([^()]*\)", GAP)
+    unsure = unsure | x.rlike(r"[()]")
+    # a character (or a gap) that may be missing or repeated, then all that is no character of its own
+    x = F.regexp_replace(x, r"(?s).(?:[*?]|\{[^}]*\})[+?]?", GAP)
+    x = F.regexp_replace(x, r"[.^$+\[\]{}\\]", GAP)
+    pieces = F.split(x, GAP, -1)
+    longest = F.element_at(F.array_sort(F.transform(pieces, lambda p: F.struct((-F.length(p)).alias("k"), p.alias("p")))), 1)["p"]
+    return F.when(unsure, F.lit("")).otherwise(longest)
+
+
+#: Lengths of index pieces: a pattern uses the greatest that its literal has; 0 stands for a pattern without one.
+PIECES = [12, 6, 3, 1, 0]
+
+
+def _cut(text: Column, size: Column | int) -> Column:
+    """array<string>: the distinct pieces of ``size`` characters of a text (one empty piece for size 0)."""
+    n = F.lit(size) if isinstance(size, int) else size
+    at = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+    pieces = F.array_distinct(F.transform(at, lambda i: F.substring(text, i, n)))
+    return F.when(n == 0, F.array(F.lit(""))).when(F.length(text) >= n, pieces).otherwise(F.array().cast("array<string>"))
+
+
+def index_catalog(catalog: DataFrame) -> DataFrame:
+    """The catalogue's live patterns with their index key ``(size, piece)``: the piece that fewest of its literals hold."""
+    live = catalog.filter(F.col("n_groups") > 0).withColumn("_literal", required_literal(F.col("pattern")))
+    size = F.coalesce(*[F.when(F.length("_literal") >= k, F.lit(k)) for k in PIECES])
+    pieces = live.withColumn("size", size).select("family", "idx", "size", F.explode(_cut(F.col("_literal"), F.col("size"))).alias("piece"))
+    held = pieces.groupBy("size", "piece").agg(F.count("*").alias("held"))
+    rarest = pieces.join(held, ["size", "piece"]).groupBy("family", "idx").agg(
+        F.min_by(F.struct("size", "piece"), F.struct("held", "size", "piece")).alias("key"))
+    return live.join(rarest, ["family", "idx"]).select("family", "idx", "pattern", "message", "n_groups", "key.size", "key.piece")
+
+
+def first_matches(distinct: DataFrame, catalog: DataFrame) -> DataFrame:
+    """``(family, message, class, variables)`` of the distinct ``(family, message)`` that a pattern is found in."""
+    index = index_catalog(catalog)
+    sizes = index.select("family", "size").distinct()       # of PIECES, those that are in use
+    cut = distinct.select("family", F.col("message").alias("_text"), F.lower("message").alias("_lower")).join(sizes, "family")
+    cut = cut.withColumn("piece", F.explode(_cut(F.col("_lower"), F.col("size"))))
+    hit = cut.join(index, ["family", "size", "piece"]).filter("_lower RLIKE pattern")
+    best = hit.groupBy("family", "_text").agg(F.min(F.struct("idx", "pattern", F.col("message").alias("class"), "n_groups")).alias("b"))
+    lm = F.lower("_text")
+    groups = F.transform(F.sequence(F.lit(1), F.col("b.n_groups")),
+                         lambda g: M.scrub(F.call_function("regexp_extract", lm, F.col("b.pattern"), g)))
+    return best.select("family", F.col("_text").alias("message"), F.col("b.class").alias("class"),
+                       F.lower(F.array_join(groups, " | ")).alias("variables"))
+
+
+def _label(kind: Column, message_id: Column, body: Column) -> Column:
+    """The class label (fixed formats)."""
+    is_h5 = message_id == HTML5_FAMILY
+    return (F.when((kind == "error") & is_h5, F.concat(F.lit("html5 error - "), body))
+            .when(kind == "error", F.concat(F.lit("error - "), message_id, F.lit(" - "), body))
+            .when(is_h5, F.concat(F.lit("warning html5 - "), body))
+            .otherwise(F.concat(F.lit("warning - "), message_id, F.lit(" - "), body)))
+
+
+def classify(messages: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Add ``canonical`` (the class label) and ``variables`` to each message, for a catalogue of any size.
+
+    ``message_id = 'html5'`` uses the html5 family, any other id the general one.
+    Labels: ``html5 error - c``, ``error - <id> - c``, ``warning html5 - c``,
+    ``warning - <id> - c``; an unmatched message keeps its own (scrubbed) text.  The rows are used twice (their distinct messages are
+    classified, and the classes joined back), so give a table that is written, not a long plan.
+    """
+    family = F.when(F.col("message_id") == HTML5_FAMILY, F.lit(HTML5_FAMILY)).otherwise(F.lit(GENERAL_FAMILY))
+    rows = messages.withColumn("_family", family)
+    found = first_matches(rows.select(F.col("_family").alias("family"), "message").filter("message IS NOT NULL").distinct(), catalog)
+    found = found.select(F.col("family").alias("_family"), "message", F.col("class").alias("_class"), "variables")
+    # a message that a third of all rows carry is a hot key of this join: adaptive execution splits it
+    joined = rows.join(found, ["_family", "message"], "left")
+    body = F.coalesce("_class", M.scrub(F.col("message")))
+    return joined.select(*messages.columns, _label(F.col("kind"), F.col("message_id"), body).alias("canonical"), "variables")
 
 
 def template_entries(family: str, templates: list[str]) -> list[CatalogEntry]:
@@ -108,96 +211,39 @@ def catalog_frame(spark: SparkSession, entries: list[CatalogEntry]) -> DataFrame
                                   for e in entries], schema)
 
 
-# Above this many live patterns the first-match scan is not code-generated: the
-# generated class for a few hundred regex branches exhausts the compiler's memory.
-CODEGEN_MAX_PATTERNS = 150
-
-
-def _first_match_index(lm: Column, entries: list[CatalogEntry]) -> Column:
-    """Index of the first live pattern found in ``lm`` (null if none).
-
-    Patterns are tested in catalogue order and the scan stops at the first hit.
-    For a large catalogue the same scan runs as a lambda applied to the message
-    (evaluated, not compiled); its literal patterns are still compiled once per task.
-    """
-    live = [e for e in entries if e.n_groups > 0]
-    if not live:
-        return F.lit(None).cast("int")
-
-    def scan(m: Column) -> Column:
-        return F.coalesce(*[F.when(m.rlike(e.pattern), F.lit(e.idx)) for e in live])
-
-    if len(live) <= CODEGEN_MAX_PATTERNS:
-        return scan(lm)
-    return F.element_at(F.transform(F.array(lm), scan), 1)
-
-
 def _canonical_and_variables(lm: Column, idx: Column, entries: list[CatalogEntry]):
-    """(canonical, variables) of the entry ``idx``; ``idx`` must be a materialised column.
-
-    The entry's message, pattern and group count are looked up by index in literal
-    arrays, and its groups extracted with the looked-up pattern, so the expression
-    does not grow with the catalogue (a CASE per entry would not compile for
-    hundreds of entries).
-    """
-    live = [e for e in entries if e.n_groups > 0]
-    if not live:
-        return F.lit(None).cast("string"), F.lit(None).cast("string")
-    by_idx = {e.idx: e for e in live}
+    """(canonical, variables) of the entry ``idx``, read off literal arrays by index."""
+    by_idx = {e.idx: e for e in entries}
     size = max(by_idx) + 1
-    messages_arr = F.array(*[F.lit(by_idx[i].message if i in by_idx else None).cast("string")
-                             for i in range(size)])
+    messages_arr = F.array(*[F.lit(by_idx[i].message if i in by_idx else None).cast("string") for i in range(size)])
     patterns_arr = F.array(*[F.lit(by_idx[i].pattern if i in by_idx else "") for i in range(size)])
     groups_arr = F.array(*[F.lit(by_idx[i].n_groups if i in by_idx else 0) for i in range(size)])
     at = idx + 1
     pattern = F.element_at(patterns_arr, at)
-    n_groups = F.element_at(groups_arr, at)
-    groups = F.transform(F.sequence(F.lit(1), n_groups),
+    groups = F.transform(F.sequence(F.lit(1), F.element_at(groups_arr, at)),
                          lambda g: M.scrub(F.call_function("regexp_extract", lm, pattern, g)))
     return F.element_at(messages_arr, at), F.lower(F.array_join(groups, " | "))
 
 
-def classify(messages: DataFrame, catalogs: dict[str, list[CatalogEntry]]) -> DataFrame:
-    """Add ``canonical`` (the class label) and ``variables`` to each message.
+def classify_lint(found: DataFrame) -> DataFrame:
+    """J3 for the messages of our own lint rules: ``canonical`` and ``variables`` by the lint catalogue, next to the row.
 
-    ``message_id = 'html5'`` uses the html5 family, any other id the general one.
-    Labels: ``html5 error - c``, ``error - <id> - c``, ``warning html5 - c``,
-    ``warning - <id> - c``; an unmatched message keeps its own (scrubbed) text.
-    The first-match index is computed once into a column, then the label and the
-    variables are read off that index (the pattern tests are not repeated).
+    The first-match index is computed once into a column, then the label and the variables are read off it.
     """
-    cols = messages.columns
-    h_entries = catalogs.get(HTML5_FAMILY, [])
-    g_entries = catalogs.get(GENERAL_FAMILY, [])
-    key = (tuple(h_entries), tuple(g_entries))
-    first = cached_expr(("classify_idx", key), lambda: _index_column(h_entries, g_entries))
-    label, variables = cached_expr(("classify_out", key), lambda: _label_columns(h_entries, g_entries))
-    return messages.withColumn("_idx", first).select(*cols, label.alias("canonical"),
-                                                     variables.alias("variables"))
-
-
-def _index_column(h_entries, g_entries) -> Column:
-    lm = F.lower(F.col("message"))
-    is_h5 = F.col("message_id") == HTML5_FAMILY
-    return (F.when(is_h5, _first_match_index(lm, h_entries))
-            .otherwise(_first_match_index(lm, g_entries)))
-
-
-def _label_columns(h_entries, g_entries):
-    lm = F.lower(F.col("message"))
-    is_h5 = F.col("message_id") == HTML5_FAMILY
-    idx = F.col("_idx")
-    h_canon, h_var = _canonical_and_variables(lm, idx, h_entries)
-    g_canon, g_var = _canonical_and_variables(lm, idx, g_entries)
-    hit = idx.isNotNull()
-    body = F.when(hit, F.when(is_h5, h_canon).otherwise(g_canon)).otherwise(M.scrub(F.col("message")))
-    variables = F.when(hit, F.when(is_h5, h_var).otherwise(g_var))
-    kind = F.col("kind")
-    label = (F.when((kind == "error") & is_h5, F.concat(F.lit("html5 error - "), body))
-             .when(kind == "error", F.concat(F.lit("error - "), F.col("message_id"), F.lit(" - "), body))
-             .when(is_h5, F.concat(F.lit("warning html5 - "), body))
-             .otherwise(F.concat(F.lit("warning - "), F.col("message_id"), F.lit(" - "), body)))
-    return label, variables
+    def index():
+        lm = F.lower("message")
+        live = [e for e in lint_catalog() if e.n_groups > 0]
+        return F.when(F.col("message_id") == HTML5_FAMILY, F.coalesce(*[F.when(lm.rlike(e.pattern), F.lit(e.idx)) for e in live]))
+
+    def labels():
+        canon, variables = _canonical_and_variables(F.lower("message"), F.col("_idx"), [e for e in lint_catalog() if e.n_groups > 0])
+        hit = F.col("_idx").isNotNull()
+        body = F.when(hit, canon).otherwise(M.scrub(F.col("message")))
+        return _label(F.col("kind"), F.col("message_id"), body), F.when(hit, variables)
+
+    label, variables = cached_expr("lint_classes", labels)
+    return found.withColumn("_idx", cached_expr("lint_index", index)).select(
+        *found.columns, label.alias("canonical"), variables.alias("variables"))
 
 
 # --- validator results (S8, W7) -------------------------------------------

@@ -170,15 +170,14 @@ def dedupe_urls(pages: DataFrame, order_col: str = "warc") -> DataFrame:
     return pages.join(winners, same, "left_semi")
 
 
-def count_events(status_df: DataFrame, catalogs: dict | None = None) -> DataFrame:
+def count_events(status_df: DataFrame) -> DataFrame:
     """All count events (markup and messages) of the ok pages: one scan, one event aggregation.
 
     The plan is linear (no branch that would parse the pages twice): aggregated
     events -> lint candidates and markup rows -> classification -> count events.
     """
     from markscope.operators import lint, messages
-    catalogs = catalogs or {messages.HTML5_FAMILY: messages.lint_catalog()}
     ok = status_df.filter(F.col("status") == "ok")
     counts = lint.event_counts(ok, ("is_html5",), with_markup=True)
-    rows = messages.classify(lint.messages_from_counts(counts, ("is_html5",), keep_markup=True), catalogs)
+    rows = messages.classify_lint(lint.messages_from_counts(counts, ("is_html5",), keep_markup=True))
     return events_from_rows(rows)

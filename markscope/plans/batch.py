@@ -21,23 +21,23 @@ from pyspark.sql import functions as F
 from markscope import sinks
 from markscope.functions import patterns as P
 from markscope.operators import facts, lint, measures, messages, redirects, rollup
+from markscope.session import scratch_path
 from markscope.sources import warc
 from markscope.sources.pages import normalize_pages
 
 
 def analyze_corpus(spark: SparkSession, out_dir: str, *, pages: DataFrame | None = None,
                    warc_dir: str | None = None, last_file: str | None = None,
-                   catalogs: dict | None = None, validator: DataFrame | None = None,
+                   catalog: DataFrame | None = None, validator: DataFrame | None = None,
                    mode: str = "overwrite") -> dict[str, str]:
     """Run the full analysis; returns the output paths.
 
     ``pages``: a page table (``page_id, url, html``); or ``warc_dir``: WARC files,
     optionally resumed after ``last_file``.  ``validator``: validator results (S8);
-    without them the lint operators are the validator.  ``catalogs``: message
-    catalogues by family (default: the lint catalogue).
+    without them the lint operators are the validator.  ``catalog``: a message
+    catalogue of any size (``messages.read_catalog_files``; default: the lint catalogue).
     """
     out = {k: f"{out_dir.rstrip('/')}/{k}" for k in ("page", "results", "counts", "totals", "stats")}
-    catalogs = catalogs or {messages.HTML5_FAMILY: messages.lint_catalog()}
     if warc_dir is not None:
         files = warc.read_warc_dir(spark, warc_dir)
         page_in = redirects.page_input(redirects.resume_after(warc.parse_warc(files), last_file))
@@ -61,11 +61,15 @@ def analyze_corpus(spark: SparkSession, out_dir: str, *, pages: DataFrame | None
     ok = page.filter(F.col("status") == "ok")
     if validator is not None:
         raw = messages.validator_messages(validator).join(ok.select("page_id", "is_html5"), "page_id")
-        msgs = messages.classify(raw, catalogs)
+        raw = sinks.materialize(raw, scratch_path(spark, "messages"))
+        cat = catalog if catalog is not None else messages.catalog_frame(spark, messages.lint_catalog())
+        msgs = messages.classify(raw, cat)
         events = rollup.markup_events(ok).unionByName(rollup.message_events(msgs))
     else:
         counts = lint.event_counts(ok, ("is_html5",), with_markup=True)
-        rows = messages.classify(lint.messages_from_counts(counts, ("is_html5",), keep_markup=True), catalogs)
+        rows = lint.messages_from_counts(counts, ("is_html5",), keep_markup=True)
+        rows = (messages.classify_lint(rows) if catalog is None
+                else messages.classify(sinks.materialize(rows, scratch_path(spark, "messages")), catalog))
         events = rollup.events_from_rows(rows)
 
     sinks.write_counts(rollup.page_counts(events), out["counts"], mode, batch)

@@ -334,13 +334,13 @@ totals AS (
   GROUP BY ALL)"""
 
 
-def with_ctes(varied: bool, select: str, lint: bool = False, classified: bool = False) -> str:
+def with_ctes(varied: bool, select: str, lint: bool = False, classified: bool = False, more: str = "") -> str:
     ctes = base_ctes(varied)
     if lint or classified:
         ctes += lint_cte()
     if classified:
         ctes += classify_cte()
-    return f"WITH {ctes}\n{select}"
+    return f"WITH {ctes}{more}\n{select}"
 
 
 # A page table has no HTTP headers and no validator's word: nothing is not HTML, nothing is forced.

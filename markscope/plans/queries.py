@@ -34,7 +34,7 @@ def classified_messages(spark: SparkSession, sf_dir: str, varied: bool = False)
     """Lint messages of pages with status ok, classified with the lint catalogue."""
     ok = status_pages(spark, sf_dir, varied).filter(F.col("status") == "ok")
     msgs = lint.lint_messages(ok, ("is_html5",))
-    return messages.classify(msgs, {messages.HTML5_FAMILY: messages.lint_catalog()})
+    return messages.classify_lint(msgs)
 
 
 def message_totals(classified: DataFrame) -> DataFrame:

@@ -10,12 +10,12 @@ from pyspark.sql import SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "markscope") -> SparkSession:
+                  app_name: str = "markscope", settings: dict[str, str] | None = None) -> SparkSession:
     """A session with the settings the library is tuned for.
 
     On a cluster the master and most settings come from spark-submit; only the
     ones left unset here are filled in.  AQE stays on so that shuffle partition
-    counts are coalesced at run time and skewed joins are split.
+    counts are coalesced at run time and skewed joins are split.  ``settings`` adds to them.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -38,7 +38,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         conf["spark.driver.memory"] = "8g"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    for key, value in conf.items():
+    for key, value in {**conf, **(settings or {})}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -83,9 +83,7 @@ def checkpoint_root(spark: SparkSession) -> str:
         if sc is None or not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="markscope-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        if sc is not None:
-            sc.setCheckpointDir(path)
+        sc.setCheckpointDir(path)    # the setting itself can't be changed in a running session
     return path
 
 

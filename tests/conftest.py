@@ -11,8 +11,8 @@ sys.path.insert(0, ROOT)
 @pytest.fixture(scope="session")
 def spark():
     from markscope.session import build_session
-    s = build_session("local[*]", 8)    # the library's own settings, its driver memory among them
-    s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="markscope-test-"))
+    # the library's own settings, its driver memory among them
+    s = build_session("local[*]", 8, settings={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="markscope-test-")})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

@@ -33,8 +33,13 @@ def test_lint_fixtures(spark, pages_df):
 
 
 def _classify(spark, rows, catalogs):
-    df = spark.createDataFrame(rows, "kind string, message_id string, message string")
-    return [(r.canonical, r.variables) for r in messages.classify(df, catalogs).collect()]
+    """Classes in the order of ``rows``; ``catalogs`` holds entries by family, or a catalogue table."""
+    if isinstance(catalogs, dict):
+        catalogs = messages.catalog_frame(spark, [e for entries in catalogs.values() for e in entries])
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, kind string, message_id string, message string")
+    got = messages.classify(df, catalogs).orderBy("i").collect()
+    assert len(got) == len(rows)
+    return [(r.canonical, r.variables) for r in got]
 
 
 def test_classification_first_match_and_shadowing(spark):
@@ -100,11 +105,10 @@ def test_catalog_from_files(spark, tmp_path):
         f.write("Bad value (.*)? for attribute (.*)?.\nno group here\n")
     with open(msgs, "w") as f:
         f.write("Bad value X for attribute Y.\nNo group here\n")
-    cat = messages.read_catalog_files("general", pats, msgs)
-    assert [(e.idx, e.n_groups) for e in cat] == [(0, 2), (1, 0)]
-    frame = messages.catalog_frame(spark, cat)
-    assert frame.count() == 2
-    got = _classify(spark, [("warning", "42", "Bad value FOO for attribute href.")], {"general": cat})
+    cat = messages.read_catalog_files(spark, "general", pats, msgs)
+    assert [(e.idx, e.pattern, e.message, e.n_groups) for e in cat.orderBy("idx").collect()] == [
+        (0, "bad value (.*)? for attribute (.*)?.", "bad value x for attribute y.", 2), (1, "no group here", "no group here", 0)]
+    got = _classify(spark, [("warning", "42", "Bad value FOO for attribute href.")], cat)
     assert got == [("warning - 42 - bad value x for attribute y.", "foo | href")]
 
 
@@ -116,8 +120,7 @@ def test_multi_valued_references(spark, pages_df):
 
 
 def test_large_catalogue_first_match(spark):
-    # above CODEGEN_MAX_PATTERNS the scan runs as a lambda; results must not change
-    n = messages.CODEGEN_MAX_PATTERNS + 250
+    n = 3000
     pats = [f"rule {i} on (.*) at (.*)\\." for i in range(n)] + ["rule (.*) on (.*)"]
     msgs = [f"Rule {i} on X at Y." for i in range(n)] + ["Rule X on Y"]
     cat = messages.entries_from_lines("html5", pats, msgs)
@@ -127,3 +130,39 @@ def test_large_catalogue_first_match(spark):
     assert got[0] == (f"html5 error - rule {n - 1} on x at y.", "foo | bar")
     assert got[1] == ("html5 error - rule 7 on x at y.", "a | b")
     assert got[2] == ("warning html5 - rule x on y", "zz | q")
+
+
+ODD_PATTERNS = ["(.*)", "(a)", "ab(c|d)", "x(.*)y|long alternative (z)", "[abc](d)e*fgh", "colou?r of (.*)", "so+ long (.)", "a{2,3}b(c)", "(?i)FLAG(s)",
+                "\\x41bcdef(g)", "(?:no|group) at all", "(?<name>named) group here", "dot.in the (middle)", "^anchored (.*)$", "esc\\(aped\\) (paren)",
+                "nested ((deep) group) end", "[a[bc]de]fgh (i)", "class with [)(] paren (x)", "\\d+ digits of (.*)", "lazy (.*?) end of it", "plus (a)+ then more text",
+                "quoted \\Q(.*)\\E literal (x)"]
+
+
+def test_literals_stand_in_every_match(spark):
+    rows = [(i, p) for i, p in enumerate(ODD_PATTERNS)]
+    got = {r.p: (r.lit, r.n) for r in spark.createDataFrame(rows, "i int, p string").select(
+        "p", messages.required_literal(F.col("p")).alias("lit"), messages.n_groups(F.col("p")).alias("n")).collect()}
+    assert [got[p][1] for p in ODD_PATTERNS] == [1, 1, 1, 2, 1, 1, 1, 1, 1, 1, 0, 1, 1, 1, 1, 2, 1, 1, 1, 1, 1, 1]
+    texts = ["abc", "abd", "long alternative z", "x12y", "bdefgh", "bdfgh", "color of ink", "colour of ink", "soooo long x", "aabc", "flags", "Abcdefg", "group at all",
+             "a named group here", "dot in the middle", "anchored x", "esc(aped) paren", "nested deep group end", "bfgh i", "class with ( paren x", "77 digits of pi",
+             "lazy x end of it", "plus aaa then more text", "quoted (.*) literal x"]
+    hits = spark.createDataFrame([(t,) for t in texts], "t string").join(spark.createDataFrame(rows, "i int, p string"), F.expr("t RLIKE p")).collect()
+    assert {r.i for r in hits} == set(range(len(ODD_PATTERNS)))
+    assert all(got[r.p][0] in r.t for r in hits)
+    assert got["dot.in the (middle)"][0] == "in the " and got["plus (a)+ then more text"][0] == " then more text"
+    assert all(got[p][0] == "" for p in ("(.*)", "x(.*)y|long alternative (z)", "(?i)FLAG(s)", "[a[bc]de]fgh (i)", "\\x41bcdef(g)"))
+
+
+def test_odd_catalogue_equals_a_plain_scan(spark):
+    pats = [p.lower() for p in ODD_PATTERNS if "Q" not in p]        # a quote is no quote in lower case
+    cat = spark.createDataFrame([("html5", i, p, f"c{i}") for i, p in enumerate(reversed(pats))], "family string, idx int, pattern string, message string")
+    cat = cat.withColumn("n_groups", messages.n_groups(F.col("pattern")))
+    texts = ["abc", "xyzzy", "Colour of Ink", "", "a{2,3}b(c)", "esc(aped) paren", None, "long alternative z and more", "é" * 500 + " dot-in the middle", "abc", "x" * 100_000]
+    live = [(r.idx, r.pattern, r.message) for r in cat.filter("n_groups > 0").orderBy("idx").collect()]
+    tests = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    want = {}
+    for idx, p, m in reversed(live):
+        for r in tests.filter(F.lower("t").rlike(p)).collect():
+            want[r.i] = m
+    got = _classify(spark, [("error", "html5", t) for t in texts], cat)
+    assert [c and c.removeprefix("html5 error - ") for c, _ in got] == [want.get(i, t) for i, t in enumerate(texts)]

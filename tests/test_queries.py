@@ -4,8 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
-from markscope.plans.oracle import ORACLE
-from markscope.plans.queries import QUERIES
+from markscope.plans.registry import ORACLE, QUERIES
 from tests.oracle_check import compare
 
 SF = "/root/testdata/sf0.001"

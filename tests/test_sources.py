@@ -131,11 +131,11 @@ def test_analyze_corpus_with_validator_results(spark, tmp_path):
             {"page_id": 2, "url": "http://b/", "source": {"encoding": "utf-8"}, "messages": []}]
     with open(vpath, "w") as f:
         f.write("\n".join(json.dumps(r) for r in recs) + "\n")
-    cats = {"html5": messages.entries_from_lines("html5", ["Stray end tag (.*)?."], ["Stray end tag X."]),
-            "general": messages.entries_from_lines("general", ["bad value (.*) for (.*)\\."],
-                                                   ["Bad value X for Y."])}
+    cat = messages.catalog_frame(spark, [
+        *messages.entries_from_lines("html5", ["Stray end tag (.*)?."], ["Stray end tag X."]),
+        *messages.entries_from_lines("general", ["bad value (.*) for (.*)\\."], ["Bad value X for Y."])])
     out = analyze_corpus(spark, str(tmp_path / "out"), pages=pages,
-                         validator=messages.read_validator_results(spark, vpath), catalogs=cats)
+                         validator=messages.read_validator_results(spark, vpath), catalog=cat)
     res = {r.warc: (r.num_errors, r.num_warnings) for r in
            spark.read.option("sep", "£").option("header", True).csv(out["results"]).collect()}
     assert res == {"1": ("2", "1"), "2": ("0", "0")}          # page 3 has no validator result
