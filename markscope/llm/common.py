@@ -17,12 +17,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     Only a local master may run without that setting (as in tests): its tasks share
     the driver's disk.  On a cluster a missing setting raises.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="markscope-llm-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        spark.sparkContext.setCheckpointDir(root)    # the setting itself can't be changed in a running session
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
