@@ -66,6 +66,9 @@ SCAN_TEXT_JVM = _scan(START_TAG_JVM, TAG_REST_JVM, "body")
 SCAN_TEXT_RE2 = _scan(START_TAG_RE2, TAG_REST_RE2, "body")
 SCAN_JVM = _scan(START_TAG_JVM, TAG_REST_JVM, "")
 SCAN_RE2 = _scan(START_TAG_RE2, TAG_REST_RE2, "")
+# all of a page: the scan's tokens and the text between them
+SCAN_TOKENS_JVM = SCAN_JVM + "|[^<]++|<"
+SCAN_TOKENS_RE2 = SCAN_RE2 + "|[^<]+|<"
 _N_MARKUP = len(DATA_ELEMENTS) + len(PLAIN_TEXT_ELEMENTS) + 1
 MARKUP_REPL_JVM = "".join(f"${k}" for k in range(1, _N_MARKUP + 1))
 MARKUP_REPL_RE2 = "".join(rf"\{k}" for k in range(1, _N_MARKUP + 1))

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from markscope import sinks
 from markscope.operators import facts, lint, messages
+from markscope.operators.element_text import element_text
 from markscope.plans.queries import Query, classified_messages, parsed_pages, status_pages
 from markscope.session import scratch_path
+from markscope.sources.pages import read_pages, read_varied_pages
 
 # --- S6, J3: a catalogue in two text files ---------------------------------------
 
@@ -73,7 +75,16 @@ def q_message_classes_catalog(spark, sf_dir):
     return messages.classify(found, catalog)
 
 
+# --- P7: text by element ----------------------------------------------------------
+
+def q_element_text(spark, sf_dir, varied=False):
+    """The own text of each element."""
+    return element_text((read_varied_pages if varied else read_pages)(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
+    "element_text": q_element_text,
+    "element_text_fixtures": functools.partial(q_element_text, varied=True),
     "catalog_files": q_catalog_files,
     "message_classes_catalog": q_message_classes_catalog,
 }

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from markscope.functions import patterns as P
 from markscope.operators.lint import LINT_RULES
-from markscope.plans.oracle import lit, scrub, with_ctes
+from markscope.plans.oracle import decode, in_list, lit, scrub, varied_html, with_ctes
 
 
 # --- the generated catalogue --------------------------------------------------------
@@ -51,7 +52,45 @@ LEFT JOIN (SELECT text, message, {variables} AS variables
                  QUALIFY row_number() OVER (PARTITION BY d.text ORDER BY cat.idx) = 1)) b ON b.text = m.message""", lint=True, more=_catalog_ctes())
 
 
+# --- text by element: the stack as a list, one token a step ------------------------------
+
+def _element_text_sql(varied: bool) -> str:
+    name = f"regexp_extract(t, {lit(P.TAG_NAME)}, 1)"
+    body = f"replace(regexp_replace(t, {lit(P.SCAN_TEXT_RE2)}, {lit(P.TEXT_REPL_RE2)}, 'g'), {lit(P.BREAK)}, '')"
+    html = varied_html() if varied else "html"
+    return f"""
+WITH RECURSIVE cut AS (
+  SELECT page_id, unnest(ts) AS t, unnest(generate_series(1, len(ts))) AS i
+  FROM (SELECT page_id, regexp_extract_all(coalesce({html}, ''), {lit(P.SCAN_TOKENS_RE2)}, 0) AS ts FROM pages)),
+named AS (
+  SELECT page_id, i, t, CASE WHEN NOT starts_with(t, '<') OR t = '<' THEN 't' WHEN starts_with(t, '</') THEN 'e'
+         WHEN starts_with(t, '<!') OR starts_with(t, '<?') THEN 'o' WHEN lower({name}) IN {in_list(P.RAW_TEXT_ELEMENTS)} THEN 'r'
+         WHEN {name} = '' THEN 't' ELSE 's' END AS kind,
+         CASE WHEN starts_with(t, '</') THEN lower(regexp_extract(t, {lit(P.END_TAG_NAME)}, 1)) ELSE {scrub(f'lower({name})')} END AS name
+  FROM cut),
+tok AS (
+  SELECT page_id, i, kind, name, count(*) FILTER (WHERE kind IN ('s', 'r')) OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos,
+         CASE WHEN kind = 't' THEN t WHEN kind = 'r' THEN {body} WHEN kind = 's' AND name = 'br' THEN ' ' ELSE '' END AS body
+  FROM named),
+walk AS (
+  SELECT page_id, 0::BIGINT AS i, []::STRUCT(p BIGINT, n VARCHAR)[] AS stack, NULL::BIGINT AS owner, '' AS body, 0::BIGINT AS seq FROM pages
+  UNION ALL
+  SELECT w.page_id, k.i,
+         CASE WHEN k.kind = 's' AND k.name NOT IN {in_list(P.VOID_ELEMENTS)} THEN list_append(stack, {{'p': k.pos, 'n': k.name}})
+              WHEN k.kind = 'e' AND list_contains(list_transform(stack, lambda x: x.n), k.name)
+              THEN stack[1:len(stack) - list_position(list_reverse(list_transform(stack, lambda x: x.n)), k.name)]
+              ELSE stack END,
+         CASE WHEN k.kind = 'r' THEN k.pos ELSE coalesce(stack[-1].p, -1) END, k.body, k.i
+  FROM walk w JOIN tok k ON k.page_id = w.page_id AND k.i = w.i + 1),
+owned AS (SELECT page_id, owner, string_agg(body, '' ORDER BY seq) AS body FROM walk WHERE owner IS NOT NULL GROUP BY page_id, owner)
+SELECT o.page_id, o.owner AS pos, coalesce(k.name, '') AS tag, trim(regexp_replace({decode('o.body')}, {lit(P.BLANKS)}, ' ', 'g'), ' ') AS own_text
+FROM owned o LEFT JOIN tok k ON k.page_id = o.page_id AND k.pos = o.owner AND k.kind IN ('s', 'r')
+WHERE trim(regexp_replace({decode('o.body')}, {lit(P.BLANKS)}, ' ', 'g'), ' ') <> ''"""
+
+
 ORACLE: dict[str, str] = {
+    "element_text": _element_text_sql(False),
+    "element_text_fixtures": _element_text_sql(True),
     "catalog_files": with_ctes(True, "SELECT 'html5' AS family, idx, pattern, message, CAST(n_groups AS INTEGER) AS n_groups FROM cat",
                                more=_catalog_ctes()),
     "message_classes_catalog": _classes_sql(),
