@@ -33,13 +33,16 @@ def with_status(parsed: DataFrame, validator_charset: DataFrame | None = None) -
     """
     allow_java_charsets(parsed.sparkSession)
     df = parsed
+    forced = []
     if validator_charset is not None:
+        if "forced" in validator_charset.columns:
+            forced = ["forced"]
         df = df.join(validator_charset.select("page_id", F.col("encoding").alias("_v_enc"),
-                                              F.lit(True).alias("_validated")),
+                                              F.lit(True).alias("_validated"), *forced),
                      "page_id", "left")
     cols = cached_expr(("status", validator_charset is not None),
                        lambda: _status_columns(validator_charset is not None))
-    return df.select(*parsed.columns, *cols)
+    return df.select(*parsed.columns, *forced, *cols)
 
 
 def _status_columns(with_validator: bool):

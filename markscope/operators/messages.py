@@ -286,4 +286,5 @@ def validator_messages(results: DataFrame) -> DataFrame:
 
 
 def validator_charsets(results: DataFrame) -> DataFrame:
-    return results.select("page_id", F.col("source.encoding").alias("encoding"))
+    """``page_id, encoding, forced`` of each result."""
+    return results.select("page_id", F.col("source.encoding").alias("encoding"), "forced")

@@ -158,6 +158,30 @@ def distinct_stats(totals_df: DataFrame) -> DataFrame:
                           "'different_elements', elements) as (stat, value)")
 
 
+SKETCH_BITS = 14
+#: Two standard errors of a sketch's estimate, as a share (1.04 / sqrt(2 ** SKETCH_BITS) each).
+SKETCH_ERROR = 2 * 1.04 / 2 ** (SKETCH_BITS / 2)
+
+
+def distinct_sketches(events_or_counts: DataFrame) -> DataFrame:
+    """F15 for large corpora: ``metric, sketch``, a HyperLogLog sketch of each metric's keys.
+
+    A sketch has a fixed size whatever the corpus, so runs keep theirs and readers merge them: no run's keys are
+    counted again.
+    """
+    rows = events_or_counts.filter(F.col("metric").isin("errors", "warnings", "elements"))
+    return rows.groupBy("metric").agg(F.hll_sketch_agg("key", F.lit(SKETCH_BITS)).alias("sketch"))
+
+
+def sketch_stats(sketches: DataFrame) -> DataFrame:
+    """The statistics of ``distinct_stats`` from sketches of any number of runs (estimates, see ``SKETCH_ERROR``)."""
+    merged = sketches.groupBy("metric").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("value"))
+    names = F.array(*[F.lit(m) for m in ("errors", "warnings", "elements")])
+    row = merged.agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("m"))     # three entries at most
+    return row.select(F.explode(names).alias("metric"), "m").select(
+        F.concat(F.lit("different_"), "metric").alias("stat"), F.coalesce(F.try_element_at("m", F.col("metric")), F.lit(0)).cast("bigint").alias("value"))
+
+
 def dedupe_urls(pages: DataFrame, order_col: str = "warc") -> DataFrame:
     """keep one page per URL, the first by ``order_col``; pages without a URL share one.
 

@@ -7,7 +7,8 @@ Writing the table also cuts the lineage: a lost executor recomputes from it, not
 from the raw crawl.
 
 Outputs under ``out_dir``: ``page`` (parsed pages), ``results`` (K1, CSV ``£``,
-HTML5 twin as partition), ``counts`` (K2/K3), ``totals`` (K4/K5), ``stats`` (K6),
+HTML5 twin as partition), ``counts`` (K2/K3), ``totals`` (K4/K5), ``stats`` (K6), ``sketches`` (F15, one
+small file a run, merged by ``rollup.sketch_stats``)
 and ``redirects`` (K8, WARC input only).  ``mode="append"`` adds a batch to the first three and to the
 redirects; totals and statistics are then rebuilt from all batches, so two runs over parts of a
 corpus end in the totals of one run over the whole.
@@ -37,7 +38,7 @@ def analyze_corpus(spark: SparkSession, out_dir: str, *, pages: DataFrame | None
     without them the lint operators are the validator.  ``catalog``: a message
     catalogue of any size (``messages.read_catalog_files``; default: the lint catalogue).
     """
-    out = {k: f"{out_dir.rstrip('/')}/{k}" for k in ("page", "results", "counts", "totals", "stats")}
+    out = {k: f"{out_dir.rstrip('/')}/{k}" for k in ("page", "results", "counts", "totals", "stats", "sketches")}
     if warc_dir is not None:
         files = warc.read_warc_dir(spark, warc_dir)
         page_in = redirects.page_input(redirects.resume_after(warc.parse_warc(files), last_file))
@@ -76,6 +77,9 @@ def analyze_corpus(spark: SparkSession, out_dir: str, *, pages: DataFrame | None
     all_counts = sinks.read_counts(spark, out["counts"])
     sinks.write_totals(rollup.totals(all_counts), out["totals"])
 
+    mine = all_counts.filter(F.col("batch") == batch)
+    sinks.write_sketches(rollup.distinct_sketches(mine), out["sketches"], mode, batch)
+
     msg_totals = (all_counts.filter((F.col("batch") == batch) & F.col("metric").isin("errors", "warnings"))
                   .groupBy("page_id")
                   .agg(F.sum(F.when(F.col("metric") == "errors", F.col("n")).otherwise(0))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from markscope.functions import patterns as P
 from markscope.operators.lint import LINT_RULES
-from markscope.plans.oracle import decode, in_list, lit, scrub, varied_html, with_ctes
+from markscope.plans import oracle
+from markscope.plans.oracle import WARC_CTES, base_ctes, classify_cte, decode, in_list, lint_cte, lit, scrub, varied_html, with_ctes
 
 
 # --- the generated catalogue --------------------------------------------------------
@@ -88,7 +89,34 @@ FROM owned o LEFT JOIN tok k ON k.page_id = o.page_id AND k.pos = o.owner AND k.
 WHERE trim(regexp_replace({decode('o.body')}, {lit(P.BLANKS)}, ' ', 'g'), ' ') <> ''"""
 
 
+def _warc_events(select: str) -> str:
+    """Over the events of the WARC pages (redirect records dropped)."""
+    return ("WITH " + WARC_CTES + ",\nwsrc AS (SELECT warc AS page_id, url, html FROM wpages)," + base_ctes(False, "wsrc")
+            + lint_cte() + classify_cte() + "\n" + select)
+
+
+_FORCED_FUNNEL = """
+SELECT stat, CAST(value AS BIGINT) AS value FROM (
+  SELECT 'records_seen' AS stat, count(*) AS value FROM s
+  UNION ALL SELECT 'excluded_not_html', 0
+  UNION ALL SELECT 'excluded_no_bytes', count(*) FILTER (WHERE st = 'failed_no_bytes') FROM s
+  UNION ALL SELECT 'excluded_validation', count(*) FILTER (WHERE st = 'failed_validation') FROM s
+  UNION ALL SELECT 'excluded_parsing', count(*) FILTER (WHERE st = 'failed_parsing') FROM s
+  UNION ALL SELECT 'successful', count(*) FILTER (WHERE st = 'ok') FROM s
+  UNION ALL SELECT 'forced', count(*) FILTER (WHERE st = 'ok' AND page_id % 7 = 0) FROM s)"""
+_S = ", s AS (SELECT page_id, CASE WHEN status = 'ok' AND declared_charset IS NULL THEN 'failed_validation' ELSE status END AS st FROM parsed)"
+
 ORACLE: dict[str, str] = {
+    "warc_scan": f"WITH {WARC_CTES} SELECT url, html, resource_type, http_code, content_type, server, not_html, location FROM records",
+    "stream_warc_counts": _warc_events("SELECT is_html5, metric, key, subkey, CAST(sum(n) AS BIGINT) AS n FROM events GROUP BY ALL"),
+    "distinct_stats_sketch": oracle.ORACLE["distinct_stats"],
+    "distinct_stats_sketch_fixtures": oracle.ORACLE["distinct_stats_fixtures"],
+    "merge_count_maps": with_ctes(False, "SELECT page_id, key, count(*) AS n FROM (SELECT page_id, tag AS key FROM el "
+                                         "UNION ALL SELECT page_id, attr FROM attrs WHERE is_first) GROUP BY ALL"),
+    "metric_pages": with_ctes(False, "SELECT metric, count(DISTINCT page_id) AS pages, min(n)::BIGINT AS least FROM (SELECT page_id, metric, key, subkey, "
+                                     "sum(n) AS n FROM events GROUP BY ALL) GROUP BY metric", classified=True),
+    "run_funnel_validator": with_ctes(False, _FORCED_FUNNEL, more=_S),
+    "totals_of_key": with_ctes(False, "SELECT scope, subkey, n FROM totals WHERE metric = 'attributes' AND key = 'a'", classified=True),
     "element_text": _element_text_sql(False),
     "element_text_fixtures": _element_text_sql(True),
     "catalog_files": with_ctes(True, "SELECT 'html5' AS family, idx, pattern, message, CAST(n_groups AS INTEGER) AS n_groups FROM cat",

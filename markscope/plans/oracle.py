@@ -414,8 +414,7 @@ ORACLE: dict[str, str] = {
                               classified=True),
     "run_funnel": with_ctes(True, _FUNNEL),
     "distinct_stats": with_ctes(True, _DISTINCT, classified=True),
-    "merge_counts": with_ctes(True, "SELECT key, CAST(sum(n) AS BIGINT) AS n FROM events "
-                                    "WHERE metric = 'elements' GROUP BY key", classified=True),
+    "merge_counts": with_ctes(True, "SELECT metric, key, subkey, CAST(sum(n) AS BIGINT) AS n FROM events GROUP BY ALL", classified=True),
     "dedupe_urls": """
         SELECT page_id, url FROM pages p
         WHERE CAST(page_id AS VARCHAR) = (SELECT min(CAST(page_id AS VARCHAR)) FROM pages q WHERE q.url = p.url)""",
@@ -531,7 +530,7 @@ ORACLE.update({
     "stream_counts": with_ctes(False, "SELECT page_id, is_html5, metric, key, subkey, CAST(sum(n) AS BIGINT) AS n "
                                       "FROM events GROUP BY ALL", classified=True),
     "stream_totals": with_ctes(False, "SELECT scope, metric, key, subkey, n FROM totals", classified=True),
-    "stream_dedupe": "SELECT DISTINCT url FROM pages",
+    "stream_dedupe": "SELECT arg_min(page_id, CAST(page_id AS VARCHAR)) AS page_id, url FROM pages GROUP BY url",
 })
 
 # P16 on the WARC path: the records (redirect records dropped) are the pages, keyed by file name.

@@ -177,13 +177,14 @@ def q_distinct_stats(spark, sf_dir, varied=False):
 
 
 def q_merge_counts(spark, sf_dir, varied=False):
-    """F16: element totals of the even and the odd page ids, merged."""
-    ev = rollup.markup_events(status_pages(spark, sf_dir, varied).filter(F.col("status") == "ok")) \
-        .filter(F.col("metric") == "elements")
-    half = F.pmod(F.col("page_id"), F.lit(2))
-    a = ev.filter(half == 0).groupBy("key").agg(F.sum("n").alias("n"))
-    b = ev.filter(half == 1).groupBy("key").agg(F.sum("n").alias("n"))
-    return rollup.merge_counts(a, b, ["key"])
+    """F16: the totals of all metrics of the even and the odd page ids, merged."""
+    from markscope import sinks
+    from markscope.session import scratch_path
+    events = sinks.materialize(all_events(spark, sf_dir, varied), scratch_path(spark, "events"))
+    keys = ["metric", "key", "subkey"]
+    half = F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(2))
+    a, b = (events.filter(half == k).groupBy(*keys).agg(F.sum("n").alias("n")) for k in (0, 1))
+    return rollup.merge_counts(a, b, keys)
 
 
 def q_dedupe_urls(spark, sf_dir):
@@ -321,7 +322,7 @@ def q_stream_totals(spark, sf_dir):
 
 def q_stream_dedupe(spark, sf_dir):
     from markscope.streaming import streams
-    return _stream(spark, sf_dir, streams.dedupe_urls, "stream-dedupe").select("url")
+    return _stream(spark, sf_dir, streams.dedupe_urls, "stream-dedupe", streams.read_winners)
 
 
 # --- K / S7 / S8 / J4: files that Spark writes, read back ---------------------------
@@ -346,7 +347,7 @@ def validator_files(spark, sf_dir, varied):
     found = (lint.lint_messages(parsed).select("page_id", F.array_repeat(one, F.col("n").cast("int")).alias("m"))
              .groupBy("page_id").agg(F.flatten(F.collect_list("m")).alias("messages")))  # one page's messages
     whole = parsed.select("page_id", "url", "declared_charset").join(found, "page_id", "left").select(
-        F.to_json(F.struct("page_id", "url", "messages", F.struct(F.col("declared_charset").alias("encoding")).alias("source"))).alias("value"))
+        F.to_json(F.struct("page_id", "url", (F.pmod("page_id", F.lit(7)) == 0).alias("forced"), "messages", F.struct(F.col("declared_charset").alias("encoding")).alias("source"))).alias("value"))
     path = scratch_path(spark, "validator")
     whole.write.text(path)
     return messages.read_validator_results(spark, path)

@@ -73,14 +73,22 @@ def read_totals(spark, path: str) -> DataFrame:
 
 
 def write_totals(totals: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K4/K5: corpus totals in ``scope/metric`` folders, a few files each (not one per outer key).
+    """K4/K5: corpus totals in ``scope/metric`` folders, clustered by key.
 
-    Rebalanced by folder: a hash exchange, no sampling pass over the aggregate.
+    Rows are dealt out by range and sorted, so a folder's files hold ranges of keys that don't overlap: a read of one
+    key opens the file that holds it (the others by their minimum and maximum are passed over), and a key of very many subkeys
+    is spread over several files.
     """
-    (totals.hint("rebalance", "scope", "metric")
+    order = ["scope", "metric", "key", "subkey"]
+    (totals.repartitionByRange(*order).sortWithinPartitions(*order)
      .write.mode(mode).partitionBy("scope", "metric").parquet(path))
 
 
+def write_sketches(sketches: DataFrame, path: str, mode: str = "overwrite", batch: int | None = None) -> None:
+    """a run's sketches ``metric, sketch`` (a few rows of fixed size)."""
+    _writer(sketches.coalesce(1), [], mode, batch).parquet(path)
+
+
 def write_run_stats(stats: DataFrame, path: str, mode: str = "overwrite") -> None:
     """K6: run statistics ``stat, value`` (small: one row per statistic)."""
     stats.coalesce(1).write.mode(mode).option("header", True).csv(path)

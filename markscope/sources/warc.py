@@ -1,9 +1,10 @@
-"""WARC text sources (S1-S5, S7) and the WARC form of a page table.
+"""WARC text sources (S1-S5, S7, T1) and the WARC form of a page table.
 
 A crawl writes one WARC file per fetched page: record 1 is ``warcinfo``, record 2
-the response (WARC headers, HTTP headers, then the HTML).  Files are read whole
-(``wholetext``), one row per file, and split with SQL string functions; no
-per-row Python.
+the response (WARC headers, HTTP headers, then the HTML).  ``read_warc_dir`` reads such files whole
+(``wholetext``), one row per file.  ``read_warc_records`` reads files of any number of records, as a batch or as a stream: the text
+reader cuts them at the record starts (``lineSep``), so a large file is split by byte ranges and feeds many tasks, and
+no row is larger than a record.  Records are taken apart with SQL string functions; no per-row Python.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from markscope.functions import patterns as P
 
 WARC_LINE = r"\nWARC/1\.0[^\n]*"
+RECORD_START = "\nWARC/1.0"
 
 
 def read_warc_dir(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -28,17 +30,43 @@ def _last_with_prefix(lines: Column, prefix: str) -> Column:
     return F.when(F.size(hits) > 0, F.substring(F.try_element_at(hits, F.lit(-1)), len(prefix) + 1, 1 << 30))
 
 
+def read_warc_records(spark: SparkSession, path: str, glob: str = "*", stream: bool = False, max_files: int | None = None,
+                      max_bytes: int = 8 << 30) -> DataFrame:
+    """``warc_name, record`` of every response record of a folder's files, each of any number of records.
+
+    A record starts at a line that starts with ``WARC/1.0`` (as the reference splits them), in files split by byte ranges.  The name is
+    the file name minus its last 5 characters, ``#`` and the record's id (its hash if it has none: equal records of a file without ids
+    share a name).  With ``stream``, a stream in batches of bounded size that takes each file once (T1).
+    """
+    reader = (spark.readStream if stream else spark.read).option("lineSep", RECORD_START).option("pathGlobFilter", glob)
+    if stream:
+        reader = reader.option("maxFilesPerTrigger", max_files) if max_files else reader.option("maxBytesPerTrigger", max_bytes)
+    text = F.regexp_replace(F.col("value"), "\r\n?", "\n")
+    record = F.regexp_replace(text, "^[^\n]*", "")      # what is left of the line that the record starts with
+    df = reader.text(path).select(F.col("_metadata.file_name").alias("_file"), record.alias("record"))
+    head = F.concat(F.substring_index("record", "\n\n", 1), F.lit("\n"))
+    rid = F.regexp_extract(head, "\nWARC-Record-ID: *([^\n]+)\n", 1)
+    return df.filter(F.instr(head, "\nWARC-Type: response\n") > 0).select(
+        F.concat(F.expr("substr(_file, 1, length(_file) - 5)"), F.lit("#"),
+                 F.coalesce(F.nullif(rid, F.lit("")), F.hex(F.xxhash64("record")))).alias("warc_name"), "record")
+
+
 def parse_warc(files: DataFrame) -> DataFrame:
-    """The response record of each file -> page input columns.
+    """The response record of each file (``warc_name, value``) -> page input columns; see ``parse_records``."""
+    text = F.regexp_replace(F.col("value"), "\r\n?", "\n")
+    record = F.coalesce(F.get(F.split(F.concat(F.lit("\n"), text), WARC_LINE), 2), F.lit(""))
+    return parse_records(files.select("warc_name", record.alias("record")))
+
+
+def parse_records(records: DataFrame) -> DataFrame:
+    """Response records (``warc_name, record``) -> page input columns.
 
     Output: ``warc, url, html, resource_type, http_code, content_type, server,
     not_html, location``.  Header lines before the first line starting with ``<``
     are the pre-header; the last match of each field wins; the body runs from that
     line on, each line ended by a newline, without the two WARC header lines.
     """
-    text = F.regexp_replace(F.col("value"), "\r\n?", "\n")
-    record = F.coalesce(F.get(F.split(F.concat(F.lit("\n"), text), WARC_LINE), 2), F.lit(""))
-    staged = files.select("warc_name", F.split(record, "\n").alias("_lines"))
+    staged = records.select("warc_name", F.split("record", "\n").alias("_lines"))
     lines = F.col("_lines")
     first_lt = F.array_position(F.transform(lines, lambda x: x.startswith("<")), True).cast("int")
     pre = F.when(first_lt > 0, F.slice(lines, 1, first_lt - 1)).otherwise(lines)

@@ -39,8 +39,8 @@ def test_links_split_and_merge_properties(spark):
     lc = q["link_counters"](spark, SF)
     assert lc.filter("num_links != num_internal_links + num_external_links").count() == 0
     assert lc.filter("num_bookmarks > num_internal_links").count() == 0
-    merged = {r.key: r.n for r in q["merge_counts"](spark, SF).collect()}
-    flat = {r.key: r.n for r in q["totals_flat"](spark, SF).filter("metric = 'elements'").collect()}
+    merged = {(r.metric, r.key): r.n for r in q["merge_counts"](spark, SF).filter("subkey = ''").collect()}
+    flat = {(r.metric, r.key): r.n for r in q["totals_flat"](spark, SF).collect()}
     assert merged == flat
 
 
