@@ -2,11 +2,15 @@
 
 The merges are compiled on demand.  In byte-level BPE a sequence of tokens is the encoding of its bytes exactly
 when each pair of neighbours is (encoding the two tokens' bytes gives the two tokens back).  Hence every prefix
-of a piece has one last token, and a left-to-right machine can follow it: a state holds, for each
-position from which some vocabulary entry may still end ahead (a trie node), the token that ends
-there and the tokens not yet emitted on the way to it.  Tokens that all these ways share are emitted; no
-entry is longer than the longest token, so the lookahead is bounded.  States and transitions are made the
-first time a text needs them and shared from then on.
+of a piece has one last token, and a left-to-right machine can follow it.  A state holds, for each position from which some
+vocabulary entry may still end ahead, the trie node reached from there and the token that ends there; nothing else, so
+few states serve all texts.  The arc for a byte gives the next state and the last token of the prefix that ends with it.
+Last tokens name the whole encoding from the end backwards; what all ways of a state share is decided and emitted, and as no entry is
+longer than the longest token, that lookahead is bounded.  States and arcs are made the first time a text needs them.
+
+Whether two tokens are neighbours is read off the vocabulary's merge trees (``merge_trees``, made once on the driver):
+undoing the later of the two tokens' merges step by step gives all pairs that met at the border while they were built; they stay
+apart if no such pair would have merged before.
 
 Decoding joins token bytes piecewise and runs an incremental UTF-8 state machine over the ends of
 the pieces, so a character that is split between tokens comes out whole.
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,8 +31,10 @@ from pyspark.sql import functions as F
 
 from markscope.llm.common import ship
 
-MAX_STATES = 200_000
-MAX_PIECES = 250_000
+MAX_STATES = 150_000
+MAX_PIECES = 200_000
+TOKEN_BITS = 21
+DECIDE = 4096
 SEGMENT = 1 << 19
 
 # Unicode White_Space, which the pattern's \s stands for.
@@ -40,121 +47,172 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, f))}
 
 
+def merge(ranks: dict[bytes, int], data: bytes, stop: int = 1) -> list[bytes]:
+    """The merges applied to a few bytes, the lowest rank first, the leftmost of equal ones, down to ``stop`` parts."""
+    parts = [data[i:i + 1] for i in range(len(data))]
+    while len(parts) > stop:
+        best, at = None, -1
+        for i in range(len(parts) - 1):
+            r = ranks.get(parts[i] + parts[i + 1])
+            if r is not None and (best is None or r < best):
+                best, at = r, i
+        if best is None:
+            break
+        parts[at:at + 2] = [parts[at] + parts[at + 1]]
+    return parts
+
+
+def merge_trees(ranks: dict[bytes, int]) -> tuple[dict[int, int], dict[int, int]]:
+    """Each token's left and right part in its last merge (-1 for a byte); tokens that no merges make are left out."""
+    left, right = {}, {}
+    for tok, r in ranks.items():
+        if len(tok) == 1:
+            left[r] = right[r] = -1
+            continue
+        parts = merge(ranks, tok, 2)
+        if len(parts) == 2:
+            left[r], right[r] = ranks[parts[0]], ranks[parts[1]]
+    return left, right
+
+
 class Transducer:
     """Encodes one piece at a time; see the module's text."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
+    def __init__(self, ranks: dict[bytes, int], trees=None, max_states: int = MAX_STATES):
         self.ranks = ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
+        self.size_of = {v: len(k) for k, v in ranks.items()}
+        self.left, self.right = trees or merge_trees(ranks)
         self.max_states = max_states
         self.child: dict[int, int] = {}
-        self.token_at: list[int] = [-1]
+        self.token_at, self.depth, self.inner = [-1], [0], [False]
         for tok, r in ranks.items():
             node = 0
             for b in tok:
                 key = node << 8 | b
-                node = self.child.get(key) or self._grow(key)
-            self.token_at[node] = r
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.whole: dict[int, bool] = {}
+                nxt = self.child.get(key)
+                if nxt is None:
+                    nxt = self.child[key] = len(self.token_at)
+                    self.token_at.append(-1)
+                    self.depth.append(self.depth[node] + 1)
+                    self.inner.append(False)
+                    self.inner[node] = True
+                node = nxt
+            if r in self.left:
+                self.token_at[node] = r
+        self.pairs: dict[int, bool] = {}
         self._reset()
 
-    def _grow(self, key: int) -> int:
-        self.token_at.append(-1)
-        self.child[key] = len(self.token_at) - 1
-        return len(self.token_at) - 1
-
     def _reset(self) -> None:
-        start = ((0, -1, ()),)
+        start = ((0, -1),)
         self.states = [start]
         self.number = {start: 0}
-        self.final: list[tuple] = [()]
-        self.step: dict[int, tuple[int, tuple]] = {}
-
-    def merge(self, data: bytes) -> list[int]:
-        """The merges applied to a few bytes: the lowest rank first, the leftmost of equal ones."""
-        parts = [data[i:i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = self.ranks.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
-
-    def _is_whole(self, t: int) -> bool:
-        got = self.whole.get(t)
-        if got is None:
-            got = self.whole[t] = self.merge(self.bytes_of[t]) == [t]
-        return got
+        self.step: dict[int, int] = {}
 
     def _stay_apart(self, a: int, b: int) -> bool:
-        got = self.pairs.get((a, b))
+        key = a << TOKEN_BITS | b
+        got = self.pairs.get(key)
         if got is None:
             if len(self.pairs) >= 4 * self.max_states:
                 self.pairs.clear()
-            got = self.pairs[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            got = self.pairs[key] = self._neighbours(a, b)
         return got
 
-    def _determinise(self, state: int, byte: int) -> tuple[int, tuple]:
-        alive, reached = [], None
-        for node, last, ahead in self.states[state]:
+    def _neighbours(self, a: int, b: int) -> bool:
+        ranks, text = self.ranks, self.bytes_of
+        before = 1 << 62
+        while True:
+            met = ranks.get(text[a] + text[b])
+            if met is not None and met < before:
+                return False
+            undo_a, undo_b = self.right[a], self.left[b]
+            if undo_a >= 0 and (a > b or undo_b < 0):
+                before, a = a, undo_a
+            elif undo_b >= 0:
+                before, b = b + 1, undo_b       # of equal ranks the leftmost pair merges first
+            else:
+                return True
+
+    def _determinise(self, state: int, byte: int) -> int:
+        alive, reached = [], -1
+        for node, last in self.states[state]:
             nxt = self.child.get(node << 8 | byte)
             if nxt is None:
                 continue
-            alive.append((nxt, last, ahead))
+            if self.inner[nxt]:
+                alive.append((nxt, last))
             t = self.token_at[nxt]
-            if reached is None and t >= 0 and self._is_whole(t) and (last < 0 or self._stay_apart(last, t)):
-                reached = (0, t, ahead + (t,))
-        if reached is None:
+            if reached < 0 and t >= 0 and (last < 0 or self._stay_apart(last, t)):
+                reached = t
+        if reached < 0:
             raise ValueError(f"no token for byte {byte}")
-        alive.append(reached)
-        n = min(len(a) for _, _, a in alive)
-        same = 0
-        while same < n and len({a[same] for _, _, a in alive}) == 1:
-            same += 1
-        out = reached[2][:same]
-        key = tuple((k, last, a[same:]) for k, last, a in alive)
+        alive.append((0, reached))
+        key = tuple(alive)
         number = self.number.get(key)
         if number is None:
             number = self.number[key] = len(self.states)
             self.states.append(key)
-            self.final.append(key[-1][2])
-        self.step[state << 8 | byte] = number, out
-        return number, out
+        arc = self.step[state << 8 | byte] = number << TOKEN_BITS | reached
+        return arc
+
+    def _back(self, last: list[int], end: int) -> list[int]:
+        """The encoding of the bytes up to ``end``: its last token, then that of what is before it."""
+        out, size = [], self.size_of
+        while end > 0:
+            t = last[end - 1]
+            out.append(t)
+            end -= size[t]
+        out.reverse()
+        return out
+
+    def _decided(self, state: int, last: list[int]) -> int:
+        """The border up to which all ways of a state agree."""
+        ends = {len(last) - self.depth[node] for node, _ in self.states[state]}
+        while len(ends) > 1:
+            far = max(ends)
+            ends.remove(far)
+            ends.add(far - self.size_of[last[far - 1]])
+        return ends.pop()
 
     def run(self, piece: bytes) -> list[int]:
         """Ids of one piece."""
-        if len(self.states) > self.max_states:
-            self._reset()
         direct = self.ranks.get(piece)
         if direct is not None:
             return [direct]
+        if len(self.states) > self.max_states:
+            self._reset()
         out: list[int] = []
-        state, step = 0, self.step
+        last: list[int] = []
+        state, step, mask = 0, self.step, (1 << TOKEN_BITS) - 1
         for byte in piece:
-            got = step.get(state << 8 | byte)
-            state, emitted = got if got is not None else self._determinise(state, byte)
-            if emitted:
-                out += emitted
-        out += self.final[state]
-        return out
+            arc = step.get(state << 8 | byte)
+            if arc is None:
+                arc = self._determinise(state, byte)
+            state = arc >> TOKEN_BITS
+            last.append(arc & mask)
+            if len(last) >= DECIDE:
+                end = self._decided(state, last)
+                out += self._back(last, end)
+                del last[:end]
+        return out + self._back(last, len(last)) if out else self._back(last, len(last))
 
 
 class _Pieces(dict):
-    """Piece to its ids as little-endian bytes; forgets everything when full."""
+    """Piece to its ids as little-endian bytes: the pieces of late, and those before them that are in use again."""
 
     def __init__(self, machine: Transducer):
         super().__init__()
         self.machine = machine
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.machine.run(piece.encode("utf-8")), dtype="<u4").tobytes()
+        ids = self.before.get(piece)
+        if ids is None:
+            got = self.machine.run(piece.encode("utf-8"))
+            ids = struct.pack(f"<{len(got)}I", *got)
         if len(piece) <= 64:
-            if len(self) >= MAX_PIECES:
+            if len(self) >= MAX_PIECES // 2:
+                self.before = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -163,8 +221,8 @@ class _Pieces(dict):
 class Codec:
     """Encoder and decoder of one vocabulary."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.machine = Transducer(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, trees=None):
+        self.machine = Transducer(ranks, trees)
         exact = pattern.replace(r"[^\s", "[^" + WHITE).replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")
         self.pattern = regex.compile(exact)
         self.cut = regex.compile(f"(?<=[^{WHITE}])[{WHITE}]")
@@ -237,11 +295,12 @@ class Utf8Stream:
 _CODECS: dict[str, Codec] = {}
 
 
-def _codec(key: str, ranks, pattern: str) -> Codec:
+def _codec(key: str, shared, pattern: str) -> Codec:
     """The worker's codec; its states and pieces serve all the tasks that the worker runs."""
     if key not in _CODECS:
         _CODECS.clear()
-        _CODECS[key] = Codec(ranks.value, pattern)
+        ranks, trees = shared.value
+        _CODECS[key] = Codec(ranks, pattern, trees)
     return _CODECS[key]
 
 
@@ -256,11 +315,11 @@ def encode_decode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "
     ship(spark)
     table = load_ranks(rank_file)
     key = hashlib.sha256(repr((sorted(table.items()), pattern)).encode()).hexdigest()
-    ranks = spark.sparkContext.broadcast(table)  # a vocabulary: bounded by its file
+    shared = spark.sparkContext.broadcast((table, merge_trees(table)))  # a vocabulary: bounded by its file
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(key, ranks, pattern)
+        codec = _codec(key, shared, pattern)
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)

@@ -45,6 +45,47 @@ def test_all_tokens_and_small_cache():
     assert codec.encode(text) == lib.encode_ordinary(text)
 
 
+def test_neighbours_are_those_of_the_merges():
+    ranks = B.load_ranks(P.path(FILES[0]))
+    machine = B.Transducer(ranks)
+    rnd = random.Random(8)
+    toks = [t for t in ranks if ranks[t] in machine.left]
+    by_start: dict[bytes, list[bytes]] = {}
+    for t in toks:
+        by_start.setdefault(t[:1], []).append(t)
+    n = 0
+    for _ in range(4000):
+        a = rnd.choice(toks)
+        whole = rnd.choice(toks)
+        k = rnd.randrange(1, len(whole) + 1)        # often a border inside another token
+        b = rnd.choice(by_start[whole[k:k + 1]]) if k < len(whole) else rnd.choice(toks)
+        a = whole[:k] if whole[:k] in ranks and ranks[whole[:k]] in machine.left else a
+        want = B.merge(ranks, a + b) == [a, b]
+        n += want
+        assert machine._neighbours(ranks[a], ranks[b]) == want, (a, b)
+    assert 400 < n < 3600
+
+
+def test_long_pieces_are_emitted_before_their_end():
+    ranks = B.load_ranks(P.path(FILES[0]))
+    lib = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+    rnd = random.Random(1)
+    machine = B.Transducer(ranks)
+    for piece in ("=" * 20_000, "ab" * 9000, "".join(rnd.choice("thean ") for _ in range(30_000))):
+        assert machine.run(piece.encode()) == lib.encode_ordinary(piece)
+
+
+def test_pairs_and_pieces_outlive_the_states(monkeypatch):
+    monkeypatch.setattr(B, "MAX_PIECES", 40)
+    ranks = B.load_ranks(P.path(FILES[0]))
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec = B.Codec(ranks, P.PATTERN)
+    codec.machine.max_states = 30
+    for t in texts(5, 300):
+        assert codec.encode(t) == lib.encode_ordinary(t)
+    assert len(codec.machine.states) < 300 and len(codec.machine.pairs) > 60 and codec.pieces.before and len(codec.pieces) <= 20
+
+
 def test_segments_do_not_change_ids():
     codec = B.Codec(B.load_ranks(P.path(FILES[0])), P.PATTERN)
     for t in [*texts(3, 200), "no-space" * 100]:
