@@ -130,10 +130,10 @@ def test_unseen_values_outnumber_the_seeds(spark):
 
 def test_rounds_go_on_until_nothing_is_new(spark):
     """Each context is known from the numbers of the one before it."""
-    texts = [f"begin c0 +1 555 010 {1000 + k} end" for k in range(6)]
+    texts = [f"begin ca +1 555 010 {1000 + k} end" for k in range(6)]
     for hop in range(6):
-        texts += [f"other c{hop} 4930{hop}00{k:04d} {'end' if hop == 0 else 'thing'}" for k in range(6)]
-        texts += [f"some c{hop + 1} 4930{hop}00{k:04d} thing" for k in range(6)]
+        texts += [f"other c{chr(97 + hop)} 4930{hop}00{k:04d} {'end' if hop == 0 else 'thing'}" for k in range(6)]
+        texts += [f"some c{chr(98 + hop)} 4930{hop}00{k:04d} thing" for k in range(6)]
     _, got = check(spark, [(i, t, "") for i, t in enumerate(texts)])
     added = {r["id"]: r["spans"] for r in got if r["n_added"]}
     assert set(added) == set(range(6, len(texts))) and all(x.startswith("phone:") for x in added.values())
