@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -38,6 +38,25 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return spark.read.schema(schema).parquet(path)
 
 
+def running_parts(rows: DataFrame, weight: str, bound: int) -> DataFrame:
+    """``rows`` (a written table) with a column ``part``: rows near each other share parts of a total ``weight`` of at most ``bound``.
+
+    A row of more than half the bound is a part of its own.  Totals run within a file first, then over the files (a number for each file
+    reaches the driver).
+    """
+    spark = rows.sparkSession
+    at = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    half = max(1, bound // 2)
+    total, offsets = 0, []
+    for r in at.groupBy("__file").agg(F.sum(weight).alias("w")).orderBy("__file").collect():
+        offsets.append((r["__file"], total))
+        total += r["w"]
+    offsets = F.broadcast(spark.createDataFrame(offsets, "__file string, __offset long"))
+    before = F.sum(weight).over(Window.partitionBy("__file").orderBy("__row")) - F.col(weight) + F.col("__offset")
+    own = F.when(F.col(weight) > half, F.concat_ws(":", "__file", "__row"))
+    return at.join(offsets, "__file").withColumn("part", F.coalesce(own, F.floor(before / half).cast("string"))).drop("__file", "__row", "__offset")
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, as ``--py-files`` would, once per application."""
     sc = spark.sparkContext

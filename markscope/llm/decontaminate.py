@@ -23,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from markscope.llm import textkit as K
-from markscope.llm.common import ship
+from markscope.llm.common import running_parts, ship, written
 
 U64 = np.uint64
 WINDOW = 10
 GRAM = 5
+COPIES = 10_000
 BLOCK_WORDS = 4_000_000
 #: Chained passes before the running result is written and read back.
 PASSES = 4
@@ -67,8 +68,8 @@ def winnow(h: np.ndarray, ptr: np.ndarray, k: int, window: int) -> tuple[np.ndar
 class Block:
     """Fingerprints of some items, ready to be searched by tasks."""
 
-    def __init__(self, ids: list[str], hashes: list[np.ndarray], window: int = WINDOW, gram: int = GRAM):
-        self.ids = np.array(ids, dtype=object)
+    def __init__(self, ids: list[list[str]], hashes: list[np.ndarray], window: int = WINDOW, gram: int = GRAM):
+        self.ids = ids      # of each text
         lens = np.array([len(x) for x in hashes], dtype=np.int64)
         self.words = np.concatenate(hashes) if len(hashes) else np.zeros(0, U64)
         self.first = np.cumsum(lens) - lens
@@ -166,7 +167,7 @@ def _pass(rows: DataFrame, block) -> DataFrame:
                     np.add.at(cover, e, -1)
                     row = np.searchsorted(ptr, s, side="right") - 1
                     for r, x in np.unique(np.stack([row, item], axis=1), axis=0).tolist():
-                        found.setdefault(r, set()).add(index.ids[x])
+                        found.setdefault(r, set()).update(index.ids[x])
                 part = b.slice(i, j - i)
                 old_spans, old_items, n_hit = part.column(3), part.column(4), part.column(5)
                 if found:
@@ -191,14 +192,22 @@ def _pass(rows: DataFrame, block) -> DataFrame:
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int = BLOCK_WORDS,
            window: int = WINDOW, gram: int = GRAM) -> Iterator[Block]:
-    """The benchmark in blocks of about ``block_words`` words, one at a time on the driver."""
+    """The benchmark in blocks of at most ``block_words`` words and ids (or one item), one at a time on the driver.
+
+    Items of equal words are one, with all their ids; a text of very many ids is several, of at most about ``COPIES`` ids each.
+    """
     ship(benchmark.sparkSession)
-    items = _item_hashes(benchmark, id_col, text_col).filter(F.length("h") > 0)
-    total = items.agg(F.sum(F.length("h"))).first()[0] or 0
-    n = max(1, -(-total // (8 * block_words)))
-    for k in range(n):
-        got = items.filter(F.pmod(F.xxhash64("h"), F.lit(n)) == k).orderBy("id").collect() if total else []
-        yield Block([r["id"] for r in got], [np.frombuffer(r["h"], dtype=U64) for r in got], window, gram)
+    items = written(_item_hashes(benchmark, id_col, text_col).filter(F.length("h") > 0).distinct(), "decontaminate-items")
+    many = items.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / COPIES).alias("n")).filter("n > 1").withColumnRenamed("h", "mh")
+    folded = (items.join(many, F.col("h") == F.col("mh"), "left").groupBy("h", F.coalesce(F.pmod(F.xxhash64("id"), F.col("n")), F.lit(0)).alias("salt"))
+              .agg(F.sort_array(F.collect_set("id")).alias("ids")).select("h", "ids", (F.expr("length(h) div 8") + F.size("ids")).alias("weight")))
+    parts = running_parts(written(folded, "decontaminate-texts"), "weight", block_words)
+    names = sorted(r["part"] for r in parts.select("part").distinct().collect())
+    if not names:
+        yield Block([], [], window, gram)
+    for name in names:
+        got = parts.filter(F.col("part") == name).select("h", "ids").orderBy("h", "ids").collect()
+        yield Block([r["ids"] for r in got], [np.frombuffer(r["h"], dtype=U64) for r in got], window, gram)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -217,7 +226,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                        F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_hit"))
     for n, block in enumerate(blocks(benchmark, item_col, item_text, block_words, window, gram)):
         if n and n % PASSES == 0:
-            from markscope.llm.common import written
             rows = written(rows, "decontaminate")
         rows = _pass(rows, spark.sparkContext.broadcast(block))
     return rows if keep_text else rows.drop("t")

@@ -5,9 +5,10 @@ the n-grams seen, as sorted 64-bit hashes with their interpolated probabilities,
 with their back-off weights.  A text gets the language with the lowest cross-entropy per symbol.
 
 Learning takes at most about ``LEARN_DOCS`` whole texts of each language (a documented bound, chosen by a hash of the id); Spark counts
-their n-grams and builds one model per language.  A fifth of these texts is set aside: a text whose cross-entropy
-is above what ``QUANTILE`` of them reach, plus ``SLACK`` bits, is marked as rejected.  The models (bounded like the sample) are broadcast;
-predicting is one narrow pass.
+their n-grams and builds one model per language from all of them.  To calibrate, a fifth of these texts is set aside from languages with
+``ASIDE_FROM`` or more, and scored by models of the others: a text whose cross-entropy is above what ``QUANTILE`` of them reach, plus
+``SLACK`` bits, is marked as rejected (a rarer language takes the limit of all set-aside texts together).  The models (bounded like the
+sample) are broadcast; predicting is one narrow pass.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ U64 = np.uint64
 ORDER = 4
 LEARN_DOCS = 1500
 QUANTILE, SLACK = 0.999, 0.5
+ASIDE_FROM = 20
 #: Symbols of evidence that the score's posterior counts at most: neighbouring symbols are not independent.
 EVIDENCE = 40
 SEPARATOR = 0x20
@@ -181,38 +183,47 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return Models({})
     share = F.create_map(*(F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, int(min(1.0, learn_docs / n) * 1_000_000))))
     rows = rows.filter(F.pmod(F.xxhash64("id", F.lit(6)), F.lit(1_000_000)) < F.element_at(share, F.col("lang")))
-    aside = F.pmod(F.xxhash64("id", F.lit(66)), F.lit(5)) == 0
+    enough = [x for x, n in sizes.items() if min(n, learn_docs) >= ASIDE_FROM]
+    aside = F.col("lang").isin(enough) & (F.pmod(F.xxhash64("id", F.lit(66)), F.lit(5)) == 0)
     names = [f"c{k}" for k in range(ORDER)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lang = np.array(b.column(0).to_pylist(), dtype=object)
-            for x in sorted(set(lang.tolist())):
-                data, off = K.string_buffers(b.column(1).filter(pa.array(lang == x)))
+            pairs = list(zip(b.column(0).to_pylist(), b.column(2).to_pylist()))
+            for x in sorted(set(pairs)):
+                data, off = K.string_buffers(b.column(1).filter(pa.array([p == x for p in pairs])))
                 for i, j in K.slices(off):
                     stream, owner, _ = symbols(data[off[i]:off[j]], off[i:j + 1] - off[i])
                     _, ends, of = _grams(stream, owner)
                     cols = [pa.array(stream[ends - k].astype(np.int32)) for k in range(ORDER - 1, -1, -1)]
-                    yield pa.RecordBatch.from_arrays([pa.array([x] * len(ends), pa.string()), *cols, pa.array(np.bincount(of, minlength=len(ends)))], ["lang", *names, "n"])
+                    n = np.bincount(of, minlength=len(ends))
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0]] * len(ends), pa.string()), *cols, pa.array(n), pa.array(n * (not x[1]))], ["lang", *names, "n", "n_rest"])
 
     def model(table: pa.Table) -> pa.Table:
         cols = np.stack([table.column(c).to_numpy().astype(np.uint32) for c in names], axis=1)
         order = np.lexsort(cols.T)
-        parts = build(cols[order], table.column("n").to_numpy()[order])
-        lang = table.column("lang")[0].as_py()
-        return pa.table({"lang": [lang] * len(parts), "k": pa.array([p[0] for p in parts], pa.int32()), "kind": [p[1] for p in parts],
-                         "keys": pa.array([p[2].tobytes() for p in parts], pa.binary()), "vals": pa.array([p[3].astype(np.float64).tobytes() for p in parts], pa.binary())})
-
-    grams = rows.filter(~aside).select("lang", "t").mapInArrow(count, "lang string, " + ", ".join(f"{c} int" for c in names) + ", n long")
-    tables = (grams.groupBy("lang", *names).agg(F.sum("n").alias("n")).groupBy("lang")
-              .applyInArrow(model, "lang string, k int, kind string, keys binary, vals binary"))
-    got: dict = {}
+        out, lang = [], table.column("lang")[0].as_py()
+        for full, n in ((True, "n"), (False, "n_rest")):
+            count = table.column(n).to_numpy()[order]
+            some = count > 0
+            if some.any():
+                out += [(full, *part) for part in build(cols[order][some], count[some])]
+        return pa.table({"lang": [lang] * len(out), "whole": [p[0] for p in out], "k": pa.array([p[1] for p in out], pa.int32()), "kind": [p[2] for p in out],
+                         "keys": pa.array([p[3].tobytes() for p in out], pa.binary()), "vals": pa.array([p[4].astype(np.float64).tobytes() for p in out], pa.binary())})
+
+    grams = rows.select("lang", "t", aside.alias("aside")).mapInArrow(count, "lang string, " + ", ".join(f"{c} int" for c in names) + ", n long, n_rest long")
+    tables = (grams.groupBy("lang", *names).agg(F.sum("n").alias("n"), F.sum("n_rest").alias("n_rest")).groupBy("lang")
+              .applyInArrow(model, "lang string, whole boolean, k int, kind string, keys binary, vals binary"))
+    got: dict = {True: {}, False: {}}
     for r in tables.collect():  # bounded by learn_docs texts a language
-        got.setdefault(r["lang"], {})[r["k"], r["kind"]] = (np.frombuffer(r["keys"], dtype=U64), np.frombuffer(r["vals"], dtype=np.float64))
-    models = Models(got)
-    held = predict(rows.filter(aside), models, "id", "t", extra=["lang"])
-    own = held.filter(F.col("lang_pred") == F.col("lang")).groupBy("lang").agg(F.percentile("entropy", QUANTILE).alias("q"))
-    for r in own.collect():
+        got[r["whole"]].setdefault(r["lang"], {})[r["k"], r["kind"]] = (np.frombuffer(r["keys"], dtype=U64), np.frombuffer(r["vals"], dtype=np.float64))
+    models = Models(got[True])
+    held = predict(rows.filter(aside), Models(got[False]), "id", "t", extra=["lang"]).filter(F.col("lang_pred") == F.col("lang"))
+    limits = held.groupBy("lang").agg(F.percentile("entropy", QUANTILE).alias("q")).collect()
+    pooled = held.agg(F.percentile("entropy", QUANTILE)).first()[0]
+    for lang in models.langs:
+        models.limit[lang] = np.inf if pooled is None else pooled + SLACK
+    for r in limits:
         models.limit[r["lang"]] = r["q"] + SLACK
     return models
 

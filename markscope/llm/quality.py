@@ -108,7 +108,7 @@ def sparse_rows(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray,
 def _labelled(labels: DataFrame, id_col: str, label_col: str, train_rows: int, fold) -> DataFrame:
     """At most about ``train_rows`` labelled ids of the learning folds: ``(k, y, at)``, chosen by hash."""
     seen = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).filter(
-        F.col("k").isNotNull() & F.col("y").isin(0, 1) & fold(F.col("k"))).withColumn("at", F.xxhash64("k", F.lit(3)))
+        F.col("k").isNotNull() & F.col("y").isin(0, 1) & fold(F.col("k"))).distinct().withColumn("at", F.xxhash64("k", F.lit(3)))
     n = seen.count()
     if n <= train_rows:
         return seen
@@ -142,7 +142,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(slots, DIM)), pa.array(np.append(w[slots], bias))], ["slot", "w"])
 
     sparse = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(some, F.col("id") == F.col("k"))
-              .select("at", "y", "t").mapInArrow(rows, "at long, y int, s binary, v binary"))
+              .groupBy("at", "y").agg(F.min("t").alias("t")).mapInArrow(rows, "at long, y int, s binary, v binary"))   # one text an id
     kept = written(sparse, "quality-rows")
     model = kept.repartition(1).sortWithinPartitions("at", "y", "s").mapInArrow(fit, "slot long, w double")
     w, bias = np.zeros(DIM, dtype=np.float64), 0.0

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from markscope.llm import textkit as K
-from markscope.llm.common import ship, written
+from markscope.llm.common import running_parts, ship, written
 
 U64 = np.uint64
 OWNERS = 4
@@ -70,12 +70,9 @@ def item_parts(items: DataFrame, id_col: str, text_col: str, part_words: int = I
 
     kind = items.schema[id_col].dataType.simpleString()
     rows = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, h binary").filter(F.length("h") > 0)
-    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "search-items")
-    # parts are cut by running word counts: within a file first, then over the files (numbers only)
-    rows = rows.withColumn("words", F.expr("length(h) div 8"))
-    part = _running_parts(rows, part_words)
+    part = running_parts(written(rows.withColumn("words", F.expr("length(h) div 8")), "search-items"), "words", part_words)
     for n in sorted(r["part"] for r in part.select("part").distinct().collect()):
-        got = part.filter(F.col("part") == n).select("id", "h").orderBy("row").collect()
+        got = part.filter(F.col("part") == n).select("id", "h").orderBy("id", "h").collect()
         hashes = [np.frombuffer(r["h"], dtype=U64) for r in got]
         flat = np.concatenate(hashes)
         terms, at = np.unique(flat, return_inverse=True)
@@ -84,22 +81,6 @@ def item_parts(items: DataFrame, id_col: str, text_col: str, part_words: int = I
         yield Items([r["id"] for r in got], terms, (K.mix(terms) % U64(OWNERS)).astype(np.int64), pair // len(terms), pair % len(terms), repeats)
 
 
-def _running_parts(rows: DataFrame, part_words: int) -> DataFrame:
-    """Add ``part``: consecutive rows share parts of at most ``part_words`` words; a larger item has its own."""
-    file = F.expr("row >> 33")
-    half = max(1, part_words // 2)
-    # what begins within the same half of a part's size, each below half of it
-    sums = rows.groupBy(file.alias("file")).agg(F.sum("words").alias("w")).orderBy("file").collect()    # a number for each file
-    total, offsets = 0, []
-    for r in sums:
-        offsets.append((r["file"], total))
-        total += r["w"]
-    offsets = F.broadcast(rows.sparkSession.createDataFrame(offsets, "file long, offset long"))
-    before = F.sum("words").over(Window.partitionBy("file").orderBy("row")) - F.col("words") + F.col("offset")
-    own = F.when(F.col("words") > half, F.concat(F.lit("row"), F.col("row")))
-    return rows.withColumn("file", file).join(offsets, "file").withColumn("part", F.coalesce(own, F.floor(before / half).cast("string")))
-
-
 class Block(NamedTuple):
     """Postings of some terms in a block, sorted by term."""
 

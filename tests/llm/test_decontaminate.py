@@ -47,6 +47,19 @@ def test_against_brute_force(spark, block_words):
     assert sorted(((r["id"], r["n_words"], r["n_hit"], ",".join(r["items"])) for r in got), key=str) == brute(docs, items)
 
 
+def test_blocks_keep_their_bound(spark, monkeypatch):
+    """Copies of one text are one item; very many are several, and no block is larger than its bound."""
+    monkeypatch.setattr(D, "COPIES", 7)
+    items = [(k, "the same ten words stand in all of these benchmark items here") for k in range(60)] + [(100 + k, " ".join(f"w{k}x{j}" for j in range(12))) for k in range(9)]
+    b = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    got = list(D.blocks(b, "item_id", "text", 60))
+    assert len(got) >= 4 and sorted(i for x in got for ids in x.ids for i in ids) == sorted(str(k) for k, _ in items)
+    assert all(len(x.words) + sum(map(len, x.ids)) <= 60 for x in got)
+    d = spark.createDataFrame([(1, items[0][1]), (2, items[-1][1])], "doc_id long, text string")
+    rows = {r["id"]: list(r["items"]) for r in D.decontaminate(d, b, block_words=60).collect()}
+    assert rows == {1: sorted(str(k) for k in range(60)), 2: ["108"]}
+
+
 def test_empty_tables(spark):
     d = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     b = spark.createDataFrame([], "item_id long, text string")

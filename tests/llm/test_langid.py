@@ -53,6 +53,62 @@ def test_entropy_is_a_plain_sum():
             assert k == sum(c.values()) and math.isclose(a, want / max(k, 1), abs_tol=1e-9)
 
 
+def plain_model(counts):
+    """Interpolated modified Kneser-Ney with dictionaries: a function from context and symbol to a probability."""
+    levels = {L.ORDER: dict(counts)}
+    for k in range(L.ORDER - 1, 0, -1):
+        lower = Counter()
+        for g in levels[k + 1]:
+            lower[g[1:]] += 1
+        levels[k] = dict(lower)
+
+    def discount(k, c):
+        n = Counter(levels[k].values())
+        n1, n2, n3, n4 = (n[x] for x in (1, 2, 3, 4))
+        return L.discount_of(np.array([c]), L.discounts(n1, n2, n3, n4))[0]
+
+    def p(ctx, ch):
+        k = len(ctx) + 1
+        base = p(ctx[1:], ch) if k > 1 else 1 / (len(levels[1]) + 1)
+        seen = {g[-1]: c for g, c in levels[k].items() if g[:-1] == ctx}
+        if not seen:
+            return base
+        total = sum(seen.values())
+        gamma = sum(discount(k, c) for c in seen.values()) / total
+        own = seen.get(ch, 0)
+        return (own - discount(k, own)) / total + gamma * base if own else gamma * base
+    return p
+
+
+def test_entropies_are_those_of_plain_dictionaries():
+    rnd = random.Random(4)
+    langs = {x: [" ".join("".join(rnd.choice(abc) for _ in range(rnd.randint(1, 5))) for _ in range(12)) + "." for _ in range(4)] for x, abc in (("a", "abcd"), ("b", "cdeé"))}
+    m = L.Models({x: model_of(t) for x, t in langs.items()})
+    plain = {x: plain_model(grams_of(t)) for x, t in langs.items()}
+    probe = ["abba dada.", "ceé de ce!", "zzz abc.", "éa "]
+    data, off = K.string_buffers(pa.array(probe))
+    h, n = m.entropies(data, off)
+    best = m.predict(data, off)[0]
+    for t, row, k, lang in zip(probe, h, n, best):
+        c = grams_of([t])
+        want = {x: -sum(v * math.log2(plain[x](g[:-1], g[-1])) for g, v in c.items()) / k for x in plain}
+        assert k == sum(c.values())
+        assert all(math.isclose(row[j], want[x], rel_tol=1e-9) for j, x in enumerate(m.langs))
+        assert lang == min(sorted(want), key=want.get)
+
+
+def test_rare_languages_have_models_and_limits(spark):
+    rnd = random.Random(3)
+    words = {"en": "the and of to in that is was".split(), "de": "der die das und ist nicht ein zu".split()}
+    rows = [(i, " ".join(rnd.choice(words[x]) for _ in range(20)), x) for i, x in enumerate(["en", "de"] * 60)]
+    for seed in range(6):       # one text only, whatever its hash
+        one = rows + [(1000 + seed, "kala vesi talo puu kivi maa taivas", "fi")]
+        m = L.learn(spark.createDataFrame(one, "doc_id long, text string, lang string"), fold=lambda k: k >= 0)
+        data, off = K.string_buffers(pa.array(["kivi talo vesi", "the was that"]))
+        assert m.langs == ["de", "en", "fi"] and m.predict(data, off)[0] == ["fi", "en"]
+        assert all(math.isfinite(x) for x in m.limit.values())
+
+
 def test_held_out_accuracy(spark):
     got = {r["doc_id"]: r for r in L.op6_langid_kneser_ney(spark, SF).collect()}
     lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}

@@ -41,6 +41,41 @@ def test_scores_are_sparse_dot_products_of_any_cut():
         assert np.isclose(1 / (1 + np.exp(-np.clip(0.25 + np.dot(w[slots], values), -35, 35))), s, atol=1e-6)
 
 
+def test_training_is_plain_ftrl():
+    """Weights and bias against a loop over single coordinates."""
+    rnd = random.Random(12)
+    rows = [(np.array(sorted(rnd.sample(range(40), rnd.randint(0, 8))), dtype=np.int64), rnd.randint(0, 1)) for _ in range(50)]
+    rows = [(s, np.array([rnd.random() * 3 for _ in s]), y) for s, y in rows]
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= Q.L1:
+            return 0.0
+        sign = 1 if z[i] > 0 else -1
+        return -(z[i] - sign * Q.L1) / ((Q.BETA + n.get(i, 0.0) ** 0.5) / Q.ALPHA + Q.L2)
+    for _ in range(2):
+        for slots, values, y in rows:
+            x = {**dict(zip(slots.tolist(), values.tolist())), "bias": 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * x[i] for i in x)))
+            for i in x:
+                g = (p - y) * x[i]
+                sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / Q.ALPHA
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    got, bias = Q.train(rows, 2)
+    assert np.isclose(bias, weight("bias")) and all(np.isclose(got[i], weight(i)) for i in range(40)) and np.count_nonzero(got) <= 40
+
+
+def test_repeated_ids_and_labels_count_once(spark):
+    docs = spark.createDataFrame([(k, "good words" if k % 2 else "bad !! thing") for k in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, quality int")
+    keep = lambda k: k >= 0
+    a = Q.learn(docs, labels, fold=keep)
+    b = Q.learn(docs.union(docs).union(docs), labels.union(labels.filter("doc_id = 1")).union(labels.filter("doc_id = 1")), fold=keep)
+    assert a[1] == b[1] and np.array_equal(a[0], b[0])
+
+
 def test_odd_tables(spark):
     docs = spark.createDataFrame([(1, None, 9.0), (None, "", 9.0), (2, "fine words here", 9.0), (2, "fine words here", 9.0), (5, "x" * 300_000, 9.0)],
                                  "doc_id long, text string, score double")
