@@ -4,7 +4,8 @@
 the repeats to it.  ``write_archive`` then writes one record per row with fresh headers: the original as a full
 response, each repeat as a revisit that names it.  ``read_archive`` parses archives by Content-Length, whatever
 the payloads contain, and takes digest and length from the bytes it read; ``resolve`` joins revisits to the responses
-they refer to.  Archives are bounded by a number of records that makes about ``ARCHIVE_BYTES``.
+they refer to.  Archives hold a number of records that makes about ``ARCHIVE_BYTES``, and never more than ``LIMIT_BYTES``: payloads
+that could make one larger get an archive each.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from markscope.llm.common import shared_path, ship, written
 
 MIN_BYTES = 100
 ARCHIVE_BYTES = 8 << 20
+LIMIT_BYTES = 1 << 30
 # Fixed values of the WARC format.
 VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -58,10 +60,13 @@ def _line(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), F.regexp_replace(value.cast("string"), "[\\r\\n]", " "), F.lit("\r\n")), F.lit(""))
 
 
-def write_archive(marked: DataFrame, path: str, date: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> None:
+def write_archive(marked: DataFrame, path: str, date: str | None = None, archive_bytes: int = ARCHIVE_BYTES,
+                  limit_bytes: int = LIMIT_BYTES) -> None:
     """Write one record per row of ``mark_revisits``'s result, as gzip archives below ``path``."""
     date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
-    size = marked.agg(F.avg("n_bytes")).first()[0] or 0
+    size, largest = (x or 0 for x in marked.agg(F.avg("n_bytes"), F.max("n_bytes")).first())
+    per_file = max(1, int(archive_bytes // (size + 600)))
+    fits = limit_bytes // per_file      # bytes of a payload of which as many make no archive too large
     again = F.col("original").isNotNull()
     http = F.concat(F.lit(HTTP_OK + "Content-Length: "), F.col("n_bytes").cast("string"), F.lit("\r\n\r\n"))
     body = F.when(again, F.lit("")).otherwise(F.col("payload"))
@@ -75,8 +80,16 @@ def write_archive(marked: DataFrame, path: str, date: str | None = None, archive
         _line("WARC-Page-ID", F.col("id")), _line("WARC-Refers-To-Page-ID", F.col("original")),
         _line("Content-Type", F.lit("application/http; msgtype=response")),
         _line("Content-Length", F.octet_length(http) + F.octet_length(body)), F.lit("\r\n"), http, body)
-    (marked.select(record.alias("value")).write.option("lineSep", BETWEEN).option("compression", "gzip")
-     .option("maxRecordsPerFile", max(1, int(archive_bytes // (size + 600)))).text(path))
+
+    def put(rows: DataFrame, mode: str, n: int) -> None:
+        (rows.select(record.alias("value")).write.mode(mode).option("lineSep", BETWEEN).option("compression", "gzip")
+         .option("maxRecordsPerFile", n).text(path))
+
+    if largest <= fits:
+        put(marked, "errorifexists", per_file)
+    else:
+        put(marked.filter(F.col("n_bytes") <= fits), "errorifexists", per_file)
+        put(marked.filter(F.col("n_bytes") > fits), "append", 1)
 
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], int, int]]:

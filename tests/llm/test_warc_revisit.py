@@ -1,4 +1,5 @@
 """WARC round trips, odd payloads, revisits."""
+import gzip
 import hashlib
 
 from markscope.llm import warc_revisit as W
@@ -24,6 +25,16 @@ def test_records(spark, tmp_path):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_no_archive_passes_its_limit(spark, tmp_path):
+    rows = [(k, "u", f"{k} " + "s" * 150) for k in range(60)] + [(100 + k, "u", f"{k} " + "L" * 40_000) for k in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = str(tmp_path / "w")
+    W.write_archive(W.mark_revisits(df, "page_id", "url", "html"), path, archive_bytes=30_000, limit_bytes=60_000)
+    sizes = [len(gzip.decompress(r["content"])) for r in spark.read.format("binaryFile").load(path).select("content").collect()]
+    assert len(sizes) >= 5 and max(sizes) < 60_000 and sorted(sizes)[-3] > 40_000
+    assert sorted(int(r["page_id"]) for r in W.resolve(W.read_archive(spark, path)).collect()) == [r[0] for r in rows]
+
+
 def test_rewriting_archives(spark, tmp_path):
     df = spark.createDataFrame([r for r in ROWS if r[0] is not None][:13], "page_id long, url string, html string")
     a, b = str(tmp_path / "a"), str(tmp_path / "b")
