@@ -7,11 +7,11 @@ JVM.  They work on one page row at a time and need no shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from markscope.functions import patterns as P
-from markscope.session import allow_java_charsets, cached_expr, java_charsets
+from markscope.session import cached_expr, java_charsets
 
 
 def _col(c: Column | str) -> Column:
@@ -153,9 +153,9 @@ def url_scheme(url: Column | str) -> Column:
 def byte_size(text: Column, charset: Column) -> Column:
     """Bytes of ``text`` encoded in ``charset``, any that the JVM can encode; null for others.
 
-    Characters that the charset lacks count as its replacement.
+    Characters that the charset lacks count as its replacement.  Use it in plans built within
+    ``session.java_charsets_allowed``.
     """
-    allow_java_charsets(SparkSession.active())
     cs = F.lower(charset)
     return (F.when(cs.isin(*P.UTF8_CHARSETS), F.octet_length(text))
             .when(known_charset(charset), F.octet_length(F.call_function("encode", text, cs)))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from markscope.functions import markup as M
 from markscope.functions import patterns as P
-from markscope.session import allow_java_charsets, cached_expr
+from markscope.session import cached_expr, java_charsets_allowed
 
 STATUS_ORDER = ["failed_not_html", "failed_no_bytes", "failed_parsing", "failed_validation", "ok"]
 
@@ -26,12 +26,11 @@ def _is_tag(name_list):
 def with_status(parsed: DataFrame, validator_charset: DataFrame | None = None) -> DataFrame:
     """Add ``charset`` and ``status`` (first failing test wins, in STATUS_ORDER).
 
-    ``validator_charset`` (``page_id, encoding``) comes from validator results; without
-    it the lint operators are the validator, and the charset is the declared one
+    ``validator_charset`` (``page_id, encoding``, and ``forced`` if it has that, which is kept) comes from validator
+    results; without it the lint operators are the validator, and the charset is the declared one
     (or UTF-8).  A page then fails validation only for a charset that the JVM can't encode.
     A page without any tag is text, not a failure; one whose URL has no scheme fails parsing.
     """
-    allow_java_charsets(parsed.sparkSession)
     df = parsed
     forced = []
     if validator_charset is not None:
@@ -74,7 +73,8 @@ def page_measures_of_status(df: DataFrame, keep_arrays: bool = False) -> DataFra
     keep = [c for c in df.columns if c not in dropped]
     stage1, stage2, stage3 = cached_expr("page_measures", _measure_columns)
     out = df.select(*keep, *stage1)
-    out = out.select(*keep, *[c for c in _STAGE1_NAMES if c not in ("text", "_comment_text")], *stage2)
+    with java_charsets_allowed(df.sparkSession):
+        out = out.select(*keep, *[c for c in _STAGE1_NAMES if c not in ("text", "_comment_text")], *stage2)
     return out.select(*out.columns, *stage3)
 
 

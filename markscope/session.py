@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
@@ -45,11 +46,21 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
-def allow_java_charsets(spark: SparkSession) -> None:
-    """Let ``encode`` take every charset of the JVM and replace what a charset lacks."""
-    for key in ("spark.sql.legacy.javaCharsets", "spark.sql.legacy.codingErrorAction"):
-        if spark.conf.get(key, "false") != "true":
-            spark.conf.set(key, "true")
+@contextlib.contextmanager
+def java_charsets_allowed(spark: SparkSession):
+    """Within it, ``encode`` in a plan that is built takes every charset of the JVM and replaces what a charset lacks.
+
+    Both settings are read when an expression is analysed, so plans built inside keep them and the session gets its own back.
+    """
+    names = ("spark.sql.legacy.javaCharsets", "spark.sql.legacy.codingErrorAction")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n in names:
+            spark.conf.set(n, "true")
+        yield
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
 
 
 @functools.cache
@@ -113,4 +124,4 @@ def cached_expr(key, build):
     return _EXPR_CACHE[key]
 
 
-__all__ = ["allow_java_charsets", "build_session", "cached_expr", "checkpoint_root", "java_charsets", "scratch_path"]
+__all__ = ["build_session", "cached_expr", "checkpoint_root", "java_charsets", "java_charsets_allowed", "scratch_path"]

@@ -59,7 +59,12 @@ def test_sizes_and_charsets(spark, pages_df):
     cases = [("é", "UTF-8"), ("é", "ISO-8859-1"), ("é", "koi8-r"), ("é\U0001F600", "UTF-16LE"),
              ("é\U0001F600", "UTF-16"), ("", "UTF-16"), ("é\U0001F600", "UTF-32"), ("Жа", "windows-1251"),
              ("中é", "gb2312"), ("あa", "Shift_JIS"), ("한", "euc-kr"), ("中", "GBK"), ("x", "no-such-charset"), ("x", None)]
-    got = _eval(spark, [M.byte_size(F.col("t"), F.col("c"))], cases, "t string, c string")
+    from markscope.session import java_charsets_allowed
+    before = spark.conf.get("spark.sql.legacy.javaCharsets")
+    with java_charsets_allowed(spark):
+        plan = [M.byte_size(F.col("t"), F.col("c"))]
+        got = _eval(spark, plan, cases, "t string, c string")
+    assert spark.conf.get("spark.sql.legacy.javaCharsets") == before
     # worked out by hand; a character that the charset lacks counts as "?"
     assert [g[0] for g in got] == [2, 1, 1, 6, 8, 0, 8, 2, 4, 3, 2, 2, None, None]
 
