@@ -36,7 +36,7 @@ END = U64(K._mix_int(424242))
 VOCAB_SHARD_BYTES = 64 << 20  # text bytes a vocabulary shard
 PAIR_SHARD_TOKENS = 2_000_000
 WORD_SHARD_WORDS = 400_000
-FOLD_AT = 3_000_000
+FOLD_AT = 2_000_000
 
 
 def mounted(path: str) -> str:
