@@ -217,12 +217,19 @@ def value_in(values: Column, names: Column, name: str | Column) -> Column:
     return F.get(values, F.array_position(names, wanted).cast("int") - 1)
 
 
-def count_runs(sorted_col: str) -> Column:
-    """array<struct<item, n>>: how often each item of a sorted array column occurs, in one pass over the array."""
+def count_runs(sorted_col: str, with_start: bool = False) -> Column:
+    """array<struct<item, n>>: how often each item of a sorted array column occurs, in one pass over the array.
+
+    With ``with_start`` also each run's first position (from 0) as ``start``.
+    """
     items = F.col(sorted_col)
     size = F.size(items)
     at = F.filter(F.transform(items, lambda x, i: F.when((i == 0) | ~x.eqNullSafe(F.get(items, i - 1)), i)), lambda i: i.isNotNull())
     # the next run's start ends a run: pair each start with the one after it
     pairs = F.arrays_zip(at.alias("a"), F.concat(F.slice(at, 2, 1 << 30), F.array(size)).alias("b"))
     pairs = F.slice(pairs, F.lit(1), F.size(at))    # an empty array has no run
-    return F.transform(pairs, lambda p: F.struct(F.get(items, p["a"]).alias("item"), (p["b"] - p["a"]).cast("bigint").alias("n")))
+
+    def run(p):
+        fields = [F.get(items, p["a"]).alias("item"), (p["b"] - p["a"]).cast("bigint").alias("n")]
+        return F.struct(*fields, *([p["a"].alias("start")] if with_start else []))
+    return F.transform(pairs, run)

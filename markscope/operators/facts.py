@@ -131,7 +131,7 @@ def comments(parsed: DataFrame) -> DataFrame:
 
 def _runs(parsed: DataFrame, items: Column, fields: list[str]) -> DataFrame:
     """Per page, how often each item occurs: sorted inside the row and counted by run lengths, so nothing is shuffled."""
-    counted = (parsed.select("page_id", items.alias("_items")).withColumn("_items", F.array_sort("_items"))
+    counted = (parsed.select("page_id", items.alias("_items")).withColumn("_items", F.sort_array("_items"))
                .select("page_id", F.explode(M.count_runs("_items")).alias("c")))
     item = [F.col("c.item").alias(fields[0])] if len(fields) == 1 else [F.col(f"c.item.{f}").alias(f) for f in fields]
     return counted.select("page_id", *item, F.col("c.n").alias("n"))

@@ -1,14 +1,13 @@
 """Markup lint (L1-L13): the validator service re-aimed as Spark operators.
 
 One pass: every token of a page (start tag, end tag, page-level finding) becomes
-a few small events ``(ns, key, sub)``; one aggregation by ``(page_id, ns, key)``
-with fixed-width conditional counts (partial aggregation map-side, so a huge page
-or a hot key is collapsed before the shuffle); a narrow step turns the counts into
+a few small events ``(ns, key, sub)`` in the page's own row; they are sorted and counted there by run lengths, so
+messages need no shuffle; a narrow step turns the counts into
 messages.  Rules that compare two sets inside a page (ids against references,
 map names against usemaps, start against end tags) meet in the same group.
 
 Output: ``page_id, (page keys), rule, kind, message_id, message, n`` where ``n``
-is the number of occurrences of that message on the page.
+is the number of occurrences of that message on the page.  A row of the page table is a page.
 """
 
 from __future__ import annotations
@@ -155,87 +154,6 @@ def _reference_events(vals: Column, names: Column) -> Column:
     return F.flatten(F.transform(present, ids_of))
 
 
-def page_tokens(parsed: DataFrame, page_keys: tuple[str, ...] = (),
-                carry: tuple[str, ...] = (), payload: str | None = None) -> DataFrame:
-    """One row per token of a page: ``t`` = 's' start tag, 'e' end tag, else a page finding.
-
-    Exploding first lets the per-token work below run as generated code with common
-    subexpressions computed once (a tag name is extracted once, not once per rule).
-    With ``payload`` (a struct column), one extra token ``t = 'p'`` per page carries
-    it in field ``m``; the field is null on every other token, so nothing page-sized
-    is copied per token.
-    """
-    ptype = parsed.schema[payload].dataType if payload else None
-
-    def build():
-        null_m = F.lit(None).cast(ptype) if ptype is not None else None
-
-        def tok(t, v, m=None):
-            fields = [F.lit(t).alias("t") if isinstance(t, str) else t.alias("t"), v.alias("v")]
-            if ptype is not None:
-                fields.append((m if m is not None else null_m).alias("m"))
-            return F.struct(*fields)
-
-        page_level = [
-            F.when(F.col("declared_charset").isNull(), tok("charset", render("charset", FALLBACK_CHARSET))),
-            F.when(F.col("doctype") == P.NO_DOCTYPE, tok("doctype", render("doctype", EXPECTED_DOCTYPE))),
-        ]
-        if ptype is not None:
-            page_level.append(tok("p", F.lit(""), F.col(payload)))
-        tokens = F.concat(
-            F.transform("start_tags", lambda x: tok("s", x)),
-            F.transform("end_tags", lambda x: tok("e", x)),
-            F.filter(F.array(*page_level), lambda x: x.isNotNull()))
-        return F.explode(tokens).alias("x")
-
-    cols = [F.col("x.t").alias("t"), F.col("x.v").alias("v")]
-    if ptype is not None:
-        cols.append(F.col("x.m").alias("m"))
-    key = ("page_tokens", ptype.simpleString() if ptype is not None else None)
-    return (parsed.select("page_id", *page_keys, *carry, cached_expr(key, build))
-            .select("page_id", *page_keys, *carry, *cols))
-
-
-def token_events(parsed: DataFrame, page_keys: tuple[str, ...] = (),
-                 with_markup: bool = False, payload: str | None = None,
-                 with_links: bool = False, rules: tuple[str, ...] | None = None) -> DataFrame:
-    """Lint events of every token (with ``rules``, what these need); with ``with_markup`` also the count events of each start tag
-    (elements, attributes, protocols, images; ``ns`` = metric, ``sub`` = subkey).  With
-    ``payload``, the page token yields one ``page`` event and column ``_payload``."""
-    from markscope.operators.rollup import tag_metric_events
-    carry = ("scheme",) if (with_markup or with_links) else ()
-    tok = page_tokens(parsed, page_keys, carry, payload)
-    t, v = F.col("t"), F.col("v")
-    extra = ["m"] if payload else []
-    staged = tok.select("page_id", *page_keys, *carry, "t", "v", *extra,
-                        F.when(t == "s", M.tag_name(v)).otherwise(v).alias("_tag"),
-                        F.when(t == "s", M.attr_tokens(v)).alias("_toks"))
-    # bound once for each tag: names and decoded values of its attributes
-    staged = staged.withColumn("_names", F.transform("_toks", M.attr_name)).withColumn("_vals", M.attr_values(v, F.col("_toks")))
-
-    def build():
-        tag, vals, names = F.col("_tag"), F.col("_vals"), F.col("_names")
-        start = _start_tag_events(tag, vals, names, rules)
-        if with_markup:
-            # no "elements" event: the lint's own (tag, start) events count the same thing
-            start = F.concat(start, tag_metric_events(tag, vals, names, F.col("scheme"),
-                                                      ("ns", "key", "sub"), with_elements=False))
-        if with_links:
-            start = F.concat(start, _link_events(tag, vals, names, F.col("scheme")))
-        events = (F.when(t == "s", start)
-                  .when(t == "e", F.array(_event("tag", v, "end")))
-                  .when(t == "p", F.array(_event("page", F.lit(""))))
-                  .otherwise(F.array(_event(t, v))))
-        # nulls (rules that do not apply) are dropped after the explode by a plain
-        # filter: a higher-order filter would take the whole array out of codegen
-        return F.explode(events).alias("e")
-
-    out = [F.col("m").alias("_payload")] if payload else []
-    return (staged.select("page_id", *page_keys, *out,
-                          cached_expr(("token_events", with_markup, with_links, rules), build))
-            .filter(F.col("e").isNotNull()))
-
-
 def _link_events(tag: Column, vals: Column, names: Column, scheme: Column) -> Column:
     """Page counters as events: 'int'/'ext' per a/area link, 'book' per bookmark, one per img."""
     href = F.coalesce(M.value_in(vals, names, "href"), F.lit(""))
@@ -253,33 +171,77 @@ MARKUP_METRICS = ["elements", "attributes", "protocols", "images"]
 def event_counts(parsed: DataFrame, page_keys: tuple[str, ...] = (),
                  with_markup: bool = False, payload: str | None = None,
                  with_links: bool = False, rules: tuple[str, ...] | None = None) -> DataFrame:
-    """Events aggregated per ``(page_id, ns, key, gsub)`` (+ page keys carried as group keys).
+    """A page's events counted per ``(ns, key, gsub)``, one row each (+ page keys), without a shuffle.
 
     ``gsub`` is the subkey of a markup metric and empty for lint events, whose
-    ``sub`` values become fixed-width conditional counts instead.
+    ``sub`` values become fixed-width conditional counts instead.  All events of a page are in its own row: they are
+    sorted and counted there by run lengths, and the runs of one ``(ns, key, gsub)`` meet as a slice of the runs.
     """
-    ev = token_events(parsed, page_keys, with_markup, payload, with_links, rules)
-
-    def build():
-        ns, sub = F.col("e.ns"), F.col("e.sub")
-        gsub = F.when(ns.isin(*MARKUP_METRICS), sub).otherwise(F.lit("")) if with_markup else F.lit("")
-        aggs = [F.count(F.lit(1)).alias("n"),
-                F.count_if(sub == "start").alias("n_start"),
-                F.count_if(sub == "end").alias("n_end"),
-                F.count_if(sub == "id").alias("n_id"),
-                F.count_if(sub == "usemap").alias("n_usemap"),
-                F.count_if(sub == "name").alias("n_name")]
-        aggs += [F.count_if(sub == a).alias(f"ref_{i}") for i, a in enumerate(P.ID_REFERENCE_ATTRIBUTES)]
+    from markscope.operators.rollup import tag_metric_events
+    ptype = parsed.schema[payload].dataType if payload else None
+
+    def tag_events(b):
+        tag, vals, names = b["tag"], b["vals"], b["names"]
+        out = _start_tag_events(tag, vals, names, rules)
+        if with_markup:
+            # no "elements" event: the lint's own (tag, start) events count the same thing
+            out = F.concat(out, tag_metric_events(tag, vals, names, F.col("scheme"), ("ns", "key", "sub"), with_elements=False))
         if with_links:
-            aggs += [F.count_if(sub == x).alias(f"n_{x}") for x in ("int", "ext", "book")]
-        return [ns.alias("ns"), F.col("e.key").alias("key"), gsub.alias("gsub")], aggs
-
-    keys, aggs = cached_expr(("event_counts", with_markup, with_links), build)
-    if payload:
-        # a grouping key, not a max(): struct aggregation buffers would force a
-        # sort-based aggregate; the key is null on every event but the page's own
-        keys = keys + [F.col("_payload").alias("payload")]
-    return ev.groupBy("page_id", *page_keys, *keys).agg(*aggs)
+            out = F.concat(out, _link_events(tag, vals, names, F.col("scheme")))
+        return out
+
+    def bind(raw):
+        toks = F.transform(F.array(M.attr_tokens(raw)), lambda t: F.struct(
+            M.tag_name(raw).alias("tag"), F.transform(t, M.attr_name).alias("names"), M.attr_values(raw, t).alias("vals")))
+        return F.get(toks, F.lit(0))
+
+    def build_events():
+        page = [F.when(F.col("declared_charset").isNull(), _event("charset", render("charset", FALLBACK_CHARSET))),
+                F.when(F.col("doctype") == P.NO_DOCTYPE, _event("doctype", render("doctype", EXPECTED_DOCTYPE)))]
+        if payload:
+            page.append(_event("page", F.lit("")))
+        ends = F.transform("end_tags", lambda x: _event("tag", x, "end"))
+        every = F.concat(F.flatten(F.transform("_tags", tag_events)), ends, F.array(*page))
+        return F.sort_array(F.filter(every, lambda e: e.isNotNull())).alias("_events")
+
+    carry = [F.col(c) for c in ("page_id", *page_keys)] + ([F.col(payload).alias("_payload")] if payload else [])
+    need = [c for c in ("scheme", "end_tags", "declared_charset", "doctype") if c in parsed.columns and c not in page_keys]
+    bound = parsed.select(*carry, *need, F.transform("start_tags", bind).alias("_tags"))
+    names = ["page_id", *page_keys] + (["_payload"] if payload else [])
+    runs = bound.select(*names, cached_expr(("page_events", with_markup, with_links, payload is not None, rules), build_events))
+    runs = runs.select(*names, cached_expr("page_runs", lambda: M.count_runs("_events").alias("_runs")))
+
+    def build_groups():
+        def key(r):
+            sub = F.when(r["item"]["ns"].isin(*MARKUP_METRICS), r["item"]["sub"]).otherwise(F.lit(""))
+            return F.struct(r["item"]["ns"].alias("ns"), r["item"]["key"].alias("key"), sub.alias("gsub"))
+        keyed = F.transform("_runs", key)
+        return keyed.alias("_keys")
+
+    staged = runs.select(*names, "_runs", cached_expr("run_keys", build_groups))
+    groups = staged.select(*names, "_runs", F.explode(cached_expr("run_groups", lambda: M.count_runs("_keys", with_start=True))).alias("g"))
+
+    def build_counts():
+        mine = F.slice("_runs", F.col("g.start") + 1, F.col("g.n").cast("int"))
+        return [F.col("g.item.ns").alias("ns"), F.col("g.item.key").alias("key"), F.col("g.item.gsub").alias("gsub"), mine.alias("_mine")]
+
+    def count_of(ns: str, sub: str) -> Column:
+        found = F.get(F.filter("_mine", lambda r: r["item"]["sub"] == sub), F.lit(0))["n"]
+        return F.when(F.col("ns") == ns, F.coalesce(found, F.lit(0).cast("bigint"))).otherwise(F.lit(0).cast("bigint"))
+
+    def build_out():
+        one = F.get("_mine", F.lit(0))["n"]
+        cols = [F.when(F.size("_mine") == 1, one).otherwise(F.aggregate("_mine", F.lit(0).cast("bigint"), lambda a, r: a + r["n"])).alias("n"),
+                *(count_of(ns, sub).alias(name) for name, ns, sub in (("n_start", "tag", "start"), ("n_end", "tag", "end"), ("n_id", "id", "id"),
+                                                                      ("n_usemap", "map", "usemap"), ("n_name", "map", "name")))]
+        cols += [count_of("id", a).alias(f"ref_{i}") for i, a in enumerate(P.ID_REFERENCE_ATTRIBUTES)]
+        if with_links:
+            cols += [count_of("lnk", x).alias(f"n_{x}") for x in ("int", "ext", "book")]
+        return cols
+
+    sliced = groups.select(*names, *cached_expr("run_slices", build_counts))
+    out = sliced.select(*names, "ns", "key", "gsub", *cached_expr(("run_counts", with_links), build_out))
+    return out.withColumnRenamed("_payload", "payload") if payload else out
 
 
 def lint_messages(parsed: DataFrame, page_keys: tuple[str, ...] = (),

@@ -155,9 +155,8 @@ def page_results(measures: DataFrame, message_totals: DataFrame, keep_keys: bool
 def page_results_one_pass(status_df: DataFrame) -> DataFrame:
     """P16 with lint as the validator, parsing each page once.
 
-    The page's measures ride as one struct on a single ``page`` token through the
-    lint event aggregation (null on all other tokens); the message counts and that
-    struct then meet in one per-page aggregation.  No second parse, and no join of
+    The page's messages are counted inside its row; its measures ride as one struct on its ``page`` event, and both
+    meet in one per-page aggregation of the small result.  No second parse, and no join of
     the page table with its message totals.
     """
     from markscope.operators import lint

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 FAST = ["element_counts", "doctype", "page_text", "page_sizes", "attributes", "links", "images",
         "lint_messages", "message_classes", "page_results", "totals_flat", "totals_html5", "run_funnel",
-        "warc_records", "redirect_join"]
+        "warc_records", "redirect_join", "element_text", "warc_scan", "message_classes_catalog", "merge_count_maps", "totals_of_key"]
 
 
 @pytest.mark.parametrize("name", FAST)
@@ -59,12 +59,28 @@ def test_each_message_in_one_class(spark):
     assert c.filter(F.col("canonical").isNull()).count() == 0
 
 
-@pytest.mark.parametrize("name", ["element_counts", "attribute_counts", "protocol_counts", "image_counts"])
+@pytest.mark.parametrize("name", ["element_counts", "attribute_counts", "protocol_counts", "image_counts", "lint_messages", "message_classes"])
 def test_page_counts_need_no_exchange(spark, name):
     plan = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
 
 
+@pytest.mark.parametrize("name,exchanges", [("totals_flat", 1), ("page_counts", 1), ("page_results", 1)])
+def test_one_exchange_for_what_is_added_up(spark, name, exchanges):
+    plan = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == exchanges
+
+
+def test_a_page_of_very_many_tags(spark, pages_df):
+    from markscope.operators import facts, lint
+    n = 30_000
+    html = "<!DOCTYPE html><meta charset=utf-8>" + "".join(f'<p id="x{k % 100}" for="y{k}" class=c>' for k in range(n)) + "<u>" * n + "</u>" * (n - 5)
+    got = lint.lint_messages(facts.parse_pages(pages_df([(1, "http://a/", html)])))
+    rows = {(r.rule, r.n): r.message for r in got.filter("rule <> 'dangling_ref'").collect()}
+    assert rows[("unclosed", 5)] == "Unclosed element u." and got.filter("rule = 'duplicate_id'").count() == 100
+    assert got.filter("rule = 'dangling_ref'").count() == n and got.filter("rule = 'duplicate_id' AND n = 299").count() == 100
+
+
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
 
