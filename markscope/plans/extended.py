@@ -103,10 +103,10 @@ def q_warc_scan(spark, sf_dir):
 
 
 def q_stream_warc_counts(spark, sf_dir):
-    """Counts of the folder's pages by a stream, one file a batch, then again with what is new (nothing)."""
+    """Counts of the folder's pages by a stream in batches of 32 MB, then again with what is new (nothing)."""
     folder, out = warc_folder(spark, sf_dir), scratch_path(spark, "stream-warc")
     for _ in range(2):
-        streams.append_page_counts(streams.warc_stream(spark, folder, max_files=1), f"{out}/counts", f"{out}/checkpoint").awaitTermination()
+        streams.append_page_counts(streams.warc_stream(spark, folder, max_bytes=32 << 20), f"{out}/counts", f"{out}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{out}/counts").groupBy("is_html5", "metric", "key", "subkey").agg(F.sum("n").cast("bigint").alias("n"))
 
 

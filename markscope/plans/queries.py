@@ -305,7 +305,7 @@ def _stream(spark, sf_dir, starter, name, read=None):
     from markscope.streaming import streams
     files = scratch_path(spark, f"{name}-in")
     read_table(spark, sf_dir, "pages").repartition(4, "page_id").write.parquet(files)
-    src = streams.page_stream(spark, files, max_files=2)
+    src = streams.page_stream(spark, files, max_bytes=2 << 20)
     path = streams.run_to_end(spark, starter, src, name)
     return read(spark, path) if read else spark.read.parquet(path)
 
