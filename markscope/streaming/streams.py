@@ -29,7 +29,12 @@ from markscope.sources import warc
 from markscope.sources.pages import normalize_pages
 
 FAN = 4
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk: changes are written per batch instead of whole snapshots, and files grow as they fill.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def page_stream(spark: SparkSession, directory: str, glob: str = "*.parquet",
@@ -143,14 +148,15 @@ def dedupe_urls(pages_stream: DataFrame, out_path: str, checkpoint: str, crawl_t
          .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out_path))
 
     # the query takes a copy of the settings when it starts: the caller's session stays as it is
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_SETTINGS}
+    for k, v in STATE_SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         return (best.writeStream.foreachBatch(write_batch).outputMode("update").option("checkpointLocation", checkpoint)
                 .trigger(availableNow=True).start())
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def read_winners(spark: SparkSession, out_path: str) -> DataFrame:
