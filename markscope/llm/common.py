@@ -57,6 +57,23 @@ def running_parts(rows: DataFrame, weight: str, bound: int) -> DataFrame:
     return at.join(offsets, "__file").withColumn("part", F.coalesce(own, F.floor(before / half).cast("string"))).drop("__file", "__row", "__offset")
 
 
+#: A key with over this part of a table's rows is hot; fewer than a thousand keys can be.
+HOT_PART = 0.001
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, by: str, name: str) -> DataFrame:
+    """``rows`` (a written table) left-joined on ``key = by`` to ``table`` (written, one row per ``by``), however many rows share a key.
+
+    Rows of hot keys meet a broadcast table of those keys and stay where they are; the others are shuffled.  Null keys find nothing.
+    """
+    most = rows.count() * HOT_PART
+    hot = rows.groupBy(F.col(key).alias("__hot")).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > most)
+    few = F.broadcast(written(table.join(hot, F.col(by) == F.col("__hot")).select(*table.columns), name))
+    met = F.col(key) == F.col(by)
+    rest = rows.join(few.select(by), met, "left_anti")
+    return rows.join(few, met).unionByName(rest.join(table, met, "left"))
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, as ``--py-files`` would, once per application."""
     sc = spark.sparkContext

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from markscope.llm import textkit as K
-from markscope.llm.common import shared_path, ship, shuffle_partitions, written
+from markscope.llm.common import hot_join, shared_path, ship, shuffle_partitions, written
 from markscope.llm.components import connected_components
 
 U64 = np.uint64
@@ -260,12 +260,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # nodes are the fingerprints themselves: ids may repeat or be null
     links = pivot_links(classes.select("fp", F.col("fp").alias("rep")), max_bits)
     comp = connected_components(links, "simhash-components")
-    linked = classes.join(comp, F.col("fp") == F.col("node")).select(F.col("fp").alias("lf"), F.col("component").alias("root"), "rep")
-    smallest = linked.groupBy(F.col("root").alias("r")).agg(F.min("rep").alias("low"))
-    named = (classes.join(linked.drop("rep").join(smallest, F.col("root") == F.col("r")), F.col("fp") == F.col("lf"), "left")
-             .select(F.col("fp").alias("f"), F.when(F.col("lf").isNull(), F.col("rep")).otherwise(F.col("low")).alias("component"),
-                     F.coalesce("root", "fp").alias("group")))
-    return fps.join(named, F.col("fp") == F.col("f"), "left").select("id", "fp", "component", "group", *extra)
+    linked = written(classes.join(comp, F.col("fp") == F.col("node")).select(F.col("fp").alias("lf"), F.col("component").alias("root"), "rep"), "simhash-linked")
+    smallest = written(linked.groupBy(F.col("root").alias("r")).agg(F.min("rep").alias("low")), "simhash-lowest")
+    # a component may hold any part of the fingerprints, a fingerprint any part of the rows
+    lows = hot_join(linked.drop("rep"), smallest, "root", "r", "simhash-hot-roots")
+    named = written(classes.join(lows, F.col("fp") == F.col("lf"), "left")
+                    .select(F.col("fp").alias("f"), F.when(F.col("lf").isNull(), F.col("rep")).otherwise(F.col("low")).alias("component"),
+                            F.coalesce("root", "fp").alias("group")), "simhash-named")
+    return hot_join(fps, named, "fp", "f", "simhash-hot").select("id", "fp", "component", "group", *extra)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 2) -> DataFrame:
