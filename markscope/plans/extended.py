@@ -29,9 +29,9 @@ def catalog_lines(spark, sf_dir):
     For each lint template: a line for each name of even length, lines without a group, lines for any name, and last
     a line for each name of odd length, which the lines before it shadow.
     """
-    parsed = parsed_pages(spark, sf_dir, varied=True)
-    words = (facts.attributes(parsed).select(F.explode(F.array("tag", "attr")).alias("word"))
-             .unionByName(facts.elements(parsed).select(F.col("tag").alias("word"))).filter("word <> ''").distinct())
+    names = F.concat(F.array("tag"), F.transform(M.attr_tokens("raw"), M.attr_name))
+    words = (facts.element_rows(parsed_pages(spark, sf_dir, varied=True)).select(F.explode(names).alias("word"))
+             .filter("word <> ''").distinct())
     word = F.col("word")
     escaped = F.regexp_replace(word, r"([^a-zA-Z0-9])", r"\\$1")
 
