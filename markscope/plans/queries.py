@@ -299,13 +299,25 @@ def q_warc_page_results(spark, sf_dir):
 
 # --- T: streaming ----------------------------------------------------------------
 
+#: HTML in a file of a stream's input: a batch is read by as many tasks as it has files, at most, and HTML of one kind takes little disk.
+STREAM_FILE_HTML = 1 << 20
+
+
 def _stream(spark, sf_dir, starter, name, read=None):
-    """Run a stream over the page table, dealt over several files, and read what it wrote."""
+    """Run a stream over the page table, dealt over several files, and read what it wrote.
+
+    Files stay small and their number grows with the table, so that a batch keeps all cores busy; a batch is about a quarter of
+    the table, from 2 MB up to the stream's own limit.
+    """
     from markscope.session import scratch_path
     from markscope.streaming import streams
     files = scratch_path(spark, f"{name}-in")
-    read_table(spark, sf_dir, "pages").repartition(4, "page_id").write.parquet(files)
-    src = streams.page_stream(spark, files, max_bytes=2 << 20)
+    pages = read_table(spark, sf_dir, "pages")
+    html = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    pages.repartition(max(4, -(-html // STREAM_FILE_HTML)), "page_id").write.parquet(files)
+    written = spark.read.parquet(files).select("_metadata.file_path", "_metadata.file_size").distinct()
+    size = written.agg(F.sum("file_size")).first()[0] or 0
+    src = streams.page_stream(spark, files, max_bytes=min(max(2 << 20, size // 4), streams.BATCH_BYTES))
     path = streams.run_to_end(spark, starter, src, name)
     return read(spark, path) if read else spark.read.parquet(path)
 

@@ -180,3 +180,19 @@ def test_stream_takes_only_new_files(spark, warc_files, tmp_path):
     again = run()
     assert again.count() == 2501 and again.filter("url = 'http://new/'").first().html == "<p>new\n"
     assert run().count() == 2501
+
+
+def test_stream_input_is_many_files_in_few_batches(spark, tmp_path):
+    from markscope.plans import queries as Q
+    text = F.expr("concat_ws('', transform(sequence(1, 1024), i -> sha2(concat(id, ' ', i), 256)))")     # 64 KB that hardly compress
+    spark.range(512).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), text.alias("html")).coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    seen = []
+
+    def starter(pages, out, checkpoint):
+        def write_batch(batch, batch_id):
+            files = batch.select("page_id", F.input_file_name().alias("f"))
+            seen.append((files.select("f").distinct().count(), {r.page_id for r in files.collect()}))
+        return pages.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    Q._stream(spark, str(tmp_path), starter, "stream-files", read=lambda *_: None)
+    assert sum(n for n, _ in seen) >= 8 and max(n for n, _ in seen) > 1 and len(seen) <= 8
+    assert sorted(i for _, ids in seen for i in ids) == list(range(512))
