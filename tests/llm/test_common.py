@@ -1,4 +1,7 @@
-"""The join that keeps hot keys' rows where they are."""
+"""The join that keeps hot keys' rows where they are; what a written table leaves on disk."""
+import glob
+import time
+
 import pytest
 
 from markscope.llm import common as C
@@ -21,3 +24,16 @@ def test_hot_join_of_empty_tables(spark):
     assert C.hot_join(rows, table, "key", "by", "t-hot").count() == 0
     some = C.written(spark.createDataFrame([(1, 2), (3, None)], "id long, key long"), "t-rows")
     assert {(r["id"], r["by"]) for r in C.hot_join(some, table, "key", "by", "t-hot").collect()} == {(1, None), (3, None)}
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    shuffled = lambda: {f for d in dirs for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    before, setting = shuffled(), spark.conf.get(C._CLEANUP)
+    kept = spark.range(1000).repartition(7, "id").groupBy("id").count()
+    table = C.written(kept, "t-shuffled")
+    end = time.time() + 20          # files are removed in the background
+    while shuffled() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffled() - before and spark.conf.get(C._CLEANUP) == setting
+    assert table.count() == 1000
